@@ -1,3 +1,125 @@
-from saltmarsh.catalog.base import Book
+"""Forecasts of the daily order series."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from saltmarsh.catalog.base import Book, Tables
+from saltmarsh.catalog.timeseries import DAYS, by_priority, dense, rounded
+from saltmarsh.operators import forecast as op
+from saltmarsh.plans.upload import run_upload
 
 BOOK = Book()
+
+# Last seven days; the last two are held out (7 / 3 rounded down).
+SHORT = (
+    DAYS
+    + """,
+  win AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS pos, max(ds) OVER (PARTITION BY series_id) AS last_ds
+          FROM (SELECT * FROM days QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ds DESC) <= 7)),
+  line AS (SELECT series_id, max(last_ds) AS last_ds, count(*) AS record_count, regr_slope(y, pos) FILTER (pos < 5) AS b,
+           regr_intercept(y, pos) FILTER (pos < 5) AS a FROM win GROUP BY 1),
+  err AS (SELECT win.series_id, y, y - (a + b * pos) AS gap FROM win JOIN line USING (series_id) WHERE pos >= 5),
+  score AS (SELECT series_id, avg(abs(gap)) AS mae, sqrt(avg(gap * gap)) AS rmse,
+            avg(abs(gap / y)) FILTER (y <> 0) * 100 AS mape, stddev_pop(gap) AS residual_std FROM err GROUP BY 1)"""
+)
+
+
+@BOOK.add(
+    "e06_linear_trend",
+    f"""WITH {SHORT} SELECT series_id, ds AS date, round(y, 4) AS actual, CAST(NULL AS DOUBLE) AS forecast,
+               CAST(NULL AS DOUBLE) AS lower_bound, CAST(NULL AS DOUBLE) AS upper_bound FROM win
+        UNION ALL SELECT series_id, CAST(last_ds + CAST(k AS INTEGER) AS DATE), NULL, round(a + b * (record_count + k - 1), 4),
+               round(a + b * (record_count + k - 1) - 1.96 * residual_std, 4), round(a + b * (record_count + k - 1) + 1.96 * residual_std, 4)
+        FROM line JOIN score USING (series_id), generate_series(1, 14) g(k)""",
+)
+def _trend(t: Tables) -> DataFrame:
+    return rounded(op.trend_forecast(by_priority(t)), "actual", "forecast", "lower_bound", "upper_bound")
+
+
+@BOOK.add(
+    "e07_prediction_interval",
+    f"WITH {SHORT} SELECT series_id, round(1.96 * residual_std, 4) AS margin FROM score",
+)
+def _interval(t: Tables) -> DataFrame:
+    models = op.trend_models(by_priority(t))
+    return models.select("series_id", F.round(op.Z95 * F.col("residual_std"), 4).alias("margin"))
+
+
+@BOOK.add(
+    "a14_error_metrics",
+    f"WITH {SHORT} SELECT series_id, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(mape, 4) AS mape FROM score",
+)
+def _errors(t: Tables) -> DataFrame:
+    return op.trend_models(by_priority(t)).select("series_id", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "mape")])
+
+
+@BOOK.add(
+    "w06_short_holdout",
+    f"WITH {SHORT} SELECT series_id, ds, CAST(pos AS INTEGER) AS pos, pos >= 5 AS held_out FROM win",
+)
+def _holdout(t: Tables) -> DataFrame:
+    return op.short_window(by_priority(t)).select("series_id", "ds", "pos", "held_out")
+
+
+@BOOK.add(
+    "u05_actual_and_forecast",
+    f"""WITH {SHORT} SELECT series_id, count(*) FILTER (k = 0) AS actual_rows, count(*) FILTER (k > 0) AS forecast_rows
+        FROM (SELECT series_id, 0 AS k FROM win UNION ALL SELECT series_id, k FROM line, generate_series(1, 30) g(k)) GROUP BY 1""",
+)
+def _padded(t: Tables) -> DataFrame:
+    rows = op.trend_forecast(by_priority(t), horizon=30)
+    return rows.groupBy("series_id").agg(
+        F.count("actual").alias("actual_rows"), F.count("forecast").alias("forecast_rows")
+    )
+
+
+@BOOK.add("e04_lag_regression")
+def _regression(t: Tables) -> DataFrame:
+    rows = op.predictions(dense(t), horizon=14)
+    return rows.filter((F.col("model") == "regression") & (F.col("part") == "future"))
+
+
+@BOOK.add("e05_weekly_pattern")
+def _weekly(t: Tables) -> DataFrame:
+    rows = op.predictions(dense(t), horizon=14)
+    return rows.filter((F.col("model") == "weekly") & (F.col("part") == "future"))
+
+
+@BOOK.add("e08_backtest_forecast")
+def _backtest(t: Tables) -> DataFrame:
+    return op.chosen_forecast(op.backtest(dense(t), horizon=7))
+
+
+@BOOK.add("e08_backtest_validation")
+def _validation(t: Tables) -> DataFrame:
+    return op.chosen_validation(op.backtest(dense(t), horizon=7))
+
+
+@BOOK.add("o06_best_model")
+def _best(t: Tables) -> DataFrame:
+    rows = op.predictions(dense(t), horizon=7).filter(F.col("part") == "validation")
+    return op.best_model(op.error_metrics(rows, "series_id", "model"), "series_id")
+
+
+_UPLOAD = """
+WITH src AS (SELECT DISTINCT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_totalprice AS y FROM orders),
+  win AS (SELECT d, y, row_number() OVER (ORDER BY d, y) - 1 AS pos FROM (SELECT * FROM src ORDER BY d DESC, y DESC LIMIT 7)),
+  line AS (SELECT max(d) AS last_ds, regr_slope(y, pos) FILTER (pos < 5) AS b, regr_intercept(y, pos) FILTER (pos < 5) AS a FROM win),
+  score AS (SELECT stddev_pop(y - (a + b * pos)) AS s FROM win, line WHERE pos >= 5)
+SELECT d AS date, round(y, 4) AS actual, CAST(NULL AS DOUBLE) AS forecast, CAST(NULL AS DOUBLE) AS lower_bound, CAST(NULL AS DOUBLE) AS upper_bound FROM win
+UNION ALL SELECT CAST(last_ds + CAST(k AS INTEGER) AS DATE), NULL, round(a + b * (6 + k), 4), round(a + b * (6 + k) - 1.96 * s, 4),
+  round(a + b * (6 + k) + 1.96 * s, 4) FROM line, score, generate_series(1, 14) g(k)
+"""
+
+
+@BOOK.add("e10_upload_job", _UPLOAD)
+def _upload(t: Tables) -> DataFrame:
+    """The whole upload job over the orders as text, layers and manifest written on the way."""
+    source = t.orders.select(
+        F.col("o_orderkey").cast("string").alias("Order Ref"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("Order Date"),
+        F.col("o_totalprice").cast("string").alias("Total Price"),
+    )
+    result = run_upload(source, "orders.csv", date="Order Date", target="Total Price", horizon=14)
+    return rounded(result.forecast, "actual", "forecast", "lower_bound", "upper_bound")

@@ -231,6 +231,10 @@ def question_terms(question: str) -> list[str]:
     return sorted({word for word in words if len(word) > 2})
 
 
+def _has_any(text: Column, words: tuple[str, ...]) -> Column:
+    return text.rlike("|".join(re.escape(word) for word in words))
+
+
 def _count_named(text: Column, words: list[str]) -> Column:
     total = F.lit(0)
     for word in words:
@@ -239,19 +243,28 @@ def _count_named(text: Column, words: list[str]) -> Column:
 
 
 def title_score(title: Column, question: str) -> Column:
-    """Number of question terms in the title; null when the title is no candidate."""
-    lowered = F.lower(title)
+    """Number of question terms in the title; null when the title is no candidate.
+
+    The title is bound once as the element of a one-element array. A filter on
+    the score would otherwise repeat the expression behind the title, often a
+    pattern over a whole page, for every word.
+    """
     wanted = question_terms(question)
-    score = _count_named(lowered, wanted)
-    candidate = (score > 0) | (_count_named(lowered, list(MARKET_WORDS)) > 0)
-    if set(wanted) & set(COMMODITIES):
-        candidate = candidate & (_count_named(lowered, list(COMMODITY_WORDS)) > 0)
-    return F.when(candidate, score)
+
+    def score_of(lowered: Column) -> Column:
+        score = _count_named(lowered, wanted)
+        candidate = (score > 0) | _has_any(lowered, MARKET_WORDS)
+        if set(wanted) & set(COMMODITIES):
+            candidate = candidate & _has_any(lowered, COMMODITY_WORDS)
+        return F.when(candidate, score)
+
+    return F.get(F.transform(F.array(F.lower(title)), score_of), F.lit(0))
 
 
 def article_relevance(title: Column, content: Column, question: str) -> Column:
     """Share of question terms found, counting at most four, rounded to three digits."""
     wanted = question_terms(question)
-    text = F.lower(F.concat_ws(" ", title, content))
-    found = _count_named(text, wanted)
-    return F.round(F.least(F.lit(1.0), found / F.lit(max(1, min(len(wanted), 4)))), 3)
+    share = F.lit(max(1, min(len(wanted), 4)))
+    text = F.array(F.lower(F.concat_ws(" ", title, content)))
+    found = F.get(F.transform(text, lambda lowered: _count_named(lowered, wanted)), F.lit(0))
+    return F.round(F.least(F.lit(1.0), found / share), 3)

@@ -74,7 +74,7 @@ def compare(spark, con, folder: str, name: str, query, sql: str | None) -> tuple
     extra, lost = mine - theirs, theirs - mine
     return (
         f"rows differ: {len(rows)} / {len(other)}; only here {sum(extra.values())}, only SQL {sum(lost.values())}\n"
-        f"   here {[str(x)[:600] for x in list(extra)[:2]]}\n   sql  {[str(x)[:600] for x in list(lost)[:2]]}",
+        f"   here {[str(x)[:400] for x in list(extra)[:2]]}\n   sql  {[str(x)[:400] for x in list(lost)[:2]]}",
         len(rows),
         seconds,
     )
@@ -96,7 +96,7 @@ def main(argv: list[str]) -> int:
         try:
             verdict, count, seconds = compare(spark, con, folder, name, query, sql.get(name))
         except Exception as error:  # noqa: BLE001
-            verdict, count, seconds = f"ERROR {type(error).__name__}: {str(error)[:1500]}", -1, 0.0
+            verdict, count, seconds = f"ERROR {type(error).__name__}: {str(error)[:500]}", -1, 0.0
         bad += verdict not in ("ok", "rows-only")
         print(f"{name:34s} {count:8d} rows {seconds:7.2f}s  {verdict}", flush=True)
     print("failures:", bad)

@@ -1,3 +1,258 @@
-from saltmarsh.catalog.base import Book
+"""Vector search over the embeddings and hybrid retrieval over the documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from saltmarsh.catalog.base import Book, Tables
+from saltmarsh.catalog.texts import sql_chunks
+from saltmarsh.functions import questions as qs, vectors as vx
+from saltmarsh.operators import ranking as rk
+from saltmarsh.operators.vectorize import hash_vectors
+from saltmarsh.plans.indexing import index_rows, internal_rows, news_rows
+from saltmarsh.plans.retrieval import evidence_context, hashing, retrieve
 
 BOOK = Book()
+
+QUESTION = "the and with from are"
+
+
+def label_centres(t: Tables) -> DataFrame:
+    """Mean vector of every label: one query vector per label."""
+    cells = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x"))
+    means = cells.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    listed = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("v"))
+    return listed.select(F.col("label").cast("bigint").alias("query_id"), F.col("v.m").alias("embedding"))
+
+
+CENTRES = """cells AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+  means AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM cells GROUP BY 1, 2),
+  centres AS (SELECT CAST(label AS BIGINT) AS query_id, list(m ORDER BY i) AS v FROM means GROUP BY 1)"""
+
+
+def _gap(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2])))"
+
+
+NEAR = f"""{CENTRES}, dist AS (SELECT query_id, vec_id, label, {_gap('embedding', 'v')} AS distance FROM embeddings, centres),
+  near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM dist)"""
+
+
+@BOOK.add("v01_distance_to_centre", f"WITH {NEAR} SELECT vec_id, round(distance, 6) AS distance FROM dist WHERE label = query_id")
+def _distance(t: Tables) -> DataFrame:
+    joined = t.embeddings.select("vec_id", F.col("label").cast("bigint").alias("query_id"), "embedding").join(
+        label_centres(t).withColumnRenamed("embedding", "centre"), "query_id"
+    )
+    return joined.select("vec_id", F.round(vx.squared_l2(F.col("embedding"), F.col("centre")), 6).alias("distance"))
+
+
+def candidates(t: Tables, k: int = rk.CANDIDATES) -> DataFrame:
+    return rk.nearest(t.embeddings, label_centres(t), key="vec_id", k=k)
+
+
+def _round6(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@BOOK.add("v02_nearest_vectors", f"WITH {NEAR} SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM near WHERE rank <= 20")
+def _nearest(t: Tables) -> DataFrame:
+    return _round6(candidates(t), "distance")
+
+
+@BOOK.add("j07_queries_by_vectors", f"WITH {NEAR} SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM near WHERE rank <= 5")
+def _loop(t: Tables) -> DataFrame:
+    return _round6(candidates(t, k=5), "distance")
+
+
+@BOOK.add(
+    "f09_nearest_with_filter",
+    f"""WITH {NEAR} SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM dist WHERE label = 1) WHERE rank <= 20""",
+)
+def _filtered(t: Tables) -> DataFrame:
+    found = rk.nearest(t.embeddings, label_centres(t), key="vec_id", where=F.col("label") == 1)
+    return _round6(found, "distance")
+
+
+@BOOK.add(
+    "v03_gaussian_scores",
+    f"WITH {NEAR} SELECT vec_id, round(exp(-(distance * distance) / (2 * 0.25 * 0.25)), 6) AS score FROM dist WHERE label = query_id",
+)
+def _gaussian(t: Tables) -> DataFrame:
+    joined = t.embeddings.select("vec_id", F.col("label").cast("bigint").alias("query_id"), "embedding").join(
+        label_centres(t).withColumnRenamed("embedding", "centre"), "query_id"
+    )
+    return joined.select("vec_id", F.round(vx.gaussian_score(vx.squared_l2(F.col("embedding"), F.col("centre"))), 6).alias("score"))
+
+
+_WORDS = [w for w in dict.fromkeys(QUESTION.split()) if len(w) > 2 and w not in qs.STOP_WORDS]
+_HITS = f"""tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*')) AS w FROM documents),
+  hit AS (SELECT doc_id, count(*) FILTER (w IN ({', '.join("'" + w + "'" for w in _WORDS)})) AS hits FROM tok GROUP BY 1)"""
+_HYBRID = f"""WITH {NEAR}, {_HITS}, cand AS (SELECT query_id, vec_id, distance, rank, coalesce(hits, 0) AS hits FROM near JOIN documents ON doc_id = vec_id LEFT JOIN hit USING (doc_id) WHERE rank <= 20),
+  s AS (SELECT *, least(1.0, hits / {len(_WORDS)}.0) AS keyword_score, exp(-(distance * distance) / 0.125) AS gaussian_score FROM cand),
+  h AS (SELECT *, 0.7 * gaussian_score + 0.3 * keyword_score AS relevance_score FROM s)"""
+
+
+def scored_candidates(t: Tables) -> DataFrame:
+    """Nearest vectors with the text of the document of the same number."""
+    question = rk.understand(t.spark.range(1).select(F.lit(QUESTION).alias("text"))).first()
+    words = F.array(*[F.lit(w) for w in question["keywords"]])
+    texts = t.documents.select(F.col("doc_id").alias("vec_id"), "text")
+    return candidates(t).join(texts, "vec_id").withColumn("keywords", words)
+
+
+@BOOK.add(
+    "v04_hybrid_scores",
+    _HYBRID + " SELECT query_id, vec_id, round(keyword_score, 6) AS keyword_score, round(relevance_score, 6) AS relevance_score FROM h",
+)
+def _hybrid(t: Tables) -> DataFrame:
+    rows = scored_candidates(t)
+    hits = rk.keyword_hits(F.col("text"), F.col("keywords"))
+    return rows.select(
+        "query_id",
+        "vec_id",
+        F.round(vx.keyword_share(hits, F.size("keywords")), 6).alias("keyword_score"),
+        F.round(vx.hybrid_score(F.col("distance"), hits, F.size("keywords")), 6).alias("relevance_score"),
+    )
+
+
+@BOOK.add(
+    "o04_reranked_top",
+    _HYBRID + """ SELECT query_id, vec_id, round(relevance_score, 6) AS relevance_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, rank) AS INTEGER) AS final_rank
+      FROM h WHERE relevance_score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, rank) <= 5""",
+)
+def _reranked(t: Tables) -> DataFrame:
+    top = rk.rerank(scored_candidates(t))
+    return top.select("query_id", "vec_id", F.round("relevance_score", 6).alias("relevance_score"), "final_rank")
+
+
+@BOOK.add(
+    "f13_relevant_documents",
+    f"""WITH {_HITS}, s AS (SELECT doc_id, n_chars / 10000.0 AS relevance, coalesce(hits, 0) AS hits, CASE WHEN lang = 'en' THEN 3 ELSE 5 END AS words FROM documents LEFT JOIN hit USING (doc_id))
+        SELECT doc_id FROM s WHERE CASE WHEN words <= 3 THEN least(1.0, hits / words) > 0 AND relevance >= 0.75 ELSE relevance >= 0.2 END""",
+)
+def _relevant(t: Tables) -> DataFrame:
+    words = F.array(*[F.lit(w) for w in _WORDS])
+    count = F.when(F.col("lang") == "en", 3).otherwise(5)
+    share = vx.keyword_share(rk.keyword_hits(F.col("text"), words), count)
+    return t.documents.filter(rk.relevant(count, share, F.col("n_chars") / 10000)).select("doc_id")
+
+
+@BOOK.add("j06_keyword_matches", f"WITH {_HITS} SELECT doc_id, coalesce(hits, 0) AS hits FROM documents LEFT JOIN hit USING (doc_id)")
+def _matches(t: Tables) -> DataFrame:
+    words = F.array(*[F.lit(w) for w in _WORDS])
+    return t.documents.select("doc_id", rk.keyword_hits(F.col("text"), words).cast("bigint").alias("hits"))
+
+
+@BOOK.add(
+    "u06_shared_tokens",
+    f"""WITH tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*')) AS w FROM documents)
+        SELECT doc_id, w AS token FROM tok WHERE w IN ({', '.join("'" + w + "'" for w in _WORDS)})""",
+)
+def _shared(t: Tables) -> DataFrame:
+    words = F.array(*[F.lit(w) for w in _WORDS])
+    from saltmarsh.functions.text import tokens
+
+    return t.documents.select("doc_id", F.explode(F.array_intersect(words, tokens(F.col("text")))).alias("token"))
+
+
+_URLS = """urls AS (SELECT query_id, 'https://docs.example.org/' || label AS url, distance FROM near WHERE rank <= 20)"""
+
+
+def url_candidates(t: Tables) -> DataFrame:
+    """Candidates as chunks of a document per label."""
+    labels = t.embeddings.select("vec_id", F.concat(F.lit("https://docs.example.org/"), F.col("label").cast("string")).alias("url"))
+    return candidates(t).join(labels, "vec_id")
+
+
+@BOOK.add("d05_best_score_per_url", f"WITH {NEAR}, {_URLS} SELECT query_id, url, round(max(1 / (1 + distance)), 6) AS score FROM urls GROUP BY 1, 2")
+def _best(t: Tables) -> DataFrame:
+    return _round6(rk.best_score_per_url(url_candidates(t), "query_id"), "score")
+
+
+_SCORED = f"""WITH {NEAR}, {_URLS}, b AS (SELECT url, max(1 / (1 + distance)) AS score FROM urls GROUP BY 1),
+  a AS (SELECT doc_id, 'https://docs.example.org/' || (doc_id % 16) AS url FROM documents)
+SELECT doc_id, a.url, round(coalesce(score, 0), 6) AS relevance_score FROM a LEFT JOIN b ON a.url = b.url"""
+
+
+def scored_articles(t: Tables) -> tuple[DataFrame, DataFrame]:
+    number = F.pmod("doc_id", F.lit(16)).cast("string")
+    articles = t.documents.select("doc_id", F.concat(F.lit("https://docs.example.org/"), number).alias("url"))
+    return articles, rk.best_score_per_url(url_candidates(t))
+
+
+@BOOK.add("j01_articles_with_scores", _SCORED)
+def _with_scores(t: Tables) -> DataFrame:
+    return rk.attach_scores(*scored_articles(t))
+
+
+@BOOK.add("v05_top_articles", _SCORED + " ORDER BY relevance_score DESC, doc_id LIMIT 15")
+def _top(t: Tables) -> DataFrame:
+    return rk.top_articles(*scored_articles(t), 15, "doc_id")
+
+
+@BOOK.add(
+    "v06_confidence",
+    """SELECT user_id, round(least(0.98, 0.45 + 0.1 * count(*) FILTER (event_type = 'signup')), 6) AS evidence_confidence,
+              greatest(35, least(98, 45 + 16 * count(*) FILTER (event_type = 'purchase') - 10 * count(*) FILTER (event_type = 'error'))) AS run_confidence
+       FROM events GROUP BY 1""",
+)
+def _confidence(t: Tables) -> DataFrame:
+    count = lambda kind: F.count_if(F.col("event_type") == kind)
+    counted = t.events.groupBy("user_id").agg(
+        count("signup").alias("found"), count("purchase").alias("ok"), count("error").alias("bad")
+    )
+    return counted.select(
+        "user_id",
+        F.round(vx.evidence_confidence(F.col("found")), 6).alias("evidence_confidence"),
+        vx.run_confidence(F.col("ok"), F.col("bad")).alias("run_confidence"),
+    )
+
+
+@BOOK.add(
+    "v07_hash_vectors",
+    """SELECT doc_id, 256 AS dimensions, CASE WHEN regexp_matches(lower(text), '[a-z0-9]') THEN 1.0 ELSE 0.0 END AS norm FROM documents""",
+)
+def _vectors(t: Tables) -> DataFrame:
+    made = hash_vectors(t.documents.select("doc_id", "text"), dimensions=256)
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return made.select("doc_id", F.size("embedding").alias("dimensions"), F.round(F.sqrt(squares), 4).alias("norm"))
+
+
+def document_index(t: Tables, dimensions: int = 256) -> DataFrame:
+    """Index rows: documents without label as internal objects, labelled ones as news."""
+    keyed = t.documents.select(
+        F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("object_key"), "doc_id", "source", F.lit(0).alias("page"), "text"
+    )
+    labelled = t.labels.select("doc_id")
+    internal = internal_rows(keyed.join(labelled, "doc_id", "left_anti"), "documents")
+    news = news_rows(keyed.join(labelled, "doc_id", "left_semi").withColumnRenamed("text", "content").drop("page"))
+    return index_rows(internal, news, hashing(dimensions))
+
+
+@BOOK.add(
+    "v08_index_snapshot",
+    f"""WITH {sql_chunks('documents', 'doc_id, source')}, f AS (SELECT doc_id, md5(text) AS etag FROM documents)
+        SELECT CASE WHEN l.doc_id IS NULL THEN 'minio:documents:' || source || '/' || c.doc_id || '.txt:' || etag || ':0:' || chunk
+                    ELSE 'news:' || source || '/' || c.doc_id || '.txt:' || chunk END AS id,
+               CASE WHEN l.doc_id IS NULL THEN 'internal_document' ELSE 'external_news' END AS source_type, chunk, c.text, 256 AS dimensions
+        FROM chunked c JOIN f USING (doc_id) LEFT JOIN labels l ON l.doc_id = c.doc_id""",
+)
+def _snapshot(t: Tables) -> DataFrame:
+    return document_index(t).select("id", "source_type", "chunk", "text", F.size("embedding").alias("dimensions"))
+
+
+def benchmark_questions(t: Tables) -> DataFrame:
+    """Every benchmark passage asked as a question."""
+    return t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+
+
+@BOOK.add("g05_retrieved_chunks")
+def _retrieved(t: Tables) -> DataFrame:
+    found = retrieve(document_index(t), benchmark_questions(t), hashing(256))
+    return found.select("query_id", "id", "rank", "final_rank", F.round("relevance_score", 6).alias("relevance_score"))
+
+
+@BOOK.add("g05_evidence_context")
+def _context(t: Tables) -> DataFrame:
+    return evidence_context(retrieve(document_index(t), benchmark_questions(t), hashing(256)))

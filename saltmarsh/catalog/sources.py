@@ -1,3 +1,352 @@
-from saltmarsh.catalog.base import Book
+"""Scans and sinks: the given tables written in each format and read back, and streams over them."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from saltmarsh.catalog.activity import _STATES, activity_events
+from saltmarsh.catalog.base import Book, Tables
+from saltmarsh.catalog.cleaning import _GAPS, orders_with_gaps
+from saltmarsh.operators.cleaning import sanitise_numbers
+from saltmarsh.plans.medallion import full_run, raw_to_bronze
+from saltmarsh.scratch import run_folder
+from saltmarsh.sources import documents as docs, sinks, tables as tb
+from saltmarsh.sources.workbook import workbook_columns, workbook_rows
+from saltmarsh.streaming.activity import latest_states, state_stream, unique_stream, write_states
+from saltmarsh.streaming.ingest import ingest_files, read_silver
 
 BOOK = Book()
+
+_ORDER_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders"
+
+
+def plain_orders(df: DataFrame) -> DataFrame:
+    return df.select(
+        F.col("o_orderkey").cast("bigint").alias("o_orderkey"),
+        F.col("o_custkey").cast("bigint").alias("o_custkey"),
+        "o_orderstatus",
+        F.col("o_totalprice").cast("double").alias("o_totalprice"),
+        F.to_date("o_orderdate").alias("o_orderdate"),
+        "o_orderpriority",
+    )
+
+
+@BOOK.add("s01_csv_typed", _ORDER_SQL)
+def _csv(t: Tables) -> DataFrame:
+    path = run_folder(t.spark, "orders-csv")
+    sinks.write_table(t.orders, path, "csv")
+    return plain_orders(tb.read_csv(t.spark, path))
+
+
+@BOOK.add("s02_csv_late_typed", "SELECT o_orderkey, o_totalprice AS price, CAST(o_custkey AS INTEGER) AS unitssold, o_orderstatus FROM orders")
+def _csv_text(t: Tables) -> DataFrame:
+    path = run_folder(t.spark, "orders-text")
+    noisy = t.orders.select(
+        "o_orderkey",
+        F.concat(F.col("o_totalprice").cast("string"), F.lit(" usd")).alias("price"),
+        F.format_number("o_custkey", 0).alias("unitssold"),
+        "o_orderstatus",
+    )
+    sinks.write_table(noisy, path, "csv")
+    typed = sanitise_numbers(tb.read_csv(t.spark, path, typed=False), {"price": "double", "unitssold": "int"})
+    return typed.withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+
+
+@BOOK.add("s03_parquet_parts", "SELECT * FROM customer")
+def _parquet(t: Tables) -> DataFrame:
+    path = run_folder(t.spark, "customer-parts")
+    sinks.write_table(t.customer.repartition("c_nationkey"), path)
+    return tb.read_table(t.spark, path, "parquet")
+
+
+def _workbook(rows: pd.DataFrame) -> bytes:
+    """A workbook with a notes sheet first and the rows on a sales sheet."""
+
+    def sheet(lines: list[list[str]]) -> str:
+        cells = ["".join(f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>' for v in line) for line in lines]
+        body = "".join(f"<row>{line}</row>" for line in cells)
+        return f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr(
+            "xl/workbook.xml",
+            f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Notes" sheetId="1" r:id="rId1"/>'
+            '<sheet name="Mobile Sales" sheetId="2" r:id="rId2"/></sheets></workbook>',
+        )
+        book.writestr(
+            "xl/_rels/workbook.xml.rels",
+            f'<Relationships xmlns="{package}"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/>'
+            f'<Relationship Id="rId2" Type="{rel}/worksheet" Target="worksheets/sheet2.xml"/></Relationships>',
+        )
+        book.writestr("xl/worksheets/sheet1.xml", sheet([["nothing here"]]))
+        book.writestr("xl/worksheets/sheet2.xml", sheet([list(rows.columns), *rows.astype(str).values.tolist()]))
+    return out.getvalue()
+
+
+def part_workbooks(t: Tables) -> DataFrame:
+    """The parts as workbooks of at most 5000 rows, one binary row per workbook."""
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        name = f"parts-{frame['book'].iloc[0]}.xlsx"
+        return pd.DataFrame({"path": [name], "content": [_workbook(frame.drop(columns="book"))]})
+
+    rows = t.part.select("p_partkey", "p_name", "p_brand", "p_size", F.floor(F.col("p_partkey") / 5000).alias("book"))
+    return rows.groupBy("book").applyInPandas(build, "path string, content binary")
+
+
+@BOOK.add("s04_workbooks", "SELECT p_partkey, p_name, p_brand, p_size FROM part")
+def _workbooks(t: Tables) -> DataFrame:
+    files = part_workbooks(t)
+    rows = workbook_rows(files, workbook_columns(files))
+    return rows.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name", "p_brand", F.col("p_size").cast("int").alias("p_size"))
+
+
+@BOOK.add(
+    "s05_mixed_folder",
+    "SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders",
+)
+def _mixed(t: Tables) -> DataFrame:
+    """One status as Parquet, one as CSV, one as CSV with a column less."""
+    path = run_folder(t.spark, "mixed")
+    rows = t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
+    of = lambda s: rows.filter(F.col("o_orderstatus") == s).drop("o_orderstatus")
+    sinks.write_table(of("F"), f"{path}/finished")
+    sinks.write_table(of("O"), f"{path}/open", "csv")
+    sinks.write_table(of("P").withColumn("o_orderpriority", F.lit(None).cast("string")), f"{path}/pending", "csv")
+    found = tb.read_folder(t.spark, path)
+    return found.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderpriority")
+
+
+def article_objects(t: Tables) -> DataFrame:
+    """Documents as stored article objects: German ones unreadable, Spanish ones internal, French ones with topic."""
+    doc = F.col("doc_id").cast("string")
+    kind = lambda name: F.when(F.col("lang") == name, F.lit("internal")).otherwise(docs.EXTERNAL).alias("source_type")
+    full = F.to_json(F.struct("source", F.concat(F.lit("  "), F.col("text"), F.lit("\n")).alias("content"), kind("es")))
+    named = F.to_json(F.struct("source", "lang", F.col("text").alias("content"), kind("es"), F.lit("Bourse").alias("topic"), doc.alias("artifact_id")))
+    value = F.when(F.col("lang") == "de", F.concat(F.lit("{bad "), doc)).when(F.col("lang") == "fr", named).otherwise(full)
+    path = F.concat(F.lit("file:/store/news/"), F.col("source"), F.lit("/d-"), doc, F.lit(".json"))
+    return t.documents.select(path.alias("path"), value.alias("value"))
+
+
+@BOOK.add(
+    "s06_stored_articles",
+    """SELECT source || '/d-' || doc_id || '.json' AS object_key, 'news' AS bucket, CASE lang WHEN 'fr' THEN 'Bourse' ELSE 'General News' END AS topic,
+              CASE lang WHEN 'fr' THEN CAST(doc_id AS VARCHAR) ELSE 'd-' || doc_id END AS artifact_id FROM documents WHERE lang NOT IN ('de', 'es')""",
+)
+def _stored(t: Tables) -> DataFrame:
+    return docs.stored_articles(article_objects(t)).select("object_key", "bucket", "topic", "artifact_id")
+
+
+@BOOK.add(
+    "s07_articles_to_index",
+    r"""SELECT source || '/d-' || doc_id || '.json' AS object_key, source, regexp_replace(text, '^\s+|\s+$', '', 'g') AS content
+        FROM documents WHERE lang <> 'de'""",
+)
+def _to_index(t: Tables) -> DataFrame:
+    return docs.articles_to_index(article_objects(t)).select("object_key", "source", "content")
+
+
+@BOOK.add(
+    "s08_text_objects",
+    """SELECT source || '/' || doc_id || CASE lang WHEN 'en' THEN '.txt' WHEN 'de' THEN '.json' ELSE '.md' END AS object_key,
+              CASE lang WHEN 'en' THEN 'text/plain' WHEN 'de' THEN 'application/json' ELSE 'text/markdown' END AS content_type,
+              CASE lang WHEN 'en' THEN text || chr(65533) WHEN 'de' THEN '{' || chr(10) || '  "text": ' || to_json(text) || chr(10) || '}' ELSE text END AS text
+       FROM documents WHERE lang <> 'fr'""",
+)
+def _text_objects(t: Tables) -> DataFrame:
+    """English text with a broken byte, German as JSON, French with an unsupported suffix."""
+    lang = F.col("lang")
+    suffix = F.when(lang == "en", ".txt").when(lang == "de", ".json").when(lang == "fr", ".png").otherwise(".md")
+    path = F.concat(F.lit("file:/store/documents/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), suffix)
+    plain = F.encode("text", "UTF-8")
+    broken = F.concat(plain, F.unhex(F.lit("FF")))
+    content = F.when(lang == "en", broken).when(lang == "de", F.encode(F.to_json(F.struct("text")), "UTF-8")).otherwise(plain)
+    return docs.text_objects(t.documents.select(path.alias("path"), content.alias("content"))).select("object_key", "content_type", "text")
+
+
+def customs_objects(t: Tables) -> DataFrame:
+    """A nested customs document per document: one item per line, its value the line length."""
+    lines = F.split("text", "\n")
+    items = F.transform(
+        lines,
+        lambda line, i: F.struct(F.lit(1).alias("page"), (i + 1).alias("item_number"), line.alias("description"), F.length(line).alias("transaction_value")),
+    )
+    total = F.aggregate(lines, F.lit(0), lambda s, line: s + F.length(line))
+    stated = F.when(F.col("lang") == "de", total + 1).otherwise(total)
+    value = F.to_json(
+        F.struct(
+            F.struct(F.lit("invoice").alias("document_type"), F.col("source").alias("ppbj_number")).alias("document"),
+            items.alias("items"),
+            F.struct(stated.alias("total_transaction_value")).alias("values"),
+        )
+    )
+    return t.documents.select(F.col("doc_id").cast("string").alias("path"), value.alias("value"))
+
+
+@BOOK.add(
+    "s09_customs_documents",
+    "SELECT CAST(doc_id AS VARCHAR) AS path, source AS number, len(string_split(text, chr(10))) AS items FROM documents",
+)
+def _customs(t: Tables) -> DataFrame:
+    parsed = docs.customs_documents(customs_objects(t))
+    return parsed.select("path", F.col("document.ppbj_number").alias("number"), F.size("items").cast("bigint").alias("items"))
+
+
+@BOOK.add(
+    "p15_exploded_items",
+    """SELECT CAST(doc_id AS VARCHAR) AS path, CAST(i AS INTEGER) AS item_number, line AS description, CAST(length(line) AS DOUBLE) AS transaction_value
+       FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, i)""",
+)
+def _items(t: Tables) -> DataFrame:
+    items = docs.document_items(docs.customs_documents(customs_objects(t)))
+    return items.select("path", "item_number", "description", "transaction_value")
+
+
+@BOOK.add(
+    "p15_item_totals",
+    """WITH s AS (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents),
+            v AS (SELECT doc_id, lang, len(l) AS n, CAST(list_sum(list_transform(l, lambda x: length(x))) AS DOUBLE) AS s FROM s)
+       SELECT CAST(doc_id AS VARCHAR) AS path, CAST(n AS INTEGER) AS item_count, s AS items_total, CASE lang WHEN 'de' THEN s + 1 ELSE s END AS stated_total, lang <> 'de' AS matches FROM v""",
+)
+def _totals(t: Tables) -> DataFrame:
+    return docs.item_totals(docs.customs_documents(customs_objects(t)))
+
+
+@BOOK.add(
+    "s10_job_catalogue",
+    """SELECT DISTINCT source AS job_id, CASE WHEN source LIKE 'src1%' THEN source || '.csv' END AS source_file,
+              CASE WHEN source LIKE 'src1%' THEN '2024-01-01' END AS created_at, CASE WHEN source LIKE 'src1%' THEN 'bronze,gold' ELSE 'bronze,silver,gold,forecast' END AS stages FROM documents""",
+)
+def _jobs(t: Tables) -> DataFrame:
+    """Documents as objects of jobs named after their source; some jobs have a manifest. Listed in id order."""
+    keys = t.documents.select(F.concat_ws("/", F.lit("jobs"), "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".json"))).alias("key"))
+    manifest = F.concat(F.lit('{"source_file":"'), F.col("source"), F.lit('.csv","created_at":"2024-01-01","stages":{"bronze":{},"gold":{}}}'))
+    described = t.documents.filter(F.startswith("source", F.lit("src1"))).select(F.col("source").alias("job_id"), manifest.alias("manifest")).distinct()
+    return docs.job_catalogue(keys, described).withColumn("stages", F.array_join("stages", ",")).orderBy("job_id")
+
+
+@BOOK.add(
+    "j09_jobs_with_manifest",
+    "SELECT source AS job_id, count(*) AS objects, CASE WHEN source LIKE 'src1%' THEN source || '.csv' END AS source_file FROM documents GROUP BY 1",
+)
+def _job_manifest(t: Tables) -> DataFrame:
+    """Objects are counted per job before the join, so a job with most objects joins as one row."""
+    counted = t.documents.groupBy(F.col("source").alias("job_id")).agg(F.count(F.lit(1)).alias("objects"))
+    named = t.documents.select("source").distinct().filter(F.startswith("source", F.lit("src1")))
+    manifests = named.select(F.col("source").alias("job_id"), F.concat("source", F.lit(".csv")).alias("source_file"))
+    return counted.join(manifests, "job_id", "left")
+
+
+@BOOK.add("k01_written_tables", "SELECT 'csv' AS format, p_partkey, p_name FROM part UNION ALL SELECT 'parquet', p_partkey, p_name FROM part")
+def _written(t: Tables) -> DataFrame:
+    base = run_folder(t.spark, "written")
+    rows = t.part.select("p_partkey", "p_name")
+    sinks.write_table(rows, f"{base}/csv", "csv", compression="gzip")
+    sinks.write_table(rows, f"{base}/parquet", "parquet", compression="zstd")
+    back = [
+        tb.read_csv(t.spark, f"{base}/csv", schema="p_partkey bigint, p_name string").select(F.lit("csv").alias("format"), "p_partkey", "p_name"),
+        tb.read_parquet(t.spark, f"{base}/parquet").select(F.lit("parquet").alias("format"), "p_partkey", "p_name"),
+    ]
+    return back[0].unionByName(back[1])
+
+
+@BOOK.add("k03_verified_write", "SELECT count(*) AS rows_sent, count(*) AS rows_stored, true AS verified FROM lineitem")
+def _verified(t: Tables) -> DataFrame:
+    return sinks.verified_write(t.lineitem, run_folder(t.spark, "verified"))
+
+
+@BOOK.add(
+    "k04_layer_metadata",
+    f"""SELECT 'silver' AS layer, count(*) AS row_count, 4 AS column_count, '["transactionid", "date", "price", "totalrevenue"]' AS columns,
+               count(*) FILTER (date IS NULL) + count(*) FILTER (price IS NULL) + count(*) FILTER (totalrevenue IS NULL) AS missing_values, 'completed' AS status FROM {_GAPS}""",
+)
+def _metadata(t: Tables) -> DataFrame:
+    meta = sinks.layer_metadata(orders_with_gaps(t), "silver", "job-1", "bronze/data", "silver/data")
+    return meta.select("layer", "row_count", "column_count", "columns", "missing_values", "status")
+
+
+def raw_sales(t: Tables) -> DataFrame:
+    """Orders as a raw sales file with noise in the numbers and two date spellings."""
+    date = F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    return t.orders.select(
+        F.col("o_orderkey").cast("string").alias("TransactionID"),
+        date.alias("Date"),
+        F.concat(F.format_number("o_totalprice", 2), F.lit(" usd")).alias("Price"),
+        F.when(F.col("o_orderstatus") == "P", "N/A").otherwise(F.col("o_totalprice").cast("string")).alias("TotalRevenue"),
+        F.concat(F.pmod("o_custkey", F.lit(9)).cast("string"), F.lit("pcs")).alias("Units_Sold"),
+        F.concat(F.lit(" "), F.col("o_orderpriority")).alias("Location"),
+    )
+
+
+def raw_folder(t: Tables) -> str:
+    path = run_folder(t.spark, "raw")
+    sinks.write_table(raw_sales(t), path, "csv")
+    return path
+
+
+@BOOK.add(
+    "g01_bronze_rows",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS TransactionID, o_totalprice AS Price, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS TotalRevenue,
+              CAST(o_custkey % 9 AS INTEGER) AS Units_Sold, true AS lineage FROM orders""",
+)
+def _bronze(t: Tables) -> DataFrame:
+    base = run_folder(t.spark, "bronze")
+    raw_to_bronze(t.spark, raw_folder(t), base)
+    stamped = F.col("source_file").isNotNull() & F.col("ingestion_timestamp").isNotNull()
+    return t.spark.read.parquet(base).select("TransactionID", "Price", "TotalRevenue", "Units_Sold", stamped.alias("lineage"))
+
+
+_FULL = """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, strftime(o_orderdate, '%Y-%m') AS month, round(sum(o_totalprice), 4) AS total_sales,
+  CAST(sum(o_custkey % 9) AS BIGINT) AS total_quantity FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2"""
+
+
+@BOOK.add("g03_gold_from_silver", _FULL)
+@BOOK.add("g04_full_run", _FULL)
+def _full(t: Tables) -> DataFrame:
+    """Raw files through all three layers; the monthly gold table is read back."""
+    paths = full_run(t.spark, raw_folder(t), run_folder(t.spark, "medallion"))
+    return t.spark.read.parquet(paths["monthly_sales"]).withColumn("total_sales", F.round("total_sales", 4))
+
+
+@BOOK.add(
+    "x06_streamed_silver",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS transactionid, CAST(o_orderdate AS DATE) AS date, o_totalprice AS price, o_totalprice AS totalrevenue,
+              CAST(o_custkey % 9 AS INTEGER) AS unitssold, o_orderpriority AS location FROM orders WHERE o_orderstatus <> 'P'""",
+)
+def _streamed(t: Tables) -> DataFrame:
+    base = run_folder(t.spark, "stream")
+    ingest_files(t.spark, raw_folder(t), raw_sales(t).columns, base)
+    return read_silver(t.spark, base).select("transactionid", "date", "price", "totalrevenue", "unitssold", "location")
+
+
+def event_stream(t: Tables) -> DataFrame:
+    files = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet")
+    return files.parquet(t.folder)
+
+
+@BOOK.add("x01_unique_stream", "SELECT event_id, user_id, event_type FROM events")
+def _unique_stream(t: Tables) -> DataFrame:
+    """Every event twice in the stream; one copy comes out."""
+    path = run_folder(t.spark, "unique-events")
+    doubled = event_stream(t).select("event_id", "ts", "user_id", "event_type", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"))
+    query = unique_stream(doubled, "1 hour").writeStream.option("checkpointLocation", f"{path}-checkpoint")
+    query.format("parquet").trigger(availableNow=True).start(path).awaitTermination()
+    return t.spark.read.parquet(path).select("event_id", "user_id", "event_type")
+
+
+@BOOK.add("x02_state_stream", _STATES + " SELECT * FROM states")
+def _state_stream(t: Tables) -> DataFrame:
+    """The state machine as a stream ends in the same states as in batch."""
+    path = run_folder(t.spark, "states")
+    write_states(state_stream(activity_events(event_stream(t))), path, f"{path}-checkpoint")
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "completed_at", "updated_at")}
+    return latest_states(t.spark, path).withColumns(times)

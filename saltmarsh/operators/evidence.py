@@ -134,7 +134,7 @@ def number_evidence(df: DataFrame, order: Sequence[str], session: Column) -> Dat
 def zip_by_position(df: DataFrame, left: str, right: str) -> DataFrame:
     """Pair array elements by position; the longer array decides the length."""
     keep = [c for c in df.columns if c not in (left, right)]
-    pairs = F.arrays_zip(F.col(left).alias("left"), F.col(right).alias("right"))
+    pairs = F.arrays_zip(left, right)
     return df.select(*keep, F.posexplode(pairs).alias("position", "pair")).select(
         *keep, "position", F.col("pair")[left].alias(left), F.col("pair")[right].alias(right)
     )

@@ -24,9 +24,16 @@ SOURCE_THRESHOLD = 0.2
 
 
 def query_vectors(df: DataFrame, query_id: str, vector: str) -> Iterator[list[tuple[int, list[float]]]]:
-    """Blocks of at most QUERY_BLOCK query vectors, so that a block fits in a task closure."""
+    """Blocks of at most QUERY_BLOCK query vectors, so that a block fits in a task closure.
+
+    A single block, the usual case, is fetched by one job; more queries are
+    streamed block by block.
+    """
+    vectors = df.select(F.col(query_id).cast("bigint"), vector)
+    head = vectors.limit(QUERY_BLOCK + 1).collect()
+    rows = head if len(head) <= QUERY_BLOCK else vectors.toLocalIterator()
     block: list[tuple[int, list[float]]] = []
-    for row in df.select(F.col(query_id).cast("bigint"), vector).toLocalIterator():
+    for row in rows:
         block.append((row[0], list(row[1])))
         if len(block) == QUERY_BLOCK:
             yield block

@@ -6,7 +6,10 @@ on such rows, so objects that already sit in a table take the same way.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from saltmarsh.functions import text as tx, urls
 
@@ -84,20 +87,34 @@ def articles_to_index(objects: DataFrame, bucket: str = "news") -> DataFrame:
     return rows.filter(F.col("content") != "")
 
 
+def _indent(texts: pd.Series) -> pd.Series:
+    """JSON written out with two blanks of indent, members in their own order; other text unchanged."""
+
+    def one(text: str) -> str:
+        try:
+            return json.dumps(json.loads(text), ensure_ascii=False, indent=2)
+        except ValueError:
+            return text
+
+    return texts.map(one)
+
+
 def text_objects(binaries: DataFrame, bucket: str = "documents") -> DataFrame:
     """Text of supported objects: bad bytes replaced, JSON written out with indent; page 0."""
     key = relative_key(F.col("path"), bucket)
-    rows = binaries.select(key.alias("object_key"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    kept = rows.filter(urls.extension(F.col("object_key")).isin(*TEXT_SUFFIXES))
-    pretty = F.to_json(F.try_parse_json("text"), {"pretty": "true"})
-    text = F.when(urls.extension(F.col("object_key")) == "json", F.coalesce(pretty, F.col("text"))).otherwise(F.col("text"))
-    return kept.select(
+    suffix = urls.extension(key)
+    rows = binaries.filter(suffix.isin(*TEXT_SUFFIXES)).select(
+        key.alias("object_key"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")
+    )
+    json_rows = urls.extension(F.col("object_key")) == "json"
+    indented = rows.filter(json_rows).withColumn("text", F.pandas_udf(_indent, T.StringType())("text"))
+    return rows.filter(~json_rows).unionByName(indented).select(
         "object_key",
         urls.file_name(F.col("object_key")).alias("filename"),
         urls.file_stem(F.col("object_key")).alias("document_type"),
         urls.content_type(F.col("object_key")).alias("content_type"),
         F.lit(0).alias("page"),
-        text.alias("text"),
+        "text",
     )
 
 

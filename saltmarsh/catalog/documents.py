@@ -8,7 +8,7 @@ from saltmarsh.catalog.base import Book, Tables
 from saltmarsh.catalog.texts import sql_squash
 from saltmarsh.functions import urls
 from saltmarsh.operators import evidence as ev, html, paging
-from saltmarsh.operators.rows import first_per_key
+from saltmarsh.operators.rows import first_per_key, materialise
 
 BOOK = Book()
 
@@ -212,7 +212,7 @@ def _rendered_articles(t: Tables) -> DataFrame:
           'session-1' AS research_session_id, page_id, url, title FROM (SELECT *, row_number() OVER (ORDER BY page_id) AS n FROM articles)""",
 )
 def _numbered(t: Tables) -> DataFrame:
-    found = html.extract_articles(t.pages).select("page_id", "url", "title")
+    found = materialise(html.extract_articles(t.pages).select("page_id", "url", "title"), "articles")
     return ev.number_evidence(found, ["page_id"], F.lit("session-1"))
 
 

@@ -103,7 +103,8 @@ SELECT conv_id, turn, NOT current AND NOT priced AND (business OR document OR (N
 
 @BOOK.add("t19_routing_flags", _FLAG_SQL)
 def _flags(t: Tables) -> DataFrame:
-    return questions(t).select("conv_id", "turn", *[c.alias(n) for n, c in qs.routing_flags(F.col("text")).items()])
+    flagged = questions(t).select("conv_id", "turn", qs.routing_flags(F.col("text")).alias("flags"))
+    return flagged.select("conv_id", "turn", "flags.*")
 
 
 @BOOK.add(

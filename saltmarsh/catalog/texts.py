@@ -8,12 +8,15 @@ from saltmarsh.catalog.base import Book, Tables
 from saltmarsh.functions import text as tx, urls
 from saltmarsh.operators import chunking
 from saltmarsh.operators.activity import classify_error
-from saltmarsh.operators.rows import number_rows
+from saltmarsh.operators.rows import materialise, number_rows
 
 BOOK = Book()
 
-# The same white-space class in the SQL engine's syntax.
-WS = tx.WHITESPACE
+# The white-space class in the SQL engine's syntax.
+WS = (
+    r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 STRIP = f"'^{WS}+|{WS}+$', '', 'g'"
 
 
@@ -88,7 +91,9 @@ def _chunks(t: Tables) -> DataFrame:
         SELECT source, page, chunk, text, row_number() OVER (ORDER BY source, page, chunk) - 1 AS chunk_id FROM chunked""",
 )
 def _numbered(t: Tables) -> DataFrame:
-    return number_rows(chunking.page_chunks(marked_documents(t)), ["source", "page", "chunk"], "chunk_id")
+    """The chunks are written once; numbering reads them three times."""
+    chunks = materialise(chunking.page_chunks(marked_documents(t)), "chunks")
+    return number_rows(chunks, ["source", "page", "chunk"], "chunk_id")
 
 
 _ARTICLE_SQL = f"""

@@ -24,7 +24,13 @@ def numeric_text(text: Column) -> Column:
 
 
 def parse_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    return F.coalesce(*[F.try_to_date(text, fmt) for fmt in formats])
+    """Date in any of the formats, null otherwise.
+
+    The fixed-width formats are told apart by length first: a failed parse costs
+    an exception per row.
+    """
+    parsed = [F.when(F.length(text) == len(fmt), F.try_to_date(text, fmt)) for fmt in formats]
+    return F.coalesce(*parsed)
 
 
 def coerce_int(text: Column, default: int = 0) -> Column:

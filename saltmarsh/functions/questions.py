@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from saltmarsh.functions.text import squash, strip, tokens
+from saltmarsh.functions.values import let
 
 # Domain synonyms, replaced longest first.
 SYNONYMS = {
@@ -165,22 +166,33 @@ def _has(text: Column, pattern: str) -> Column:
     return text.rlike("(?i)" + pattern)
 
 
-def routing_flags(question: Column) -> dict[str, Column]:
-    market = _has(question, FLAG_MARKET)
-    ticker = _has(question, FLAG_TICKER)
-    current = ticker | (market & _has(question, FLAG_MARKET_CAUSE))
-    priced = (market | ticker) & _has(question, FLAG_PRICE_NOW)
-    moved = _has(question, FLAG_MARKET_SUBJECT) & _has(question, FLAG_MARKET_MOVE)
-    news = current | _has(question, FLAG_NEWS) | moved
-    forecast = _has(question, FLAG_FORECAST)
-    document = _has(question, FLAG_DOCUMENT)
-    internal = _has(question, FLAG_BUSINESS) | document | (~news & ~forecast)
-    return {
-        "rag": ~current & ~priced & internal,
-        "forecast": forecast,
-        "news": news,
-        "document": document,
-    }
+def routing_flags(question: Column) -> Column:
+    """Struct of rag, forecast, news and document; every pattern runs once."""
+    facts = F.struct(
+        _has(question, FLAG_MARKET).alias("market"),
+        _has(question, FLAG_TICKER).alias("ticker"),
+        _has(question, FLAG_MARKET_CAUSE).alias("cause"),
+        _has(question, FLAG_PRICE_NOW).alias("priced"),
+        (_has(question, FLAG_MARKET_SUBJECT) & _has(question, FLAG_MARKET_MOVE)).alias("moved"),
+        _has(question, FLAG_NEWS).alias("news"),
+        _has(question, FLAG_FORECAST).alias("forecast"),
+        _has(question, FLAG_DOCUMENT).alias("document"),
+        _has(question, FLAG_BUSINESS).alias("business"),
+    )
+
+    def decide(f: Column) -> Column:
+        current = f["ticker"] | (f["market"] & f["cause"])
+        priced = (f["market"] | f["ticker"]) & f["priced"]
+        news = current | f["news"] | f["moved"]
+        internal = f["business"] | f["document"] | (~news & ~f["forecast"])
+        return F.struct(
+            (~current & ~priced & internal).alias("rag"),
+            f["forecast"].alias("forecast"),
+            news.alias("news"),
+            f["document"].alias("document"),
+        )
+
+    return let(facts, decide)
 
 
 def research_flags(question: Column) -> dict[str, Column]:
@@ -207,22 +219,24 @@ def clean_question(question: Column) -> Column:
 
 def search_variants(question: Column) -> Column:
     """Up to four ordered distinct searches for one question."""
-    cleaned = clean_question(question)
-    lowered = F.lower(cleaned)
-
-    def variants(patterns: tuple[str, ...]) -> Column:
-        filled = [F.replace(F.lit(p), F.lit("{q}"), cleaned) if "{q}" in p else F.lit(p) for p in patterns]
-        return F.array(cleaned, *filled)
-
-    chosen = variants(DEFAULT_VARIANTS)
-    for words, patterns in reversed(VARIANTS):
-        named = F.lit(False)
-        for word in words:
-            named = named | F.contains(lowered, F.lit(word))
-        if "rupiah" in words:
-            named = named | (lowered == "bi")
-        chosen = F.when(named, variants(patterns)).otherwise(chosen)
-    return F.slice(F.array_distinct(chosen), 1, MAX_VARIANTS)
+
+    def choose(both: Column) -> Column:
+        cleaned, lowered = both["cleaned"], both["lowered"]
+
+        def variants(patterns: tuple[str, ...]) -> Column:
+            filled = [F.replace(F.lit(p), F.lit("{q}"), cleaned) if "{q}" in p else F.lit(p) for p in patterns]
+            return F.array(cleaned, *filled)
+
+        chosen = variants(DEFAULT_VARIANTS)
+        for words, patterns in reversed(VARIANTS):
+            named = _has_any(lowered, words)
+            if "rupiah" in words:
+                named = named | (lowered == "bi")
+            chosen = F.when(named, variants(patterns)).otherwise(chosen)
+        return F.slice(F.array_distinct(chosen), 1, MAX_VARIANTS)
+
+    pair = let(clean_question(question), lambda c: F.struct(c.alias("cleaned"), F.lower(c).alias("lowered")))
+    return let(pair, choose)
 
 
 def question_terms(question: str) -> list[str]:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Fixed value: the characters that count as white space in the source data's
-# own tooling (Unicode-aware). Valid in Java and RE2 syntax alike.
-WHITESPACE = (
-    r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+from saltmarsh.functions.values import let, rest
+
+# Fixed value: the characters that count as white space (Unicode-aware).
+WHITESPACE_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# Runs of white space other than one lone blank, which needs no replacing.
+_UNEVEN_SPACE = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
 
 # Phrases that mark a paragraph as boilerplate.
 BOILERPLATE_MARKERS = ("baca juga:", "advertisement", "sponsored", "ikuti kami")
@@ -23,22 +26,22 @@ TOKEN = r"[a-z0-9][a-z0-9-]*"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.btrim(text, F.lit(WHITESPACE_CHARACTERS))
 
 
 def squash(text: Column) -> Column:
     """Collapse every white-space run to one blank and strip the ends."""
-    return F.btrim(F.regexp_replace(text, f"{WHITESPACE}+", " "))
+    return F.btrim(F.regexp_replace(text, _UNEVEN_SPACE, " "))
 
 
 def blank_to_null(text: Column) -> Column:
     """Null for null, empty or white-space-only text; otherwise the text unchanged."""
-    return F.when(text.rlike(f"[^{WHITESPACE[1:]}"), text)
+    return F.when(strip(text) != "", text)
 
 
 def tidy_extracted(text: Column) -> Column:
     """Clean text before it is cut: blanks and tabs collapsed, at most one empty line."""
-    narrowed = F.regexp_replace(text, r"[ \t]+", " ")
+    narrowed = F.regexp_replace(text, r"[ \t]{2,}|\t", " ")
     return strip(F.regexp_replace(narrowed, r"\n{3,}", "\n\n"))
 
 
@@ -53,12 +56,15 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     if not 0 <= overlap <= step:
         raise ValueError("overlap must lie between 0 and half of the size")
     blocks = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{step}}})"), F.lit(1))
-    following = F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0)))
-    return F.zip_with(
-        blocks,
-        following,
-        lambda block, rest: F.concat(block, F.coalesce(F.substring(rest, 1, overlap), F.lit(""))),
-    )
+
+    def join_heads(cut: Column) -> Column:
+        return F.zip_with(
+            cut,
+            rest(cut),
+            lambda block, after: F.concat(block, F.coalesce(F.substring(after, 1, overlap), F.lit(""))),
+        )
+
+    return let(blocks, join_heads)
 
 
 def chunks(text: Column, size: int = 1000, overlap: int = 150) -> Column:
@@ -73,23 +79,23 @@ def article_windows(text: Column, size: int = 4500, overlap: int = 500) -> Colum
     A window that would only repeat the tail of a window that already reached
     the end is left out; blank windows are dropped but keep their number.
     """
-    cut = windows(text, size, overlap)
-    numbered = F.transform(cut, lambda piece, i: F.struct(i.alias("chunk"), piece.alias("text")))
-    length = F.length(text)
-    needed = F.filter(
-        numbered,
-        lambda w: (w["chunk"] == 0) | ((w["chunk"] - 1) * (size - overlap) + size <= length),
-    )
-    stripped = F.transform(
-        needed, lambda w: F.struct(w["chunk"].alias("chunk"), strip(w["text"]).alias("text"))
-    )
-    return F.filter(stripped, lambda w: w["text"] != "")
+    step = size - overlap
+
+    def cover(whole: Column) -> Column:
+        # Windows start while the one before has not reached the end.
+        needed = F.greatest(F.lit(1), F.floor((F.length(whole) - size) / step) + 2).cast("int")
+        numbered = F.transform(
+            windows(whole, size, overlap), lambda w, i: F.struct(i.alias("chunk"), strip(w).alias("text"))
+        )
+        return F.filter(F.slice(numbered, F.lit(1), needed), lambda w: w["text"] != "")
+
+    return let(text, cover)
 
 
 def marked_pages(text: Column) -> Column:
     """Array of ``{page, text}`` from text with page markers; text before the first is ignored."""
     numbers = F.regexp_extract_all(text, F.lit(PAGE_MARKER), F.lit(1))
-    bodies = F.slice(F.split(text, PAGE_MARKER), 2, F.greatest(F.size(numbers), F.lit(0)))
+    bodies = rest(F.split(text, PAGE_MARKER))
     pages = F.zip_with(
         numbers,
         bodies,
@@ -105,11 +111,7 @@ def clean_paragraphs(paragraphs: Column) -> Column:
     squashed = F.transform(paragraphs, squash)
 
     def keep(paragraph: Column) -> Column:
-        lowered = F.lower(paragraph)
-        boiler = F.lit(False)
-        for marker in BOILERPLATE_MARKERS:
-            boiler = boiler | F.contains(lowered, F.lit(marker))
-        return (paragraph != "") & ~boiler
+        return (paragraph != "") & ~F.lower(paragraph).rlike("|".join(BOILERPLATE_MARKERS))
 
     return F.array_join(F.array_distinct(F.filter(squashed, keep)), "\n\n")
 

@@ -59,7 +59,10 @@ def clean_text_columns(df: DataFrame) -> DataFrame:
 
     def cleaned(name: str) -> Column:
         trimmed = F.trim(F.col(name))
-        return F.when(~trimmed.isin(*NULL_TEXT), F.regexp_replace(trimmed, r"[\t\n\r]+", " ")).alias(name)
+        # Byte scans tell whether the pattern is needed at all.
+        broken = F.contains(trimmed, F.lit("\t")) | F.contains(trimmed, F.lit("\n")) | F.contains(trimmed, F.lit("\r"))
+        even = F.when(broken, F.regexp_replace(trimmed, r"[\t\n\r]+", " ")).otherwise(trimmed)
+        return F.when(~trimmed.isin(*NULL_TEXT), even).alias(name)
 
     return df.select(
         *[cleaned(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from saltmarsh.functions.numbers import coerce_double, coerce_int
 from saltmarsh.functions.text import strip
 from saltmarsh.functions.urls import host
+from saltmarsh.functions.values import filled as nonempty
 from saltmarsh.operators.ranking import SOURCE_THRESHOLD
 from saltmarsh.operators.rows import first_per_key, number_rows
 
@@ -27,23 +28,29 @@ def filled(*columns: Column) -> Column:
 
 def normalise_evidence(df: DataFrame, record: str = "record") -> DataFrame:
     """One shape for records of differing spelling; records without content are dropped."""
-    r = lambda name: F.col(f"{record}.{name}")
-    m = lambda name: F.col(f"{record}.metadata.{name}")
-    own = strip(filled(r("content"), r("text"), r("snippet"), r("document"), r("chunk")))
-    content = filled(own, strip(filled(m("content"), m("text"))))
-    key = filled(m("object_key"), r("object_key"))
-    named = df.select(
-        *[c for c in df.columns if c != record],
-        content.alias("content"),
-        filled(r("document_id"), r("id"), m("document_id"), key, F.concat(F.lit("rag-"), F.substring(F.sha2(content, 256), 1, 12))).alias("document_id"),
-        filled(r("document_name"), r("title"), r("filename"), m("document_name"), m("title"), m("filename"), F.lit("internal_document")).alias("document_name"),
-        coerce_int(F.coalesce(r("page"), m("page"))).alias("page"),
-        coerce_double(F.coalesce(r("relevance"), r("relevance_score"), m("relevance"), m("relevance_score"))).alias("relevance"),
-        filled(m("url"), r("url")).alias("url"),
-        filled(m("bucket"), r("bucket")).alias("bucket"),
-        key.alias("object_key"),
-    )
-    return named.filter(F.col("content").isNotNull())
+    keep = [c for c in df.columns if c != record]
+
+    def shape(r: Column) -> Column:
+        m = r["metadata"]
+        own = strip(filled(r["content"], r["text"], r["snippet"], r["document"], r["chunk"]))
+        content = F.coalesce(nonempty(own), nonempty(strip(filled(m["content"], m["text"]))))
+        key = filled(m["object_key"], r["object_key"])
+        names = [r["document_name"], r["title"], r["filename"], m["document_name"], m["title"], m["filename"]]
+        return F.struct(
+            content.alias("content"),
+            filled(r["document_id"], r["id"], m["document_id"], key).alias("document_id"),
+            filled(*names, F.lit("internal_document")).alias("document_name"),
+            coerce_int(F.coalesce(r["page"], m["page"])).alias("page"),
+            coerce_double(F.coalesce(r["relevance"], r["relevance_score"], m["relevance"], m["relevance_score"])).alias("relevance"),
+            filled(m["url"], r["url"]).alias("url"),
+            filled(m["bucket"], r["bucket"]).alias("bucket"),
+            key.alias("object_key"),
+        )
+
+    shaped = F.transform(F.array(F.col(record)), shape)
+    rows = df.select(*keep, F.inline(F.filter(shaped, lambda s: s["content"].isNotNull())))
+    unnamed = F.concat(F.lit("rag-"), F.substring(F.sha2("content", 256), 1, 12))
+    return rows.withColumn("document_id", F.coalesce("document_id", unnamed))
 
 
 def parse_evidence(df: DataFrame, json: str = "json") -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from saltmarsh.functions import text as tx
+from saltmarsh.functions.values import filled, let, rest
 
 # Elements and class/id words whose content is no article text.
 REMOVED_ELEMENTS = ("script", "style", "noscript", "iframe", "nav", "header", "footer", "aside", "form")
@@ -49,8 +50,7 @@ def plain_text(markup: Column) -> Column:
 
 def first_element(page: Column, *patterns: str) -> Column:
     """First non-blank inner text over several patterns with one group each."""
-    found = [F.nullif(tx.squash(plain_text(F.regexp_extract(page, p, 1))), F.lit("")) for p in patterns]
-    return F.coalesce(*found)
+    return F.coalesce(*[filled(tx.squash(plain_text(F.regexp_extract(page, p, 1)))) for p in patterns])
 
 
 # Where each field of an article may stand.
@@ -78,16 +78,14 @@ BODY = (
 
 
 def body_markup(page: Column) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_extract(page, p, 1), F.lit("")) for p in BODY])
+    return F.coalesce(*[filled(F.regexp_extract(page, p, 1)) for p in BODY])
 
 
 def paragraph_texts(body: Column) -> Column:
     """Texts of all p elements; an unclosed p ends where the next one starts."""
     opened = F.regexp_replace(body, r"(?i)<p(?:\s[^>]*)?>", _OPEN)
     closed = F.regexp_replace(opened, r"(?i)</p\s*>", _CLOSE)
-    pieces = F.split(closed, _OPEN)
-    inner = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.transform(inner, lambda p: plain_text(F.split_part(p, F.lit(_CLOSE), F.lit(1))))
+    return F.transform(rest(F.split(closed, _OPEN)), lambda p: plain_text(F.split_part(p, F.lit(_CLOSE), F.lit(1))))
 
 
 def _decoded(column: Column) -> Column:
@@ -100,26 +98,27 @@ def extract_articles(pages: DataFrame, html: str = "html", fallback_title: str |
     Structure is found by patterns in the JVM; only the decoding of character
     entities goes through Python, in Arrow batches.
     """
-    clean = remove_noise(F.col(html))
+    page = F.col(html)
     fallback = F.col(fallback_title) if fallback_title else F.lit(None).cast("string")
     keep = [c for c in pages.columns if c != html]
-    staged = pages.select(
-        *keep,
-        F.coalesce(first_element(F.col(html), *TITLE), fallback).alias("title"),
-        first_element(F.col(html), *CATEGORY).alias("category"),
-        first_element(F.col(html), *AUTHOR).alias("author"),
-        first_element(F.col(html), *PUBLISHED).alias("published_at"),
-        body_markup(clean).alias("_body"),
-    )
-    texts = staged.withColumn("_content", tx.clean_paragraphs(paragraph_texts(F.col("_body"))))
-    whole = tx.squash(plain_text(F.col("_body")))
-    content = F.coalesce(F.nullif("_content", F.lit("")), whole)
-    named = [_decoded(F.col(c)).alias(c) for c in ("title", "author", "published_at")]
-    category = _decoded(F.coalesce("category", F.lit(DEFAULT_CATEGORY))).alias("category")
-    out = texts.withColumn("content", content).filter(
-        F.col("title").isNotNull() & (F.coalesce("content", F.lit("")) != "")
+
+    def content_of(body: Column) -> Column:
+        paragraphs = filled(tx.clean_paragraphs(paragraph_texts(body)))
+        return F.coalesce(paragraphs, filled(tx.squash(plain_text(body))))
+
+    article = F.struct(
+        F.coalesce(first_element(page, *TITLE), fallback).alias("title"),
+        F.coalesce(first_element(page, *CATEGORY), F.lit(DEFAULT_CATEGORY)).alias("category"),
+        first_element(page, *AUTHOR).alias("author"),
+        first_element(page, *PUBLISHED).alias("published_at"),
+        let(let(remove_noise(page), body_markup), content_of).alias("content"),
     )
-    return out.select(*keep, *named, category, _decoded(F.col("content")).alias("content"))
+    # Incomplete articles are dropped inside the generator: a filter would be
+    # pushed below the extraction and run all of it a second time.
+    complete = F.filter(F.array(article), lambda a: a["title"].isNotNull() & a["content"].isNotNull())
+    found = pages.select(*keep, F.inline(complete))
+    names = ("title", "author", "published_at", "category", "content")
+    return found.select(*keep, *[_decoded(F.col(c)).alias(c) for c in names])
 
 
 def is_login_page(url: Column, page: Column) -> Column:

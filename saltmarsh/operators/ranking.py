@@ -46,6 +46,8 @@ def _scan_block(index: DataFrame, key: str, vector: str, block: list, k: int) ->
     ids = np.array([qid for qid, _ in block], dtype=np.int64)
     wanted = np.array([v for _, v in block], dtype=np.float64)
 
+    sizes = np.square(wanted).sum(axis=1)
+
     def nearest_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_key = [np.empty(0, dtype=np.int64) for _ in ids]
         best_gap = [np.empty(0, dtype=np.float64) for _ in ids]
@@ -55,9 +57,21 @@ def _scan_block(index: DataFrame, key: str, vector: str, block: list, k: int) ->
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             rows = flat.reshape(batch.num_rows, -1)
+            # One matrix product estimates all distances. Rows within rounding of
+            # the k-th estimate are then measured exactly.
+            lengths = np.square(rows).sum(axis=1)
+            rough = lengths[:, None] - 2.0 * (rows @ wanted.T) + sizes
+            slack = 1e-9 * (lengths.max() + sizes.max() + 1.0)
             for i, query in enumerate(wanted):
-                gaps = np.square(rows - query).sum(axis=1)
-                key_pool = np.concatenate([best_key[i], keys])
+                guess = rough[:, i]
+                limit = np.partition(guess, k - 1)[k - 1] if len(guess) > k else np.inf
+                if len(best_gap[i]) == k:
+                    limit = min(limit, best_gap[i][-1])
+                close = np.flatnonzero(guess <= limit + slack)
+                if not len(close):
+                    continue
+                gaps = np.square(rows[close] - query).sum(axis=1)
+                key_pool = np.concatenate([best_key[i], keys[close]])
                 gap_pool = np.concatenate([best_gap[i], gaps])
                 keep = np.lexsort((key_pool, gap_pool))[:k]
                 best_key[i], best_gap[i] = key_pool[keep], gap_pool[keep]

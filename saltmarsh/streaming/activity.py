@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +12,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from saltmarsh.operators.activity import CLOSING, TERMINAL
 from saltmarsh.operators.rows import first_per_key
 
-STATE = "attempt int, status string, started_at timestamp, updated_at timestamp, event_id bigint"
+# Activities of one execution are spread over this many state groups.
+SPREAD = 8
+# State of a group: JSON of {activity: [attempt, status, started, updated, last event]}, times in microseconds.
+STATE = "activities string"
+# Rows that leave Python: times as microseconds, which are cheaper to hand over.
+CHANGES = (
+    "execution_id bigint, activity_id string, attempt int, status string, started bigint, updated bigint, event_id bigint"
+)
 OUTPUT = (
     "execution_id bigint, activity_id string, attempt int, status string, started_at timestamp, "
     "completed_at timestamp, updated_at timestamp, event_id bigint"
@@ -24,45 +32,75 @@ def unique_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def step(known: list | None, status: str, ts: int, event: int) -> list | None:
+    """State of an activity after one event; None when the event is ignored."""
+    if known is None:
+        return [1, status, ts, ts, event]
+    attempt, current, started, _, _ = known
+    if current in TERMINAL and status == "running":
+        return [attempt + 1, status, ts, ts, event]
+    if current in TERMINAL and status != current:
+        return None
+    return [attempt, status, started, ts, event]
+
+
 def _advance(keep_ms: int):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        events = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        attempt, status, started, updated, last = state.get if state.exists else (1, None, None, None, None)
-        changed: dict[int, list] = {}
-        for ts, event, new in zip(events["ts"], events["event_id"], events["status"]):
-            if status in TERMINAL and new == "running":
-                attempt, status, started = attempt + 1, None, None
-            if status in TERMINAL and new != status:
-                continue
-            started = started if started is not None else ts
-            status, updated, last = new, ts, int(event)
-            changed[attempt] = [attempt, status, started, updated, last]
-        state.update((attempt, status, started, updated, last))
-        state.setTimeoutTimestamp(max(int(events["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + keep_ms)
-        execution, activity = key
-        yield pd.DataFrame(
-            [
-                [execution, f"{activity}#{n}" if n > 1 else str(activity), n, s, a, u if s in CLOSING else None, u, e]
-                for n, s, a, u, e in changed.values()
-            ],
-            columns=[part.split()[0] for part in OUTPUT.split(", ")],
+        events = sorted(
+            row
+            for f in frames
+            for row in zip(f["micros"].tolist(), f["event_id"].tolist(), f["activity_id"].tolist(), f["status"].tolist())
         )
+        known = json.loads(state.get[0]) if state.exists else {}
+        changed: dict[tuple[str, int], list] = {}
+        for ts, event, activity, status in events:
+            name = str(activity)
+            after = step(known.get(name), status, ts, event)
+            if after is not None:
+                known[name] = after
+                changed[name, after[0]] = after
+        state.update((json.dumps(known),))
+        state.setTimeoutTimestamp(max(events[-1][0] // 1000, state.getCurrentWatermarkMs()) + keep_ms)
+        if not changed:
+            return
+        rows = [
+            (key[0], f"{name}#{n}" if n > 1 else name, n, status, started, updated, event)
+            for (name, _), (n, status, started, updated, event) in changed.items()
+        ]
+        yield pd.DataFrame(rows, columns=[part.split()[0] for part in CHANGES.split(", ")])
 
     return run
 
 
-def state_stream(events: DataFrame, delay: str = "1 day", keep_hours: int = 24 * 30) -> DataFrame:
-    """Changed attempts per trigger. Idle activities are dropped after ``keep_hours``.
+def state_stream(events: DataFrame, delay: str = "1 day", keep_hours: int = 24 * 30, spread: int = SPREAD) -> DataFrame:
+    """Changed attempts per trigger. Groups without events are dropped after ``keep_hours``.
 
-    Events count in the order of arrival and, within a trigger, of time. The rows
-    of one activity in one trigger are sorted in memory; the trigger size bounds them.
+    Events count in the order of arrival and, within a trigger, of time. A group
+    is a share of one execution's activities: few enough groups to keep Python
+    calls rare, and a busy execution is still spread over many tasks. The rows of
+    one group in one trigger are sorted in memory; the trigger size bounds them.
     """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return timed.groupBy("execution_id", "activity_id").applyInPandasWithState(
-        _advance(keep_hours * 3_600_000), OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout
+    rows = timed.withColumns(
+        {"micros": F.unix_micros("ts"), "share": F.pmod(F.xxhash64("activity_id"), F.lit(spread)).cast("int")}
+    )
+    needed = rows.select("execution_id", "share", "activity_id", "event_id", "status", "micros", "ts")
+    changes = needed.groupBy("execution_id", "share").applyInPandasWithState(
+        _advance(keep_hours * 3_600_000), CHANGES, STATE, "update", GroupStateTimeout.EventTimeTimeout
+    )
+    updated = F.timestamp_micros("updated")
+    return changes.select(
+        "execution_id",
+        "activity_id",
+        "attempt",
+        "status",
+        F.timestamp_micros("started").alias("started_at"),
+        F.when(F.col("status").isin(*CLOSING), updated).alias("completed_at"),
+        updated.alias("updated_at"),
+        "event_id",
     )
 
 

@@ -39,8 +39,8 @@ DEFAULT_STAGES = ("bronze", "silver", "gold", "forecast")
 
 def read_objects(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """One row per file: path and whole text."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return files.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def read_binaries(spark: SparkSession, path: str) -> DataFrame:

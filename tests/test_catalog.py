@@ -25,7 +25,7 @@ def test_query(spark, con, small, name):
         return seen["frame"]
 
     verdict, _, _ = compare(spark, con, small, name, keep, SQL.get(name))
-    assert verdict in ("ok", "rows-only"), verdict
+    assert verdict.startswith(("ok", "rows-only")), verdict
     plan = seen["frame"]._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan), plan
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from saltmarsh.catalog.base import Book, Tables
-from saltmarsh.catalog.timeseries import DAYS, by_priority, dense, rounded
+from saltmarsh.catalog.timeseries import DAYS, DENSE, by_priority, dense, rounded
 from saltmarsh.operators import forecast as op
+from saltmarsh.operators.series import split
 from saltmarsh.plans.upload import run_upload
 
 BOOK = Book()
@@ -76,14 +77,53 @@ def _padded(t: Tables) -> DataFrame:
 
 @BOOK.add("e04_lag_regression")
 def _regression(t: Tables) -> DataFrame:
-    rows = op.predictions(dense(t), horizon=14)
-    return rows.filter((F.col("model") == "regression") & (F.col("part") == "future"))
+    return op.regression_predictions(split(dense(t)), horizon=14)
 
 
-@BOOK.add("e05_weekly_pattern")
+# The weekly model on the training part (validation rows) and on all rows (future rows).
+WEEKLY = (
+    DENSE
+    + """,
+  cut AS (SELECT *, n - greatest(14, CAST(floor(n * 0.2) AS INTEGER)) AS start FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM idx)),
+  fits AS (SELECT series_id, ds, y, time_index AS x, 'future' AS fit FROM cut UNION ALL SELECT series_id, ds, y, time_index, 'validation' FROM cut WHERE time_index < start),
+  dm AS (SELECT *, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy FROM fits WINDOW w AS (PARTITION BY series_id, fit, isodow(ds))),
+  sl AS (SELECT series_id, fit, count(*) AS n, sum(dx * dy) / sum(dx * dx) AS b FROM dm GROUP BY 1, 2),
+  lv AS (SELECT f.series_id, f.fit, isodow(ds) AS dow, avg(y) - any_value(b) * avg(x) AS a FROM fits f JOIN sl ON f.series_id = sl.series_id AND f.fit = sl.fit GROUP BY 1, 2, 3),
+  rs AS (SELECT dm.series_id, dm.fit, sqrt(avg((dy - b * dx) * (dy - b * dx))) AS s FROM dm JOIN sl ON dm.series_id = sl.series_id AND dm.fit = sl.fit GROUP BY 1, 2),
+  pts AS (SELECT series_id, 'validation' AS part, ds AS forecast_date, y AS actual, time_index AS x FROM cut WHERE time_index >= start
+    UNION ALL SELECT series_id, 'future', CAST(last_ds + CAST(k AS INTEGER) AS DATE), NULL, n + k - 1 FROM (SELECT series_id, max(ds) AS last_ds, count(*) AS n FROM idx GROUP BY 1), generate_series(1, 14) g(k)),
+  wk AS (SELECT p.series_id, p.part, p.forecast_date, p.actual, lv.a + sl.b * p.x AS predicted, 1.2815515655446004 * rs.s AS margin FROM pts p
+    JOIN sl ON sl.series_id = p.series_id AND sl.fit = p.part JOIN rs ON rs.series_id = p.series_id AND rs.fit = p.part
+    JOIN lv ON lv.series_id = p.series_id AND lv.fit = p.part AND lv.dow = isodow(p.forecast_date))"""
+)
+
+
+@BOOK.add(
+    "e05_weekly_pattern",
+    f"""WITH {WEEKLY} SELECT series_id, part, forecast_date, round(predicted, 3) AS predicted, round(predicted - margin, 3) AS lower_bound,
+        round(predicted + margin, 3) AS upper_bound FROM wk""",
+)
 def _weekly(t: Tables) -> DataFrame:
-    rows = op.predictions(dense(t), horizon=14)
-    return rows.filter((F.col("model") == "weekly") & (F.col("part") == "future"))
+    rows = op.weekly_predictions(split(dense(t)), horizon=14)
+    margin = F.col("weekly_margin")
+    return rows.select(
+        "series_id",
+        "part",
+        "forecast_date",
+        F.round("predicted", 3).alias("predicted"),
+        F.round(F.col("predicted") - margin, 3).alias("lower_bound"),
+        F.round(F.col("predicted") + margin, 3).alias("upper_bound"),
+    )
+
+
+@BOOK.add(
+    "a14_weekly_errors",
+    f"""WITH {WEEKLY} SELECT series_id, round(avg(abs(actual - predicted)), 3) AS mae, round(sqrt(avg((actual - predicted) * (actual - predicted))), 3) AS rmse,
+        round(avg(abs((actual - predicted) / actual)) FILTER (actual <> 0) * 100, 3) AS mape FROM wk WHERE part = 'validation' GROUP BY 1""",
+)
+def _weekly_errors(t: Tables) -> DataFrame:
+    rows = op.weekly_predictions(split(dense(t)), horizon=14).filter(F.col("part") == "validation")
+    return op.error_metrics(rows, "series_id").select("series_id", *[F.round(c, 3).alias(c) for c in ("mae", "rmse", "mape")])
 
 
 @BOOK.add("e08_backtest_forecast")

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from saltmarsh.operators.series import last_rows
+from saltmarsh.operators.series import last_rows, split
 
 Z95 = 1.96
 Z80 = 1.2815515655446004
@@ -133,70 +133,123 @@ def regression_forecast(ds: pd.Series, y: np.ndarray, horizon: int) -> np.ndarra
     return np.asarray(known[len(y):])
 
 
-def weekly_forecast(ds: pd.Series, y: np.ndarray, horizon: int) -> tuple[np.ndarray, float]:
-    """Straight trend plus one effect per weekday; returns predictions and residual deviation."""
+def weekly_models(rows: DataFrame, *keys: str) -> DataFrame:
+    """Straight trend plus one level per weekday, by least squares.
+
+    With weekday levels the common slope is the slope of the rows after their
+    weekday means are taken off, so sums per weekday are all that is needed. The
+    result has one row per key with slope, levels by weekday and residual deviation.
+    """
+    n = F.count(F.lit(1))
+    days = rows.groupBy(*keys, F.weekday("ds").alias("dow")).agg(
+        n.alias("n"),
+        F.avg("time_index").alias("mean_t"),
+        F.avg("y").alias("mean_y"),
+        (F.covar_pop("time_index", "y") * n).alias("sty"),
+        (F.var_pop("time_index") * n).alias("stt"),
+        (F.var_pop("y") * n).alias("syy"),
+    )
+    sums = days.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        F.sum("sty").alias("sty"),
+        F.sum("stt").alias("stt"),
+        F.sum("syy").alias("syy"),
+        F.collect_list(F.struct("dow", "mean_y", "mean_t")).alias("days"),
+    )
+    slope = F.when(F.col("stt") > 0, F.col("sty") / F.col("stt")).otherwise(0.0)
+    fitted = sums.withColumn("slope", slope)
+    levels = F.transform("days", lambda d: F.struct(d["dow"], (d["mean_y"] - F.col("slope") * d["mean_t"]).alias("level")))
+    spread = F.greatest(F.col("syy") - F.col("slope") * F.col("sty"), F.lit(0.0)) / F.col("n")
+    return fitted.select(
+        *keys, F.col("n").alias("periods"), "slope", F.map_from_entries(levels).alias("levels"), F.sqrt(spread).alias("residual_std")
+    )
 
-    def design(days: pd.Series, start: int) -> np.ndarray:
-        weekday = np.eye(7)[days.dt.dayofweek.to_numpy()]
-        return np.column_stack([np.arange(start, start + len(days)) / max(1, len(y)), weekday])
 
-    x = design(ds, 0)
-    weights = np.linalg.lstsq(x, y, rcond=None)[0]
-    future = pd.Series(pd.date_range(ds.iloc[-1] + pd.Timedelta(days=1), periods=horizon, freq="D"))
-    return design(future, len(y)) @ weights, float(np.std(y - x @ weights))
+def _weekly_value(time_index: Column, day: Column) -> Column:
+    return F.element_at("levels", F.weekday(day)) + F.col("slope") * time_index
 
 
-_PREDICTIONS = (
-    "series_id string, part string, forecast_date date, actual double, model string, "
-    "predicted double, weekly_margin double"
-)
+def weekly_predictions(marked: DataFrame, horizon: int) -> DataFrame:
+    """Validation rows predicted from the training part and future rows predicted from all rows.
 
+    ``marked`` comes from :func:`saltmarsh.operators.series.split`.
+    """
+    fits = F.array(F.lit("future"), F.when(F.col("part") == "train", F.lit("validation")))
+    labelled = marked.select("*", F.explode(F.array_compact(fits)).alias("fit"))
+    models = weekly_models(labelled, "series_id", "fit")
+    held = marked.filter(F.col("part") == "validation").join(models.filter(F.col("fit") == "validation"), "series_id")
+    margin = (Z80 * F.col("residual_std")).alias("weekly_margin")
+    checked = held.select(
+        "series_id",
+        "part",
+        F.col("ds").alias("forecast_date"),
+        F.col("y").alias("actual"),
+        F.lit("weekly").alias("model"),
+        _weekly_value(F.col("time_index"), F.col("ds")).alias("predicted"),
+        margin,
+    )
+    last = marked.groupBy("series_id").agg(F.max("ds").alias("last_ds"))
+    ahead = models.filter(F.col("fit") == "future").join(last, "series_id")
+    steps = ahead.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    day = F.date_add("last_ds", F.col("step"))
+    future = steps.select(
+        "series_id",
+        F.lit("future").alias("part"),
+        day.alias("forecast_date"),
+        F.lit(None).cast("double").alias("actual"),
+        F.lit("weekly").alias("model"),
+        _weekly_value(F.col("periods") + F.col("step") - 1, day).alias("predicted"),
+        margin,
+    )
+    return checked.unionByName(future)
 
-def _predict(horizon: int):
+
+_REGRESSION = "series_id string, part string, forecast_date date, actual double, predicted double"
+
+
+def _regression_rows(horizon: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
-        ds = pd.to_datetime(pdf["ds"]).reset_index(drop=True)
+        days = pd.to_datetime(pdf["ds"]).reset_index(drop=True)
         y = pdf["y"].to_numpy(dtype=float)
-        size = max(14, int(len(y) * 0.2))
-        cut = len(y) - size
-        frames = []
-
-        def add(part: str, dates, actual, model: str, predicted, margin: float) -> None:
-            frames.append(
-                pd.DataFrame(
-                    {
-                        "series_id": pdf["series_id"].iloc[0],
-                        "part": part,
-                        "forecast_date": pd.to_datetime(dates).date if hasattr(dates, "freq") else pd.to_datetime(dates).dt.date,
-                        "actual": actual,
-                        "model": model,
-                        "predicted": predicted,
-                        "weekly_margin": margin,
-                    }
-                )
-            )
-
-        future = pd.date_range(ds.iloc[-1] + pd.Timedelta(days=1), periods=horizon, freq="D")
-        held = ds[cut:]
-        guess, margin = weekly_forecast(ds[:cut], y[:cut], size)
-        add("validation", held, y[cut:], "weekly", guess, Z80 * margin)
-        add("validation", held, y[cut:], "regression", regression_forecast(ds[:cut], y[:cut], size), np.nan)
-        guess, margin = weekly_forecast(ds, y, horizon)
-        add("future", future, np.nan, "weekly", guess, Z80 * margin)
-        add("future", future, np.nan, "regression", regression_forecast(ds, y, horizon), np.nan)
-        return pd.concat(frames, ignore_index=True)
+        cut = int((pdf["part"] == "train").sum())
+        later = pd.Series(pd.date_range(days.iloc[-1] + pd.Timedelta(days=1), periods=horizon, freq="D"))
+        checked = regression_forecast(days[:cut], y[:cut], len(y) - cut)
+        ahead = regression_forecast(days, y, horizon)
+        return pd.DataFrame(
+            {
+                "series_id": pdf["series_id"].iloc[0],
+                "part": ["validation"] * len(checked) + ["future"] * horizon,
+                "forecast_date": pd.concat([days[cut:], later]).dt.date.to_numpy(),
+                "actual": np.concatenate([y[cut:], np.full(horizon, np.nan)]),
+                "predicted": np.concatenate([checked, ahead]),
+            }
+        )
 
     return run
 
 
-def predictions(series: DataFrame, horizon: int = 7) -> DataFrame:
-    """Validation and future predictions of both models, one Python task per series.
+def regression_predictions(marked: DataFrame, horizon: int) -> DataFrame:
+    """Lag regression per series, one Python task per series.
 
-    The input holds one row per day and series, so a group is never longer than
-    the calendar, however many sales stand behind it.
+    Each prediction needs the one before it. A series has one row per day, so a
+    group is never longer than the calendar, however many sales stand behind it.
     """
-    raw = series.groupBy("series_id").applyInPandas(_predict(horizon), schema=_PREDICTIONS)
-    return raw.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("actual", "weekly_margin")})
+    rows = marked.select("series_id", "ds", "y", "part")
+    raw = rows.groupBy("series_id").applyInPandas(_regression_rows(horizon), schema=_REGRESSION)
+    return raw.withColumns(
+        {
+            "actual": F.nanvl(F.col("actual"), F.lit(None).cast("double")),
+            "model": F.lit("regression"),
+            "weekly_margin": F.lit(None).cast("double"),
+        }
+    )
+
+
+def predictions(series: DataFrame, horizon: int = 7) -> DataFrame:
+    """Validation and future predictions of both models."""
+    marked = split(series)
+    return weekly_predictions(marked, horizon).unionByName(regression_predictions(marked, horizon))
 
 
 def backtest(series: DataFrame, horizon: int = 7) -> DataFrame:

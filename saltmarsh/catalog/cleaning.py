@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from saltmarsh.catalog.base import Book, Tables
 from saltmarsh.operators import cleaning as op
 from saltmarsh.operators.rows import distinct_rows
-from saltmarsh.plans.medallion import silver_frame
+from saltmarsh.plans.medallion import bronze_to_silver
+from saltmarsh.scratch import run_folder
+from saltmarsh.sources.sinks import write_table
 
 BOOK = Book()
 
@@ -212,7 +214,7 @@ def _distinct_lineage(t: Tables) -> DataFrame:
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'""",
 )
 def _silver(t: Tables) -> DataFrame:
-    """The whole cleaning chain on text columns with odd headers, with copies added."""
+    """Stored bronze text with odd headers and copies, through the whole cleaning chain, read back."""
     orders = t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
     joined = t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     date = F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd")).when(
@@ -228,4 +230,7 @@ def _silver(t: Tables) -> DataFrame:
         gender.alias("Customer Gender"),
     )
     named = raw.withColumnRenamed("Total Revenue ", "TotalRevenue")
-    return silver_frame(named.unionByName(named))
+    base = run_folder(t.spark, "layers")
+    write_table(named.unionByName(named), f"{base}/bronze")
+    bronze_to_silver(t.spark, f"{base}/bronze", f"{base}/silver")
+    return t.spark.read.parquet(f"{base}/silver")

@@ -8,6 +8,7 @@ from saltmarsh.catalog.base import Book, Tables
 from saltmarsh.catalog.texts import sql_chunks
 from saltmarsh.functions import questions as qs, vectors as vx
 from saltmarsh.operators import ranking as rk
+from saltmarsh.operators.rows import broadcast_if_small
 from saltmarsh.operators.vectorize import hash_vectors
 from saltmarsh.plans.indexing import index_rows, internal_rows, news_rows
 from saltmarsh.plans.retrieval import evidence_context, hashing, retrieve
@@ -38,12 +39,16 @@ NEAR = f"""{CENTRES}, dist AS (SELECT query_id, vec_id, label, {_gap('embedding'
   near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM dist)"""
 
 
+def with_own_centre(t: Tables) -> DataFrame:
+    """Every vector beside the centre of its label; few labels are broadcast."""
+    centres = broadcast_if_small(label_centres(t).withColumnRenamed("embedding", "centre"))
+    vectors = t.embeddings.select("vec_id", F.col("label").cast("bigint").alias("query_id"), "embedding")
+    return vectors.join(centres, "query_id")
+
+
 @BOOK.add("v01_distance_to_centre", f"WITH {NEAR} SELECT vec_id, round(distance, 6) AS distance FROM dist WHERE label = query_id")
 def _distance(t: Tables) -> DataFrame:
-    joined = t.embeddings.select("vec_id", F.col("label").cast("bigint").alias("query_id"), "embedding").join(
-        label_centres(t).withColumnRenamed("embedding", "centre"), "query_id"
-    )
-    return joined.select("vec_id", F.round(vx.squared_l2(F.col("embedding"), F.col("centre")), 6).alias("distance"))
+    return with_own_centre(t).select("vec_id", F.round(vx.squared_l2(F.col("embedding"), F.col("centre")), 6).alias("distance"))
 
 
 def candidates(t: Tables, k: int = rk.CANDIDATES) -> DataFrame:
@@ -79,10 +84,7 @@ def _filtered(t: Tables) -> DataFrame:
     f"WITH {NEAR} SELECT vec_id, round(exp(-(distance * distance) / (2 * 0.25 * 0.25)), 6) AS score FROM dist WHERE label = query_id",
 )
 def _gaussian(t: Tables) -> DataFrame:
-    joined = t.embeddings.select("vec_id", F.col("label").cast("bigint").alias("query_id"), "embedding").join(
-        label_centres(t).withColumnRenamed("embedding", "centre"), "query_id"
-    )
-    return joined.select("vec_id", F.round(vx.gaussian_score(vx.squared_l2(F.col("embedding"), F.col("centre"))), 6).alias("score"))
+    return with_own_centre(t).select("vec_id", F.round(vx.gaussian_score(vx.squared_l2(F.col("embedding"), F.col("centre"))), 6).alias("score"))
 
 
 _WORDS = [w for w in dict.fromkeys(QUESTION.split()) if len(w) > 2 and w not in qs.STOP_WORDS]

@@ -59,7 +59,8 @@ def number_attempts(events: DataFrame, slice_seconds: int = 3600) -> DataFrame:
     ``events`` has execution_id, activity_id, event_id, status, ts. The history
     of an activity is cut into time slices that are ordered independently; one
     summary row per slice carries the state across. So one activity with a large
-    share of all events is still handled by many tasks.
+    share of all events is still handled by many tasks. Every event needs an
+    execution, an activity and a time.
     """
     moves = F.col("status").isin("running", *TERMINAL)
     keys = ("execution_id", "activity_id", "_slice")
@@ -67,7 +68,10 @@ def number_attempts(events: DataFrame, slice_seconds: int = 3600) -> DataFrame:
     earlier = inside.rowsBetween(W.unboundedPreceding, -1)
     running = F.col("status") == "running"
     sliced = events.withColumn("_slice", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (slice_seconds * 1_000_000)))
-    rows = sliced.withColumn("_previous", F.last(F.when(moves, F.col("status")), ignorenulls=True).over(earlier))
+    # The join below implies these tests; stated here they make both of its sides
+    # read the same shuffle of the events.
+    placed = sliced.filter(" AND ".join(f"{key} IS NOT NULL" for key in keys))
+    rows = placed.withColumn("_previous", F.last(F.when(moves, F.col("status")), ignorenulls=True).over(earlier))
     rows = rows.withColumn("_opens", F.coalesce(running & F.col("_previous").isin(*TERMINAL), F.lit(False)).cast("int"))
 
     place = F.struct("ts", "event_id")

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from saltmarsh.functions.numbers import numeric_text, parse_date
+from saltmarsh.operators.rows import filter_computed
 
 # Spellings of the unit-count column, in order of preference.
 ALIASES: dict[str, tuple[str, ...]] = {
@@ -29,7 +30,8 @@ NUMBER_TYPES: dict[str, str] = {
 # Columns that a silver row must have.
 REQUIRED = ("transactionid", "date", "price", "totalrevenue")
 
-NULL_TEXT = ("", "NULL", "null")
+# Fixed value: whole text unless it is empty, NULL or null.
+NOT_NULL_TEXT = r"(?s)\A(?!(?:NULL|null)?\z).*"
 
 
 def normal_name(name: str) -> str:
@@ -58,11 +60,10 @@ def clean_text_columns(df: DataFrame) -> DataFrame:
     """Trim; empty and NULL to null; runs of tabs and line ends to one blank."""
 
     def cleaned(name: str) -> Column:
-        trimmed = F.trim(F.col(name))
-        # Byte scans tell whether the pattern is needed at all.
-        broken = F.contains(trimmed, F.lit("\t")) | F.contains(trimmed, F.lit("\n")) | F.contains(trimmed, F.lit("\r"))
-        even = F.when(broken, F.regexp_replace(trimmed, r"[\t\n\r]+", " ")).otherwise(trimmed)
-        return F.when(~trimmed.isin(*NULL_TEXT), even).alias(name)
+        # Every step uses the one before once: the filter on required columns is
+        # pushed below this projection and must not multiply the work.
+        kept = F.get(F.regexp_extract_all(F.trim(F.col(name)), F.lit(NOT_NULL_TEXT), F.lit(0)), F.lit(0))
+        return F.regexp_replace(kept, r"[\t\n\r]+", " ").alias(name)
 
     return df.select(
         *[cleaned(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema]
@@ -122,10 +123,13 @@ def _missing(df: DataFrame, columns: Sequence[str]) -> Column:
     return any_null
 
 
-def require_columns(df: DataFrame, columns: Sequence[str] = REQUIRED) -> DataFrame:
-    """Rows with a value in every required column; an absent column is an error."""
-    _missing(df, columns)
-    return df.dropna(subset=list(columns))
+def require_columns(df: DataFrame, columns: Sequence[str] = REQUIRED, computed: bool = False) -> DataFrame:
+    """Rows with a value in every required column; an absent column is an error.
+
+    ``computed`` says that the columns come out of cleaning steps and not of a scan.
+    """
+    missing = _missing(df, columns)
+    return filter_computed(df, ~missing) if computed else df.dropna(subset=list(columns))
 
 
 def invalid_rows(df: DataFrame, columns: Sequence[str] = REQUIRED) -> DataFrame:

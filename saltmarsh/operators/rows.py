@@ -8,6 +8,32 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from saltmarsh.scratch import run_folder
 
+# Every row is compared with each split point, and the sample passes the driver.
+MAX_SLICES = 512
+SAMPLE_PER_SLICE = 40
+# Rows that may be broadcast once they were counted.
+SMALL_ROWS = 10_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """The frame marked for broadcast when it was counted to be small, else unchanged.
+
+    Counting stops after ``rows``. A larger frame is joined by shuffle.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def filter_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on columns that were just computed, without computing them a second time.
+
+    A filter is normally pushed below the projection, which repeats the work and
+    can make the generated method too long to be compiled. A row number in the
+    projection keeps the filter above it. Filters on stored columns belong in
+    ``filter``, where they reach the scan.
+    """
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.filter((F.col("_row") >= 0) & condition).drop("_row")
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of every key.
@@ -43,7 +69,7 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_id", slice
     one row per slice is handled in a single task.
     """
     spark = df.sparkSession
-    slices = slices or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slices = slices or min(MAX_SLICES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = _split_points(df, order, slices)
     key = F.struct(*order)
     if cuts:
@@ -66,7 +92,7 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_id", slice
 
 def _split_points(df: DataFrame, order: Sequence[str], slices: int) -> list[tuple]:
     """At most ``slices - 1`` keys that cut the order into similar parts."""
-    wanted = 40 * slices
+    wanted = SAMPLE_PER_SLICE * slices
     keys = df.select(*order)
     # A random draw of fixed size: the heap keeps ``wanted`` rows per task.
     drawn = keys.orderBy(F.rand(17)).limit(wanted).orderBy(*order).collect()

@@ -35,7 +35,7 @@ def silver_frame(bronze: DataFrame) -> DataFrame:
     named = cl.fold_aliases(cl.normalise_names(bronze))
     cleaned = cl.normalise_date(cl.cast_numbers(cl.clean_text_columns(named)))
     filled = cl.fill_missing(cleaned, {"customergender": "Unknown"})
-    complete = cl.require_columns(filled)
+    complete = cl.require_columns(filled, computed=True)
     return distinct_rows(complete, [c for c in LINEAGE if c in complete.columns])
 
 

@@ -125,7 +125,7 @@ SELECT doc_id, CASE kind WHEN 3 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g'
   CASE kind WHEN 0 THEN 'id-' || doc_id WHEN 3 THEN 'meta-' || doc_id ELSE 'key/' || doc_id END AS document_id,
   CASE kind WHEN 0 THEN source WHEN 1 THEN lang WHEN 2 THEN 'internal_document' ELSE source || '.txt' END AS document_name,
   CAST(CASE kind WHEN 0 THEN n_chars WHEN 3 THEN 7 ELSE 0 END AS INTEGER) AS page,
-  CASE kind WHEN 1 THEN 0.5 WHEN 2 THEN 0.25 ELSE 0.0 END AS relevance, CAST(NULL AS VARCHAR) AS url, CASE kind WHEN 1 THEN 'docs' END AS bucket,
+  CAST(CASE kind WHEN 1 THEN 0.5 WHEN 2 THEN 0.25 ELSE 0.0 END AS DOUBLE) AS relevance, CAST(NULL AS VARCHAR) AS url, CASE kind WHEN 1 THEN 'docs' END AS bucket,
   CASE WHEN kind IN (1, 2) THEN 'key/' || doc_id END AS object_key FROM r WHERE kind <> 4
 """
 
@@ -154,7 +154,7 @@ def _evidence(t: Tables) -> DataFrame:
 @BOOK.add(
     "p13_display_sources",
     """SELECT page_id, url AS title, CASE WHEN page_id % 2 = 0 THEN 'external_news' ELSE 'internal_document' END AS source_type,
-              CASE WHEN page_id % 3 = 0 THEN 'minio' END AS storage, 'news/' || page_id AS object_key, 0 AS page, 0.25 AS relevance, url,
+              CASE WHEN page_id % 3 = 0 THEN 'minio' END AS storage, 'news/' || page_id AS object_key, 0 AS page, CAST(0.25 AS DOUBLE) AS relevance, url,
               regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) AS domain, left(html, 150) || '...' AS snippet FROM pages""",
 )
 def _cards(t: Tables) -> DataFrame:

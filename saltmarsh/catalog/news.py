@@ -181,7 +181,7 @@ def _index(t: Tables) -> DataFrame:
 @BOOK.add(
     "g06_news_store_topics",
     f"""WITH {SQL_ARTICLES}, s AS (SELECT page_id, CASE WHEN url LIKE 'https:%' THEN 'Secure Web' ELSE 'General News' END AS topic FROM articles)
-        SELECT topic, count(*) AS article_count, 0 AS positive, 0 AS negative, count(*) AS neutral, TIMESTAMP '2024-01-01 00:00:00' AS last_updated FROM s GROUP BY 1""",
+        SELECT topic, count(*) AS article_count, CAST(0 AS BIGINT) AS positive, CAST(0 AS BIGINT) AS negative, count(*) AS neutral, TIMESTAMP '2024-01-01 00:00:00' AS last_updated FROM s GROUP BY 1""",
 )
 def _newsroom(t: Tables) -> DataFrame:
     """Extract all pages, store over an empty store, roll up by topic."""

@@ -73,7 +73,7 @@ def _share(t: Tables) -> DataFrame:
 
 @BOOK.add(
     "a18_column_statistics",
-    """SELECT c AS column_name, n AS row_count, round(m, 4) AS mean, round(s, 4) AS stddev, number_share, date_share FROM (
+    """SELECT c AS column_name, n AS row_count, round(m, 4) AS mean, round(s, 4) AS stddev, CAST(number_share AS DOUBLE) AS number_share, CAST(date_share AS DOUBLE) AS date_share FROM (
          SELECT 'l_quantity' AS c, count(*) AS n, avg(l_quantity) AS m, stddev_samp(l_quantity) AS s, 1.0 AS number_share, 0.0 AS date_share FROM lineitem
          UNION ALL SELECT 'l_extendedprice', count(*), avg(l_extendedprice), stddev_samp(l_extendedprice), 1.0, 0.0 FROM lineitem
          UNION ALL SELECT 'l_shipdate', count(*), NULL, NULL, 0.0, 1.0 FROM lineitem

@@ -195,7 +195,7 @@ def _top(t: Tables) -> DataFrame:
 
 @BOOK.add(
     "v06_confidence",
-    """SELECT user_id, round(least(0.98, 0.45 + 0.1 * count(*) FILTER (event_type = 'signup')), 6) AS evidence_confidence,
+    """SELECT user_id, CAST(least(0.98, 0.45 + 0.1 * count(*) FILTER (event_type = 'signup')) AS DOUBLE) AS evidence_confidence,
               greatest(35, least(98, 45 + 16 * count(*) FILTER (event_type = 'purchase') - 10 * count(*) FILTER (event_type = 'error'))) AS run_confidence
        FROM events GROUP BY 1""",
 )
@@ -213,7 +213,7 @@ def _confidence(t: Tables) -> DataFrame:
 
 @BOOK.add(
     "v07_hash_vectors",
-    """SELECT doc_id, 256 AS dimensions, CASE WHEN regexp_matches(lower(text), '[a-z0-9]') THEN 1.0 ELSE 0.0 END AS norm FROM documents""",
+    """SELECT doc_id, 256 AS dimensions, CASE WHEN regexp_matches(lower(text), '[a-z0-9]') THEN CAST(1.0 AS DOUBLE) ELSE 0.0 END AS norm FROM documents""",
 )
 def _vectors(t: Tables) -> DataFrame:
     made = hash_vectors(t.documents.select("doc_id", "text"), dimensions=256)

@@ -216,7 +216,7 @@ def _topics(t: Tables) -> DataFrame:
     "t15_tokens",
     """SELECT doc_id, token, min(i) AS first_at FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*')) AS token,
          generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*'), 1) AS i FROM documents) GROUP BY 1, 2
-       QUALIFY true""".replace("min(i) AS first_at", "dense_rank() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS position"),
+       QUALIFY true""".replace("min(i) AS first_at", "CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS INTEGER) AS position"),
 )
 def _tokens(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("position", "token"))

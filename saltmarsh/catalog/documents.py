@@ -81,14 +81,15 @@ def _links(t: Tables) -> DataFrame:
 
 @BOOK.add(
     "f15_readable_pages",
-    f"""SELECT page_id FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '/login' WHEN 1 THEN url || '/account' ELSE url END AS url,
-          CASE page_id % 3 WHEN 0 THEN '<p>Sign in</p>' || html ELSE html END AS html FROM pages)
+    f"""SELECT page_id FROM (SELECT page_id, CASE WHEN url LIKE 'http:%' THEN url || '/login' WHEN url LIKE '%#top' THEN url || '/account' ELSE url END AS url,
+          CASE WHEN url LIKE '%.example.com%' THEN '<p>Sign in</p>' || html ELSE html END AS html FROM pages)
         WHERE NOT (regexp_matches(lower({_sql_plain('html')}), '{html.LOGIN_TEXT}') AND regexp_matches(lower(url), '{html.LOGIN_URL}'))""",
 )
 def _readable(t: Tables) -> DataFrame:
-    mod = lambda n: F.pmod("page_id", F.lit(n))
-    url = F.when(mod(4) == 0, F.concat("url", F.lit("/login"))).when(mod(4) == 1, F.concat("url", F.lit("/account"))).otherwise(F.col("url"))
-    page = F.when(mod(3) == 0, F.concat(F.lit("<p>Sign in</p>"), F.col("html"))).otherwise(F.col("html"))
+    address = F.col("url")
+    plain = F.startswith(address, F.lit("http:"))
+    url = F.when(plain, F.concat(address, F.lit("/login"))).when(F.endswith(address, F.lit("#top")), F.concat(address, F.lit("/account"))).otherwise(address)
+    page = F.when(F.contains(address, F.lit(".example.com")), F.concat(F.lit("<p>Sign in</p>"), F.col("html"))).otherwise(F.col("html"))
     return t.pages.filter(~html.is_login_page(url, page)).select("page_id")
 
 
@@ -120,7 +121,7 @@ def _union(t: Tables) -> DataFrame:
 
 
 _EVIDENCE_SQL = """
-WITH r AS (SELECT doc_id, source, lang, n_chars, text, doc_id % 5 AS kind FROM documents)
+WITH r AS (SELECT doc_id, source, lang, n_chars, text, CASE WHEN source = 'src3' THEN 4 WHEN lang = 'en' THEN 0 WHEN lang = 'de' THEN 1 WHEN lang = 'fr' THEN 2 ELSE 3 END AS kind FROM documents)
 SELECT doc_id, CASE kind WHEN 3 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') || '#m' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS content,
   CASE kind WHEN 0 THEN 'id-' || doc_id WHEN 3 THEN 'meta-' || doc_id ELSE 'key/' || doc_id END AS document_id,
   CASE kind WHEN 0 THEN source WHEN 1 THEN lang WHEN 2 THEN 'internal_document' ELSE source || '.txt' END AS document_name,
@@ -132,9 +133,10 @@ SELECT doc_id, CASE kind WHEN 3 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g'
 
 @BOOK.add("p12_coalesced_evidence", _EVIDENCE_SQL)
 def _evidence(t: Tables) -> DataFrame:
-    """Records in five spellings, the last without content."""
+    """Records in four spellings by language; those of one source have no content."""
     doc = F.col("doc_id").cast("string")
-    kind = F.pmod("doc_id", F.lit(5))
+    spelling = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).when(F.col("lang") == "fr", 2).otherwise(3)
+    kind = F.when(F.col("source") == "src3", 4).otherwise(spelling)
     key = F.concat(F.lit("key/"), doc)
     shapes = [
         F.to_json(F.struct(F.col("text").alias("content"), F.concat(F.lit("id-"), doc).alias("id"), F.col("source").alias("title"), F.col("n_chars").alias("page"))),
@@ -174,11 +176,11 @@ def _cards(t: Tables) -> DataFrame:
 
 @BOOK.add(
     "f14_good_sources",
-    """WITH s AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source || '/' || lang END AS identity, n_chars / 5000.0 AS relevance FROM documents)
+    """WITH s AS (SELECT doc_id, CASE WHEN lang = 'es' THEN NULL ELSE source || '/' || lang END AS identity, n_chars / 5000.0 AS relevance FROM documents)
        SELECT identity, min(doc_id) AS doc_id FROM s WHERE identity IS NOT NULL AND relevance >= 0.2 GROUP BY 1""",
 )
 def _good(t: Tables) -> DataFrame:
-    key = F.when(F.pmod("doc_id", F.lit(7)) != 0, F.concat_ws("/", "source", "lang"))
+    key = F.when(F.col("lang") != "es", F.concat_ws("/", "source", "lang"))
     cards = t.documents.select("doc_id", key.alias("object_key"), (F.col("n_chars") / 5000).alias("relevance"))
     return ev.good_sources(cards, ["doc_id"]).select("identity", "doc_id")
 

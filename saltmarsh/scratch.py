@@ -32,8 +32,3 @@ def run_folder(spark: SparkSession, label: str) -> str:
     """A path that no other run uses, below the shared folder."""
     return f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable; keeps a folder that is already set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_base(spark))

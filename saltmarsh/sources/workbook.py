@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 # XML names of the workbook format.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -104,7 +104,3 @@ def read_workbooks(spark: SparkSession, path: str, columns: list[str] | None = N
     )
     rows = workbook_rows(files, columns or workbook_columns(files))
     return rows.select(*[c for c in rows.columns if c != "path"])
-
-
-def with_path(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("source_file", F.element_at(F.split("path", "/"), -1)).drop("path")

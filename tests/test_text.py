@@ -87,6 +87,13 @@ def test_keys(spark):
     assert value(spark, urls.content_type, "a/B.JSON", "x.bin") == ["application/json", "application/octet-stream"]
 
 
+def test_session_keys(spark):
+    rows = spark.createDataFrame([("https://x/d-5/t", "s1"), ("https://x/d-5/t", " "), ("https://x/d-5/t", None)], "u string, s string")
+    day = F.lit("2024-03-09 23:00:00").cast("timestamp_ntz")
+    keys = [r[0] for r in rows.select(urls.session_object_key(F.lit("Src"), F.col("u"), F.col("s"), day)).collect()]
+    assert keys == ["computer_use/2024/03/09/s1/src/d-5.json", "src/d-5.json", "src/d-5.json"]
+
+
 def test_understanding(spark):
     rows = spark.createDataFrame([("  Berita  Terbaru penjualan BCA di Q3 2024? ",), ("Why is the revenue forecast low",), ("apa itu",)], "text string")
     first, second, third = understand(rows).collect()

@@ -6,21 +6,22 @@ from pyspark.sql import Column, functions as F
 
 from saltmarsh.functions.text import strip
 
-# Spellings of a missing number.
-MISSING_NUMBERS = ("NULL", "N/A", "NA", "NONE", "UNKNOWN")
-NOT_NUMBERS = ("", "NAN", "INF", "-INF")
+# Fixed value: whole text unless it is empty or spells a missing or endless number.
+PRESENT_NUMBER = r"(?s)\A(?!(?:(?i:NULL|N/A|NA|NONE|UNKNOWN)|NAN|INF|-INF)?\z).*"
+
 
 # Fixed value: a day, alone or followed by a time of day.
 DAY = r"\A\d{4}-\d{2}-\d{2}(?= (?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d\z|\z)"
 
 
 def numeric_text(text: Column) -> Column:
-    """Numeric text without noise: ``60s`` -> ``60``, ``1,200.50`` -> ``1200.50``, ``N/A`` -> null."""
-    trimmed = strip(text.cast("string"))
-    bare = F.regexp_replace(trimmed, "[, ]", "")
+    """Numeric text without noise: ``60s`` -> ``60``, ``1,200.50`` -> ``1200.50``, ``N/A`` -> null.
+
+    Each step uses the one before once, so nothing is computed twice.
+    """
+    bare = F.regexp_replace(strip(text.cast("string")), "[, ]", "")
     number = F.regexp_replace(bare, r"([0-9]+(?:\.[0-9]+)?)[a-zA-Z]+$", "$1")
-    missing = F.upper(trimmed).isin(*MISSING_NUMBERS) | number.isin(*NOT_NUMBERS)
-    return F.when(~missing, number)
+    return F.get(F.regexp_extract_all(number, F.lit(PRESENT_NUMBER), F.lit(0)), F.lit(0))
 
 
 def parse_date(text: Column) -> Column:

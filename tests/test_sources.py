@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pandas as pd
@@ -142,3 +144,16 @@ def test_scratch_follows_the_setting(spark):
     assert shared_base(named) == "/shared/place"
     with pytest.raises(ValueError):
         shared_base(SimpleNamespace(conf={}, sparkContext=cluster))
+
+
+def test_task_functions_carry_their_code(tmp_path):
+    """What runs inside tasks loads where the package is not installed."""
+    from pyspark import cloudpickle
+
+    from saltmarsh.operators.forecast import _regression_rows
+    from saltmarsh.streaming.activity import _advance
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps([_advance(1), _regression_rows(3)]))
+    code = "import pickle; print(len(pickle.load(open('f', 'rb'))))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={}, capture_output=True, text=True, timeout=60)
+    assert out.stdout.strip() == "2", out.stderr

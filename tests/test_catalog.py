@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
+from saltmarsh import catalog
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = catalog.all_queries()
+SQL = catalog.all_sql()
 
 
 @pytest.fixture(scope="module")

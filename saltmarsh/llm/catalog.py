@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from saltmarsh.catalog.base import Book
-from saltmarsh.llm import idfiles, packing, tokens
+from saltmarsh.llm import idfiles, packing, secrets, tokens, toxicity
 from saltmarsh.scratch import run_folder
 
 BOOK = Book()
@@ -26,3 +26,20 @@ def bit_packed_ids(t) -> DataFrame:
 @BOOK.add("op5_token_counts")
 def token_counts(t) -> DataFrame:
     return tokens.count_tokens(t.documents, tokens.Vocabulary.named(), limit=512)
+
+
+@BOOK.add("op8_toxicity")
+def toxicity_scores(t) -> DataFrame:
+    model = toxicity.fit(t.documents, t.labels)
+    scored = toxicity.score(t.documents, model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@BOOK.add("op10_secret_spans")
+def secret_spans(t) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(t.documents))

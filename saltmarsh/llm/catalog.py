@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from saltmarsh.catalog.base import Book
-from saltmarsh.llm import idfiles, packing, secrets, tokens, toxicity
+from saltmarsh.llm import idfiles, neardup, packing, secrets, tokens, toxicity
 from saltmarsh.scratch import run_folder
 
 BOOK = Book()
@@ -43,3 +43,8 @@ def toxicity_scores(t) -> DataFrame:
 @BOOK.add("op10_secret_spans")
 def secret_spans(t) -> DataFrame:
     return secrets.digest(secrets.find_secrets(t.documents))
+
+
+@BOOK.add("op7_near_duplicates")
+def near_duplicate_classes(t) -> DataFrame:
+    return neardup.near_duplicates(t.documents).select("doc_id", "class_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from saltmarsh.catalog.base import Book
-from saltmarsh.llm import idfiles, neardup, packing, secrets, tokens, toxicity
+from saltmarsh.llm import idfiles, mixing, neardup, packing, secrets, tokens, toxicity
 from saltmarsh.scratch import run_folder
 
 BOOK = Book()
@@ -48,3 +48,8 @@ def secret_spans(t) -> DataFrame:
 @BOOK.add("op7_near_duplicates")
 def near_duplicate_classes(t) -> DataFrame:
     return neardup.near_duplicates(t.documents).select("doc_id", "class_id")
+
+
+@BOOK.add("op2_mixed_sources")
+def mixed_sources(t) -> DataFrame:
+    return mixing.mix(t.documents).select("doc_id", "size", "source_size", "target", "taken")

@@ -34,7 +34,7 @@ from saltmarsh.operators.rows import materialise
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS = 8
+BANDS = 14
 ROWS = 3
 SLOT_BITS = 20
 # Slots that travel in one row while document frequencies are added up.

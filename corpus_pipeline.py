@@ -1,17 +1,59 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: stages over documents, each written and read again before the next.
+
+Toxic documents go, one document of every group of near copies stays, secrets
+are replaced, sources are mixed to their targets, and what is left is packed
+into windows. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from saltmarsh.llm import mixing, neardup, packing, secret_scan, toxicity
+from saltmarsh.llm.tokens import Vocabulary
+from saltmarsh.operators.rows import materialise
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5; labels of those that are left out of a fold teach the score."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.without_toxic(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of near-duplicates, the one with the least id."""
+    return neardup.without_near_duplicates(docs)
+
+
+def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with ``[kind]`` in place of every secret and n_chars to match."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows of 2048 tokens."""
+    return packing.pack(docs, Vocabulary.named(), window=2048, end=1)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("secrets", replace_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
 
-# Hashes, a fitted model and a tokenizer decide, so SQL cannot give these rows.
+# A fitted model, hashes and a tokenizer decide, so SQL cannot give these rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

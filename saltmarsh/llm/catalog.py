@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from saltmarsh.catalog.base import Book
-from saltmarsh.llm import idfiles, mixing, neardup, packing, secrets, tokens, toxicity
+from saltmarsh.llm import exact, idfiles, mixing, neardup, neighbours, packing, secret_scan, tokens, toxicity, warc
 from saltmarsh.scratch import run_folder
 
 BOOK = Book()
@@ -42,7 +42,7 @@ def toxicity_scores(t) -> DataFrame:
 
 @BOOK.add("op10_secret_spans")
 def secret_spans(t) -> DataFrame:
-    return secrets.digest(secrets.find_secrets(t.documents))
+    return secret_scan.digest(secret_scan.find_secrets(t.documents))
 
 
 @BOOK.add("op7_near_duplicates")
@@ -53,3 +53,98 @@ def near_duplicate_classes(t) -> DataFrame:
 @BOOK.add("op2_mixed_sources")
 def mixed_sources(t) -> DataFrame:
     return mixing.mix(t.documents).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@BOOK.add("op3_nearest_neighbours")
+def nearest_neighbours(t) -> DataFrame:
+    return neighbours.nearest(t.embeddings, every=50, k=5)
+
+
+@BOOK.add(
+    "op6_exact_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id AS id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), scored AS (
+        SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.id % 100 = 0 AND q.id <> c.id
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+    )
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+)
+def exact_top_k(t) -> DataFrame:
+    return exact.top_k(t.embeddings, every=100, k=10)
+
+
+# Captures made from the crawled pages: a full response of each, a revisit of it, a later
+# revisit whose validator holds for two pages of three, and one of a url never fetched before.
+_CAPTURES = """
+    WITH full_responses AS (
+        SELECT page_id, url, html, md5(html) AS tag, 10 * page_id AS seconds FROM pages
+    )
+    SELECT 4 * page_id AS record_id, 'response' AS warc_type, url AS target_uri, seconds, tag AS etag, html AS payload,
+        'text/html' AS content_type, 'max-age=60' AS cache_control FROM full_responses
+    UNION ALL
+    SELECT 4 * page_id + 1, 'revisit', url, seconds + 3, concat('W/', tag), NULL, 'text/plain', 'max-age=600' FROM full_responses
+    UNION ALL
+    SELECT 4 * page_id + 2, 'revisit', replace(url, 'https://', 'http://www.'), seconds + 4000,
+        CASE WHEN page_id % 3 = 0 THEN 'changed' ELSE tag END, NULL, NULL, NULL FROM full_responses
+    UNION ALL
+    SELECT 4 * page_id + 3, 'revisit', concat(url, '-not-seen'), seconds, tag, NULL, NULL, NULL FROM full_responses WHERE page_id % 10 = 0
+"""
+
+
+@BOOK.add(
+    "op9_resolved_revisits",
+    f"""
+    WITH captures AS ({_CAPTURES}), parts AS (
+        SELECT *, regexp_replace(regexp_replace(trim(target_uri), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '#.*$', '', 's') AS bare
+        FROM captures
+    ), cut AS (
+        SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), ':(80|443)$', ''), '^www[0-9]*[.]', '') AS host,
+            regexp_replace(regexp_replace(bare, '^[^/?]*', ''), '[?].*$', '', 's') AS path,
+            list_sort([p FOR p IN string_split(regexp_extract(bare, '[?](.*)$', 1, 's'), '&')
+                IF p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|gclid|fbclid|sessionid|phpsessid)(=|$)')]) AS params
+        FROM parts
+    ), keyed AS (
+        SELECT *, host || regexp_replace(path, '/+$', '') ||
+            CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical_url
+        FROM cut
+    ), latest AS (
+        SELECT *, last_value(CASE WHEN warc_type = 'response' THEN record_id END IGNORE NULLS) OVER w AS source_id
+        FROM keyed
+        WINDOW w AS (PARTITION BY canonical_url ORDER BY seconds, warc_type, record_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    )
+    SELECT l.record_id, l.canonical_url,
+        CASE WHEN r.record_id IS NULL THEN 'no earlier response'
+            WHEN regexp_replace(l.etag, '^W/', '') = regexp_replace(r.etag, '^W/', '') THEN 'resolved'
+            ELSE 'validator differs' END AS outcome,
+        CASE WHEN regexp_replace(l.etag, '^W/', '') = regexp_replace(r.etag, '^W/', '') THEN r.record_id END AS source_id,
+        CASE WHEN regexp_replace(l.etag, '^W/', '') = regexp_replace(r.etag, '^W/', '') THEN md5(r.payload) END AS payload_md5,
+        CASE WHEN regexp_replace(l.etag, '^W/', '') = regexp_replace(r.etag, '^W/', '')
+            THEN 'cache-control=' || coalesce(l.cache_control, r.cache_control) || ';content-type=' || r.content_type || ';etag=' || l.etag
+            END AS headers
+    FROM latest l LEFT JOIN keyed r ON l.source_id = r.record_id
+    WHERE l.warc_type = 'revisit'
+    """,
+)
+def resolved_revisits(t) -> DataFrame:
+    t.pages.createOrReplaceTempView("pages")
+    captures = t.spark.sql(_CAPTURES)
+    named = {"content-type": "content_type", "cache-control": "cache_control", "etag": "etag"}
+    fields = F.map_from_entries(F.array(*[F.struct(F.lit(n), F.col(c)) for n, c in named.items()]))
+    records = captures.select(
+        "record_id", "warc_type", "target_uri", F.timestamp_seconds("seconds").alias("date"),
+        F.map_filter(fields, lambda _, v: v.isNotNull()).alias("headers"), "payload",
+    )
+    found = warc.resolve_revisits(records)
+    pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return found.select(
+        "record_id", "canonical_url", "outcome", "source_id",
+        F.md5("payload").alias("payload_md5"), F.nullif(F.concat_ws(";", pairs), F.lit("")).alias("headers"),
+    )

@@ -302,3 +302,20 @@ def near_duplicates(
     grouped = classed.join(least, "label").select("key", F.col("uid").alias("text_id"), "class_id")
     alone = rows.filter(F.col("bands").isNull()).select("key", F.col("uid").alias("text_id"), F.col("key").alias("class_id"))
     return grouped.union(alone).withColumnRenamed("key", key)
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The documents with one row of every class: that of the least key, and of its texts the least id.
+
+    Texts without a word are classes of their own by key and text, so repeated rows
+    among them go as well.
+    """
+    classes = near_duplicates(docs, key, text, similarity)
+    chosen = F.struct(F.col(key).alias("key"), F.col("text_id").alias("uid"))
+    worded = F.col("text_id") != F.unhex(F.md5(F.lit("")))
+    group = F.struct(F.col("class_id"), F.when(F.col("class_id").isNull() | ~worded, F.col("text_id")))
+    kept = classes.groupBy(group.alias("group")).agg(F.min(chosen).alias("chosen")).select("chosen.key", "chosen.uid").distinct()
+    kept = materialise(kept, "kept")
+    rows = docs.withColumn("_uid", F.coalesce(text_id(text), F.unhex(F.md5(F.lit("")))))
+    same = (F.col("_uid") == F.col("uid")) & F.col(key).eqNullSafe(F.col("key"))
+    return rows.join(kept, same, "left_semi").dropDuplicates([key, "_uid"]).select(*docs.columns)

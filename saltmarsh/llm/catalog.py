@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from saltmarsh.catalog.base import Book
 from saltmarsh.llm import exact, idfiles, mixing, neardup, neighbours, packing, secret_scan, tokens, toxicity, warc
@@ -80,8 +80,8 @@ def exact_top_k(t) -> DataFrame:
     return exact.top_k(t.embeddings, every=100, k=10)
 
 
-# Captures made from the crawled pages: a full response of each, a revisit of it, a later
-# revisit whose validator holds for two pages of three, and one of a url never fetched before.
+# Captures made from the crawled pages, for the SQL: a full response of each, a revisit of it, a
+# later revisit whose validator holds for two pages of three, and one of a url not fetched before.
 _CAPTURES = """
     WITH full_responses AS (
         SELECT page_id, url, html, md5(html) AS tag, 10 * page_id AS seconds FROM pages
@@ -134,14 +134,30 @@ _CAPTURES = """
     """,
 )
 def resolved_revisits(t) -> DataFrame:
-    t.pages.createOrReplaceTempView("pages")
-    captures = t.spark.sql(_CAPTURES)
-    named = {"content-type": "content_type", "cache-control": "cache_control", "etag": "etag"}
-    fields = F.map_from_entries(F.array(*[F.struct(F.lit(n), F.col(c)) for n, c in named.items()]))
-    records = captures.select(
-        "record_id", "warc_type", "target_uri", F.timestamp_seconds("seconds").alias("date"),
-        F.map_filter(fields, lambda _, v: v.isNotNull()).alias("headers"), "payload",
+    page, seconds, tag = F.col("page_id"), F.col("page_id") * 10, F.md5("html")
+
+    def capture(number: int, kind: str, url: Column, after: int, present: Column | None = None, payload=None, **fields) -> Column:
+        headers = F.create_map(*[x for name, value in fields.items() for x in (F.lit(name.replace("_", "-")), value)])
+        return F.when(
+            F.lit(True) if present is None else present,
+            F.struct(
+                (page * 4 + number).alias("record_id"),
+                F.lit(kind).alias("warc_type"),
+                url.alias("target_uri"),
+                F.timestamp_seconds(seconds + after).alias("date"),
+                headers.alias("headers"),
+                (F.lit(None).cast("string") if payload is None else payload).alias("payload"),
+            ),
+        )
+
+    url = F.col("url")
+    captures = F.array(
+        capture(0, "response", url, 0, payload=F.col("html"), etag=tag, content_type=F.lit("text/html"), cache_control=F.lit("max-age=60")),
+        capture(1, "revisit", url, 3, ETag=F.concat(F.lit("W/"), tag), Content_Type=F.lit("text/plain"), Cache_Control=F.lit("max-age=600")),
+        capture(2, "revisit", F.replace(url, F.lit("https://"), F.lit("http://www.")), 4000, etag=F.when(page % 3 == 0, "changed").otherwise(tag)),
+        capture(3, "revisit", F.concat(url, F.lit("-not-seen")), 0, page % 10 == 0, etag=tag),
     )
+    records = t.pages.select(F.inline(F.filter(captures, lambda c: c.isNotNull())))
     found = warc.resolve_revisits(records)
     pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return found.select(

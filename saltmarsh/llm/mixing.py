@@ -308,9 +308,12 @@ def mix(
 def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The documents as often as the mix takes them, with the columns of docs, shuffled inside their shards."""
     plan = mix(docs, key, source, text, **options).filter(F.size("draws") > 0)
-    plan = plan.select(F.col(key).alias("k"), F.col("source").alias("s"), "unit", "draws").distinct()
-    rows = docs.withColumn("_unit", F.xxhash64(F.lit(SEED), F.col(source), F.col(key), F.col(text)))
-    same = (F.col("_unit") == F.col("unit")) & F.col(key).eqNullSafe(F.col("k")) & F.col(source).eqNullSafe(F.col("s"))
-    taken = rows.join(plan, same).withColumn("_shard", F.explode("draws"))
-    ordered = taken.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(SEED), F.col("_shard"), F.col("_unit")))
-    return ordered.select(*docs.columns)
+    plan = plan.select(F.col(key).alias("key"), "source", "unit", "draws").distinct().alias("plan")
+    # Columns of docs travel in one struct, whatever their names are.
+    unit = F.xxhash64(F.lit(SEED), F.col(source), F.col(key), F.col(text))
+    rows = docs.select(unit.alias("unit"), F.col(key).alias("key"), F.col(source).alias("source"), F.struct(*docs.columns).alias("row")).alias("docs")
+    same = (F.col("docs.unit") == F.col("plan.unit")) & F.col("docs.key").eqNullSafe(F.col("plan.key"))
+    same = same & F.col("docs.source").eqNullSafe(F.col("plan.source"))
+    taken = rows.join(plan, same).select("docs.unit", "docs.row", F.explode("plan.draws").alias("shard"))
+    ordered = taken.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(SEED), F.col("shard"), F.col("unit")))
+    return ordered.select("row.*")

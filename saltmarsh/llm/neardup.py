@@ -169,6 +169,10 @@ def text_id(text: str) -> Column:
     return F.unhex(F.md5(F.col(text)))
 
 
+def _own_id(text: str) -> Column:
+    return F.coalesce(text_id(text), F.unhex(F.md5(F.lit(""))))
+
+
 def signatures(docs: DataFrame, weights: np.ndarray, key: str, text: str) -> DataFrame:
     """key, text id and band keys (null for a text without words) of every row."""
     schema = T.StructType(
@@ -205,7 +209,7 @@ def signatures(docs: DataFrame, weights: np.ndarray, key: str, text: str) -> Dat
                 )
                 yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), bands], schema.names)
 
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(text_id(text), F.unhex(F.md5(F.lit("")))).alias("uid"), F.lower(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), _own_id(text).alias("uid"), F.lower(text).alias("text"))
     return rows.mapInArrow(run, schema)
 
 
@@ -315,7 +319,8 @@ def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "t
     worded = F.col("text_id") != F.unhex(F.md5(F.lit("")))
     group = F.struct(F.col("class_id"), F.when(F.col("class_id").isNull() | ~worded, F.col("text_id")))
     kept = classes.groupBy(group.alias("group")).agg(F.min(chosen).alias("chosen")).select("chosen.key", "chosen.uid").distinct()
-    kept = materialise(kept, "kept")
-    rows = docs.withColumn("_uid", F.coalesce(text_id(text), F.unhex(F.md5(F.lit("")))))
-    same = (F.col("_uid") == F.col("uid")) & F.col(key).eqNullSafe(F.col("key"))
-    return rows.join(kept, same, "left_semi").dropDuplicates([key, "_uid"]).select(*docs.columns)
+    kept = materialise(kept, "kept").alias("kept")
+    # Columns of docs travel in one struct, whatever their names are.
+    rows = docs.select(F.col(key).alias("key"), _own_id(text).alias("uid"), F.struct(*docs.columns).alias("row")).alias("docs")
+    same = (F.col("docs.uid") == F.col("kept.uid")) & F.col("docs.key").eqNullSafe(F.col("kept.key"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["key", "uid"]).select("row.*")

@@ -328,17 +328,33 @@ def _streamed(t: Tables) -> DataFrame:
     return read_silver(t.spark, base).select("transactionid", "date", "price", "totalrevenue", "unitssold", "location")
 
 
-def event_stream(t: Tables) -> DataFrame:
-    files = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet")
-    return files.parquet(t.folder)
+# Files that the event streams read, one per trigger.
+STREAM_FILES = 4
+
+
+def event_stream(t: Tables, in_order: bool) -> DataFrame:
+    """The events from several files, one file per trigger: by time, or dealt out without regard to it."""
+    folder = run_folder(t.spark, "event-files")
+    events = t.events
+    if in_order:
+        shares = [n / STREAM_FILES for n in range(1, STREAM_FILES)]
+        cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), shares, 10_000)).first()[0]
+        share = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.unix_micros(F.col("ts").cast("timestamp"))))
+    else:
+        share = F.pmod(F.xxhash64("event_id"), F.lit(STREAM_FILES))
+    for number in range(STREAM_FILES):
+        # Streams read files by the time they were written.
+        events.filter(share == number).coalesce(1).write.parquet(f"{folder}/{number}")
+    files = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    return files.parquet(folder)
 
 
 @BOOK.add("x01_unique_stream", "SELECT event_id, user_id, event_type FROM events")
 def _unique_stream(t: Tables) -> DataFrame:
-    """Every event twice in the stream; one copy comes out."""
+    """Every event twice in the stream, in any order of time; one copy comes out."""
     path = run_folder(t.spark, "unique-events")
-    doubled = event_stream(t).select("event_id", "ts", "user_id", "event_type", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"))
-    query = unique_stream(doubled, "1 hour").writeStream.option("checkpointLocation", f"{path}-checkpoint")
+    doubled = event_stream(t, False).select("event_id", "ts", "user_id", "event_type", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"))
+    query = unique_stream(doubled).writeStream.option("checkpointLocation", f"{path}-checkpoint")
     query.format("parquet").trigger(availableNow=True).start(path).awaitTermination()
     return t.spark.read.parquet(path).select("event_id", "user_id", "event_type")
 
@@ -347,6 +363,6 @@ def _unique_stream(t: Tables) -> DataFrame:
 def _state_stream(t: Tables) -> DataFrame:
     """The state machine as a stream ends in the same states as in batch."""
     path = run_folder(t.spark, "states")
-    write_states(state_stream(activity_events(event_stream(t))), path, f"{path}-checkpoint")
+    write_states(state_stream(activity_events(event_stream(t, True))), path, f"{path}-checkpoint")
     times = {c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "completed_at", "updated_at")}
     return latest_states(t.spark, path).withColumns(times)

@@ -13,7 +13,7 @@ from saltmarsh.operators.activity import CLOSING, TERMINAL
 from saltmarsh.operators.rows import first_per_key
 
 # Activities of one execution are spread over this many state groups.
-SPREAD = 8
+SPREAD = 32
 # State of a group: JSON of {activity: [attempt, status, started, updated, last event]}, times in microseconds.
 STATE = "activities string"
 # Rows that leave Python: times as microseconds, which are cheaper to hand over.
@@ -26,10 +26,13 @@ OUTPUT = (
 )
 
 
-def unique_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """First delivery of every event id; ids are forgotten once the watermark has passed."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+def unique_stream(events: DataFrame) -> DataFrame:
+    """First delivery of every event id, however late; the ids seen stay in the state store.
+
+    Events without an id are all kept.
+    """
+    known = events.filter(F.col("event_id").isNotNull()).dropDuplicates(["event_id"])
+    return known.union(events.filter(F.col("event_id").isNull()))
 
 
 def step(known: list | None, status: str, ts: int, event: int) -> list | None:
@@ -44,52 +47,39 @@ def step(known: list | None, status: str, ts: int, event: int) -> list | None:
     return [attempt, status, started, ts, event]
 
 
-def _advance(keep_ms: int):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        events = sorted(
-            row
-            for f in frames
-            for row in zip(f["micros"].tolist(), f["event_id"].tolist(), f["activity_id"].tolist(), f["status"].tolist())
-        )
-        known = json.loads(state.get[0]) if state.exists else {}
-        changed: dict[tuple[str, int], list] = {}
-        for ts, event, activity, status in events:
-            name = str(activity)
-            after = step(known.get(name), status, ts, event)
-            if after is not None:
-                known[name] = after
-                changed[name, after[0]] = after
-        state.update((json.dumps(known),))
-        state.setTimeoutTimestamp(max(events[-1][0] // 1000, state.getCurrentWatermarkMs()) + keep_ms)
-        if not changed:
-            return
+def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    arrived = pd.concat(list(frames)).sort_values(["micros", "event_id"])
+    known = json.loads(state.get[0]) if state.exists else {}
+    changed: dict[tuple[str, int], list] = {}
+    rows = zip(*(arrived[c].tolist() for c in ("micros", "event_id", "activity_id", "status")))
+    for ts, event, activity, status in rows:
+        name = str(activity)
+        after = step(known.get(name), status, ts, event)
+        if after is not None:
+            known[name] = after
+            changed[name, after[0]] = after
+    state.update((json.dumps(known),))
+    if changed:
         rows = [
             (key[0], f"{name}#{n}" if n > 1 else name, n, status, started, updated, event)
             for (name, _), (n, status, started, updated, event) in changed.items()
         ]
         yield pd.DataFrame(rows, columns=[part.split()[0] for part in CHANGES.split(", ")])
 
-    return run
 
-
-def state_stream(events: DataFrame, delay: str = "1 day", keep_hours: int = 24 * 30, spread: int = SPREAD) -> DataFrame:
-    """Changed attempts per trigger. Groups without events are dropped after ``keep_hours``.
+def state_stream(events: DataFrame, spread: int = SPREAD) -> DataFrame:
+    """Changed attempts per trigger. No event is dropped for lateness and no attempt is forgotten.
 
     Events count in the order of arrival and, within a trigger, of time. A group
     is a share of one execution's activities: few enough groups to keep Python
-    calls rare, and a busy execution is still spread over many tasks. The rows of
-    one group in one trigger are sorted in memory; the trigger size bounds them.
+    calls rare, and a busy execution is still spread over many tasks. The source's
+    limit of files or bytes per trigger bounds what a group sees at once.
     """
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    rows = timed.withColumns(
-        {"micros": F.unix_micros("ts"), "share": F.pmod(F.xxhash64("activity_id"), F.lit(spread)).cast("int")}
-    )
-    needed = rows.select("execution_id", "share", "activity_id", "event_id", "status", "micros", "ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.withColumns({"micros": micros, "share": F.pmod(F.xxhash64("activity_id"), F.lit(spread)).cast("int")})
+    needed = rows.select("execution_id", "share", "activity_id", "event_id", "status", "micros")
     changes = needed.groupBy("execution_id", "share").applyInPandasWithState(
-        _advance(keep_hours * 3_600_000), CHANGES, STATE, "update", GroupStateTimeout.EventTimeTimeout
+        _advance, CHANGES, STATE, "update", GroupStateTimeout.NoTimeout
     )
     updated = F.timestamp_micros("updated")
     return changes.select(

@@ -59,19 +59,38 @@ def test_stream_matches_loop_over_several_triggers(spark, tmp_path):
     for part in range(3):
         spark.createDataFrame(rows[part * 200 : part * 200 + 200], SCHEMA).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(SCHEMA).parquet(source)
-        write_states(state_stream(stream, "30 days"), str(tmp_path / "out"), str(tmp_path / "check"))
+        write_states(state_stream(stream), str(tmp_path / "out"), str(tmp_path / "check"))
     got = latest_states(spark, str(tmp_path / "out"))
     got = got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "completed_at", "updated_at")})
     assert as_dict(got) == plain_states(rows)
 
 
-def test_unique_stream(spark, tmp_path):
-    rows = random_events(50)
-    spark.createDataFrame(rows + rows[:20], SCHEMA).write.parquet(str(tmp_path / "in"))
-    stream = unique_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), "3 days")
-    query = stream.writeStream.option("checkpointLocation", str(tmp_path / "check")).format("parquet")
+def test_unique_stream_in_any_order(spark, tmp_path):
+    rows = random_events(60)
+    rows.sort(key=lambda r: -r[4].timestamp())  # the latest arrive first
+    lost_id = rows[0][:2] + (None,) + rows[0][3:]
+    for part in range(3):
+        own = rows[part * 20 : part * 20 + 20] + rows[:10] + [lost_id]
+        spark.createDataFrame(own, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = unique_stream(source).writeStream.option("checkpointLocation", str(tmp_path / "check")).format("parquet")
     query.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
-    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(50))
+    found = [r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(i for i in found if i is not None) == list(range(60)) and found.count(None) == 3
+
+
+def test_a_late_event_counts_when_it_arrives(spark, tmp_path):
+    day = dt.timedelta(days=1)
+    arrivals = [
+        [(1, "a", 1, "running", START + 90 * day)],
+        [(1, "a", 2, "completed", START)],  # 90 days late, and not dropped
+        [(1, "a", 3, "running", START + day)],  # opens the second attempt
+    ]
+    for rows in arrivals:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        write_states(state_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "check"))
+    got = latest_states(spark, str(tmp_path / "out")).collect()
+    assert sorted((r.activity_id, r.attempt, r.status, r.event_id) for r in got) == [("a", 1, "completed", 2), ("a#2", 2, "running", 3)]
 
 
 def test_events_without_id_are_kept(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from saltmarsh.catalog.base import Book, Tables
 from saltmarsh.catalog.texts import sql_squash
@@ -28,22 +28,67 @@ def _sql_plain(column: str) -> str:
 SQL_TITLE = sql_squash(_sql_plain("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1)"))
 _SQL_CLEAN = f"regexp_replace(html, '{html.removal_pattern()}', ' ', 'g')"
 
-SQL_ARTICLES = f"""
-bodies AS (SELECT page_id, url, {SQL_TITLE} AS title, regexp_extract({_SQL_CLEAN}, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1) AS body FROM pages),
-paras AS (SELECT page_id, u.i, {sql_squash(_sql_plain("split_part(u.p, chr(2), 1)"))} AS p
-  FROM bodies, unnest(string_split(regexp_replace(regexp_replace(body, '(?i)<p(\\s[^>]*)?>', chr(1), 'g'), '(?i)</p\\s*>', chr(2), 'g'), chr(1))) WITH ORDINALITY AS u(p, i) WHERE u.i > 1),
-uniq AS (SELECT page_id, p, min(i) AS i FROM paras WHERE p <> '' AND NOT (contains(lower(p), 'baca juga:') OR contains(lower(p), 'advertisement')
+
+
+def sql_articles(html_column: str = "html") -> str:
+    """Articles by tags in a row with running counts: depth of each body kind, number and end of each p."""
+    kinds = {"a": "name = 'article'", "m": "name = 'main'"}
+    depths = ", ".join(
+        f"sum(CASE WHEN {rule} THEN CASE WHEN closing THEN -1 ELSE 1 END ELSE 0 END) OVER w AS depth_{k}" for k, rule in kinds.items()
+    )
+    return f"""
+shown AS (SELECT page_id, url, html AS raw, regexp_replace(regexp_replace({html_column}, '(?s)<!--.*?-->', '', 'g'), '(?is)<script.*?</script>|<style.*?</style>', '', 'g') AS html FROM pages),
+tags AS (SELECT page_id, u.i, lower(regexp_extract(u.tok, '^</?([a-zA-Z0-9]+)', 1)) AS name, u.tok LIKE '</%' AS closing,
+    regexp_matches(u.tok, '^<[^>]*role=["'']main') AS main_role, regexp_extract(u.tok, '>([^<]*)$', 1) AS txt
+  FROM shown, unnest(regexp_extract_all(html, '<[^>]*>[^<]*')) WITH ORDINALITY AS u(tok, i)),
+counted AS (SELECT *, {depths}, sum(CASE WHEN main_role THEN 1 ELSE 0 END) OVER w AS depth_r,
+    sum(CASE WHEN name = 'p' AND NOT closing THEN 1 ELSE 0 END) OVER w AS pno FROM tags WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+pieces AS (SELECT *, sum(CASE WHEN (name = 'p' AND closing) OR name IN ('article', 'main') OR main_role THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, pno ORDER BY i) AS ended
+  FROM counted WHERE pno > 0),
+whole AS (SELECT page_id, pno, string_agg(CASE WHEN name = 'br' THEN ' ' || txt ELSE txt END, '' ORDER BY i) FILTER (ended = 0) AS raw,
+    arg_min(depth_a, i) AS da, arg_min(depth_m, i) AS dm, arg_min(depth_r, i) AS dr FROM pieces GROUP BY 1, 2),
+paras AS (SELECT page_id, pno, k, {sql_squash('raw')} AS p FROM whole, (VALUES (1), (2), (3)) kinds(k)
+  WHERE CASE k WHEN 1 THEN da WHEN 2 THEN dm ELSE dr END > 0),
+uniq AS (SELECT page_id, p, min(k * 1000000 + pno) AS i FROM paras WHERE p <> '' AND NOT (contains(lower(p), 'baca juga:') OR contains(lower(p), 'advertisement')
   OR contains(lower(p), 'sponsored') OR contains(lower(p), 'ikuti kami')) GROUP BY 1, 2),
 texts AS (SELECT page_id, string_agg(p, chr(10) || chr(10) ORDER BY i) AS content FROM uniq GROUP BY 1),
+firsts AS (SELECT page_id, url, {SQL_TITLE.replace('html', 'raw')} AS title, {sql_squash(_sql_plain("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)"))} AS body FROM shown),
 articles AS (SELECT b.page_id, b.url, {_sql_decode('b.title')} AS title, 'Finance' AS category, CAST(NULL AS VARCHAR) AS author,
-   CAST(NULL AS VARCHAR) AS published_at, {_sql_decode('coalesce(t.content, ' + sql_squash(_sql_plain('b.body')) + ')')} AS content
-  FROM bodies b LEFT JOIN texts t USING (page_id) WHERE b.title <> '' AND coalesce(t.content, {sql_squash(_sql_plain('b.body'))}) <> '')
+   CAST(NULL AS VARCHAR) AS published_at, {_sql_decode("coalesce(t.content, b.body)")} AS content
+  FROM firsts b LEFT JOIN texts t USING (page_id) WHERE b.title <> '' AND coalesce(t.content, b.body) <> '')
 """
 
 
-@BOOK.add("t10_extracted_articles", f"WITH {SQL_ARTICLES} SELECT * FROM articles")
+SQL_ARTICLES = sql_articles()
+
+# Shapes that the given pages lack: text of a main element around the article, a second article
+# with a nested box, a page whose body is known by its role alone.
+_RESHAPED = """CASE page_id % 4
+  WHEN 0 THEN replace(html, '<article>', '<main class=''x''><p>Before page ' || page_id || '</p><article>') || '<p>After</p></main><p>Outside</p>'
+  WHEN 1 THEN html || '<article><p>Second of ' || page_id || '<div class="related"><div><p>Inner box</div><p>After inner</p></div></article><p>Outside</p>'
+  WHEN 2 THEN replace(replace(html, '<article>', '<div role=''main''>'), '</article>', '</div>')
+  ELSE html END"""
+
+
+@BOOK.add("t10_extracted_articles", f"WITH {sql_articles(_RESHAPED)} SELECT * FROM articles")
 def _articles(t: Tables) -> DataFrame:
-    return html.extract_articles(t.pages)
+    page, number = F.col("html"), F.col("page_id")
+
+    def change(text: Column, old: str, new: Column | str) -> Column:
+        return F.replace(text, F.lit(old), F.lit(new) if isinstance(new, str) else new)
+
+    before = F.concat(F.lit("<main class='x'><p>Before page "), number.cast("string"), F.lit("</p><article>"))
+    second = F.concat(
+        F.lit("<article><p>Second of "), number.cast("string"),
+        F.lit('<div class="related"><div><p>Inner box</div><p>After inner</p></div></article><p>Outside</p>'),
+    )
+    reshaped = (
+        F.when(number % 4 == 0, F.concat(change(page, "<article>", before), F.lit("<p>After</p></main><p>Outside</p>")))
+        .when(number % 4 == 1, F.concat(page, second))
+        .when(number % 4 == 2, change(change(page, "<article>", "<div role='main'>"), "</article>", "</div>"))
+        .otherwise(page)
+    )
+    return html.extract_articles(t.pages.withColumn("html", reshaped))
 
 
 @BOOK.add("t09_pages_without_noise", f"SELECT page_id, {_SQL_CLEAN} AS html FROM pages")

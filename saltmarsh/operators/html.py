@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from saltmarsh.functions import text as tx
-from saltmarsh.functions.values import filled, let, rest
+from saltmarsh.functions.values import filled, let
 
 # Elements and class/id words whose content is no article text.
 REMOVED_ELEMENTS = ("script", "style", "noscript", "iframe", "nav", "header", "footer", "aside", "form")
@@ -19,8 +19,10 @@ REMOVED_EXACT_CLASSES = ("ad", "ads")
 DEFAULT_CATEGORY = "Finance"
 LOGIN_TEXT = "log in|login|sign in|authentication required|masuk"
 LOGIN_URL = "login|signin|auth|account"
-# Control characters that cannot occur in a page mark paragraph borders.
-_OPEN, _CLOSE = "\x01", "\x02"
+# Control characters that cannot occur in a page mark borders of paragraphs and bodies.
+_OPEN, _CLOSE, _IN, _OUT = "\x01", "\x02", "\x03", "\x04"
+# What a browser shows nothing of.
+UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>"
 
 
 def removal_pattern() -> str:
@@ -38,11 +40,27 @@ def remove_noise(page: Column) -> Column:
     return F.regexp_replace(page, removal_pattern(), " ")
 
 
-def _decode_entities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+# The common character entities, the ampersand last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\xa0"), ("&copy;", "\xa9"), ("&middot;", "\xb7"))
+
+
+def _decode_rest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(lambda text: _html.unescape(text) if isinstance(text, str) else None)
 
 
+def decoded(text: Column) -> Column:
+    """Character entities decoded, the common ones inside the JVM.
+
+    Only texts that hold another one go through Python; for all others it gets null.
+    """
+    other = F.regexp_replace(text, "&(?:lt|gt|quot|#39|nbsp|copy|middot|amp);", "").contains("&")
+    plain = text
+    for entity, char in (*ENTITIES, ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return F.coalesce(F.pandas_udf(_decode_rest, T.StringType())(F.when(other, text)), plain)
+
+
 def plain_text(markup: Column) -> Column:
     """Text between tags; line-break tags separate words."""
     return F.regexp_replace(F.regexp_replace(markup, r"(?i)<br\s*/?>", " "), r"(?s)<[^>]*>", "")
@@ -53,10 +71,10 @@ def first_element(page: Column, *patterns: str) -> Column:
     return F.coalesce(*[filled(tx.squash(plain_text(F.regexp_extract(page, p, 1)))) for p in patterns])
 
 
-# Where each field of an article may stand.
+# Where each field of an article may stand; attributes in either order and quotes.
 TITLE = (
     r"(?is)<h1\b[^>]*>(.*?)</h1\s*>",
-    r"(?is)<meta\b[^>]*property=\"og:title\"[^>]*content=\"([^\"]*)\"",
+    r"(?is)<meta\b(?=[^>]*property=[\"']og:title[\"'])[^>]*content=[\"']([^\"'>]*)[\"']",
 )
 AUTHOR = (
     r"(?is)<[a-z]+\b[^>]*rel=\"author\"[^>]*>(.*?)</",
@@ -70,55 +88,86 @@ CATEGORY = (
     r"(?is)<[a-z]+\b[^>]*rel=\"category\"[^>]*>(.*?)</",
     r"(?is)<[a-z]+\b[^>]*class=\"[^\"]*category[^\"]*\"[^>]*>(.*?)</",
 )
+# The elements whose paragraphs are the article, in the order they are read.
+BODIES = ("article", "main", "[role=main]")
 BODY = (
     r"(?is)<article\b[^>]*>(.*?)</article\s*>",
     r"(?is)<main\b[^>]*>(.*?)</main\s*>",
-    r"(?is)<[a-z]+\b[^>]*role=\"main\"[^>]*>(.*)",
+    r"(?is)<[a-z]+\b[^>]*role=[\"']main[\"'][^>]*>(.*)",
 )
 
 
-def body_markup(page: Column) -> Column:
-    return F.coalesce(*[filled(F.regexp_extract(page, p, 1)) for p in BODY])
-
-
-def paragraph_texts(body: Column) -> Column:
-    """Texts of all p elements; an unclosed p ends where the next one starts."""
-    opened = F.regexp_replace(body, r"(?i)<p(?:\s[^>]*)?>", _OPEN)
-    closed = F.regexp_replace(opened, r"(?i)</p\s*>", _CLOSE)
-    return F.transform(rest(F.split(closed, _OPEN)), lambda p: plain_text(F.split_part(p, F.lit(_CLOSE), F.lit(1))))
+def paragraphs_inside(seen: Column, element: str) -> Column:
+    """Texts of all p elements anywhere inside elements of a name, nested or many, in document order.
 
-
-def _decoded(column: Column) -> Column:
-    return F.pandas_udf(_decode_entities, T.StringType())(column)
+    A p ends at its end tag, at the next p, or where a body begins or ends. An
+    element known by its role reaches to the end of the page.
+    """
+    if element.startswith("["):
+        begin, end = r"(?i)<[a-z]+\b[^>]*role=[\"']main[\"'][^>]*>", None
+    else:
+        begin, end = rf"(?i)<{element}\b[^>]*>", rf"(?i)</{element}\s*>"
+    marked = F.regexp_replace(seen, begin, _IN)
+    marked = F.regexp_replace(marked, end, _OUT) if end else marked
+    marked = F.regexp_replace(F.regexp_replace(marked, r"(?i)<p(?:\s[^>]*)?>", _OPEN), r"(?i)</p\s*>", _CLOSE)
+    # Other borders of bodies end a paragraph, too.
+    marked = F.regexp_replace(marked, r"(?i)</?(?:article|main)\b[^>]*>", _CLOSE)
+
+    def depth(part: Column) -> Column:
+        return F.length(F.regexp_replace(part, f"[^{_IN}]", "")) - F.length(F.regexp_replace(part, f"[^{_OUT}]", ""))
+
+    def inside(parts: Column) -> Column:
+        # Depth after each part, one running sum over the parts.
+        start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("before"))
+        depths = F.aggregate(
+            parts,
+            start,
+            lambda s, part: F.struct((s["depth"] + depth(part)).alias("depth"), F.concat(s["before"], F.array(s["depth"])).alias("before")),
+            lambda s: s["before"],
+        )
+        kept = F.filter(F.zip_with(parts, depths, lambda part, d: F.when(d > 0, part)), lambda part: part.isNotNull())
+        return F.transform(kept, lambda part: plain_text(F.regexp_extract(part, f"^[^{_CLOSE}{_IN}{_OUT}]*", 0)))
+
+    # The piece before the first p keeps its place: nothing is open before it, so it never counts.
+    return let(F.split(marked, _OPEN), inside)
+
+
+def first_body(seen: Column) -> Column:
+    return F.coalesce(*[filled(tx.squash(plain_text(F.regexp_extract(seen, p, 1)))) for p in BODY])
 
 
 def extract_articles(pages: DataFrame, html: str = "html", fallback_title: str | None = None) -> DataFrame:
     """Title, category, author, time and content of every page that has title and content.
 
-    Structure is found by patterns in the JVM; only the decoding of character
-    entities goes through Python, in Arrow batches.
+    Content is every paragraph inside article elements, then inside main elements,
+    then inside elements with that role, each text once; without any, the whole
+    text of the first body.
     """
     page = F.col(html)
     fallback = F.col(fallback_title) if fallback_title else F.lit(None).cast("string")
     keep = [c for c in pages.columns if c != html]
 
-    def content_of(body: Column) -> Column:
-        paragraphs = filled(tx.clean_paragraphs(paragraph_texts(body)))
-        return F.coalesce(paragraphs, filled(tx.squash(plain_text(body))))
+    def content_of(seen: Column) -> Column:
+        found = F.concat(*[paragraphs_inside(seen, element) for element in BODIES])
+        return F.coalesce(filled(tx.clean_paragraphs(found)), first_body(seen))
 
     article = F.struct(
         F.coalesce(first_element(page, *TITLE), fallback).alias("title"),
         F.coalesce(first_element(page, *CATEGORY), F.lit(DEFAULT_CATEGORY)).alias("category"),
         first_element(page, *AUTHOR).alias("author"),
         first_element(page, *PUBLISHED).alias("published_at"),
-        let(let(remove_noise(page), body_markup), content_of).alias("content"),
+        let(F.regexp_replace(page, UNSEEN, ""), content_of).alias("content"),
     )
     # Incomplete articles are dropped inside the generator: a filter would be
     # pushed below the extraction and run all of it a second time.
     complete = F.filter(F.array(article), lambda a: a["title"].isNotNull() & a["content"].isNotNull())
     found = pages.select(*keep, F.inline(complete))
+    # The fields of a page pass Python as one text, and only if one of them needs it.
     names = ("title", "author", "published_at", "category", "content")
-    return found.select(*keep, *[_decoded(F.col(c)).alias(c) for c in names])
+    shown = [F.when(F.col(n).isNotNull(), F.concat(F.lit("+"), F.col(n))).otherwise(F.lit("-")) for n in names]
+    parts = found.withColumn("_fields", F.split(decoded(F.concat_ws(_OPEN, *shown)), _OPEN))
+    part = [F.get("_fields", F.lit(i)) for i in range(len(names))]
+    return parts.select(*keep, *[F.when(F.startswith(p, F.lit("+")), F.substr(p, F.lit(2))).alias(n) for p, n in zip(part, names)])
 
 
 def is_login_page(url: Column, page: Column) -> Column:

@@ -8,7 +8,6 @@ from saltmarsh.catalog.base import Book, Tables
 from saltmarsh.catalog.texts import sql_chunks
 from saltmarsh.functions import questions as qs, vectors as vx
 from saltmarsh.operators import ranking as rk
-from saltmarsh.operators.rows import broadcast_if_small
 from saltmarsh.operators.vectorize import hash_vectors
 from saltmarsh.plans.indexing import index_rows, internal_rows, news_rows
 from saltmarsh.plans.retrieval import evidence_context, hashing, retrieve
@@ -40,8 +39,8 @@ NEAR = f"""{CENTRES}, dist AS (SELECT query_id, vec_id, label, {_gap('embedding'
 
 
 def with_own_centre(t: Tables) -> DataFrame:
-    """Every vector beside the centre of its label; few labels are broadcast."""
-    centres = broadcast_if_small(label_centres(t).withColumnRenamed("embedding", "centre"))
+    """Every vector beside the centre of its label."""
+    centres = label_centres(t).withColumnRenamed("embedding", "centre")
     vectors = t.embeddings.select("vec_id", F.col("label").cast("bigint").alias("query_id"), "embedding")
     return vectors.join(centres, "query_id")
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from saltmarsh.operators.rows import number_ordered
+
 
 def search_rows(df: DataFrame, needle: str) -> DataFrame:
     """Rows in which any column holds the needle, ignoring case. Null never matches."""
@@ -24,10 +26,17 @@ def sort_rows(df: DataFrame, column: str, descending: bool = False, tiebreak: Se
 
 
 def page_rows(ordered: DataFrame, page: int, per_page: int) -> DataFrame:
-    """One page of an ordered table."""
+    """One page of an ordered table, in order.
+
+    Rows are numbered in the partitions of the sort, so a deep page costs no task
+    more than its own share of the rows.
+    """
     if page < 1 or per_page < 1:
         raise ValueError("page and per_page start at 1")
-    return ordered.offset((page - 1) * per_page).limit(per_page)
+    first = (page - 1) * per_page
+    number = F.col("_number")
+    wanted = number_ordered(ordered, "_number").filter((number >= first) & (number < first + per_page))
+    return wanted.orderBy("_number").drop("_number")
 
 
 def page_info(df: DataFrame, page: int, per_page: int) -> DataFrame:

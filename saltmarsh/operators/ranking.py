@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from saltmarsh.functions import questions as qs, vectors as vx
 from saltmarsh.functions.text import tokens
 
 CANDIDATES = 20
 FINAL = 5
-# Queries handled in one scan of the index; more queries take more scans.
-QUERY_BLOCK = 256
+# Queries that one task holds beside a block of the index.
+QUERY_BLOCK = 2048
 
 # Relevance thresholds.
 SHORT_QUERY_WORDS = 3
@@ -23,72 +23,30 @@ THRESHOLD = 0.20
 SOURCE_THRESHOLD = 0.2
 
 
-def query_vectors(df: DataFrame, query_id: str, vector: str) -> Iterator[list[tuple[int, list[float]]]]:
-    """Blocks of at most QUERY_BLOCK query vectors, so that a block fits in a task closure.
-
-    A single block, the usual case, is fetched by one job; more queries are
-    streamed block by block.
-    """
-    vectors = df.select(F.col(query_id).cast("bigint"), vector)
-    head = vectors.limit(QUERY_BLOCK + 1).collect()
-    rows = head if len(head) <= QUERY_BLOCK else vectors.toLocalIterator()
-    block: list[tuple[int, list[float]]] = []
-    for row in rows:
-        block.append((row[0], list(row[1])))
-        if len(block) == QUERY_BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-def _scan_block(index: DataFrame, key: str, vector: str, block: list, k: int) -> DataFrame:
-    ids = np.array([qid for qid, _ in block], dtype=np.int64)
-    wanted = np.array([v for _, v in block], dtype=np.float64)
-
-    sizes = np.square(wanted).sum(axis=1)
-
-    def nearest_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_key = [np.empty(0, dtype=np.int64) for _ in ids]
-        best_gap = [np.empty(0, dtype=np.float64) for _ in ids]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            rows = flat.reshape(batch.num_rows, -1)
+def _nearest_in_block(k: int, key: str):
+    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found: list[pd.DataFrame] = []
+        if len(rows) and len(asked):
+            widths = set(rows["vector"].map(len)) | set(asked["vector"].map(len))
+            if len(widths) > 1:
+                raise ValueError(f"vectors of different widths: {sorted(widths)}")
+            points = np.stack(rows["vector"].to_numpy()).astype(np.float64)
+            wanted = np.stack(asked["vector"].to_numpy()).astype(np.float64)
             # One matrix product estimates all distances. Rows within rounding of
             # the k-th estimate are then measured exactly.
-            lengths = np.square(rows).sum(axis=1)
-            rough = lengths[:, None] - 2.0 * (rows @ wanted.T) + sizes
+            lengths, sizes = np.square(points).sum(axis=1), np.square(wanted).sum(axis=1)
+            rough = lengths - 2.0 * (wanted @ points.T) + sizes[:, None]
             slack = 1e-9 * (lengths.max() + sizes.max() + 1.0)
-            for i, query in enumerate(wanted):
-                guess = rough[:, i]
-                limit = np.partition(guess, k - 1)[k - 1] if len(guess) > k else np.inf
-                if len(best_gap[i]) == k:
-                    limit = min(limit, best_gap[i][-1])
-                close = np.flatnonzero(guess <= limit + slack)
-                if not len(close):
-                    continue
-                gaps = np.square(rows[close] - query).sum(axis=1)
-                key_pool = np.concatenate([best_key[i], keys[close]])
-                gap_pool = np.concatenate([best_gap[i], gaps])
-                keep = np.lexsort((key_pool, gap_pool))[:k]
-                best_key[i], best_gap[i] = key_pool[keep], gap_pool[keep]
-        counts = [len(found) for found in best_key]
-        if sum(counts):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(ids, counts)),
-                    pa.array(np.concatenate(best_key)),
-                    pa.array(np.concatenate(best_gap)),
-                ],
-                names=["query_id", key, "distance"],
-            )
-
-    schema = f"query_id bigint, `{key}` bigint, distance double"
-    usable = index.filter(F.size(vector) == wanted.shape[1])
-    return usable.select(F.col(key).cast("bigint"), vector).mapInArrow(nearest_in_task, schema)
+            take = min(k, len(points))
+            limits = np.partition(rough, take - 1, axis=1)[:, take - 1] + slack
+            for i, name in enumerate(asked["query_id"]):
+                close = np.flatnonzero(rough[i] <= limits[i])
+                near = pd.DataFrame({key: rows["key"].to_numpy()[close], "distance": np.square(points[close] - wanted[i]).sum(axis=1)})
+                near.insert(0, "query_id", name)
+                found.append(near.sort_values(["distance", key]).head(k))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], key: [], "distance": []})
+
+    return search
 
 
 def nearest(
@@ -103,17 +61,34 @@ def nearest(
 ) -> DataFrame:
     """Exact k nearest rows per query: query_id, key, distance, rank.
 
-    Every task keeps its own k best rows per query while it reads, so only
-    k rows per task and query are shuffled. ``where`` filters the index first.
+    The index is scanned and shuffled once, into as many blocks as there are
+    shuffle partitions; every block meets the queries in blocks of QUERY_BLOCK and
+    gives its own k best of each. Queries never pass the driver. ``where`` filters
+    the index first. Null vectors take no part; vectors of different widths are an error.
     """
     scanned = index if where is None else index.filter(where)
-    found: DataFrame | None = None
-    for block in query_vectors(queries, query_id, query_vector):
-        part = _scan_block(scanned, key, vector, block, k)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        spark = index.sparkSession
-        return spark.createDataFrame([], f"query_id bigint, `{key}` bigint, distance double, rank int")
+    rows = scanned.select(F.col(key).alias("key"), F.col(vector).alias("vector")).filter(F.col("vector").isNotNull())
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector")).filter(F.col("vector").isNotNull())
+    row_blocks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+
+    def own(name: str, blocks: int) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
+
+    def every(blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    left = rows.withColumn("row_block", own("key", row_blocks)).withColumn("query_block", every(query_blocks))
+    right = asked.withColumn("query_block", own("query_id", query_blocks)).withColumn("row_block", every(row_blocks))
+    schema = T.StructType(
+        [
+            T.StructField("query_id", asked.schema["query_id"].dataType),
+            T.StructField(key, rows.schema["key"].dataType),
+            T.StructField("distance", T.DoubleType()),
+        ]
+    )
+    blocks = ["row_block", "query_block"]
+    found = left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInPandas(_nearest_in_block(k, key), schema)
     order = W.partitionBy("query_id").orderBy("distance", key)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

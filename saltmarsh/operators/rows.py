@@ -8,19 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from saltmarsh.scratch import run_folder
 
-# Every row is compared with each split point, and the sample passes the driver.
-MAX_SLICES = 512
-SAMPLE_PER_SLICE = 40
-# Rows that may be broadcast once they were counted.
-SMALL_ROWS = 10_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """The frame marked for broadcast when it was counted to be small, else unchanged.
-
-    Counting stops after ``rows``. A larger frame is joined by shuffle.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+# Row ids of Spark: the partition above these bits, the place in it below.
+PLACE_BITS = 33
 
 
 def filter_computed(df: DataFrame, condition: Column) -> DataFrame:
@@ -63,47 +52,30 @@ def distinct_rows(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_id", slices: int | None = None) -> DataFrame:
     """Number all rows 0..N-1 in the given order without sorting them in one task.
 
-    Split points are drawn from a sample of the order key and become constants of
-    the plan, so every evaluation puts a row into the same slice. Rows are ranked
-    inside their slice and shifted by the row count of the slices before it. Only
-    one row per slice is handled in a single task.
+    Rows are cut into ranges of the order, as many as there are shuffle partitions
+    unless ``slices`` says otherwise, and sorted inside. The sorted rows are written
+    once, so that places stay what they are when an executor is lost. Rows that are
+    equal in the order stay in one range.
     """
-    spark = df.sparkSession
-    slices = slices or min(MAX_SLICES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = _split_points(df, order, slices)
-    key = F.struct(*order)
-    if cuts:
-        bounds = F.array(*[F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, cut)]) for cut in cuts])
-        part = F.size(F.filter(bounds, lambda bound: bound <= key))
-    else:
-        part = F.lit(0)
-    sliced = df.withColumn("_slice", part)
-    ranked = sliced.withColumn("_rank", F.row_number().over(W.partitionBy("_slice").orderBy(*order)))
-    before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    shift = (
-        sliced.groupBy("_slice")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
-    )
-    # The shift table has at most one row per slice.
-    numbered = ranked.join(F.broadcast(shift), "_slice")
-    return numbered.select(*df.columns, (F.col("_shift") + F.col("_rank") - 1).alias(name))
-
-
-def _split_points(df: DataFrame, order: Sequence[str], slices: int) -> list[tuple]:
-    """At most ``slices - 1`` keys that cut the order into similar parts."""
-    wanted = SAMPLE_PER_SLICE * slices
-    keys = df.select(*order)
-    # A random draw of fixed size: the heap keeps ``wanted`` rows per task.
-    drawn = keys.orderBy(F.rand(17)).limit(wanted).orderBy(*order).collect()
-    points: list[tuple] = []
-    for i in range(1, slices):
-        if not drawn:
-            break
-        point = tuple(drawn[i * len(drawn) // slices])
-        if None not in point and point not in points:
-            points.append(point)
-    return points
+    ranged = df.repartitionByRange(slices, *order) if slices else df.repartitionByRange(*order)
+    return _numbered(ranged.sortWithinPartitions(*order), name)
+
+
+def number_ordered(ordered: DataFrame, name: str = "row_id") -> DataFrame:
+    """Number the rows of a sorted table 0..N-1."""
+    return _numbered(ordered, name)
+
+
+def _numbered(sorted_rows: DataFrame, name: str) -> DataFrame:
+    place = F.monotonically_increasing_id()
+    placed = materialise(sorted_rows.withColumn("_place", place), "numbered")
+    part = F.shiftright("_place", PLACE_BITS).alias("_part")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_rows"))
+    # One row per partition of the sort.
+    shift = F.broadcast(counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift")))
+    numbered = placed.withColumn("_part", part).join(shift, "_part")
+    return numbered.select(*sorted_rows.columns, (F.col("_shift") + F.col("_place").bitwiseAND((1 << PLACE_BITS) - 1)).alias(name))
 
 
 def merge_by_key(base: DataFrame, updates: DataFrame, keys: Sequence[str], policy: str = "keep") -> DataFrame:

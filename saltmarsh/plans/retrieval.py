@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from saltmarsh.operators.evidence import context_text
-from saltmarsh.operators.ranking import CANDIDATES, FINAL, QUERY_BLOCK, nearest, rerank, understand
+from saltmarsh.operators.ranking import CANDIDATES, FINAL, nearest, rerank, understand
 from saltmarsh.operators.vectorize import hash_vectors
 
 Embedder = Callable[[DataFrame, str], DataFrame]
@@ -27,7 +27,7 @@ def retrieve(
 ) -> DataFrame:
     """Best chunks per question.
 
-    ``index`` has chunk_key (bigint), text, embedding and display columns;
+    ``index`` has chunk_key, text, embedding and display columns;
     ``questions`` has query_id and text. The candidates, at most a handful per
     question, are joined back to the index for their text.
     """
@@ -36,9 +36,6 @@ def retrieve(
     # where-filter and top-k happen in one scan of key and vector only
     found = nearest(index, asked, key="chunk_key", k=candidates, where=where)
     words = asked.select("query_id", "keywords")
-    if asked.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
-        # At most QUERY_BLOCK times ``candidates`` rows: the index is not shuffled for them.
-        found, words = F.broadcast(found), F.broadcast(words)
     texts = index.drop("embedding").join(found, "chunk_key")
     return rerank(texts.join(words, "query_id"), final=final)
 

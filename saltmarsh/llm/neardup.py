@@ -7,11 +7,13 @@ of fixed size, as the hashing trick does.
 
 Improved consistent weighted sampling draws from each set samples (shingle,
 step); two sets agree in a sample with the probability of their weighted Jaccard
-similarity. ``ROWS`` samples make a band. Texts that share a band are candidates:
-each is compared with one representative of the bucket, so a bucket of any size
-costs one comparison per member and band. Those at 0.8 or more are linked. As
-long as links are found, buckets whose members fell into several classes get
-other representatives. Classes are the connected components of the links.
+similarity. ``ROWS`` samples make a band. Texts that share a band are candidates.
+The texts of a bucket are compared with its heads: the few that share the most
+bands with others anywhere, such as the original of a family of edited copies.
+So a bucket of any size costs a fixed number of comparisons per member. Every
+band has buckets and heads of its own, and pairs at 0.8 or more share about half
+of all bands. Compared texts at 0.8 or more are linked; classes are the connected
+components of the links.
 
 Texts that are equal byte by byte are one text up to the last step. Texts
 without a word (null and empty ones too) are never copies: each is a class of
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from saltmarsh.llm.components import components
 from saltmarsh.llm.words import mix, word_hashes
@@ -36,6 +38,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 14
 ROWS = 3
+HEADS = 4
 SLOT_BITS = 20
 # Slots that travel in one row while document frequencies are added up.
 CHUNK_SLOTS = 1 << 12
@@ -264,9 +267,17 @@ def near_duplicates(
     # One row per text and band; buckets that hold more than one text.
     texts = worded.groupBy("uid").agg(F.first("bands").alias("bands"), F.min("key").alias("key"))
     members = texts.select("uid", F.explode("bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("bucket")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     members = materialise(members.join(materialise(sizes, "buckets"), "bucket"), "members")
 
+    # Every member beside the heads of its bucket.
+    standing = materialise(members.groupBy("uid").agg(F.sum("texts").alias("standing")), "standing")
+    place = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("standing"), "uid"))
+    heads = members.join(standing, "uid").withColumn("place", place).filter(F.col("place") <= HEADS)
+    heads = materialise(heads.select("bucket", F.col("uid").alias("head")), "heads")
+    pairs = members.join(heads, "bucket").filter("uid <> head")
+    pairs = pairs.select(F.greatest("uid", "head").alias("a"), F.least("uid", "head").alias("b")).distinct()
+
     # The shingles of their texts, each text once: one row that holds it is looked up by key and text.
     wanted = members.select("uid").distinct().join(worded.groupBy("uid").agg(F.min("key").alias("key")), "uid")
     held = docs.select(F.col(key).alias("key"), text_id(text).alias("uid"), F.col(text).alias("text"))
@@ -274,33 +285,10 @@ def near_duplicates(
     found = held.alias("h").join(wanted.alias("w"), same, "left_semi")
     sets = materialise(shingle_sets(found.dropDuplicates(["uid", "key"])), "shingles")
 
-    labels = links = None
-    turn = 0
-    while True:
-        if labels is None:
-            sided = members.withColumn("label", F.col("uid"))
-        else:
-            known = labels.withColumnRenamed("node", "uid")
-            sided = materialise(members.join(known, "uid", "left").withColumn("label", F.coalesce("label", "uid")), "sided")
-        # The representative of a bucket is its first text in an order that changes with every turn.
-        order = F.struct(F.xxhash64("uid", F.lit(turn)).alias("order"), F.col("uid"), F.col("label"))
-        heads = sided.groupBy("bucket").agg(
-            F.min(order).alias("head"), F.min("label").alias("low"), F.max("label").alias("high")
-        ).filter("low <> high")
-        heads = materialise(heads.select("bucket", F.col("head.uid").alias("b"), F.col("head.label").alias("b_label")), "heads")
-        edges = sided.join(heads, "bucket").filter("label <> b_label").select(F.col("uid").alias("a"), "b").distinct()
-        new = materialise(verified(edges, sets, weights, similarity), "links")
-        if new.isEmpty():
-            break
-        links = new if links is None else links.union(new)
-        labels = materialise(components(links, "a", "b"), "labels")
-        turn += 1
-
-    if labels is None:
-        classed = worded.select("key", "uid", F.col("uid").alias("label"))
-    else:
-        known = labels.withColumnRenamed("node", "uid")
-        classed = worded.select("key", "uid").join(known, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    links = materialise(verified(pairs, sets, weights, similarity), "links")
+    labels = materialise(components(links, "a", "b"), "labels")
+    known = labels.withColumnRenamed("node", "uid")
+    classed = worded.select("key", "uid").join(known, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     classed = materialise(classed, "classed")
     least = materialise(classed.groupBy("label").agg(F.min("key").alias("class_id")), "classes")
     grouped = classed.join(least, "label").select("key", F.col("uid").alias("text_id"), "class_id")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from saltmarsh.llm.worker import process_cache, slices, texts_of
 
 # Units that a worker keeps before it drops the rare ones, by number and by characters.
-KEPT_UNITS = 500_000
+KEPT_UNITS = 1_000_000
 KEPT_CHARS = 24 << 20
 # New units that go to the tokenizers library as one text.
 JOINED_UNITS = 2_000

@@ -338,6 +338,11 @@ def _preview(t: Tables) -> DataFrame:
     return paging.preview(t.orders, 50, "o_orderdate", "o_orderkey")
 
 
+@BOOK.add("o03_preview_info", "SELECT count(*) AS total, least(count(*), 50) AS shown, 'r_regionkey,r_name' AS columns FROM region")
+def _preview_info(t: Tables) -> DataFrame:
+    return paging.preview_info(t.region.select("r_regionkey", "r_name"), 50).withColumn("columns", F.array_join("columns", ","))
+
+
 @BOOK.add("u01_union_by_name", "SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL FROM supplier")
 def _by_name(t: Tables) -> DataFrame:
     customers = t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))

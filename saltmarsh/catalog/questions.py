@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from saltmarsh.catalog.base import Book, Tables
@@ -93,8 +95,15 @@ def _m(pattern: str) -> str:
     return f"regexp_matches(text, '(?i){pattern}')"
 
 
+def _in_one_line(rule: str) -> str:
+    """The two lookaheads of a rule, tried on every line."""
+    first, second = re.findall(r"\(\?=\.\*(.*?\\b)\)", rule)
+    tests = " AND ".join(f"regexp_matches(line, '(?i){p}')" for p in (first, second))
+    return f"len([line FOR line IN string_split(replace(text, chr(13), chr(10)), chr(10)) IF {tests}]) > 0"
+
+
 _FLAG_SQL = f"""WITH {Q}, f AS (SELECT conv_id, turn, text, {_m(qs.FLAG_MARKET)} AS market, {_m(qs.FLAG_TICKER)} AS ticker, {_m(qs.FLAG_MARKET_CAUSE)} AS cause,
-    {_m(qs.FLAG_PRICE_NOW)} AS now, {_m(qs.FLAG_MARKET_SUBJECT)} AND {_m(qs.FLAG_MARKET_MOVE)} AS moved, {_m(qs.FLAG_NEWS)} AS newsy,
+    {_m(qs.FLAG_PRICE_NOW)} AS now, {_in_one_line(qs.FLAG_MARKET_NEWS)} AS moved, {_m(qs.FLAG_NEWS)} AS newsy,
     {_m(qs.FLAG_FORECAST)} AS forecast, {_m(qs.FLAG_DOCUMENT)} AS document, {_m(qs.FLAG_BUSINESS)} AS business FROM q),
   g AS (SELECT *, ticker OR (market AND cause) AS current, (market OR ticker) AND now AS priced FROM f),
   h AS (SELECT *, current OR newsy OR moved AS news FROM g)
@@ -200,12 +209,15 @@ def _titles(t: Tables) -> DataFrame:
     "o05_ranked_candidates",
     f"""WITH {SQL_TITLES}, s AS (SELECT page_id, title, url, {_sql_named('lower(title)', qs.question_terms(TITLE_QUESTION))} AS score,
           ({_sql_named('lower(title)', list(qs.MARKET_WORDS))}) > 0 AS market, ({_sql_named('lower(title)', list(qs.COMMODITY_WORDS))}) > 0 AS commodity FROM titles)
-        SELECT page_id, title, score FROM s WHERE commodity AND (score > 0 OR market) ORDER BY score DESC, title DESC, url DESC LIMIT 10""",
+        SELECT min(page_id) AS page_id, title, score FROM s WHERE commodity AND (score > 0 OR market) GROUP BY title, url, score
+        ORDER BY score DESC, title DESC, url DESC LIMIT 10""",
 )
 def _ranked(t: Tables) -> DataFrame:
-    """Twice the five requested candidates, best score first."""
-    scored = page_titles(t).withColumn("score", qs.title_score(F.col("title"), TITLE_QUESTION))
-    ranked = scored.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), F.desc("title"), F.desc("url"))
+    """Twice the five requested candidates, best score first; pages found twice count once."""
+    titles = page_titles(t)
+    scored = titles.union(titles).withColumn("score", qs.title_score(F.col("title"), TITLE_QUESTION))
+    known = scored.filter(F.col("score").isNotNull()).groupBy("title", "url", "score").agg(F.min("page_id").alias("page_id"))
+    ranked = known.orderBy(F.desc("score"), F.desc("title"), F.desc("url"))
     return ranked.limit(2 * 5).select("page_id", "title", "score")
 
 

@@ -13,7 +13,7 @@ from saltmarsh.catalog.activity import _STATES, activity_events
 from saltmarsh.catalog.base import Book, Tables
 from saltmarsh.catalog.cleaning import _GAPS, orders_with_gaps
 from saltmarsh.operators.cleaning import sanitise_numbers
-from saltmarsh.plans.medallion import full_run, raw_to_bronze
+from saltmarsh.plans.medallion import full_run, raw_to_bronze, silver_to_gold
 from saltmarsh.scratch import run_folder
 from saltmarsh.sources import documents as docs, sinks, tables as tb
 from saltmarsh.sources.workbook import workbook_columns, workbook_rows
@@ -274,6 +274,22 @@ def _metadata(t: Tables) -> DataFrame:
     return meta.select("layer", "row_count", "column_count", "columns", "missing_values", "status")
 
 
+@BOOK.add(
+    "k04_manifest",
+    """SELECT 'job-1' AS job_id, 'part.csv' AS source_file, 'bronze' AS stage, count(*) AS rows, 'completed' AS status FROM part
+       UNION ALL SELECT 'job-1', 'part.csv', 'silver', count(*), 'completed' FROM part WHERE p_size > 10""",
+)
+def _manifest(t: Tables) -> DataFrame:
+    """The manifest of two stages, written and read back."""
+    path = run_folder(t.spark, "manifest")
+    layers = {"bronze": t.part, "silver": t.part.filter("p_size > 10")}
+    stages = {
+        name: {"rows": sinks.verified_write(rows, f"{path}/{name}").first()["rows_stored"], "status": "completed"} for name, rows in layers.items()
+    }
+    sinks.write_manifest(t.spark, f"{path}/manifest", "job-1", "part.csv", "2024-01-01T00:00:00Z", stages)
+    return sinks.read_manifest(t.spark, f"{path}/manifest").select("job_id", "source_file", "stage", "rows", "status")
+
+
 def raw_sales(t: Tables) -> DataFrame:
     """Orders as a raw sales file with noise in the numbers and two date spellings."""
     date = F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
@@ -309,7 +325,32 @@ _FULL = """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, strftime(o_orderda
   CAST(sum(o_custkey % 9) AS BIGINT) AS total_quantity FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2"""
 
 
-@BOOK.add("g03_gold_from_silver", _FULL)
+@BOOK.add(
+    "g03_gold_from_silver",
+    """SELECT 'location' AS kind, o_orderpriority AS key, round(sum(o_totalprice), 4) AS total_sales, CAST(sum(o_custkey % 9) AS BIGINT) AS total_quantity
+         FROM orders WHERE o_orderstatus <> 'P' GROUP BY 2
+       UNION ALL SELECT 'date', CAST(CAST(o_orderdate AS DATE) AS VARCHAR), round(sum(o_totalprice), 4), CAST(sum(o_custkey % 9) AS BIGINT)
+         FROM orders WHERE o_orderstatus <> 'P' GROUP BY 2""",
+)
+def _gold_only(t: Tables) -> DataFrame:
+    """A silver table that is there already; two of its gold tables are read back."""
+    base = run_folder(t.spark, "gold-only")
+    silver = t.orders.filter(F.col("o_orderstatus") != "P").select(
+        F.col("o_orderkey").cast("string").alias("transactionid"), F.to_date("o_orderdate").alias("date"), F.lit("any").alias("mobilemodel"),
+        F.col("o_totalprice").alias("price"), F.col("o_totalprice").alias("totalrevenue"),
+        F.pmod("o_custkey", F.lit(9)).cast("int").alias("unitssold"), F.col("o_orderpriority").alias("location"),
+    )
+    sinks.write_table(silver, f"{base}/silver")
+    paths = silver_to_gold(t.spark, f"{base}/silver", f"{base}/gold")
+    parts = [
+        t.spark.read.parquet(paths[table]).select(
+            F.lit(kind).alias("kind"), F.col(kind).cast("string").alias("key"), F.round("total_sales", 4).alias("total_sales"), "total_quantity"
+        )
+        for table, kind in (("sales_by_location", "location"), ("daily_sales", "date"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @BOOK.add("g04_full_run", _FULL)
 def _full(t: Tables) -> DataFrame:
     """Raw files through all three layers; the monthly gold table is read back."""

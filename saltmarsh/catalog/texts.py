@@ -242,7 +242,7 @@ def _types(t: Tables) -> DataFrame:
 @BOOK.add(
     "t25_error_classes",
     """WITH e AS (SELECT event_id, CASE user_id % 5 WHEN 0 THEN 'HTTP 429 from model' WHEN 1 THEN 'status UNAVAILABLE' WHEN 2 THEN 'error 500'
-                    WHEN 3 THEN 'Deadline exceeded' ELSE 'bad ' || event_type END || ' ' || CAST(event_id AS VARCHAR) AS m FROM events WHERE event_type = 'error')
+                    WHEN 3 THEN 'Deadline exceeded' ELSE 'bad ' || event_type END || ' ' || CAST(event_id AS VARCHAR) AS m FROM events)
        SELECT event_id, CASE WHEN regexp_matches(m, '429|RESOURCE_EXHAUSTED') THEN 'GEMINI_429' WHEN regexp_matches(m, '503|UNAVAILABLE') THEN 'GEMINI_503'
                 WHEN regexp_matches(m, '500|INTERNAL') THEN 'GEMINI_500' WHEN regexp_matches(lower(m), 'deadline|timeout') THEN 'GEMINI_TIMEOUT'
                 ELSE 'ANSWER_GENERATION_FAILED' END AS code,
@@ -261,5 +261,4 @@ def _errors(t: Tables) -> DataFrame:
         .otherwise(F.concat(F.lit("bad "), F.col("event_type")))
     )
     message = F.concat_ws(" ", head, F.col("event_id").cast("string"))
-    errors = t.events.filter(F.col("event_type") == "error")
-    return errors.select("event_id", *[c.alias(n) for n, c in classify_error(message).items()])
+    return t.events.select("event_id", *[c.alias(n) for n, c in classify_error(message).items()])

@@ -54,12 +54,10 @@ FLAG_NEWS = (
     "news|berita|market|pasar|ekonomi|economic|regulation|regulasi|competitor|kompetitor|current|"
     "terbaru|terkini|today|hari ini|recent|industry|industri|external|eksternal"
 )
-FLAG_MARKET_SUBJECT = (
-    r"\b(?:bitcoin|crypto|cryptocurrency|btc|silver|perak|gold|emas|ihsg|saham|rupiah|minyak|oil|"
-    r"coal|batu bara)\b"
-)
-FLAG_MARKET_MOVE = (
-    r"\b(?:price|prize|harga|drop|fall|fell|declin|turun|naik|rise|rally|volatil|volatile)\b"
+# Both in one line, in any order.
+FLAG_MARKET_NEWS = (
+    r"(?=.*\b(?:bitcoin|crypto|cryptocurrency|btc|silver|perak|gold|emas|ihsg|saham|rupiah|minyak|oil|coal|batu bara)\b)"
+    r"(?=.*\b(?:price|prize|harga|drop|fall|fell|declin|turun|naik|rise|rally|volatil|volatile)\b)"
 )
 FLAG_FORECAST = (
     r"forecast|prediction|prediksi|future|masa depan|next\s+(?:7|14|30)\s+days?|next month|"
@@ -173,7 +171,7 @@ def routing_flags(question: Column) -> Column:
         _has(question, FLAG_TICKER).alias("ticker"),
         _has(question, FLAG_MARKET_CAUSE).alias("cause"),
         _has(question, FLAG_PRICE_NOW).alias("priced"),
-        (_has(question, FLAG_MARKET_SUBJECT) & _has(question, FLAG_MARKET_MOVE)).alias("moved"),
+        _has(question, FLAG_MARKET_NEWS).alias("moved"),
         _has(question, FLAG_NEWS).alias("news"),
         _has(question, FLAG_FORECAST).alias("forecast"),
         _has(question, FLAG_DOCUMENT).alias("document"),

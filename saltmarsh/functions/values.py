@@ -6,10 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-# More than any array holds; with it a slice means "to the end".
-TO_END = 1_000_000_000
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once.
 
@@ -26,4 +22,4 @@ def filled(value: Column) -> Column:
 
 def rest(array: Column) -> Column:
     """The array without its first element."""
-    return F.slice(array, 2, TO_END)
+    return F.slice(array, F.lit(2), F.size(array))

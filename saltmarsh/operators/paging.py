@@ -52,5 +52,13 @@ def preview(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def preview_info(df: DataFrame, n: int) -> DataFrame:
+    """One row: all rows, rows shown, names of the columns."""
+    if not 1 <= n <= 100:
+        raise ValueError("a preview shows 1 to 100 rows")
+    columns = F.array(*[F.lit(c) for c in df.columns])
+    return df.agg(F.count(F.lit(1)).alias("total")).select("total", F.least("total", F.lit(n)).alias("shown"), columns.alias("columns"))
+
+
 def lookup(df: DataFrame, column: str, value: object) -> DataFrame:
     return df.filter(F.col(column) == F.lit(value)).limit(1)

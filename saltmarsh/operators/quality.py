@@ -23,6 +23,11 @@ IDENTIFIER_PENALTY = (("id", "code", "key"), -20)
 VARIED_BONUS = 3
 
 
+def row_digest(columns: Sequence[str]) -> Column:
+    """Thirty-two bytes that stand for the values of a row; nulls count as values."""
+    return F.unhex(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """(column_name, null_count) rows from one pass over the table."""
     one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
@@ -32,14 +37,10 @@ def null_counts(df: DataFrame) -> DataFrame:
 def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: rows, distinct rows, surplus copies.
 
-    Text columns enter the shuffle as SHA-256 digests, so long text stays where it was read.
+    A row enters the shuffle as one digest, so long text stays where it was read.
     """
-    names = list(columns or df.columns)
-    keys = [
-        (F.sha2(F.col(c), 256) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c)).alias(c)
-        for c in names
-    ]
-    groups = df.select(*keys).groupBy(*names).agg(F.count(F.lit(1)).alias("copies"))
+    digest = row_digest(list(columns or df.columns))
+    groups = df.select(digest.alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
     return groups.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("total_rows"),
         F.count(F.lit(1)).alias("distinct_rows"),
@@ -86,20 +87,23 @@ def table_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def quality_score(df: DataFrame) -> DataFrame:
-    """Missing cells, missing share, copies and the 0..100 score of the table without copies."""
+def quality_score(df: DataFrame, copies: bool = True) -> DataFrame:
+    """Missing cells, missing share, copies and the 0..100 score of the table without copies.
+
+    Without ``copies`` every row counts, and no row is shuffled.
+    """
     width = len(df.columns)
     missing = F.lit(0)
     for c in df.columns:
         missing = missing + F.col(c).isNull().cast("int")
-    digests = [
-        (F.sha2(F.col(f.name), 256) if isinstance(f.dataType, T.StringType) else F.col(f.name)).alias(f.name)
-        for f in df.schema
-    ]
-    groups = df.select(*digests).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    if copies:
+        rows = df.select(row_digest(df.columns).alias("digest"), missing.alias("missing"))
+        groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("_copies"), F.max("missing").alias("missing"))
+    else:
+        groups = df.select(F.lit(1).cast("bigint").alias("_copies"), missing.alias("missing"))
     totals = groups.agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.coalesce(F.sum(missing), F.lit(0)).alias("missing_values"),
+        F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_values"),
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows_before"),
     )
     cells = F.greatest(F.lit(1), F.col("row_count") * width)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from saltmarsh.operators import cleaning as cl
+from saltmarsh.operators.quality import duplicate_count
 from saltmarsh.operators.rows import distinct_rows
 from saltmarsh.operators.sales import gold_tables
 from saltmarsh.sources.sinks import write_table, write_tables
@@ -12,6 +13,9 @@ from saltmarsh.sources.tables import read_csv
 
 LINEAGE = ("source_file", "ingestion_timestamp")
 
+# Columns without which a row is invalid.
+REQUIRED = ("transactionid", "date", "price", "totalrevenue")
+
 # Columns typed while they are still text.
 RAW_NUMBERS = {
     "price": "double",
@@ -47,6 +51,24 @@ def bronze_to_silver(spark: SparkSession, bronze: str, silver: str) -> None:
     write_table(silver_frame(spark.read.parquet(bronze)), silver)
 
 
+def silver_report(bronze: DataFrame, silver: DataFrame) -> DataFrame:
+    """One row: rows in and out, surplus copies of bronze, rows without a required value, nulls of the cleaned columns."""
+    named = cl.fold_aliases(cl.normalise_names(bronze))
+    cleaned = cl.normalise_date(cl.cast_numbers(cl.clean_text_columns(named)))
+    required = [c for c in REQUIRED if c in cleaned.columns]
+    bad = F.lit(False)
+    for c in required:
+        bad = bad | F.col(c).isNull()
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in cleaned.columns if c not in LINEAGE]
+    counted = cleaned.agg(F.count(F.lit(1)).alias("input_rows"), F.count_if(bad).alias("invalid_rows"), *nulls)
+    copies = duplicate_count(bronze, [c for c in bronze.columns if c not in LINEAGE]).select("duplicate_rows")
+    out = silver.agg(F.count(F.lit(1)).alias("output_rows"))
+    # Three tables of one row each.
+    one = F.lit(1).alias("_one")
+    joined = counted.select("*", one).join(copies.select("*", one), "_one").join(out.select("*", one), "_one")
+    return joined.drop("_one")
+
+
 def silver_to_gold(spark: SparkSession, silver: str, gold: str) -> dict[str, str]:
     """Write all gold tables.
 

@@ -60,7 +60,7 @@ def run_upload(source: DataFrame, file_name: str, date: str, target: str, horizo
         check = verified_write(build(), path).first()
         if not check["verified"]:
             raise OSError(f"verification of {path} failed: {check}")
-        layer_metadata(spark.read.parquet(path), name, job, before, path).write.json(f"{folder}/{name}/metadata")
+        layer_metadata(spark.read.parquet(path), name, job, before, path, copies=name == "silver").write.json(f"{folder}/{name}/metadata")
         stages[name] = {"object": path, "rows": check["rows_stored"], "status": "completed"}
         before = path
     series = as_series(spark.read.parquet(f"{folder}/gold/data"), upload_name(date), upload_name(target))

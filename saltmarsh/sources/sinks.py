@@ -62,10 +62,13 @@ def verified_write(df: DataFrame, path: str) -> DataFrame:
     )
 
 
-def layer_metadata(df: DataFrame, layer: str, job_id: str, source: str, path: str) -> DataFrame:
-    """One row describing a layer: size, columns, schema, quality, lineage."""
+def layer_metadata(df: DataFrame, layer: str, job_id: str, source: str, path: str, copies: bool = True) -> DataFrame:
+    """One row describing a layer: size, columns, schema, quality, lineage.
+
+    Without ``copies`` the quality is that of the rows as they are, from one pass and no shuffle of rows.
+    """
     fields = {f.name: f.dataType.simpleString() for f in df.schema}
-    return quality_score(df).select(
+    return quality_score(df, copies).select(
         F.lit(layer).alias("layer"),
         F.lit(job_id).alias("job_id"),
         (F.col("row_count") + F.col("duplicates_removed")).alias("row_count"),
@@ -88,6 +91,18 @@ def write_manifest(spark: SparkSession, path: str, job_id: str, source_file: str
     spark.range(1).select(F.lit(json.dumps(manifest, default=str)).alias("value")).write.mode("overwrite").text(path)
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row per stage of every manifest below the path."""
+    stage = "struct<rows: bigint, status: string, object: string>"
+    schema = f"job_id string, source_file string, created_at string, stages map<string, {stage}>"
+    parsed = spark.read.text(path).select(F.from_json("value", schema).alias("m")).select("m.*")
+    listed = parsed.select("job_id", "source_file", "created_at", F.explode("stages").alias("stage", "facts"))
+    return listed.select("job_id", "source_file", "created_at", "stage", "facts.*")
+
+
+FILES_PER_SOURCE = 16
+
+
 def latest_articles(incoming: DataFrame) -> DataFrame:
     """One article per key, the first collected."""
     return first_per_key(incoming, ["object_key"], [F.col("collected_at")])
@@ -101,6 +116,8 @@ def store_articles(stored: DataFrame, incoming: DataFrame, policy: str = "keep")
 def write_article_store(articles: DataFrame, path: str) -> None:
     """One folder per source, written as JSON lines to a new snapshot path."""
     sliced = articles.withColumn("source_slug", slug(F.coalesce("source", F.lit("unknown_source"))))
+    # A few files per source; a source with most articles is still written by many tasks.
+    sliced = sliced.repartition("source_slug", F.pmod(F.xxhash64("object_key"), F.lit(FILES_PER_SOURCE)))
     sliced.write.partitionBy("source_slug").json(path)
 
 

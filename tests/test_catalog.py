@@ -12,6 +12,12 @@ QUERIES = catalog.all_queries()
 SQL = catalog.all_sql()
 
 
+# Queries without SQL; unit tests compare them with plain Python.
+TESTED_ON_FIXTURES = {
+    "e04_lag_regression", "e08_backtest_forecast", "e08_backtest_validation", "o06_best_model", "g05_retrieved_chunks", "g05_evidence_context",
+}
+
+
 @pytest.fixture(scope="module")
 def con(small):
     return connect(small)
@@ -25,14 +31,14 @@ def test_query(spark, con, small, name):
         seen["frame"] = QUERIES[name](session, folder)
         return seen["frame"]
 
-    verdict, _, _ = compare(spark, con, small, name, keep, SQL.get(name))
-    assert verdict.startswith(("ok", "rows-only")), verdict
+    verdict, rows, _ = compare(spark, con, small, name, keep, SQL.get(name))
+    assert verdict.startswith("ok") or (name in TESTED_ON_FIXTURES and rows > 0), verdict
     plan = seen["frame"]._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan), plan
 
 
 def test_sql_belongs_to_queries():
-    assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) - set(SQL) == TESTED_ON_FIXTURES and set(SQL) <= set(QUERIES)
 
 
 def test_entry(spark):

@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _local_base: str | None = None
+_made: list[str] = []
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -30,5 +31,16 @@ def shared_base(spark: SparkSession) -> str:
 
 def run_folder(spark: SparkSession, label: str) -> str:
     """A path that no other run uses, below the shared folder."""
-    return f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
-
+    path = f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def delete_run_folders(spark: SparkSession) -> int:
+    """Delete the folders this process has made so far, once no result that reads them is needed; how many there were."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    deleted = 0
+    while _made:
+        path = hadoop.Path(_made.pop())
+        deleted += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return deleted

@@ -1,3 +1,4 @@
+import os
 import datetime as dt
 import json
 import subprocess
@@ -157,3 +158,13 @@ def test_task_functions_carry_their_code(tmp_path):
     code = "import pickle; print(len(pickle.load(open('f', 'rb'))))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={}, capture_output=True, text=True, timeout=60)
     assert out.stdout.strip() == "2", out.stderr
+
+
+def test_run_folders_can_be_deleted(spark):
+    from saltmarsh.scratch import delete_run_folders, run_folder
+
+    delete_run_folders(spark)
+    path = run_folder(spark, "gone")
+    spark.range(3).write.parquet(path)
+    run_folder(spark, "never-written")
+    assert delete_run_folders(spark) == 1 and not os.path.exists(path)

@@ -99,3 +99,18 @@ def _roles(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(
         [(r["column_name"], r["role"], r["score"]) for r in roles], "column_name string, role string, score int"
     )
+
+
+@BOOK.add(
+    "e09_series_columns",
+    """SELECT 'order_date' AS date_column, CASE WHEN count(total_value) >= count(other_amount) THEN 'total_value' ELSE 'other_amount' END AS metric_column
+       FROM (SELECT o_totalprice AS total_value, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS other_amount FROM orders)""",
+)
+def _series_columns(t: Tables) -> DataFrame:
+    """Date and metric of the daily forecast: of two amounts the one that is filled more often."""
+    filled = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))
+    orders = t.orders.select(
+        F.col("o_orderkey").alias("number"), F.col("o_orderdate").cast("date").alias("order_date"), filled.alias("other_amount"),
+        F.col("o_totalprice").alias("total_value"), F.col("o_custkey").alias("units"),
+    )
+    return t.spark.createDataFrame([op.choose_series_columns(orders)], "date_column string, metric_column string")

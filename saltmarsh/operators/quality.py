@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from saltmarsh.operators.rows import row_digest
+
 # Name parts used to pick roles.
 DATE_WORDS = ("date", "time", "timestamp", "datetime")
 DATE_NAMES = ("date", "ds", "timestamp", "datetime")
@@ -23,11 +25,6 @@ IDENTIFIER_PENALTY = (("id", "code", "key"), -20)
 VARIED_BONUS = 3
 
 
-def row_digest(columns: Sequence[str]) -> Column:
-    """Thirty-two bytes that stand for the values of a row; nulls count as values."""
-    return F.unhex(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
-
-
 def null_counts(df: DataFrame) -> DataFrame:
     """(column_name, null_count) rows from one pass over the table."""
     one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from saltmarsh.scratch import run_folder
 
@@ -24,29 +24,39 @@ def filter_computed(df: DataFrame, condition: Column) -> DataFrame:
     return numbered.filter((F.col("_row") >= 0) & condition).drop("_row")
 
 
+def _fixed_width(field: T.StructField) -> bool:
+    return isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def row_digest(columns: Sequence[str]) -> Column:
+    """Thirty-two bytes that stand for the values of a row; nulls count as values."""
+    return F.unhex(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of every key.
+    """The first row of every key; ties go to the least numbers and times of the row.
 
-    A minimum over (order, row) is combined on the map side, so a key that holds
-    a large part of all rows costs one row per task in the shuffle.
+    Every task keeps one row per key before the shuffle, so a key that holds a
+    large part of all rows costs one row per task. Columns that nobody reads are
+    not carried along.
     """
-    rest = [c for c in df.columns if c not in keys]
-    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    packed = F.struct(rank.alias("rank"), F.struct(*[F.col(c) for c in rest]).alias("row"))
-    if not rest:
+    if set(df.columns) <= set(keys):
         return df.select(*keys).distinct()
-    best = df.groupBy(*keys).agg(F.min(packed).alias("best"))
-    return best.select(*[F.col(c) if c in keys else F.col(f"best.row.{c}").alias(c) for c in df.columns])
+    ties = [F.col(f.name) for f in df.schema if f.name not in keys and _fixed_width(f)]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order, *ties))
+    return df.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
 
 
 def distinct_rows(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
-    """Exact duplicates removed; ``ignore`` names lineage columns left out of the comparison."""
+    """Exact duplicates removed; ``ignore`` names lineage columns left out of the comparison.
+
+    Of copies with different lineage the least remains.
+    """
     keys = [c for c in df.columns if c not in ignore]
     if len(keys) == len(df.columns):
         return df.dropDuplicates()
-    kept = [F.min(F.struct(*ignore)).alias("lineage")]
-    merged = df.groupBy(*keys).agg(*kept)
-    return merged.select(*[F.col(c) if c in keys else F.col(f"lineage.{c}").alias(c) for c in df.columns])
+    digested = df.withColumn("_digest", row_digest(keys))
+    return first_per_key(digested, ["_digest"], [F.col(c) for c in ignore if c in df.columns]).drop("_digest")
 
 
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_id", slices: int | None = None) -> DataFrame:

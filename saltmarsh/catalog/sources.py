@@ -7,7 +7,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from saltmarsh.catalog.activity import _STATES, activity_events
 from saltmarsh.catalog.base import Book, Tables
@@ -234,6 +234,58 @@ def _jobs(t: Tables) -> DataFrame:
     return docs.job_catalogue(keys, described).withColumn("stages", F.array_join("stages", ",")).orderBy("job_id")
 
 
+def supplier_files(t: Tables, bucket: str, *columns: Column) -> str:
+    """One JSON file per supplier below a bucket folder; the folder that holds the bucket."""
+    base = run_folder(t.spark, "objects")
+    rows = t.supplier.select(F.col("s_suppkey").alias("supplier"), *columns)
+    rows.repartition("supplier").write.partitionBy("supplier").json(f"{base}/{bucket}")
+    return base
+
+
+def supplier_articles(t: Tables) -> DataFrame:
+    kind = F.when(F.col("s_suppkey") % 5 == 0, "internal").otherwise(docs.EXTERNAL).alias("source_type")
+    text = F.concat(F.lit("  About "), F.col("s_name"), F.lit(" ")).alias("content")
+    base = supplier_files(t, "news", F.col("s_name").alias("title"), F.lit("Wire").alias("source"), text, kind)
+    return docs.read_objects(t.spark, base)
+
+
+@BOOK.add("s06_scanned_articles", "SELECT s_name AS title, 'General News' AS topic, 'supplier=' || s_suppkey AS folder FROM supplier WHERE s_suppkey % 5 <> 0")
+def _scanned_articles(t: Tables) -> DataFrame:
+    found = docs.stored_articles(supplier_articles(t))
+    return found.select("title", "topic", F.split_part("object_key", F.lit("/"), F.lit(1)).alias("folder"))
+
+
+@BOOK.add("s07_scanned_index_articles", "SELECT s_name AS title, 'About ' || s_name AS content FROM supplier")
+def _scanned_to_index(t: Tables) -> DataFrame:
+    return docs.articles_to_index(supplier_articles(t)).select("title", "content")
+
+
+@BOOK.add(
+    "s08_scanned_texts",
+    """SELECT 'supplier=' || s_suppkey AS folder, 'application/json' AS content_type,
+              '{' || chr(10) || '  "s_name": "' || s_name || '"' || chr(10) || '}' AS text FROM supplier""",
+)
+def _scanned_texts(t: Tables) -> DataFrame:
+    found = docs.text_objects(docs.read_binaries(t.spark, supplier_files(t, "documents", F.col("s_name"))))
+    return found.select(F.split_part("object_key", F.lit("/"), F.lit(1)).alias("folder"), "content_type", "text")
+
+
+@BOOK.add("s09_scanned_customs", "SELECT s_name AS number, s_acctbal AS amount, 2 AS items FROM supplier")
+def _scanned_customs(t: Tables) -> DataFrame:
+    item = F.struct(F.lit(1).alias("page"), F.col("s_acctbal").alias("transaction_value"))
+    base = supplier_files(t, "customs", F.struct(F.col("s_name").alias("ppbj_number")).alias("document"), F.array(item, item).alias("items"))
+    found = docs.customs_documents(docs.read_objects(t.spark, base))
+    return found.select(F.col("document.ppbj_number").alias("number"), F.col("items")[0]["transaction_value"].alias("amount"), F.size("items").alias("items"))
+
+
+@BOOK.add("s10_listed_jobs", "SELECT 'supplier=' || s_suppkey AS job_id, 'bronze,silver,gold,forecast' AS stages FROM supplier")
+def _listed_jobs(t: Tables) -> DataFrame:
+    base = supplier_files(t, "store/jobs", F.col("s_name"))
+    none = t.supplier.limit(0).select(F.col("s_name").alias("job_id"), F.col("s_name").alias("manifest"))
+    found = docs.job_catalogue(docs.list_keys(t.spark, base, "store"), none)
+    return found.select("job_id", F.array_join("stages", ",").alias("stages"))
+
+
 @BOOK.add(
     "j09_jobs_with_manifest",
     "SELECT source AS job_id, count(*) AS objects, CASE WHEN source LIKE 'src1%' THEN source || '.csv' END AS source_file FROM documents GROUP BY 1",

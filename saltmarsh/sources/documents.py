@@ -90,7 +90,9 @@ def articles_to_index(objects: DataFrame, bucket: str = "news") -> DataFrame:
 def _indent(texts: pd.Series) -> pd.Series:
     """JSON written out with two blanks of indent, members in their own order; other text unchanged."""
 
-    def one(text: str) -> str:
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
         try:
             return json.dumps(json.loads(text), ensure_ascii=False, indent=2)
         except ValueError:
@@ -106,15 +108,16 @@ def text_objects(binaries: DataFrame, bucket: str = "documents") -> DataFrame:
     rows = binaries.filter(suffix.isin(*TEXT_SUFFIXES)).select(
         key.alias("object_key"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")
     )
-    json_rows = urls.extension(F.col("object_key")) == "json"
-    indented = rows.filter(json_rows).withColumn("text", F.pandas_udf(_indent, T.StringType())("text"))
-    return rows.filter(~json_rows).unionByName(indented).select(
+    is_json = urls.extension(F.col("object_key")) == "json"
+    # One pass: other objects enter Python as null.
+    indented = F.pandas_udf(_indent, T.StringType())(F.when(is_json, F.col("text")))
+    return rows.select(
         "object_key",
         urls.file_name(F.col("object_key")).alias("filename"),
         urls.file_stem(F.col("object_key")).alias("document_type"),
         urls.content_type(F.col("object_key")).alias("content_type"),
         F.lit(0).alias("page"),
-        "text",
+        F.coalesce(indented, "text").alias("text"),
     )
 
 

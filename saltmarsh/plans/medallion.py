@@ -63,10 +63,9 @@ def silver_report(bronze: DataFrame, silver: DataFrame) -> DataFrame:
     counted = cleaned.agg(F.count(F.lit(1)).alias("input_rows"), F.count_if(bad).alias("invalid_rows"), *nulls)
     copies = duplicate_count(bronze, [c for c in bronze.columns if c not in LINEAGE]).select("duplicate_rows")
     out = silver.agg(F.count(F.lit(1)).alias("output_rows"))
-    # Three tables of one row each.
-    one = F.lit(1).alias("_one")
-    joined = counted.select("*", one).join(copies.select("*", one), "_one").join(out.select("*", one), "_one")
-    return joined.drop("_one")
+    # Three tables of one row each, laid over each other.
+    rows = counted.unionByName(copies, allowMissingColumns=True).unionByName(out, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def silver_to_gold(spark: SparkSession, silver: str, gold: str) -> dict[str, str]:

@@ -154,7 +154,7 @@ def test_task_functions_carry_their_code(tmp_path):
     from saltmarsh.operators.forecast import _regression_rows
     from saltmarsh.streaming.activity import _advance
 
-    (tmp_path / "f").write_bytes(cloudpickle.dumps([_advance(1), _regression_rows(3)]))
+    (tmp_path / "f").write_bytes(cloudpickle.dumps([_advance, _regression_rows(3)]))
     code = "import pickle; print(len(pickle.load(open('f', 'rb'))))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={}, capture_output=True, text=True, timeout=60)
     assert out.stdout.strip() == "2", out.stderr

@@ -11,7 +11,9 @@ from saltmarsh.operators.paging import lookup
 from saltmarsh.operators.rows import merge_by_key, skip_existing
 from saltmarsh.plans.newsroom import collected_articles, refresh_store
 from saltmarsh.scratch import run_folder
-from saltmarsh.sources.sinks import latest_articles, refresh_index, store_articles, write_article_store
+from saltmarsh.sources.sinks import (
+    latest_articles, read_buckets, refresh_index, store_articles, update_buckets, write_article_store, write_buckets,
+)
 
 BOOK = Book()
 
@@ -157,6 +159,16 @@ def _store(t: Tables) -> DataFrame:
     return t.spark.read.schema("object_key string, title string, source_slug string").json(path)
 
 
+@BOOK.add("k05_updated_store", _MERGE.format(a=A, keep="false"))
+def _updated_store(t: Tables) -> DataFrame:
+    """A store in place; articles that come in again replace the stored ones, in their buckets only."""
+    path = run_folder(t.spark, "store")
+    stored, fresh = stored_and_incoming(t)
+    write_buckets(stored, path, "object_key")
+    update_buckets(t.spark, path, latest_articles(fresh), "object_key", "replace")
+    return read_buckets(t.spark, path).select("object_key", "title", "content")
+
+
 @BOOK.add(
     "k05_session_summary",
     f"WITH {A} SELECT topic, research_session_id, count(*) AS article_count, max(collected_at) AS created_at FROM a GROUP BY 1, 2",
@@ -178,6 +190,44 @@ def _index(t: Tables) -> DataFrame:
     return refresh_index(rows.select("doc_id", "object_key", "text"), updates, run_folder(t.spark, "index"))
 
 
+@BOOK.add(
+    "k06_updated_index",
+    """SELECT doc_id, source AS object_key, text FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es' AND n_chars > 8000)
+       UNION ALL SELECT doc_id, source, upper(lang) FROM documents WHERE source IN (SELECT source FROM documents WHERE lang = 'es' AND n_chars > 8000)""",
+)
+def _updated_index(t: Tables) -> DataFrame:
+    """The same in place: all chunks of a changed object give way to its new ones."""
+    path = run_folder(t.spark, "index")
+    rows = t.documents.select("doc_id", F.col("source").alias("object_key"), "text", "lang", "n_chars")
+    changed = rows.filter((F.col("lang") == "es") & (F.col("n_chars") > 8000)).select("object_key").distinct()
+    updates = rows.join(changed, "object_key", "left_semi").select("doc_id", "object_key", F.upper("lang").alias("text"))
+    write_buckets(rows.select("doc_id", "object_key", "text"), path, "object_key")
+    update_buckets(t.spark, path, updates, "object_key", "groups")
+    return read_buckets(t.spark, path).select("doc_id", "object_key", "text")
+
+
+@BOOK.add(
+    "g06_refilled_store",
+    f"""WITH {SQL_ARTICLES} SELECT url, CASE WHEN page_id % 2 = 0 THEN 'old ' || title ELSE title END AS title,
+          CASE WHEN page_id % 2 = 0 THEN 'session-1' ELSE 'session-2' END AS research_session_id FROM articles
+        QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id % 2, page_id) = 1""",
+)
+def _refilled(t: Tables) -> DataFrame:
+    """A second collection over a store that holds every other page: stored articles stay, new ones are added in place.
+
+    Pages of one url are one article; the first collected counts.
+    """
+    path = run_folder(t.spark, "newsroom")
+    minutes = F.timestamp_add("MINUTE", F.col("page_id").cast("int"), F.lit(START).cast("timestamp_ntz"))
+    session = F.when(F.col("page_id") % 2 == 0, "session-1").otherwise("session-2")
+    found = collected_articles(t.pages, F.lit("latest news"), session, minutes)
+    found = found.withColumn("object_key", F.sha2("url", 256))
+    first = found.filter(F.col("research_session_id") == "session-1").withColumn("title", F.concat(F.lit("old "), F.col("title")))
+    write_buckets(latest_articles(first), path, "object_key")
+    update_buckets(t.spark, path, latest_articles(found), "object_key", "keep")
+    return read_buckets(t.spark, path).select("url", "title", "research_session_id")
+
+
 @BOOK.add(
     "g06_news_store_topics",
     f"""WITH {SQL_ARTICLES}, s AS (SELECT page_id, CASE WHEN url LIKE 'https:%' THEN 'Secure Web' ELSE 'General News' END AS topic FROM articles)

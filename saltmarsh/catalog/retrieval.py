@@ -11,6 +11,8 @@ from saltmarsh.operators import ranking as rk
 from saltmarsh.operators.vectorize import hash_vectors
 from saltmarsh.plans.indexing import index_rows, internal_rows, news_rows
 from saltmarsh.plans.retrieval import evidence_context, hashing, retrieve
+from saltmarsh.scratch import run_folder
+from saltmarsh.sources.sinks import read_buckets, update_buckets, write_buckets
 
 BOOK = Book()
 
@@ -220,9 +222,9 @@ def _vectors(t: Tables) -> DataFrame:
     return made.select("doc_id", F.size("embedding").alias("dimensions"), F.round(F.sqrt(squares), 4).alias("norm"))
 
 
-def document_index(t: Tables, dimensions: int = 256) -> DataFrame:
+def document_index(t: Tables, dimensions: int = 256, documents: DataFrame | None = None) -> DataFrame:
     """Index rows: documents without label as internal objects, labelled ones as news."""
-    keyed = t.documents.select(
+    keyed = (t.documents if documents is None else documents).select(
         F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("object_key"), "doc_id", "source", F.lit(0).alias("page"), "text"
     )
     labelled = t.labels.select("doc_id")
@@ -243,6 +245,20 @@ def _snapshot(t: Tables) -> DataFrame:
     return document_index(t).select("id", "source_type", "chunk", "text", F.size("embedding").alias("dimensions"))
 
 
+@BOOK.add(
+    "v08_replaced_snapshot",
+    f"""WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 1 THEN text || ' old' ELSE text END AS text FROM documents),
+          {sql_chunks('d', 'doc_id, source')} SELECT source || '/' || doc_id || '.txt' AS object_key, chunk, text, 256 AS dimensions FROM chunked""",
+)
+def _replaced(t: Tables) -> DataFrame:
+    """A stored snapshot of older texts; half of the objects are indexed anew and replace their chunks in place."""
+    path = run_folder(t.spark, "snapshot")
+    old = t.documents.withColumn("text", F.concat("text", F.lit(" old")))
+    write_buckets(document_index(t, documents=old), path, "object_key")
+    update_buckets(t.spark, path, document_index(t, documents=t.documents.filter("doc_id % 2 = 0")), "object_key", "groups")
+    return read_buckets(t.spark, path).select("object_key", "chunk", "text", F.size("embedding").alias("dimensions"))
+
+
 def benchmark_questions(t: Tables) -> DataFrame:
     """Every benchmark passage asked as a question."""
     return t.benchmark.select(F.col("item_id").alias("query_id"), "text")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from saltmarsh.functions.text import slug
 from saltmarsh.operators.quality import quality_score
-from saltmarsh.operators.rows import first_per_key, merge_by_key, replace_groups
+from saltmarsh.operators.rows import first_per_key, materialise, merge_by_key, replace_groups
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", **options: object) -> None:
@@ -126,3 +126,39 @@ def refresh_index(index: DataFrame, chunks: DataFrame, path: str) -> DataFrame:
     merged = replace_groups(index, chunks, "object_key")
     merged.write.parquet(path)
     return index.sparkSession.read.schema(merged.schema).parquet(path)
+
+
+# Buckets of a store that is updated in place; an update rewrites those it touches.
+STORE_BUCKETS = 64
+
+
+def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    return rows.withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def write_buckets(rows: DataFrame, path: str, key: str, buckets: int = STORE_BUCKETS) -> None:
+    """A new store, cut into folders by a hash of the key."""
+    placed = _bucketed(rows, key, buckets)
+    placed.repartition("key_bucket").write.partitionBy("key_bucket").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("key_bucket")
+
+
+def update_buckets(spark: SparkSession, path: str, updates: DataFrame, key: str, policy: str = "keep", buckets: int = STORE_BUCKETS) -> None:
+    """Upsert into a store made by :func:`write_buckets`; only the touched buckets are read and rewritten.
+
+    ``keep`` and ``replace`` merge one row per key; ``groups`` puts all updates of a
+    key in the place of all its stored rows. The new buckets are complete in the
+    shared folder before the first old one is replaced.
+    """
+    fresh = materialise(_bucketed(updates, key, buckets), "updates")
+    touched = [r["key_bucket"] for r in fresh.select("key_bucket").distinct().collect()]  # at most ``buckets`` numbers
+    stored = spark.read.parquet(path).filter(F.col("key_bucket").isin(touched))
+    if policy == "groups":
+        merged = replace_groups(stored, fresh, key)
+    else:
+        merged = merge_by_key(stored, fresh, [key], policy)
+    merged = materialise(merged.select(*stored.columns), "merged")
+    merged.repartition("key_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_bucket").parquet(path)

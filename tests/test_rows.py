@@ -143,3 +143,37 @@ def test_topics(spark):
     assert [tuple(r) for r in got] == [("A", 2, 1, 0, 1, "2024-01-03"), ("General News", 2, 0, 1, 1, "2024-01-01")]
     plain = news.topic_summary(spark.createDataFrame([("A", "x")], "topic string, collected_at string")).first()
     assert plain["neutral"] == 1
+
+
+def test_nearest_with_text_ids_and_many_query_blocks(spark, monkeypatch):
+    monkeypatch.setattr(rk, "QUERY_BLOCK", 3)
+    index = spark.createDataFrame([(f"k{i}", [float(i), 0.0]) for i in range(30)] + [("none", None)], "name string, embedding array<double>")
+    asked = spark.createDataFrame([(f"q{i}", [i + 0.1, 0.0]) for i in range(10)], "query_id string, embedding array<double>")
+    found = rk.nearest(index, asked, "name", k=1).collect()
+    assert sorted((r.query_id, r.name, r["rank"]) for r in found) == [(f"q{i}", f"k{i}", 1) for i in range(10)]
+
+
+def test_nearest_refuses_other_widths(spark):
+    index = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0])], "id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 2.0])], "query_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="different widths"):
+        rk.nearest(index, asked, "id").collect()
+
+
+@pytest.mark.parametrize("policy,wanted", [("keep", {(1, "a"), (2, "b"), (3, "C")}), ("replace", {(1, "a"), (2, "B"), (3, "C")})])
+def test_update_buckets(spark, tmp_path, policy, wanted):
+    from saltmarsh.sources.sinks import read_buckets, update_buckets, write_buckets
+
+    path = str(tmp_path / "store")
+    write_buckets(spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string"), path, "k")
+    update_buckets(spark, path, spark.createDataFrame([(2, "B"), (3, "C")], "k bigint, v string"), "k", policy)
+    assert set(map(tuple, read_buckets(spark, path).collect())) == wanted
+    update_buckets(spark, path, spark.createDataFrame([(2, "x"), (2, "y")], "k bigint, v string"), "k", "groups")
+    assert set(map(tuple, read_buckets(spark, path).collect())) == {w for w in wanted if w[0] != 2} | {(2, "x"), (2, "y")}
+
+
+def test_number_ordered(spark):
+    from saltmarsh.operators.rows import number_ordered
+
+    rows = spark.range(500).repartition(7).orderBy("id")
+    assert [(r.id, r.row_id) for r in number_ordered(rows).orderBy("id").collect()] == [(i, i) for i in range(500)]

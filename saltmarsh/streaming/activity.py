@@ -13,7 +13,7 @@ from saltmarsh.operators.activity import CLOSING, TERMINAL
 from saltmarsh.operators.rows import first_per_key
 
 # Activities of one execution are spread over this many state groups.
-SPREAD = 32
+SPREAD = 8
 # State of a group: JSON of {activity: [attempt, status, started, updated, last event]}, times in microseconds.
 STATE = "activities string"
 # Rows that leave Python: times as microseconds, which are cheaper to hand over.
@@ -48,10 +48,10 @@ def step(known: list | None, status: str, ts: int, event: int) -> list | None:
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    arrived = pd.concat(list(frames)).sort_values(["micros", "event_id"])
+    columns = ("micros", "event_id", "activity_id", "status")
+    rows = sorted(row for frame in frames for row in zip(*(frame[c].tolist() for c in columns)))
     known = json.loads(state.get[0]) if state.exists else {}
     changed: dict[tuple[str, int], list] = {}
-    rows = zip(*(arrived[c].tolist() for c in ("micros", "event_id", "activity_id", "status")))
     for ts, event, activity, status in rows:
         name = str(activity)
         after = step(known.get(name), status, ts, event)

@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from saltmarsh.llm.worker import process_cache, slices, texts_of
 
 # Units that a worker keeps before it drops the rare ones, by number and by characters.
-KEPT_UNITS = 1_000_000
+KEPT_UNITS = 600_000
 KEPT_CHARS = 24 << 20
+# Bytes of text that are encoded at a time.
+ENCODED_BYTES = 2 << 20
 # New units that go to the tokenizers library as one text.
 JOINED_UNITS = 2_000
 
@@ -339,7 +341,7 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = process_cache(("counter", vocabulary), lambda: Counter(vocabulary))
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, ENCODED_BYTES):
                 n = counter.counts(texts_of(part.column(2)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n)], ["key", "n_bytes", "n_tokens"])
 
@@ -356,5 +358,5 @@ def encoded_slices(
     """Slices of the batches with the ids of their texts and the bounds of each text."""
     code = encoder(vocabulary)
     for batch in batches:
-        for part in slices(batch, text):
+        for part in slices(batch, text, ENCODED_BYTES):
             yield part, *code.encode(texts_of(part.column(text)), end)

@@ -30,7 +30,7 @@ from saltmarsh.llm.words import word_hashes
 from saltmarsh.llm.worker import slices
 
 # Labelled rows that a model is fitted on, at most about so many.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 8_000
 FOLDS = 5
 PREFIXES = (4, 5, 6)
 # Factors per term, and the terms with the strongest tie to a class that are kept.
@@ -85,11 +85,19 @@ def fit_arrays(rows: np.ndarray, hashes: np.ndarray, labels: np.ndarray, steps:
     nothing = (np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)))
     if share in (0.0, 1.0):
         return Model(-35.0 if share == 0 else 35.0, *nothing)
-    terms, place = np.unique(hashes, return_inverse=True)
+    # Terms of fewer rows drop out before any array of all pairs but one is made.
+    ordered = np.sort(hashes)
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+    often = np.diff(np.append(first, len(ordered))) >= LEAST_ROWS
+    terms = ordered[first[often]]
+    del ordered, first
+    place = np.searchsorted(terms, hashes)
+    known = place < len(terms)
+    known[known] = terms[place[known]] == hashes[known]
+    rows, place = rows[known], place[known]
     seen = np.bincount(place, minlength=len(terms))
     toxic = np.bincount(place, labels[rows], len(terms))
     tie = np.abs(toxic - seen * share) / np.sqrt(seen * share * (1 - share))
-    tie[seen < LEAST_ROWS] = 0
     kept = np.sort(np.argsort(-tie, kind="stable")[:KEPT_TERMS])
     kept = kept[tie[kept] >= LEAST_TIE]
     index = np.full(len(terms), -1)

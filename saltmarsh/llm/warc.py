@@ -9,7 +9,8 @@ revisit.
 
 The as-of join never brings a whole url together: the latest response inside a
 slice of time is found per (url, slice), and slices hand on one row each. Bodies
-move once, by the id of the response.
+move once, by the id of the response; a response that many revisits ask for goes
+to several groups.
 
 Revisits without a url or date, or without an earlier response, have the outcome
 "no earlier response"; of records at one instant, responses come first, then ids
@@ -27,6 +28,8 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 # Fixed value: query parameters that name no resource.
 TRACKING = r"^(utm_[a-z]+|gclid|fbclid|sessionid|phpsessid)(=|$)"
 SLICE_SECONDS = 3600
+# Revisits of one response that are handled together.
+GROUP_ROWS = 20_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -94,7 +97,7 @@ def latest_response(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> D
     return near.select("record_id", F.coalesce("near", "handed")["record_id"].alias("source_id")).dropDuplicates(["record_id"])
 
 
-def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Every revisit with canonical_url, outcome, source_id, and payload and headers if resolved.
 
     ``records`` has record_id, warc_type ("response", "revisit", ...), target_uri,
@@ -104,13 +107,24 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
     sources = latest_response(known.filter(F.col("warc_type").isin("response", "revisit")), slice_seconds)
     revisits = known.filter(F.col("warc_type") == "revisit").select("record_id", "url", "headers").join(sources, "record_id", "left")
     revisits = materialise(revisits, "revisits")
+    asked = revisits.filter(F.col("source_id").isNotNull())
+    # A response that very many revisits ask for is copied into several groups; there are few of these.
+    crowd = asked.groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("revisits"))
+    crowd = crowd.filter(F.col("revisits") > group_rows).select("id", F.ceil(F.col("revisits") / group_rows).cast("int").alias("groups"))
+    crowd = materialise(crowd, "crowd")
+    groups = F.coalesce("groups", F.lit(1))
     responses = known.filter((F.col("warc_type") == "response") & F.col("record_id").isNotNull()).select(
-        F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), "payload"
+        F.col("record_id").alias("id"), F.lit(0).alias("turn"), F.col("headers").alias("stored"), "payload"
     )
-    # One response of each id, among those that a revisit needs.
-    wanted = revisits.select(F.col("source_id").alias("response_id")).filter("response_id is not null").distinct()
-    needed = materialise(responses.join(wanted, "response_id", "left_semi").dropDuplicates(["response_id"]), "responses")
-    joined = revisits.join(needed, F.col("source_id") == F.col("response_id"), "left")
+    responses = responses.join(crowd, "id", "left").withColumn("group", F.explode(F.sequence(F.lit(0), groups - 1))).drop("groups")
+    waiting = asked.withColumnRenamed("source_id", "id").join(crowd, "id", "left").withColumn("turn", F.lit(1))
+    waiting = waiting.withColumn("group", F.pmod(F.xxhash64("record_id"), groups).cast("int")).drop("groups")
+    # One shuffle brings a response and its revisits together; the response is the first of its group.
+    together = responses.unionByName(waiting, allowMissingColumns=True)
+    group = W.partitionBy("id", "group").orderBy("turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    given = together.withColumns({c: F.first(c).over(group) for c in ("stored", "payload")}).filter("turn = 1")
+    given = given.withColumn("response_id", F.col("id")).select("record_id", "url", "headers", "response_id", "stored", "payload")
+    joined = given.unionByName(revisits.filter(F.col("source_id").isNull()).drop("source_id"), allowMissingColumns=True)
 
     def validators(fields: Column) -> dict[str, Column]:
         return {"etag": first_header(fields, "etag"), "modified": first_header(fields, "last-modified")}

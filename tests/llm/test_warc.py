@@ -56,3 +56,10 @@ def test_canonical_url(spark):
     urls = ["HTTP://WWW.Ex.org:443/p//?", "ex.org/p#f?x", "https://ex.org/p/?utm_medium=1&gclid=2", "", None]
     frame = spark.createDataFrame([(u,) for u in urls], "u string")
     assert [r.c for r in frame.select(warc.canonical_url(F.col("u")).alias("c")).collect()] == ["ex.org/p", "ex.org/p", "ex.org/p", "", None]
+
+
+def test_many_revisits_of_one_response(spark):
+    rows = [(0, "response", "http://a.org", at(0), {"etag": "1"}, "body")] + [(n, "revisit", "http://a.org", at(n), {"etag": "1"}, None) for n in range(1, 200)]
+    records = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    found = warc.resolve_revisits(records, group_rows=7).collect()
+    assert sorted((r.record_id, r.source_id, r.payload) for r in found) == [(n, 0, "body") for n in range(1, 200)]

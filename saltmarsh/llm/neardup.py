@@ -8,12 +8,14 @@ of fixed size, as the hashing trick does.
 Improved consistent weighted sampling draws from each set samples (shingle,
 step); two sets agree in a sample with the probability of their weighted Jaccard
 similarity. ``ROWS`` samples make a band. Texts that share a band are candidates.
-The texts of a bucket are compared with its heads: the few that share the most
-bands with others anywhere, such as the original of a family of edited copies.
-So a bucket of any size costs a fixed number of comparisons per member. Every
-band has buckets and heads of its own, and pairs at 0.8 or more share about half
-of all bands. Compared texts at 0.8 or more are linked; classes are the connected
-components of the links.
+The texts of a bucket are first compared with its heads: the few that share the
+most bands with others anywhere, such as the original of a family of edited
+copies. Compared texts at 0.8 or more are linked, which settles most buckets: all
+their texts are in one class. Buckets that still hold two classes are then
+compared in full: their texts are dealt into blocks of bounded size, and a task
+takes two blocks at a time and measures all pairs of different classes. So two
+texts of one bucket are always compared or in one class. Classes are the
+connected components of the links.
 
 Texts that are equal byte by byte are one text up to the last step. Texts
 without a word (null and empty ones too) are never copies: each is a class of
@@ -39,6 +41,11 @@ SIMILARITY = 0.8
 BANDS = 14
 ROWS = 3
 HEADS = 4
+# Texts and shingles of a bucket that one block holds on average, at most.
+BLOCK_TEXTS = 1 << 10
+BLOCK_SHINGLES = 1 << 20
+# (text, text) pairs with a common shingle that are added up at a time.
+PAIRED = 1 << 21
 SLOT_BITS = 20
 # Slots that travel in one row while document frequencies are added up.
 CHUNK_SLOTS = 1 << 12
@@ -256,6 +263,119 @@ def verified(edges: DataFrame, sets: DataFrame, weights: np.ndarray, least: floa
     return pairs.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
 
 
+def overlaps(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: np.ndarray, cols: np.ndarray, texts: int) -> np.ndarray:
+    """Weight of the common elements of each text of ``rows`` with each of ``cols``.
+
+    Pairs (owner, element) are distinct; ``weight`` is that of the element. Elements
+    of many texts are taken by a matrix product, others text by text.
+    """
+    size = np.bincount(element, minlength=len(weight))
+    out = np.zeros((len(rows), len(cols)))
+    at_row, at_col = np.full(texts, -1), np.full(texts, -1)
+    at_row[rows], at_col[cols] = np.arange(len(rows)), np.arange(len(cols))
+    common = np.flatnonzero(size > max(2, texts // 8))
+    width = max(1, PAIRED // max(1, texts))
+    number = np.full(len(weight), -1)
+    number[common] = np.arange(len(common))
+    wide = number[element] >= 0
+    wide_owner, wide_number = owner[wide], number[element[wide]]
+    for start in range(0, len(common), width):
+        part = common[start : start + width]
+        inside = (wide_number >= start) & (wide_number < start + len(part))
+        held = np.zeros((texts, len(part)))
+        held[wide_owner[inside], wide_number[inside] - start] = 1
+        out += (held[rows] * weight[part]) @ held[cols].T
+    left = np.flatnonzero(~wide & (size[element] > 1) & (at_row[owner] >= 0))
+    right = np.flatnonzero(~wide & (size[element] > 1) & (at_col[owner] >= 0))
+    right = right[np.argsort(element[right], kind="stable")]
+    held = np.bincount(element[right], minlength=len(weight))
+    first = np.cumsum(held) - held
+    ends = np.cumsum(held[element[left]])
+    flat, start = out.reshape(-1), 0
+    while start < len(left):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PAIRED, "right")))
+        some = left[start:stop]
+        times = held[element[some]]
+        place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[element[some]], times)
+        cell = np.repeat(at_row[owner[some]], times) * len(cols) + at_col[owner[right[place]]]
+        flat += np.bincount(cell, np.repeat(weight[element[some]], times), len(flat))
+        start = stop
+    return out
+
+
+def block_links(sets: list[np.ndarray], classes: np.ndarray, side: np.ndarray, weights: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of texts that tie together all classes with a pair at the least similarity or more.
+
+    Ascending shingle arrays with repeats. With texts on both sides, those of side 0
+    are compared with those of side 1, else all with all. At most one link fewer than classes.
+    """
+    if len(sets) < 2 or (classes == classes[0]).all():
+        return []
+    if side.any() and not side.all():
+        rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side)
+    else:  # one of two texts of different classes is not in the largest class
+        rows, cols = np.flatnonzero(classes != np.bincount(classes).argmax()), np.arange(len(sets))
+    lengths = np.array([len(s) for s in sets])
+    owner, shingle = np.repeat(np.arange(len(sets)), lengths), np.concatenate(sets)
+    # The nth occurrence of a shingle is an element of its own, so common counts are common elements.
+    new = np.append(True, (shingle[1:] != shingle[:-1]) | (owner[1:] != owner[:-1]))[: len(shingle)]
+    run = np.flatnonzero(new)
+    nth = np.arange(len(shingle)) - np.repeat(run, np.diff(np.append(run, len(shingle))))
+    values, element = np.unique(shingle.astype(np.uint64) << np.uint64(32) | nth.astype(np.uint64), return_inverse=True)
+    weight = weights[slots(values >> np.uint64(32))].astype(np.float64)
+    total = np.bincount(owner, weight[element], len(sets))
+    both = overlaps(owner, element, weight, rows, cols, len(sets))
+    root, links = classes.copy(), []
+    for row, common in zip(rows.tolist(), both):
+        alike = common / np.maximum(total[row] + total[cols] - common, 1e-300)
+        near = np.flatnonzero((alike >= least - 1e-9) & (root[cols] != root[row]))
+        for place in near.tolist():
+            col = int(cols[place])
+            if root[col] == root[row] or alike[place] < least + 1e-9 and weighted_jaccard(sets[row], sets[col], weights) < least:
+                continue
+            links.append((row, col))
+            root[root == root[col]] = root[row]
+    return links
+
+
+def compared_in_full(members: DataFrame, known: DataFrame, sets: DataFrame, weights: np.ndarray, least: float) -> DataFrame | None:
+    """Links (a, b) between the classes of each bucket; none if no bucket is open.
+
+    A bucket of up to HEADS + 1 texts had all its pairs compared, and one of a
+    single class needs no more links.
+    """
+    large = members.filter(F.col("texts") > HEADS + 1).select("bucket", "uid")
+    large = large.join(known, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    large = large.join(sets.select("uid", (F.length("shingles") / 4).cast("long").alias("size")), "uid")
+    large = materialise(large, "large")
+    around = large.groupBy("bucket").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")
+    )
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("shingles") / BLOCK_SHINGLES)).cast("long")
+    still = materialise(around.filter("low <> high").select("bucket", blocks.alias("blocks")), "open")
+    if still.isEmpty():
+        return None
+    # A text meets every block of its bucket, in the job of the two.
+    own = F.pmod(F.xxhash64("uid", "bucket"), "blocks")
+    jobs = large.join(still, "bucket").withColumn("own", own)
+    jobs = jobs.select("bucket", "uid", "label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    jobs = jobs.select(
+        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "uid", "label",
+    )
+    jobs = jobs.join(sets, "uid")
+
+    def run(table: pa.Table) -> pa.Table:
+        uids = table.column("uid").to_pylist()
+        held = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("shingles")]
+        _, classes = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)
+        found = block_links(held, classes, table.column("side").to_numpy(), weights, least)
+        return pa.table({c: pa.array([uids[pair[i]] for pair in found], pa.binary()) for i, c in enumerate("ab")})
+
+    return jobs.groupBy("bucket", "low", "high").applyInArrow(run, "a binary, b binary").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -287,6 +407,10 @@ def near_duplicates(
 
     links = materialise(verified(pairs, sets, weights, similarity), "links")
     labels = materialise(components(links, "a", "b"), "labels")
+    more = compared_in_full(members, labels.withColumnRenamed("node", "uid"), sets, weights, similarity)
+    if more is not None:
+        more = materialise(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), "links")
+        labels = materialise(components(more, "a", "b"), "labels")
     known = labels.withColumnRenamed("node", "uid")
     classed = worded.select("key", "uid").join(known, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     classed = materialise(classed, "classed")

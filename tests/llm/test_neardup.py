@@ -85,3 +85,59 @@ def test_components_of_chains_and_stars(spark):
     assert found == {n: 100 for n in range(100, 141)} | {n: 7 for n in range(7, 62)} | {4: 4, 5: 4}
     none = links.filter("a < 0")
     assert components.components(none, "a", "b").count() == 0
+
+
+def edited_family(copies, length, edits):
+    """Texts that differ from one absent original in a few words each."""
+    random = np.random.default_rng(11)
+    base = [f"w{i}" for i in random.integers(0, 5000, length)]
+    texts = []
+    for n in range(copies):
+        edited = base[:]
+        for i in random.choice(length, edits, replace=False):
+            edited[i] = f"x{n}y{i}"
+        texts.append(" ".join(edited))
+    return texts
+
+
+def test_family_without_its_original(spark):
+    texts = edited_family(1000, 1000, 10)
+    words, bounds, _ = word_hashes(pa.array(texts))
+    sets = [np.unique(neardup.shingles(words[a:b])) for a, b in zip(bounds, bounds[1:])]
+    table = np.zeros(1 << neardup.SLOT_BITS, np.int64)
+    for s in sets:
+        table[np.unique(neardup.slots(s))] += 1
+    weights = neardup.inverse_frequencies(len(sets), table).astype(float)
+    every, counts = np.unique(np.concatenate(sets), return_counts=True)
+    every = every[counts > 1]
+    held = np.stack([np.isin(every, s) for s in sets]).astype(float)
+    common = (held * weights[neardup.slots(every)]) @ held.T
+    total = np.array([weights[neardup.slots(s)].sum() for s in sets])
+    label = np.arange(len(texts))
+    pairs = np.argwhere(np.triu(common / (total[:, None] + total - common) >= 0.8, 1))
+    for a, b in pairs:
+        low, high = sorted((label[a], label[b]))
+        label[label == high] = low
+    assert len(pairs) > 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    assert [found[n] for n in range(len(texts))] == label.tolist()
+
+
+def test_links_of_blocks_are_those_of_all_pairs(monkeypatch):
+    random = np.random.default_rng(4)
+    weights = random.uniform(1, 2, 1 << neardup.SLOT_BITS).astype(np.float32)
+    base = random.integers(0, 1 << 32, 40)
+    for size in (1 << 21, 50):  # of the parts that are added up
+        monkeypatch.setattr(neardup, "PAIRED", size)
+        sets = [np.sort(np.append(random.choice(base, 40), random.integers(0, 9, 5))).astype("<u4") for _ in range(40)]
+        sets += [np.sort(np.append(s[3:], s[:2])).astype("<u4") for s in sets[:20]]
+        classes, side = random.integers(0, 50, len(sets)), random.integers(0, 2, len(sets))
+        for side in (side, 0 * side):
+            label, wanted = classes.copy(), classes.copy()
+            for a, b in combinations(range(len(sets)), 2):
+                if (not side.any() or side[a] != side[b]) and neardup.weighted_jaccard(sets[a], sets[b], weights) >= 0.8:
+                    wanted[wanted == wanted[b]] = wanted[a]
+            for a, b in neardup.block_links(sets, classes, side, weights, 0.8):
+                label[label == label[b]] = label[a]
+            assert (label[:, None] == label).tolist() == (wanted[:, None] == wanted).tolist()

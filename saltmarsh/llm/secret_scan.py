@@ -56,7 +56,17 @@ BASE_RULES = (
 )
 # Further kinds; they only add spans.
 EXTRA_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", base=False),
+    # Up to its END line if no other key begins before; else over the lines of base64 that follow.
+    # Line ends may be escaped or have become blanks. Repeats are possessive, so no text is slow.
+    Rule(
+        "private_key",
+        r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----"
+        r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----"
+        r"|(?:(?:[^\S\r\n]*+(?:\r?\n|\\r|\\n))++(?:Proc-Type|DEK-Info):(?:(?!\\[rn])[^\r\n])*+)*+"
+        r"(?:(?:[^\S\r\n]*+(?:\r?\n|\\r|\\n))++[^\S\r\n]*+[A-Za-z0-9+/=]++(?=[^\S\r\n]*+(?:[\r\n]|\\[rn]|\Z))"
+        r"|[^\S\r\n]*+[A-Za-z0-9+/=]{40,}+)*+)",
+        base=False,
+    ),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}", base=False),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", base=False),
     Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from saltmarsh.catalog.base import Book
-from saltmarsh.llm import exact, idfiles, mixing, neardup, neighbours, packing, secret_scan, tokens, toxicity, warc
+from saltmarsh.llm import exact, idfiles, mixing, neardup, neighbours, packing, secret_scan, suffixes, tokens, toxicity, warc
 from saltmarsh.scratch import run_folder
 
 BOOK = Book()
@@ -164,3 +164,8 @@ def resolved_revisits(t) -> DataFrame:
         "record_id", "canonical_url", "outcome", "source_id",
         F.md5("payload").alias("payload_md5"), F.nullif(F.concat_ws(";", pairs), F.lit("")).alias("headers"),
     )
+
+
+@BOOK.add("op11_repeated_bytes")
+def repeated_bytes(t) -> DataFrame:
+    return suffixes.remove_repeats(t.documents, with_rest=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from saltmarsh.catalog.base import Book
-from saltmarsh.llm import exact, idfiles, mixing, neardup, neighbours, packing, secret_scan, suffixes, tokens, toxicity, warc
+from saltmarsh.llm import exact, idfiles, manifest, mixing, neardup, neighbours, packing, secret_scan, suffixes, tokens, toxicity, variants, warc
 from saltmarsh.scratch import run_folder
 
 BOOK = Book()
@@ -169,3 +169,103 @@ def resolved_revisits(t) -> DataFrame:
 @BOOK.add("op11_repeated_bytes")
 def repeated_bytes(t) -> DataFrame:
     return suffixes.remove_repeats(t.documents, with_rest=False)
+
+
+# The table of CRC-32, a step per bit.
+_BITS = """bits AS (
+        SELECT list(c ORDER BY i) AS tbl FROM (
+            SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+            FROM (SELECT unnest(range(256)) AS i)
+        )
+    )"""
+
+
+@BOOK.add(
+    "op12_spelling_variants",
+    rf"""
+    WITH RECURSIVE {_BITS}, found AS (
+        SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents
+    ), runs AS (
+        SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+        FROM found WHERE length(run) >= 6 GROUP BY ALL
+    ), summed AS (
+        SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END
+                FOR c IN string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, '')])),
+            lambda c, b: xor(c // 256, tbl[xor(c, b) % 256 + 1])), 4294967295) AS h
+        FROM runs, bits
+    ), words AS (
+        SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+            SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM summed
+        ) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+    ), cut AS (
+        SELECT word, spot, substr(word, 1, spot) || substr(word, spot + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS spot FROM words)
+    ), pairs AS (
+        SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.spot = b.spot AND a.word <> b.word
+        UNION SELECT c.word, w.word FROM cut c JOIN words w ON c.rest = w.word
+        UNION SELECT w.word, c.word FROM cut c JOIN words w ON c.rest = w.word
+    ), near AS (
+        SELECT p.word, count(*) AS n_near, arg_min(p.other, (-w.n, encode(p.other))) AS best, max(w.n) AS best_n
+        FROM pairs p JOIN words w ON p.other = w.word GROUP BY p.word
+    ), forms AS (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form, CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n
+        FROM words w LEFT JOIN near USING (word)
+    ), chain AS (
+        SELECT word, word AS last FROM forms
+        UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.last = f.word WHERE f.form IS NOT NULL
+    )
+    SELECT f.word, f.form, c.last AS root, f.n, f.n_near, f.form_n
+    FROM forms f JOIN chain c USING (word) JOIN forms e ON c.last = e.word WHERE e.form IS NULL
+    """,
+)
+def spelling_variants(t) -> DataFrame:
+    return variants.group_variants(variants.vocabulary(t.documents, damaged=199))
+
+
+@BOOK.add(
+    "op13_merkle_manifest",
+    f"""
+    WITH RECURSIVE {_BITS}, rows_ AS (
+        SELECT d.*, row_number() OVER () AS rid,
+            coalesce(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+            coalesce(strlen(text) || ':' || text, '-') AS tail,
+            xor(list_reduce(list_prepend(4294967295, [ascii(c) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+                lambda c, b: xor(c // 256, tbl[xor(c, b) % 256 + 1])), 4294967295) % 7 = 0 AS hit
+        FROM documents d, bits
+    ), leaves AS (
+        SELECT doc_id, lang, rid, sha256(head || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+            CASE WHEN hit THEN sha256(head || coalesce(length(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS tampered
+        FROM rows_
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, tampered NULLS FIRST) - 1 AS rank FROM leaves
+    ), steps AS (
+        SELECT lang, 0 AS level, list(leaf ORDER BY rank) AS hs FROM placed GROUP BY lang
+        UNION ALL
+        SELECT lang, level + 1, list_transform(range((len(hs) + 1) // 2), lambda i: sha256(hs[2 * i + 1] || coalesce(hs[2 * i + 2], '')))
+        FROM steps WHERE len(hs) > 1
+    ), subroots AS (
+        SELECT lang, hs[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM steps WHERE len(hs) = 1
+    ), upper_ AS (
+        SELECT 0 AS level, list(subroot ORDER BY place) AS hs FROM subroots
+        UNION ALL
+        SELECT level + 1, list_transform(range((len(hs) + 1) // 2), lambda i: sha256(hs[2 * i + 1] || coalesce(hs[2 * i + 2], '')))
+        FROM upper_ WHERE len(hs) > 1
+    ), entries AS (
+        SELECT p.rid, s.level, CASE WHEN (p.rank >> s.level) % 2 = 1 THEN 'l' || hs[p.rank >> s.level] ELSE 'r' || coalesce(hs[(p.rank >> s.level) + 2], '') END AS e
+        FROM placed p JOIN steps s ON p.lang IS NOT DISTINCT FROM s.lang AND len(s.hs) > 1
+        UNION ALL
+        SELECT p.rid, 1000 + u.level, CASE WHEN (b.place >> u.level) % 2 = 1 THEN 'l' || hs[b.place >> u.level] ELSE 'r' || coalesce(hs[(b.place >> u.level) + 2], '') END
+        FROM placed p JOIN subroots b ON p.lang IS NOT DISTINCT FROM b.lang JOIN upper_ u ON len(u.hs) > 1
+    ), paths AS (
+        SELECT rid, list(e ORDER BY level) AS path FROM entries GROUP BY rid
+    ), folded AS (
+        SELECT p.doc_id, p.leaf, b.subroot, (SELECT hs[1] FROM upper_ WHERE len(hs) = 1) AS root,
+            sha256(array_to_string([e[2:] FOR e IN coalesce(path, [])], '')) AS proof_sha256,
+            list_reduce(list_prepend(coalesce(tampered, leaf), coalesce(path, [])), lambda h, e: sha256(CASE WHEN e[1] = 'l' THEN e[2:] || h ELSE h || e[2:] END)) AS folded_root
+        FROM placed p JOIN subroots b ON p.lang IS NOT DISTINCT FROM b.lang LEFT JOIN paths q ON p.rid = q.rid
+    )
+    SELECT *, folded_root = root AS verified FROM folded
+    """,
+)
+def merkle_manifest(t) -> DataFrame:
+    return manifest.verified_documents(t.documents)

@@ -119,7 +119,7 @@ def buckets(keys: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray:
 
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, Powers]:
-    powers = process_cache("powers", Powers)
+    powers = process_cache("hashes", "powers", Powers)
     powers.to(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(powers.byte[data] * powers.up[: len(data)], out=sums[1:])
@@ -411,6 +411,8 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     opened = decided.filter(F.col("kind") == OPEN_CELL).select("anchor", "doc", "tie", "start", F.col("length").alias("windows"))
     hot = opened.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
+    # Written first, so that the planner knows how few there are and leaves the open cells where they are.
+    hot = materialise(hot, "hot-anchors")
     marked = opened.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = marked.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "windows", "anchor", "hot")).alias("wanted"))
     schema = "anchor long, hot boolean, doc long, tie long, start long, bytes binary"

@@ -194,7 +194,7 @@ def signatures(docs: DataFrame, weights: np.ndarray, key: str, text: str) -> Dat
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = process_cache(("sampler", BANDS * ROWS), lambda: Sampler(BANDS * ROWS))
+        sampler = process_cache("hashes", ("sampler", BANDS * ROWS), lambda: Sampler(BANDS * ROWS))
         for batch in batches:
             for block in slices(batch, 2, 2 << 20):
                 words, bounds, _ = word_hashes(block.column(2))

@@ -172,9 +172,10 @@ class BlockIndex:
         self.needed = needed
         self.number = {t: n for n, t in enumerate(needed)}
         self.lower = np.array([ord(chr(b).lower()) if b < 128 else b for b in range(256)], np.uint8)
-        self.table = np.zeros(1 << 24, np.uint16)
-        for n, t in enumerate(needed):
-            self.table[t[0] << 16 | t[1] << 8 | t[2]] = n + 1
+        self.codes = np.array([t[0] << 16 | t[1] << 8 | t[2] for t in needed], np.int32)
+        # One bit for every trigram.
+        self.bits = np.zeros(1 << 21, np.uint8)
+        np.bitwise_or.at(self.bits, self.codes >> 3, np.uint8(1) << (self.codes & 7).astype(np.uint8))
 
     def postings(self, column: pa.Array) -> list[np.ndarray]:
         """For every needed trigram the rows of the block that hold it, ascending."""
@@ -185,12 +186,12 @@ class BlockIndex:
             return [np.zeros(0, np.int64)] * len(self.needed)
         low = self.lower[np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]].astype(np.int32)
         offsets = offsets - offsets[0]
-        marks = self.table[low[:-2] << 16 | low[1:-1] << 8 | low[2:]]
-        places = np.flatnonzero(marks)
+        codes = low[:-2] << 16 | low[1:-1] << 8 | low[2:]
+        places = np.flatnonzero(self.bits[codes >> 3] >> (codes & 7) & 1)
         rows = np.searchsorted(offsets, places, "right") - 1
         inside = places + 3 <= offsets[rows + 1]
-        pairs = np.unique(marks[places[inside]].astype(np.int64) * len(column) + rows[inside])
-        cuts = np.searchsorted(pairs, np.arange(1, len(self.needed) + 2) * len(column))
+        pairs = np.unique(np.searchsorted(self.codes, codes[places[inside]]) * len(column) + rows[inside])
+        cuts = np.searchsorted(pairs, np.arange(len(self.needed) + 1) * len(column))
         return [pairs[a:b] % len(column) for a, b in zip(cuts, cuts[1:])]
 
     def candidates(self, query: Query, postings: list[np.ndarray], rows: int) -> np.ndarray:
@@ -229,7 +230,7 @@ class BlockIndex:
 
 
 def _index(rules: tuple[Rule, ...]) -> BlockIndex:
-    return process_cache(("secrets", rules), lambda: BlockIndex(rules))
+    return process_cache("secrets", rules, lambda: BlockIndex(rules))
 
 
 SPANS = T.ArrayType(

@@ -323,7 +323,7 @@ class Counter(UnitCoder):
 
 
 def encoder(vocabulary: Vocabulary) -> Encoder:
-    return process_cache(("encoder", vocabulary), lambda: Encoder(vocabulary))
+    return process_cache("tokens", ("encoder", vocabulary), lambda: Encoder(vocabulary))
 
 
 def count_tokens(
@@ -339,7 +339,7 @@ def count_tokens(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = process_cache(("counter", vocabulary), lambda: Counter(vocabulary))
+        counter = process_cache("tokens", ("counter", vocabulary), lambda: Counter(vocabulary))
         for batch in batches:
             for part in slices(batch, 2, ENCODED_BYTES):
                 n = counter.counts(texts_of(part.column(2)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Iterator
@@ -13,14 +14,20 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 
 
-def process_cache(key: object, make):
-    """``make()`` once per Python worker process.
+def process_cache(owner: str, key: object, make):
+    """``make()`` once per Python worker process, as long as one owner's tasks follow each other.
 
     Task functions travel by value, so a module variable would start anew with
-    every task; a worker process serves many tasks.
+    every task; a worker process serves many tasks, of many stages. What another
+    owner has kept is dropped first, so a worker holds the caches of one stage only.
     """
     holder = sys.modules.setdefault("_saltmarsh_worker_cache", types.ModuleType("_saltmarsh_worker_cache"))
-    table = holder.__dict__.setdefault("table", {})
+    state = holder.__dict__
+    if state.get("owner") != owner:
+        state["owner"], state["table"] = owner, {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    table = state["table"]
     if key not in table:
         table[key] = make()
     return table[key]

@@ -24,14 +24,14 @@ SYNONYMS = {
 
 # Words that are never keywords.
 STOP_WORDS = (
-    "about", "apa", "atau", "bagaimana", "dan", "dari", "does", "how", "kenapa", "kita",
-    "mengapa", "our", "terhadap", "that", "the", "this", "untuk", "what", "why", "yang",
+    "apa", "bagaimana", "kenapa", "mengapa", "yang", "dan", "atau", "kita", "dari", "untuk",
+    "terhadap", "the", "our", "what", "how", "why", "about", "does", "this", "that",
 )
 
 # Keywords that name a topic.
 TOPIC_TERMS = (
-    "bbca", "contract", "economy", "forecast", "inflation", "interest", "inventory", "market",
-    "news", "rate", "regulation", "report", "revenue", "sales",
+    "revenue", "sales", "forecast", "interest", "rate", "inflation", "news", "market", "economy",
+    "regulation", "inventory", "contract", "report", "bbca",
 )
 
 # Patterns over the normalised question.
@@ -43,10 +43,10 @@ RECENT = "latest|current|recent|today|terbaru|terkini|hari ini|minggu ini"
 
 # Search words added for a keyword.
 KEYWORD_EXPANSIONS = {
-    "forecast": "prediksi proyeksi",
     "interest": "rate suku bunga biaya pinjaman",
     "revenue": "pendapatan omzet",
     "sales": "penjualan transaksi",
+    "forecast": "prediksi proyeksi",
 }
 
 # Case-insensitive patterns of the routing flags.
@@ -164,6 +164,16 @@ def _has(text: Column, pattern: str) -> Column:
     return text.rlike("(?i)" + pattern)
 
 
+def _line_has(text: Column, lookaheads: str) -> Column:
+    """Whether some line meets all lookaheads.
+
+    They look ahead from the start of each line: what holds from a later place in
+    the line holds from its start, and a trial at every place would take a time
+    that grows with the square of the line.
+    """
+    return text.rlike("(?im)^" + lookaheads)
+
+
 def routing_flags(question: Column) -> Column:
     """Struct of rag, forecast, news and document; every pattern runs once."""
     facts = F.struct(
@@ -171,7 +181,7 @@ def routing_flags(question: Column) -> Column:
         _has(question, FLAG_TICKER).alias("ticker"),
         _has(question, FLAG_MARKET_CAUSE).alias("cause"),
         _has(question, FLAG_PRICE_NOW).alias("priced"),
-        _has(question, FLAG_MARKET_NEWS).alias("moved"),
+        _line_has(question, FLAG_MARKET_NEWS).alias("moved"),
         _has(question, FLAG_NEWS).alias("news"),
         _has(question, FLAG_FORECAST).alias("forecast"),
         _has(question, FLAG_DOCUMENT).alias("document"),

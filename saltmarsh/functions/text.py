@@ -17,8 +17,8 @@ _UNEVEN_SPACE = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
 # Phrases that mark a paragraph as boilerplate.
 BOILERPLATE_MARKERS = ("baca juga:", "advertisement", "sponsored", "ikuti kami")
 
-# Words that carry no topic.
-TOPIC_NOISE = ("news", "berita", "hari ini", "today", "terbaru", "latest")
+# Fixed value: words that carry no topic.
+TOPIC_NOISE = r"\b(news|berita|hari ini|today|terbaru|latest)\b"
 
 DEFAULT_TOPIC = "General News"
 PAGE_MARKER = r"===== PAGE (\d+) ====="
@@ -166,8 +166,7 @@ def title_case(text: Column) -> Column:
 
 
 def topic_name(query: Column) -> Column:
-    noise = r"(?iU)\b(" + "|".join(TOPIC_NOISE) + r")\b"
-    words = F.btrim(squash(F.regexp_replace(F.coalesce(query, F.lit("")), noise, " ")), F.lit(" ,.-"))
+    words = F.btrim(squash(F.regexp_replace(F.coalesce(query, F.lit("")), "(?iU)" + TOPIC_NOISE, " ")), F.lit(" ,.-"))
     return F.coalesce(F.nullif(title_case(words), F.lit("")), F.lit(DEFAULT_TOPIC))
 
 

@@ -151,3 +151,16 @@ def test_links(spark):
     links = html.page_links(spark.createDataFrame([("https://x.org/d/e", page)], "url string, html string"))
     found = html.candidate_links(links, ["gold"]).orderBy("position").collect()
     assert [r["link"] for r in found] == ["https://x.org/a", "https://x.org/d/b?c"]
+
+
+def test_routing_flags_of_a_long_line(spark):
+    """One long line costs a time in proportion to its length; both words must stand in one line."""
+    import time
+
+    long = "some words without any meaning here " * 6000
+    texts = [long, long + "gold price", "price of " + long + "\ngold", "a\r\ngold and " + long + " the price", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    start = time.perf_counter()
+    found = frame.select("id", qs.routing_flags(F.col("text")).alias("f")).orderBy("id").select("f.news").collect()
+    assert [r.news for r in found] == [False, True, False, True, None]
+    assert time.perf_counter() - start < 20

@@ -2,15 +2,16 @@
 
 Words are counted in the tasks before anything is shuffled, so a frequent word is
 one row per task. Two words are *near* if one inserted, deleted or replaced code
-point turns one into the other. Near words share their first half or their last
-half, so every word is put on sorted lists: by its first half, and, spelled
-backwards, by its last half, for each length that the shorter one of two near
-words can have. A pair of near words meets on one list only.
+point turns one into the other. For each length that the shorter one of two near
+words can have, a word is cut into thirds. An edit falls into one of them, so two
+near words share the letters of the other two: every word is put on one sorted list
+for each pair of thirds, which holds what is left of it. A pair of near words is
+taken from one list only.
 
 A list is scanned by each of its words with the banded rows of the edit matrix, three
-cells for each leading part of a listed word. The next listed word reuses the rows
+cells for each leading part of a listed rest. The next listed one reuses the rows
 of the part it shares with the one before; where all cells of a row exceed one
-edit, the scan jumps over all words with that leading part. A list longer than
+edit, the scan jumps over all that have that leading part. A list longer than
 ``LIST`` is cut into ranges, and a word is sent only to the ranges whose shared
 leading part its own rows allow.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from saltmarsh.llm.words import CHUNK, Powers, mix, text_bytes
 from saltmarsh.llm.worker import process_cache, slices
@@ -234,97 +235,131 @@ def may_hold(query: str, least: str, most: str) -> bool:
     return True
 
 
+FRONT, BACK, MIDDLE = "f", "b", "m"
+ROW = "list string, part long, role int, rest string, word string, n long"
+ROW_TYPES = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64())
+
+
+def _batch(rows: list[tuple], types: tuple, names: str) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in types]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [n.split()[0] for n in names.split(", ")])
+
+
+FOUND = "word string, near long, form_n long, form string"
+FOUND_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.string())
+
+
+class _List:
+    """One sorted list: rests of words, with the words and how often they occur."""
+
+    def __init__(self, name: str, rows: list[tuple[str, str, int]]) -> None:
+        self.side, shorter, _ = name.split(" ", 2)
+        self.shorter = int(shorter)
+        self.third = self.shorter // 3
+        self.rows = sorted(rows)
+        self.rests = SortedList([r[0] for r in self.rows])
+
+    def taken_elsewhere(self, one: str, other: str) -> bool:
+        """Whether a pair of this list is also one of a list that comes before it."""
+        size = self.shorter - self.third
+        if self.side == FRONT:
+            return False
+        return one[:size] == other[:size] or (self.side == MIDDLE and one[len(one) - size :] == other[len(other) - size :])
+
+    def answer(self, rest: str, word: str) -> tuple | None:
+        near = []
+        for k in self.rests.near(rest):
+            _, other, n = self.rows[k]
+            if min(len(word), len(other)) == self.shorter and not self.taken_elsewhere(word, other):
+                near.append((-n, other))
+        if near:
+            most, form = min(near)
+            return word, len(near), -most, form
+        return None
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(list, range, role, word, n) rows in that order: words near each asking word, and the most frequent of them.
+    """Rows in the order of list, range and role: how many words are near each asking word, and the most frequent of them.
 
-    Role 0 is listed only, 1 is listed and asks, 2 asks only. Asking words are answered as soon as the list is whole.
+    Role 0 is listed only, 1 is listed and asks, 2 asks only; what is listed comes first.
     """
     name = None
-    listed: list[tuple[str, int]] = []
-    waiting: list[tuple[str, int]] = []
-    table: SortedList | None = None
-    out: list[tuple[str, int, int, str]] = []
+    listed: list[tuple[str, str, int]] = []
+    asking: list[tuple[str, str]] = []
+    table: _List | None = None
+    out: list[tuple] = []
 
     def answer() -> None:
         nonlocal table
         if table is None:
-            listed.sort()
-            table = SortedList([w for w, _ in listed])
-        backward, shorter, half = name[0].split(" ", 2)
-        backward, shorter = backward == "b", int(shorter)
-        for word, _ in waiting:
-            places = [k for k in table.near(word) if min(len(word), len(listed[k][0])) == shorter]
-            if backward:
-                # Those that share the first half too met on the list of that half.
-                head = shorter // 2
-                places = [k for k in places if listed[k][0][::-1][:head] != word[::-1][:head]]
-            if places:
-                near = [(-listed[k][1], listed[k][0][::-1] if backward else listed[k][0]) for k in places]
-                most, form = min(near)
-                out.append((word[::-1] if backward else word, len(near), -most, form))
-        waiting.clear()
-
-    def rows() -> pa.RecordBatch:
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-        columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
-        out.clear()
-        return pa.RecordBatch.from_arrays(columns, ["word", "near", "form_n", "form"])
+            table = _List(name[0], listed)
+        out.extend(found for rest, word in asking if (found := table.answer(rest, word)))
+        asking.clear()
 
     for batch in batches:
-        for list_, part, role, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+        for list_, part, role, rest, word, n in zip(*(c.to_pylist() for c in batch.columns)):
             if (list_, part) != name:
-                if waiting:
+                if asking and (len(listed) > 1 or len(asking) > 1 or asking[0][1] != listed[0][1]):
                     answer()
                 name, table = (list_, part), None
-                listed.clear()
+                listed, asking = [], []
             if role < 2:
-                listed.append((word, n))
+                listed.append((rest, word, n))
             if role > 0:
-                waiting.append((word, n))
-                if role == 2 and len(waiting) >= LIST:
+                asking.append((rest, word))
+                if role == 2 and len(asking) >= LIST:
                     answer()
-        yield rows()
-    if waiting:
+        yield _batch(out, FOUND_TYPES, FOUND)
+        out.clear()
+    if asking:
         answer()
-    yield rows()
+    yield _batch(out, FOUND_TYPES, FOUND)
 
 
 def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of long lists, once for every range that can hold a near word."""
     for batch in batches:
         out = []
-        for list_, word, n, ranges in zip(*(c.to_pylist() for c in batch.columns)):
-            out += [(list_, r["part"], 2, word, n) for r in ranges if may_hold(word, r["least"], r["most"])]
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64())
-        columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
-        yield pa.RecordBatch.from_arrays(columns, ["list", "part", "role", "word", "n"])
+        for list_, rest, word, n, ranges in zip(*(c.to_pylist() for c in batch.columns)):
+            out += [(list_, r["part"], 2, rest, word, n) for r in ranges if may_hold(rest, r["least"], r["most"])]
+        yield _batch(out, ROW_TYPES, ROW)
+
+
+def _lists(size: Column, shorter: Column) -> list[Column]:
+    """The three lists of a word for one length of the shorter word, each named by the letters shared there."""
+    third = F.floor(shorter / 3).cast("int")
+    most = shorter - third
+    parts = (
+        (FRONT, F.substring("word", F.lit(1), most), F.substring("word", most + 1, size)),
+        (BACK, F.substring("word", size - most + 1, most), F.substring("word", F.lit(1), size - most)),
+        (
+            MIDDLE,
+            F.concat(F.substring("word", F.lit(1), third), F.substring("word", size - third + 1, third)),
+            F.substring("word", third + 1, size - 2 * third),
+        ),
+    )
+    named = [F.struct(F.concat_ws(" ", F.lit(side), shorter.cast("string"), shared).alias("list"), rest.alias("rest")) for side, shared, rest in parts]
+    return [F.when(shorter >= 0, one) for one in named]
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """word, n_near, near_n and near_word (the most frequent near word, the least of equals) of words that have near ones."""
     size = F.char_length("word")
-    lists = []
-    for shorter in (size, size - 1):
-        half = F.floor(shorter / 2)
-        front = F.concat(F.lit("f "), shorter.cast("string"), F.lit(" "), F.substring("word", F.lit(1), half.cast("int")))
-        tail = F.substring("word", (size - (shorter - half) + 1).cast("int"), (shorter - half).cast("int"))
-        back = F.concat(F.lit("b "), shorter.cast("string"), F.lit(" "), tail)
-        lists += [F.struct(front.alias("list"), F.col("word")), F.struct(back.alias("list"), F.reverse("word").alias("word"))]
-    entries = materialise(words.select(F.inline(F.array(*lists)), "n"), "lists")
+    lists = F.array_compact(F.array(*_lists(size, size), *_lists(size, size - 1)))
+    entries = materialise(words.select(F.inline(lists), "word", "n"), "lists")
     long = entries.groupBy("list").count().filter(F.col("count") > LIST).select("list")
     long = materialise(long, "long-lists")
-    schema = "list string, part long, role int, word string, n long"
-    asked = entries.join(long, "list", "left_anti").select("list", F.lit(0).cast("long").alias("part"), F.lit(1).alias("role"), "word", "n")
+    asked = entries.join(long, "list", "left_anti").select("list", F.lit(0).cast("long").alias("part"), F.lit(1).alias("role"), "rest", "word", "n")
     if not long.isEmpty():
-        numbered = materialise(number_rows(entries.join(long, "list"), ["list", "word"], "place"), "places")
+        numbered = materialise(number_rows(entries.join(long, "list"), ["list", "rest", "word"], "place"), "places")
         least = numbered.groupBy("list").agg(F.min("place").alias("least_place"))
         parted = numbered.join(least, "list").withColumn("part", F.floor((F.col("place") - F.col("least_place")) / LIST))
-        ends = parted.groupBy("list", "part").agg(F.min("word").alias("least"), F.max("word").alias("most"))
+        ends = parted.groupBy("list", "part").agg(F.min("rest").alias("least"), F.max("rest").alias("most"))
         ranges = ends.groupBy("list").agg(F.collect_list(F.struct("part", "least", "most")).alias("ranges"))
-        sent = numbered.join(ranges, "list").select("list", "word", "n", "ranges").mapInArrow(_send, schema)
-        asked = asked.union(parted.select("list", "part", F.lit(0).alias("role"), "word", "n")).union(sent)
-    dealt = asked.repartition("list", "part").sortWithinPartitions("list", "part", "role", "word")
-    found = dealt.mapInArrow(_scan, "word string, near long, form_n long, form string")
+        sent = numbered.join(ranges, "list").select("list", "rest", "word", "n", "ranges").mapInArrow(_send, ROW)
+        asked = asked.union(parted.select("list", "part", F.lit(0).alias("role"), "rest", "word", "n")).union(sent)
+    dealt = asked.repartition("list", "part").sortWithinPartitions("list", "part", "role")
+    found = dealt.mapInArrow(_scan, FOUND)
     # Of the most frequent near words the least.
     best = F.min(F.struct((-F.col("form_n")).alias("less"), F.col("form")))
     return found.groupBy("word").agg(F.sum("near").alias("n_near"), best.alias("_best")).select(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from saltmarsh.operators.series import last_rows, split
+from saltmarsh.operators.regression import lag_regression
+from saltmarsh.operators.series import last_rows, split_daily
 
 Z95 = 1.96
 Z80 = 1.2815515655446004
@@ -94,45 +93,6 @@ def trend_forecast(series: DataFrame, horizon: int = 14, window: int = 7) -> Dat
     return history.unionByName(future, allowMissingColumns=True)
 
 
-FEATURES = ("lag_1", "lag_7", "rolling_mean_7", "rolling_std_7", "day_of_week", "month", "time_index")
-
-
-def _features(ds: pd.Series, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows and targets from the eighth day on."""
-    past = np.lib.stride_tricks.sliding_window_view(y[:-1], 7)
-    rows = np.column_stack(
-        [
-            y[6:-1],
-            y[:-7],
-            past.mean(axis=1),
-            past.std(axis=1, ddof=1),
-            ds.dt.dayofweek.to_numpy()[7:],
-            ds.dt.month.to_numpy()[7:],
-            np.arange(7, len(y)),
-        ]
-    )
-    return rows.astype(float), y[7:]
-
-
-def _least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    centre = x.mean(axis=0)
-    weights = np.linalg.lstsq(x - centre, y - y.mean(), rcond=None)[0]
-    return weights, float(y.mean() - centre @ weights)
-
-
-def regression_forecast(ds: pd.Series, y: np.ndarray, horizon: int) -> np.ndarray:
-    """Fit the lag regression and let every prediction feed the next one."""
-    weights, base = _least_squares(*_features(ds, y))
-    known = list(y)
-    day = ds.iloc[-1]
-    for _ in range(horizon):
-        day = day + pd.Timedelta(days=1)
-        week = np.asarray(known[-7:])
-        row = [known[-1], known[-7], week.mean(), week.std(ddof=1), day.dayofweek, day.month, len(known)]
-        known.append(float(base + np.dot(weights, row)))
-    return np.asarray(known[len(y):])
-
-
 def weekly_models(rows: DataFrame, *keys: str) -> DataFrame:
     """Straight trend plus one level per weekday, by least squares.
 
@@ -204,51 +164,14 @@ def weekly_predictions(marked: DataFrame, horizon: int) -> DataFrame:
     return checked.unionByName(future)
 
 
-_REGRESSION = "series_id string, part string, forecast_date date, actual double, predicted double"
-
-
-def _regression_rows(horizon: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        days = pd.to_datetime(pdf["ds"]).reset_index(drop=True)
-        y = pdf["y"].to_numpy(dtype=float)
-        cut = int((pdf["part"] == "train").sum())
-        later = pd.Series(pd.date_range(days.iloc[-1] + pd.Timedelta(days=1), periods=horizon, freq="D"))
-        checked = regression_forecast(days[:cut], y[:cut], len(y) - cut)
-        ahead = regression_forecast(days, y, horizon)
-        return pd.DataFrame(
-            {
-                "series_id": pdf["series_id"].iloc[0],
-                "part": ["validation"] * len(checked) + ["future"] * horizon,
-                "forecast_date": pd.concat([days[cut:], later]).dt.date.to_numpy(),
-                "actual": np.concatenate([y[cut:], np.full(horizon, np.nan)]),
-                "predicted": np.concatenate([checked, ahead]),
-            }
-        )
-
-    return run
-
-
 def regression_predictions(marked: DataFrame, horizon: int) -> DataFrame:
-    """Lag regression per series, one Python task per series.
-
-    Each prediction needs the one before it. A series has one row per day, so a
-    group is never longer than the calendar, however many sales stand behind it.
-    """
-    rows = marked.select("series_id", "ds", "y", "part")
-    raw = rows.groupBy("series_id").applyInPandas(_regression_rows(horizon), schema=_REGRESSION)
-    return raw.withColumns(
-        {
-            "actual": F.nanvl(F.col("actual"), F.lit(None).cast("double")),
-            "model": F.lit("regression"),
-            "weekly_margin": F.lit(None).cast("double"),
-        }
-    )
+    """Lag regression per series, with the columns of :func:`weekly_predictions`."""
+    return lag_regression(marked, horizon).withColumns({"model": F.lit("regression"), "weekly_margin": F.lit(None).cast("double")})
 
 
 def predictions(series: DataFrame, horizon: int = 7) -> DataFrame:
     """Validation and future predictions of both models."""
-    marked = split(series)
+    marked = split_daily(series)
     return weekly_predictions(marked, horizon).unionByName(regression_predictions(marked, horizon))
 
 

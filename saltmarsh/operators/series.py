@@ -176,3 +176,13 @@ def split(series: DataFrame, share: float = 0.2, at_least: int = 14) -> DataFram
     size = F.greatest(F.lit(at_least), F.floor(F.count(F.lit(1)).over(_whole()) * F.lit(share)).cast("int"))
     start = F.count(F.lit(1)).over(_whole()) - size
     return indexed(series).withColumn("part", F.when(F.col("time_index") >= start, "validation").otherwise("train"))
+
+
+def split_daily(series: DataFrame, share: float = 0.2, at_least: int = 14) -> DataFrame:
+    """As :func:`split`, for series with a row for every day: places follow from dates, and no series is sorted in one task."""
+    spans = series.groupBy("series_id").agg(F.min("ds").alias("_first"), F.max("ds").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    gap = F.raise_error(F.concat(F.lit("days are missing in series "), F.col("series_id").cast("string"))).cast("int")
+    first = F.when(F.date_diff("_last", "_first") + 1 == F.col("_n"), F.col("_first")).otherwise(F.date_add("_first", gap))
+    rows = series.join(spans.withColumn("_first", first), "series_id").withColumn("time_index", F.date_diff("ds", "_first"))
+    start = F.col("_n") - F.greatest(F.lit(at_least), F.floor(F.col("_n") * F.lit(share)).cast("int"))
+    return rows.withColumn("part", F.when(F.col("time_index") >= start, "validation").otherwise("train")).drop("_first", "_last", "_n")

@@ -14,7 +14,7 @@ SQL = catalog.all_sql()
 
 # Queries without SQL; unit tests compare them with plain Python.
 TESTED_ON_FIXTURES = {
-    "e04_lag_regression", "e08_backtest_forecast", "e08_backtest_validation", "o06_best_model", "g05_retrieved_chunks", "g05_evidence_context",
+    "g05_retrieved_chunks", "g05_evidence_context",
 }
 
 

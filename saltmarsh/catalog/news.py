@@ -11,9 +11,8 @@ from saltmarsh.operators.paging import lookup
 from saltmarsh.operators.rows import merge_by_key, skip_existing
 from saltmarsh.plans.newsroom import collected_articles, refresh_store
 from saltmarsh.scratch import run_folder
-from saltmarsh.sources.sinks import (
-    latest_articles, read_buckets, refresh_index, store_articles, update_buckets, write_article_store, write_buckets,
-)
+from saltmarsh.sources import snapshots
+from saltmarsh.sources.sinks import latest_articles, refresh_index, store_articles, write_article_store
 
 BOOK = Book()
 
@@ -164,9 +163,9 @@ def _updated_store(t: Tables) -> DataFrame:
     """A store in place; articles that come in again replace the stored ones, in their buckets only."""
     path = run_folder(t.spark, "store")
     stored, fresh = stored_and_incoming(t)
-    write_buckets(stored, path, "object_key")
-    update_buckets(t.spark, path, latest_articles(fresh), "object_key", "replace")
-    return read_buckets(t.spark, path).select("object_key", "title", "content")
+    snapshots.write(stored, path, "object_key")
+    snapshots.update(t.spark, path, latest_articles(fresh), "replace")
+    return snapshots.read(t.spark, path).select("object_key", "title", "content")
 
 
 @BOOK.add(
@@ -201,9 +200,9 @@ def _updated_index(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", F.col("source").alias("object_key"), "text", "lang", "n_chars")
     changed = rows.filter((F.col("lang") == "es") & (F.col("n_chars") > 8000)).select("object_key").distinct()
     updates = rows.join(changed, "object_key", "left_semi").select("doc_id", "object_key", F.upper("lang").alias("text"))
-    write_buckets(rows.select("doc_id", "object_key", "text"), path, "object_key")
-    update_buckets(t.spark, path, updates, "object_key", "groups")
-    return read_buckets(t.spark, path).select("doc_id", "object_key", "text")
+    snapshots.write(rows.select("doc_id", "object_key", "text"), path, "object_key")
+    snapshots.update(t.spark, path, updates, "groups")
+    return snapshots.read(t.spark, path).select("doc_id", "object_key", "text")
 
 
 @BOOK.add(
@@ -223,9 +222,9 @@ def _refilled(t: Tables) -> DataFrame:
     found = collected_articles(t.pages, F.lit("latest news"), session, minutes)
     found = found.withColumn("object_key", F.sha2("url", 256))
     first = found.filter(F.col("research_session_id") == "session-1").withColumn("title", F.concat(F.lit("old "), F.col("title")))
-    write_buckets(latest_articles(first), path, "object_key")
-    update_buckets(t.spark, path, latest_articles(found), "object_key", "keep")
-    return read_buckets(t.spark, path).select("url", "title", "research_session_id")
+    snapshots.write(latest_articles(first), path, "object_key")
+    snapshots.update(t.spark, path, latest_articles(found), "keep")
+    return snapshots.read(t.spark, path).select("url", "title", "research_session_id")
 
 
 @BOOK.add(

@@ -160,18 +160,6 @@ def test_nearest_refuses_other_widths(spark):
         rk.nearest(index, asked, "id").collect()
 
 
-@pytest.mark.parametrize("policy,wanted", [("keep", {(1, "a"), (2, "b"), (3, "C")}), ("replace", {(1, "a"), (2, "B"), (3, "C")})])
-def test_update_buckets(spark, tmp_path, policy, wanted):
-    from saltmarsh.sources.sinks import read_buckets, update_buckets, write_buckets
-
-    path = str(tmp_path / "store")
-    write_buckets(spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string"), path, "k")
-    update_buckets(spark, path, spark.createDataFrame([(2, "B"), (3, "C")], "k bigint, v string"), "k", policy)
-    assert set(map(tuple, read_buckets(spark, path).collect())) == wanted
-    update_buckets(spark, path, spark.createDataFrame([(2, "x"), (2, "y")], "k bigint, v string"), "k", "groups")
-    assert set(map(tuple, read_buckets(spark, path).collect())) == {w for w in wanted if w[0] != 2} | {(2, "x"), (2, "y")}
-
-
 def test_number_ordered(spark):
     from saltmarsh.operators.rows import number_ordered
 

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from saltmarsh.catalog.base import Book, Tables
 from saltmarsh.catalog.texts import sql_chunks
 from saltmarsh.functions import questions as qs, vectors as vx
-from saltmarsh.operators import ranking as rk
+from saltmarsh.operators import ranking as rk, text_index, vector_index
+from saltmarsh.operators.rows import materialise
 from saltmarsh.operators.vectorize import hash_vectors
 from saltmarsh.plans.indexing import index_rows, internal_rows, news_rows
 from saltmarsh.plans.retrieval import evidence_context, hashing, retrieve
 from saltmarsh.scratch import run_folder
-from saltmarsh.sources.sinks import read_buckets, update_buckets, write_buckets
+from saltmarsh.sources import snapshots
 
 BOOK = Book()
 
@@ -80,6 +81,55 @@ def _filtered(t: Tables) -> DataFrame:
     return _round6(found, "distance")
 
 
+def _index_of(t: Tables, vectors: DataFrame) -> str:
+    """Every label is an object."""
+    path = run_folder(t.spark, "vectors")
+    vector_index.build(vectors, path, "vec_id", object_key="label", carried=["label"])
+    return path
+
+
+_INDEXED = f"WITH {NEAR} SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM near WHERE rank <= "
+
+
+@BOOK.add("v02_indexed_vectors", _INDEXED + "20")
+def _indexed(t: Tables) -> DataFrame:
+    """The exact search of an index over all vectors."""
+    found = vector_index.search(t.spark, _index_of(t, t.embeddings), label_centres(t), 20, name="vec_id", exact=True)
+    return _round6(found, "distance")
+
+
+@BOOK.add("v02_updated_vectors", _INDEXED + "5")
+def _reindexed(t: Tables) -> DataFrame:
+    """Half of the labels were indexed with other vectors first; as objects they are then replaced."""
+    turned = t.embeddings.withColumn("embedding", F.when(F.col("label") % 2 == 1, F.reverse("embedding")).otherwise(F.col("embedding")))
+    path = _index_of(t, turned)
+    vector_index.update(t.embeddings.filter("label % 2 = 1"), path, "vec_id", object_key="label", carried=["label"])
+    return _round6(vector_index.search(t.spark, path, label_centres(t), 5, name="vec_id", exact=True), "distance")
+
+
+@BOOK.add(
+    "f09_indexed_with_filter",
+    f"""WITH {NEAR} SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM dist WHERE label = 1) WHERE rank <= 20""",
+)
+def _indexed_filtered(t: Tables) -> DataFrame:
+    path = _index_of(t, t.embeddings)
+    found = vector_index.search(t.spark, path, label_centres(t), 20, name="vec_id", where=F.col("label") == 1, exact=True)
+    return _round6(found, "distance")
+
+
+@BOOK.add("j07_index_recall", "SELECT vec_id AS query_id, TRUE AS in_range, CAST(10 AS INTEGER) AS found FROM embeddings WHERE embedding IS NOT NULL")
+def _recall(t: Tables) -> DataFrame:
+    """Every vector asked against the index without the exact step, compared with the scan: recall over all of them is in range."""
+    asked = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
+    quick = vector_index.search(t.spark, _index_of(t, t.embeddings), asked, 10, name="vec_id")
+    scanned = rk.nearest(t.embeddings, asked, key="vec_id", k=10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    judged = quick.join(scanned, ["query_id", "vec_id"], "left").groupBy("query_id")
+    judged = materialise(judged.agg(F.count("hit").alias("hits"), F.count(F.lit(1)).cast("int").alias("found")), "judged")
+    recall = judged.agg(F.sum("hits") / F.sum("found")).first()[0]
+    return judged.select("query_id", F.lit(recall >= 0.95).alias("in_range"), "found")
+
+
 @BOOK.add(
     "v03_gaussian_scores",
     f"WITH {NEAR} SELECT vec_id, round(exp(-(distance * distance) / (2 * 0.25 * 0.25)), 6) AS score FROM dist WHERE label = query_id",
@@ -147,6 +197,58 @@ def _matches(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", rk.keyword_hits(F.col("text"), words).cast("bigint").alias("hits"))
 
 
+def _text_index(t: Tables, documents: DataFrame) -> str:
+    """Every source is an object."""
+    path = run_folder(t.spark, "postings")
+    text_index.build(documents, path, "doc_id", object_key="source")
+    return path
+
+
+@BOOK.add("j06_indexed_matches", f"WITH {_HITS} SELECT doc_id, hits FROM hit WHERE hits > 0")
+def _indexed_matches(t: Tables) -> DataFrame:
+    found = text_index.TextIndex(t.spark, _text_index(t, t.documents)).matches(_WORDS)
+    return found.withColumnRenamed("key", "doc_id")
+
+
+_RANKED = """WITH tok AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*')) AS w FROM documents) GROUP BY 1, 2),
+  df AS (SELECT w, count(*) AS df FROM tok GROUP BY 1), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*')) AS w FROM benchmark),
+  s AS (SELECT item_id AS query_id, doc_id, round(sum(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) * n / (n + 1.2)), 6) AS score
+        FROM q JOIN df USING (w) JOIN tok USING (w) GROUP BY 1, 2)
+SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10"""
+
+
+def _ranked_documents(t: Tables, path: str) -> DataFrame:
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), text_index.words_of(F.col("text")).alias("keywords"))
+    return text_index.TextIndex(t.spark, path).ranked(asked, 10).withColumnRenamed("key", "doc_id")
+
+
+@BOOK.add("j06_ranked_documents", _RANKED)
+def _ranked(t: Tables) -> DataFrame:
+    """Every benchmark passage asked against the texts of all documents."""
+    return _ranked_documents(t, _text_index(t, t.documents))
+
+
+@BOOK.add("j06_updated_ranks", _RANKED)
+def _updated_ranks(t: Tables) -> DataFrame:
+    """Sources that hold an even document were indexed with other texts first; as objects they are then replaced."""
+    changed = t.documents.filter("doc_id % 2 = 0").select("source").distinct()
+    stale = t.documents.join(changed.withColumn("stale", F.lit("old words ")), "source", "left")
+    path = _text_index(t, stale.withColumn("text", F.concat(F.coalesce("stale", F.lit("")), F.col("text"))))
+    text_index.update(t.documents.join(changed, "source", "left_semi"), path, "doc_id", object_key="source")
+    return _ranked_documents(t, path)
+
+
+@BOOK.add("f06_indexed_substring", "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'thster') OR contains(lower(text), 'elle un')")
+def _indexed_substring(t: Tables) -> DataFrame:
+    """Documents that hold one of two strings, found by trigrams and then looked at."""
+    path = run_folder(t.spark, "trigrams")
+    text_index.build(t.documents, path, "doc_id", terms=text_index.trigrams_of)
+    index = text_index.TextIndex(t.spark, path)
+    found = [index.containing(t.documents, needle, "doc_id").select("doc_id", "source") for needle in ("THster", "elle un")]
+    return found[0].union(found[1]).distinct()
+
+
 @BOOK.add(
     "u06_shared_tokens",
     f"""WITH tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*')) AS w FROM documents)
@@ -254,9 +356,9 @@ def _replaced(t: Tables) -> DataFrame:
     """A stored snapshot of older texts; half of the objects are indexed anew and replace their chunks in place."""
     path = run_folder(t.spark, "snapshot")
     old = t.documents.withColumn("text", F.concat("text", F.lit(" old")))
-    write_buckets(document_index(t, documents=old), path, "object_key")
-    update_buckets(t.spark, path, document_index(t, documents=t.documents.filter("doc_id % 2 = 0")), "object_key", "groups")
-    return read_buckets(t.spark, path).select("object_key", "chunk", "text", F.size("embedding").alias("dimensions"))
+    snapshots.write(document_index(t, documents=old), path, "object_key")
+    snapshots.update(t.spark, path, document_index(t, documents=t.documents.filter("doc_id % 2 = 0")), "groups")
+    return snapshots.read(t.spark, path).select("object_key", "chunk", "text", F.size("embedding").alias("dimensions"))
 
 
 def benchmark_questions(t: Tables) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from saltmarsh.catalog.base import Book, Tables
 from saltmarsh.catalog.texts import sql_squash
 from saltmarsh.functions import urls
-from saltmarsh.operators import evidence as ev, html, paging
+from saltmarsh.operators import evidence as ev, html, markup, paging
 from saltmarsh.operators.rows import first_per_key, materialise
 
 BOOK = Book()
@@ -26,9 +26,6 @@ def _sql_plain(column: str) -> str:
 
 
 SQL_TITLE = sql_squash(_sql_plain("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1)"))
-_SQL_CLEAN = f"regexp_replace(html, '{html.removal_pattern()}', ' ', 'g')"
-
-
 
 def sql_articles(html_column: str = "html") -> str:
     """Articles by tags in a row with running counts: depth of each body kind, number and end of each p."""
@@ -41,9 +38,14 @@ shown AS (SELECT page_id, url, html AS raw, regexp_replace(regexp_replace({html_
 tags AS (SELECT page_id, u.i, lower(regexp_extract(u.tok, '^</?([a-zA-Z0-9]+)', 1)) AS name, u.tok LIKE '</%' AS closing,
     regexp_matches(u.tok, '^<[^>]*role=["'']main') AS main_role, regexp_extract(u.tok, '>([^<]*)$', 1) AS txt
   FROM shown, unnest(regexp_extract_all(html, '<[^>]*>[^<]*')) WITH ORDINALITY AS u(tok, i)),
-counted AS (SELECT *, {depths}, sum(CASE WHEN main_role THEN 1 ELSE 0 END) OVER w AS depth_r,
-    sum(CASE WHEN name = 'p' AND NOT closing THEN 1 ELSE 0 END) OVER w AS pno FROM tags WINDOW w AS (PARTITION BY page_id ORDER BY i)),
-pieces AS (SELECT *, sum(CASE WHEN (name = 'p' AND closing) OR name IN ('article', 'main') OR main_role THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, pno ORDER BY i) AS ended
+role AS (SELECT page_id, min(i) AS r0, arg_min(name, i) AS rname FROM tags WHERE main_role GROUP BY 1),
+bal AS (SELECT t.page_id, i, r0, sum(CASE WHEN name <> rname THEN 0 WHEN closing THEN -1 ELSE 1 END) OVER (PARTITION BY t.page_id ORDER BY i) AS open_
+  FROM tags t JOIN role r ON t.page_id = r.page_id WHERE i >= r0),
+reach AS (SELECT page_id, any_value(r0) AS r0, coalesce(min(i) FILTER (open_ = 0), 1000000000) AS r1 FROM bal GROUP BY 1),
+counted AS (SELECT t.*, {depths}, CASE WHEN i >= r0 AND i < r1 THEN 1 ELSE 0 END AS depth_r, coalesce(i IN (r0, r1), false) AS role_edge,
+    sum(CASE WHEN name = 'p' AND NOT closing THEN 1 ELSE 0 END) OVER w AS pno FROM tags t LEFT JOIN reach r ON t.page_id = r.page_id
+  WINDOW w AS (PARTITION BY t.page_id ORDER BY i)),
+pieces AS (SELECT *, sum(CASE WHEN (name = 'p' AND closing) OR name IN ('article', 'main') OR role_edge THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, pno ORDER BY i) AS ended
   FROM counted WHERE pno > 0),
 whole AS (SELECT page_id, pno, string_agg(CASE WHEN name = 'br' THEN ' ' || txt ELSE txt END, '' ORDER BY i) FILTER (ended = 0) AS raw,
     arg_min(depth_a, i) AS da, arg_min(depth_m, i) AS dm, arg_min(depth_r, i) AS dr FROM pieces GROUP BY 1, 2),
@@ -91,9 +93,38 @@ def _articles(t: Tables) -> DataFrame:
     return html.extract_articles(t.pages.withColumn("html", reshaped))
 
 
-@BOOK.add("t09_pages_without_noise", f"SELECT page_id, {_SQL_CLEAN} AS html FROM pages")
+# Boxes inside removed boxes, removed elements of other names, one that is never closed.
+_BOXED = """CASE page_id % 3
+  WHEN 0 THEN replace(html, '</article>', '</article><div class="wide Related-box"><div>inner</div><div><div>more</div></div>after</div><p>End</p>')
+  WHEN 1 THEN replace(html, '<article>', '<section id=''advert1''><section>x</section>y</section><ul class="nav share"><li>z</li></ul><article>') || '<aside><p>open'
+  ELSE html END"""
+
+
+@BOOK.add(
+    "t09_pages_without_noise",
+    f"""WITH toks AS (SELECT page_id, u.tok, u.i FROM (SELECT page_id, {_BOXED} AS html FROM pages),
+            unnest(regexp_extract_all(html, '(?s)<!--.*?-->|<[^>]*>|[^<]+')) WITH ORDINALITY AS u(tok, i)),
+          tag AS (SELECT *, lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS name, tok LIKE '</%' AS closing,
+            lower(regexp_extract(tok, 'class=["'']([^"'']*)', 1)) AS cls, lower(regexp_extract(tok, 'id=["'']([^"'']*)', 1)) AS own FROM toks WHERE tok LIKE '<%'),
+          deep AS (SELECT *, sum(CASE WHEN closing THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, name ORDER BY i) AS dn,
+            NOT closing AND (name IN ('script', 'style', 'noscript', 'iframe', 'nav', 'header', 'footer', 'aside', 'form') OR regexp_matches(own, 'related|advert')
+              OR regexp_matches(cls, 'advert|banner|social|related|recommend|share') OR list_has_any(string_split(cls, ' '), ['ad', 'ads'])) AS starts FROM tag),
+          reg AS (SELECT s.page_id, s.i AS i0, CASE WHEN any_value(s.tok) LIKE '<!--%' THEN s.i ELSE coalesce(min(e.i), 1000000000) END AS i1 FROM deep s
+            LEFT JOIN deep e ON e.page_id = s.page_id AND e.name = s.name AND e.closing AND e.i > s.i AND e.dn = s.dn - 1 WHERE s.starts OR s.tok LIKE '<!--%' GROUP BY 1, 2),
+          cover AS (SELECT t.*, i0 IS NOT NULL AS starts, coalesce(max(i1) OVER (PARTITION BY t.page_id ORDER BY t.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= t.i AS inside
+            FROM toks t LEFT JOIN reg r ON t.page_id = r.page_id AND t.i = r.i0)
+        SELECT page_id, string_agg(CASE WHEN inside THEN '' WHEN starts THEN ' ' ELSE tok END, '' ORDER BY i) AS html FROM cover GROUP BY 1""",
+)
 def _noise(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", html.remove_noise(F.col("html")).alias("html"))
+    page, number = F.col("html"), F.col("page_id")
+    box = '</article><div class="wide Related-box"><div>inner</div><div><div>more</div></div>after</div><p>End</p>'
+    lists = "<section id='advert1'><section>x</section>y</section><ul class=\"nav share\"><li>z</li></ul><article>"
+    boxed = (
+        F.when(number % 3 == 0, F.replace(page, F.lit("</article>"), F.lit(box)))
+        .when(number % 3 == 1, F.concat(F.replace(page, F.lit("<article>"), F.lit(lists)), F.lit("<aside><p>open")))
+        .otherwise(page)
+    )
+    return t.pages.select("page_id", markup.remove_noise(boxed).alias("html"))
 
 
 @BOOK.add(
@@ -338,9 +369,9 @@ def _preview(t: Tables) -> DataFrame:
     return paging.preview(t.orders, 50, "o_orderdate", "o_orderkey")
 
 
-@BOOK.add("o03_preview_info", "SELECT count(*) AS total, least(count(*), 50) AS shown, 'r_regionkey,r_name' AS columns FROM region")
+@BOOK.add("o03_preview_info", "SELECT count(*) AS total, least(count(*), 50) AS shown, 'o_orderkey,o_orderdate' AS columns FROM orders")
 def _preview_info(t: Tables) -> DataFrame:
-    return paging.preview_info(t.region.select("r_regionkey", "r_name"), 50).withColumn("columns", F.array_join("columns", ","))
+    return paging.preview_info(t.orders.select("o_orderkey", "o_orderdate"), 50).withColumn("columns", F.array_join("columns", ","))
 
 
 @BOOK.add("u01_union_by_name", "SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL FROM supplier")

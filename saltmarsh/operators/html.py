@@ -1,4 +1,4 @@
-"""Article extraction from HTML, by pattern, inside the JVM."""
+"""Article extraction from HTML: paragraphs from the tags in a row, single fields by pattern."""
 
 from __future__ import annotations
 
@@ -9,35 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from saltmarsh.functions import text as tx
-from saltmarsh.functions.values import filled, let
-
-# Elements and class/id words whose content is no article text.
-REMOVED_ELEMENTS = ("script", "style", "noscript", "iframe", "nav", "header", "footer", "aside", "form")
-REMOVED_CLASSES = ("advert", "banner", "social", "related", "recommend", "share")
-REMOVED_EXACT_CLASSES = ("ad", "ads")
+from saltmarsh.functions.values import filled
+from saltmarsh.operators.markup import page_bodies
 
 DEFAULT_CATEGORY = "Finance"
 LOGIN_TEXT = "log in|login|sign in|authentication required|masuk"
 LOGIN_URL = "login|signin|auth|account"
-# Control characters that cannot occur in a page mark borders of paragraphs and bodies.
-_OPEN, _CLOSE, _IN, _OUT = "\x01", "\x02", "\x03", "\x04"
-# What a browser shows nothing of.
-UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>"
-
-
-def removal_pattern() -> str:
-    paired = [f"<{name}\\b[^>]*>.*?</{name}\\s*>" for name in REMOVED_ELEMENTS]
-    words = "|".join(REMOVED_CLASSES)
-    exact = "|".join(REMOVED_EXACT_CLASSES)
-    marked = [
-        f"<div\\b[^>]*(?:class|id)=\"[^\"]*(?:{words})[^\"]*\"[^>]*>.*?</div\\s*>",
-        f"<div\\b[^>]*class=\"(?:[^\"]* )?(?:{exact})(?: [^\"]*)?\"[^>]*>.*?</div\\s*>",
-    ]
-    return "(?is)<!--.*?-->|" + "|".join(paired + marked)
-
-
-def remove_noise(page: Column) -> Column:
-    return F.regexp_replace(page, removal_pattern(), " ")
+# A control character that cannot occur in a page parts the fields of an article.
+_PART = "\x01"
 
 
 # The common character entities, the ampersand last.
@@ -88,54 +67,6 @@ CATEGORY = (
     r"(?is)<[a-z]+\b[^>]*rel=\"category\"[^>]*>(.*?)</",
     r"(?is)<[a-z]+\b[^>]*class=\"[^\"]*category[^\"]*\"[^>]*>(.*?)</",
 )
-# The elements whose paragraphs are the article, in the order they are read.
-BODIES = ("article", "main", "[role=main]")
-BODY = (
-    r"(?is)<article\b[^>]*>(.*?)</article\s*>",
-    r"(?is)<main\b[^>]*>(.*?)</main\s*>",
-    r"(?is)<[a-z]+\b[^>]*role=[\"']main[\"'][^>]*>(.*)",
-)
-
-
-def paragraphs_inside(seen: Column, element: str) -> Column:
-    """Texts of all p elements anywhere inside elements of a name, nested or many, in document order.
-
-    A p ends at its end tag, at the next p, or where a body begins or ends. An
-    element known by its role reaches to the end of the page.
-    """
-    if element.startswith("["):
-        begin, end = r"(?i)<[a-z]+\b[^>]*role=[\"']main[\"'][^>]*>", None
-    else:
-        begin, end = rf"(?i)<{element}\b[^>]*>", rf"(?i)</{element}\s*>"
-    marked = F.regexp_replace(seen, begin, _IN)
-    marked = F.regexp_replace(marked, end, _OUT) if end else marked
-    marked = F.regexp_replace(F.regexp_replace(marked, r"(?i)<p(?:\s[^>]*)?>", _OPEN), r"(?i)</p\s*>", _CLOSE)
-    # Other borders of bodies end a paragraph, too.
-    marked = F.regexp_replace(marked, r"(?i)</?(?:article|main)\b[^>]*>", _CLOSE)
-
-    def depth(part: Column) -> Column:
-        return F.length(F.regexp_replace(part, f"[^{_IN}]", "")) - F.length(F.regexp_replace(part, f"[^{_OUT}]", ""))
-
-    def inside(parts: Column) -> Column:
-        # Depth after each part, one running sum over the parts.
-        start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("before"))
-        depths = F.aggregate(
-            parts,
-            start,
-            lambda s, part: F.struct((s["depth"] + depth(part)).alias("depth"), F.concat(s["before"], F.array(s["depth"])).alias("before")),
-            lambda s: s["before"],
-        )
-        kept = F.filter(F.zip_with(parts, depths, lambda part, d: F.when(d > 0, part)), lambda part: part.isNotNull())
-        return F.transform(kept, lambda part: plain_text(F.regexp_extract(part, f"^[^{_CLOSE}{_IN}{_OUT}]*", 0)))
-
-    # The piece before the first p keeps its place: nothing is open before it, so it never counts.
-    return let(F.split(marked, _OPEN), inside)
-
-
-def first_body(seen: Column) -> Column:
-    return F.coalesce(*[filled(tx.squash(plain_text(F.regexp_extract(seen, p, 1)))) for p in BODY])
-
-
 def extract_articles(pages: DataFrame, html: str = "html", fallback_title: str | None = None) -> DataFrame:
     """Title, category, author, time and content of every page that has title and content.
 
@@ -147,25 +78,22 @@ def extract_articles(pages: DataFrame, html: str = "html", fallback_title: str |
     fallback = F.col(fallback_title) if fallback_title else F.lit(None).cast("string")
     keep = [c for c in pages.columns if c != html]
 
-    def content_of(seen: Column) -> Column:
-        found = F.concat(*[paragraphs_inside(seen, element) for element in BODIES])
-        return F.coalesce(filled(tx.clean_paragraphs(found)), first_body(seen))
-
+    content = F.coalesce(filled(tx.clean_paragraphs(F.col("_bodies.paragraphs"))), filled(tx.squash(F.col("_bodies.body"))))
     article = F.struct(
         F.coalesce(first_element(page, *TITLE), fallback).alias("title"),
         F.coalesce(first_element(page, *CATEGORY), F.lit(DEFAULT_CATEGORY)).alias("category"),
         first_element(page, *AUTHOR).alias("author"),
         first_element(page, *PUBLISHED).alias("published_at"),
-        let(F.regexp_replace(page, UNSEEN, ""), content_of).alias("content"),
+        content.alias("content"),
     )
     # Incomplete articles are dropped inside the generator: a filter would be
     # pushed below the extraction and run all of it a second time.
     complete = F.filter(F.array(article), lambda a: a["title"].isNotNull() & a["content"].isNotNull())
-    found = pages.select(*keep, F.inline(complete))
+    found = pages.withColumn("_bodies", page_bodies(page)).select(*keep, F.inline(complete))
     # The fields of a page pass Python as one text, and only if one of them needs it.
     names = ("title", "author", "published_at", "category", "content")
     shown = [F.when(F.col(n).isNotNull(), F.concat(F.lit("+"), F.col(n))).otherwise(F.lit("-")) for n in names]
-    parts = found.withColumn("_fields", F.split(decoded(F.concat_ws(_OPEN, *shown)), _OPEN))
+    parts = found.withColumn("_fields", F.split(decoded(F.concat_ws(_PART, *shown)), _PART))
     part = [F.get("_fields", F.lit(i)) for i in range(len(names))]
     return parts.select(*keep, *[F.when(F.startswith(p, F.lit("+")), F.substr(p, F.lit(2))).alias(n) for p, n in zip(part, names)])
 

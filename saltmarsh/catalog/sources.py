@@ -9,7 +9,7 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from saltmarsh.catalog.activity import _STATES, activity_events
+from saltmarsh.catalog.activity import _CLOSED, _STATES, activity_events
 from saltmarsh.catalog.base import Book, Tables
 from saltmarsh.catalog.cleaning import _GAPS, orders_with_gaps
 from saltmarsh.operators.cleaning import sanitise_numbers
@@ -17,7 +17,9 @@ from saltmarsh.plans.medallion import full_run, raw_to_bronze, silver_to_gold
 from saltmarsh.scratch import run_folder
 from saltmarsh.sources import documents as docs, sinks, tables as tb
 from saltmarsh.sources.workbook import workbook_columns, workbook_rows
-from saltmarsh.streaming.activity import latest_states, state_stream, unique_stream, write_states
+from saltmarsh.streaming.activity import (
+    execution_stream, kept_executions, latest_states, state_stream, unique_stream, write_retained, write_states,
+)
 from saltmarsh.streaming.ingest import ingest_files, read_silver
 
 BOOK = Book()
@@ -234,11 +236,15 @@ def _jobs(t: Tables) -> DataFrame:
     return docs.job_catalogue(keys, described).withColumn("stages", F.array_join("stages", ",")).orderBy("job_id")
 
 
+# Folders over which the objects of a bucket are spread.
+FOLDERS = 16
+
+
 def supplier_files(t: Tables, bucket: str, *columns: Column) -> str:
-    """One JSON file per supplier below a bucket folder; the folder that holds the bucket."""
+    """One JSON file per supplier in a few folders of a bucket; the folder that holds the bucket."""
     base = run_folder(t.spark, "objects")
-    rows = t.supplier.select(F.col("s_suppkey").alias("supplier"), *columns)
-    rows.repartition("supplier").write.partitionBy("supplier").json(f"{base}/{bucket}")
+    rows = t.supplier.select((F.col("s_suppkey") % FOLDERS).alias("supplier"), *columns)
+    rows.repartition("supplier").write.option("maxRecordsPerFile", 1).partitionBy("supplier").json(f"{base}/{bucket}")
     return base
 
 
@@ -249,7 +255,7 @@ def supplier_articles(t: Tables) -> DataFrame:
     return docs.read_objects(t.spark, base)
 
 
-@BOOK.add("s06_scanned_articles", "SELECT s_name AS title, 'General News' AS topic, 'supplier=' || s_suppkey AS folder FROM supplier WHERE s_suppkey % 5 <> 0")
+@BOOK.add("s06_scanned_articles", "SELECT s_name AS title, 'General News' AS topic, 'supplier=' || (s_suppkey % 16) AS folder FROM supplier WHERE s_suppkey % 5 <> 0")
 def _scanned_articles(t: Tables) -> DataFrame:
     found = docs.stored_articles(supplier_articles(t))
     return found.select("title", "topic", F.split_part("object_key", F.lit("/"), F.lit(1)).alias("folder"))
@@ -262,7 +268,7 @@ def _scanned_to_index(t: Tables) -> DataFrame:
 
 @BOOK.add(
     "s08_scanned_texts",
-    """SELECT 'supplier=' || s_suppkey AS folder, 'application/json' AS content_type,
+    """SELECT 'supplier=' || (s_suppkey % 16) AS folder, 'application/json' AS content_type,
               '{' || chr(10) || '  "s_name": "' || s_name || '"' || chr(10) || '}' AS text FROM supplier""",
 )
 def _scanned_texts(t: Tables) -> DataFrame:
@@ -278,7 +284,7 @@ def _scanned_customs(t: Tables) -> DataFrame:
     return found.select(F.col("document.ppbj_number").alias("number"), F.col("items")[0]["transaction_value"].alias("amount"), F.size("items").alias("items"))
 
 
-@BOOK.add("s10_listed_jobs", "SELECT 'supplier=' || s_suppkey AS job_id, 'bronze,silver,gold,forecast' AS stages FROM supplier")
+@BOOK.add("s10_listed_jobs", "SELECT DISTINCT 'supplier=' || (s_suppkey % 16) AS job_id, 'bronze,silver,gold,forecast' AS stages FROM supplier")
 def _listed_jobs(t: Tables) -> DataFrame:
     base = supplier_files(t, "store/jobs", F.col("s_name"))
     none = t.supplier.limit(0).select(F.col("s_name").alias("job_id"), F.col("s_name").alias("manifest"))
@@ -421,25 +427,25 @@ def _streamed(t: Tables) -> DataFrame:
     return read_silver(t.spark, base).select("transactionid", "date", "price", "totalrevenue", "unitssold", "location")
 
 
-# Files that the event streams read, one per trigger.
-STREAM_FILES = 4
+# Shares of the events that the streams read, one per trigger.
+STREAM_SHARES = 4
 
 
 def event_stream(t: Tables, in_order: bool) -> DataFrame:
-    """The events from several files, one file per trigger: by time, or dealt out without regard to it."""
+    """The events in shares, one per trigger: by time, or dealt out without regard to it. A share is as many files as there are cores."""
     folder = run_folder(t.spark, "event-files")
-    events = t.events
+    events, files = t.events, t.spark.sparkContext.defaultParallelism
     if in_order:
-        shares = [n / STREAM_FILES for n in range(1, STREAM_FILES)]
+        shares = [n / STREAM_SHARES for n in range(1, STREAM_SHARES)]
         cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), shares, 10_000)).first()[0]
         share = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.unix_micros(F.col("ts").cast("timestamp"))))
     else:
-        share = F.pmod(F.xxhash64("event_id"), F.lit(STREAM_FILES))
-    for number in range(STREAM_FILES):
+        share = F.pmod(F.xxhash64("event_id"), F.lit(STREAM_SHARES))
+    for number in range(STREAM_SHARES):
         # Streams read files by the time they were written.
-        events.filter(share == number).coalesce(1).write.parquet(f"{folder}/{number}")
-    files = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
-    return files.parquet(folder)
+        events.filter(share == number).repartition(files).write.parquet(f"{folder}/{number}")
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true")
+    return stream.parquet(folder)
 
 
 @BOOK.add("x01_unique_stream", "SELECT event_id, user_id, event_type FROM events")
@@ -459,3 +465,11 @@ def _state_stream(t: Tables) -> DataFrame:
     write_states(state_stream(activity_events(event_stream(t, True))), path, f"{path}-checkpoint")
     times = {c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "completed_at", "updated_at")}
     return latest_states(t.spark, path).withColumns(times)
+
+
+@BOOK.add("x04_retained_stream", _CLOSED + " SELECT * FROM x ORDER BY started_at DESC, execution_id DESC LIMIT 100")
+def _retained_stream(t: Tables) -> DataFrame:
+    """The last hundred executions, kept from trigger to trigger."""
+    path = run_folder(t.spark, "retained")
+    write_retained(execution_stream(activity_events(event_stream(t, True))), path, f"{path}-checkpoint")
+    return kept_executions(t.spark, path)

@@ -127,8 +127,15 @@ def activity_states(events: DataFrame, slice_seconds: int = 3600) -> DataFrame:
 
 def close_executions(events: DataFrame) -> DataFrame:
     """Status, start, end and duration of every execution from its first and last event."""
+    return closed(execution_ends(events))
+
+
+def execution_ends(events: DataFrame) -> DataFrame:
     place = F.struct("ts", "event_id", "status")
-    ends = events.groupBy("execution_id").agg(F.min("ts").alias("started_at"), F.max(place).alias("_last"))
+    return events.groupBy("execution_id").agg(F.min("ts").alias("started_at"), F.max(place).alias("_last"))
+
+
+def closed(ends: DataFrame) -> DataFrame:
     state = F.when(F.col("_last.status").isin(*TERMINAL), F.col("_last.status")).otherwise("running")
     done = F.when(F.col("_last.status").isin(*TERMINAL), F.col("_last.ts"))
     millis = F.floor(

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
-from saltmarsh.operators.activity import CLOSING, TERMINAL
+from saltmarsh.operators.activity import CLOSING, RETAINED, TERMINAL, closed, execution_ends, retained
 from saltmarsh.operators.rows import first_per_key
 
 # Activities of one execution are spread over this many state groups.
 SPREAD = 8
-# State of a group: JSON of {activity: [attempt, status, started, updated, last event]}, times in microseconds.
-STATE = "activities string"
+# State of an activity, times in microseconds.
+STATE = "attempt int, status string, started bigint, updated bigint, event bigint"
 # Rows that leave Python: times as microseconds, which are cheaper to hand over.
 CHANGES = (
     "execution_id bigint, activity_id string, attempt int, status string, started bigint, updated bigint, event_id bigint"
@@ -35,52 +35,56 @@ def unique_stream(events: DataFrame) -> DataFrame:
     return known.union(events.filter(F.col("event_id").isNull()))
 
 
-def step(known: list | None, status: str, ts: int, event: int) -> list | None:
+def step(known: tuple | None, status: str, ts: int, event: int) -> tuple | None:
     """State of an activity after one event; None when the event is ignored."""
     if known is None:
-        return [1, status, ts, ts, event]
+        return 1, status, ts, ts, event
     attempt, current, started, _, _ = known
     if current in TERMINAL and status == "running":
-        return [attempt + 1, status, ts, ts, event]
+        return attempt + 1, status, ts, ts, event
     if current in TERMINAL and status != current:
         return None
-    return [attempt, status, started, ts, event]
-
-
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    columns = ("micros", "event_id", "activity_id", "status")
-    rows = sorted(row for frame in frames for row in zip(*(frame[c].tolist() for c in columns)))
-    known = json.loads(state.get[0]) if state.exists else {}
-    changed: dict[tuple[str, int], list] = {}
-    for ts, event, activity, status in rows:
-        name = str(activity)
-        after = step(known.get(name), status, ts, event)
-        if after is not None:
-            known[name] = after
-            changed[name, after[0]] = after
-    state.update((json.dumps(known),))
-    if changed:
-        rows = [
-            (key[0], f"{name}#{n}" if n > 1 else name, n, status, started, updated, event)
-            for (name, _), (n, status, started, updated, event) in changed.items()
-        ]
-        yield pd.DataFrame(rows, columns=[part.split()[0] for part in CHANGES.split(", ")])
+    return attempt, status, started, ts, event
+
+
+class ActivityProcessor(StatefulProcessor):
+    """Keeps the latest attempt of every activity of a group in a typed map; reads and writes only the activities that have events."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "activity string", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        arrived: dict[str, list[tuple]] = {}
+        for row in rows:
+            arrived.setdefault(str(row.activity_id), []).append((row.micros, row.event_id, row.status))
+        for name, events in arrived.items():
+            state = self.known.getValue((name,)) if self.known.containsKey((name,)) else None
+            before, changed = state, {}
+            for ts, event, status in sorted(events):
+                after = step(state, status, ts, event)
+                if after is not None:
+                    state = changed[after[0]] = after
+            if state is not before:
+                self.known.updateValue((name,), state)
+            for attempt, (_, status, started, updated, event) in changed.items():
+                yield Row(key[0], f"{name}#{attempt}" if attempt > 1 else name, attempt, status, started, updated, event)
+
+    def close(self) -> None:
+        pass
 
 
 def state_stream(events: DataFrame, spread: int = SPREAD) -> DataFrame:
     """Changed attempts per trigger. No event is dropped for lateness and no attempt is forgotten.
 
     Events count in the order of arrival and, within a trigger, of time. A group
-    is a share of one execution's activities: few enough groups to keep Python
-    calls rare, and a busy execution is still spread over many tasks. The source's
-    limit of files or bytes per trigger bounds what a group sees at once.
+    is a share of one execution's activities: few enough groups to keep calls rare,
+    and a busy execution is still spread over many tasks. The source's limit of files
+    or bytes per trigger bounds what a group sees at once.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = events.withColumns({"micros": micros, "share": F.pmod(F.xxhash64("activity_id"), F.lit(spread)).cast("int")})
     needed = rows.select("execution_id", "share", "activity_id", "event_id", "status", "micros")
-    changes = needed.groupBy("execution_id", "share").applyInPandasWithState(
-        _advance, CHANGES, STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    changes = needed.groupBy("execution_id", "share").transformWithState(ActivityProcessor(), CHANGES, "Update", "None")
     updated = F.timestamp_micros("updated")
     return changes.select(
         "execution_id",
@@ -94,17 +98,66 @@ def state_stream(events: DataFrame, spread: int = SPREAD) -> DataFrame:
     )
 
 
+@contextmanager
+def typed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in the store that typed state variables need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_states(states: DataFrame, path: str, checkpoint: str) -> None:
     """Run the stream over everything available. A repeated trigger overwrites its own folder."""
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/trigger={number}")
 
-    query = states.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    query.foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
+    query = states.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
+    with typed_state(states.sparkSession):
+        running = query.trigger(availableNow=True).start()
+    running.awaitTermination()
 
 
 def latest_states(spark: SparkSession, path: str) -> DataFrame:
     """The last written state of every attempt."""
     rows = spark.read.schema(OUTPUT + ", trigger int").parquet(path)
     return first_per_key(rows, ["execution_id", "activity_id"], [-F.col("trigger")]).drop("trigger")
+
+
+def execution_stream(events: DataFrame) -> DataFrame:
+    """Executions with new events per trigger, as :func:`saltmarsh.operators.activity.close_executions` gives them.
+
+    First and last event are aggregates, so a busy execution is combined in the tasks that read it.
+    """
+    return closed(execution_ends(events))
+
+
+def write_retained(executions: DataFrame, path: str, checkpoint: str, limit: int = RETAINED) -> None:
+    """Keep the most recently started executions of a stream of them.
+
+    Each trigger merges the executions that changed with those kept so far, a bounded table, into
+    its own folder, so a repeated trigger gives the same again. It equals the batch form as long as no
+    event comes in that lies before the start of an execution that is kept.
+    """
+    spark = executions.sparkSession
+
+    def save(batch: DataFrame, number: int) -> None:
+        changed = batch.select(*executions.columns)
+        if number:
+            kept = spark.read.schema(executions.schema).parquet(f"{path}/trigger={number - 1}")
+            changed = changed.union(kept.join(changed.select("execution_id"), "execution_id", "left_anti").select(*changed.columns))
+        retained(changed, limit).write.mode("overwrite").parquet(f"{path}/trigger={number}")
+
+    query = executions.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    query.foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
+
+
+def kept_executions(spark: SparkSession, path: str) -> DataFrame:
+    """Executions kept after the last trigger."""
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max("trigger")).first()[0]
+    return rows.filter(F.col("trigger") == last).drop("trigger")

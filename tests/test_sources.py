@@ -151,10 +151,10 @@ def test_task_functions_carry_their_code(tmp_path):
     """What runs inside tasks loads where the package is not installed."""
     from pyspark import cloudpickle
 
-    from saltmarsh.operators.forecast import _regression_rows
-    from saltmarsh.streaming.activity import _advance
+    from saltmarsh.sources.workbook import workbook_rows
+    from saltmarsh.streaming.activity import ActivityProcessor
 
-    (tmp_path / "f").write_bytes(cloudpickle.dumps([_advance, _regression_rows(3)]))
+    (tmp_path / "f").write_bytes(cloudpickle.dumps([ActivityProcessor, workbook_rows]))
     code = "import pickle; print(len(pickle.load(open('f', 'rb'))))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={}, capture_output=True, text=True, timeout=60)
     assert out.stdout.strip() == "2", out.stderr

@@ -215,7 +215,7 @@ def _distinct_lineage(t: Tables) -> DataFrame:
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'""",
 )
 def _silver(t: Tables) -> DataFrame:
-    return t.spark.read.parquet(f"{layers(t)}/silver")
+    return t.spark.read.parquet(f"{layers(t)[0]}/silver")
 
 
 @BOOK.add(
@@ -227,13 +227,13 @@ def _silver(t: Tables) -> DataFrame:
               2 * count(*) FILTER (p = '1-URGENT') AS null_customergender, 2 * count(*) - (SELECT n FROM o) AS duplicate_rows, (SELECT n FROM v) AS output_rows FROM b""",
 )
 def _silver_report(t: Tables) -> DataFrame:
-    base = layers(t)
-    report = silver_report(t.spark.read.parquet(f"{base}/bronze"), t.spark.read.parquet(f"{base}/silver"))
+    base, counted = layers(t)
+    report = silver_report(t.spark.read.parquet(f"{base}/bronze"), t.spark.read.parquet(f"{base}/silver"), counted)
     return report.select("input_rows", "invalid_rows", "null_date", "null_customergender", "duplicate_rows", "output_rows")
 
 
-def layers(t: Tables) -> str:
-    """Stored bronze text with odd headers and copies, through the whole cleaning chain; the folder of both layers."""
+def layers(t: Tables) -> tuple[str, dict[str, int]]:
+    """Stored bronze text with odd headers and copies, through the whole cleaning chain; the folder of both layers and what was counted."""
     orders = t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
     joined = t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     date = F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd")).when(
@@ -251,7 +251,6 @@ def layers(t: Tables) -> str:
     named = raw.withColumnRenamed("Total Revenue ", "TotalRevenue")
     base = run_folder(t.spark, "layers")
     write_table(named.unionByName(named), f"{base}/bronze")
-    bronze_to_silver(t.spark, f"{base}/bronze", f"{base}/silver")
-    return base
+    return base, bronze_to_silver(t.spark, f"{base}/bronze", f"{base}/silver")
 
 

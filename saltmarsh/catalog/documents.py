@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from saltmarsh.catalog.base import Book, Tables
@@ -9,6 +11,7 @@ from saltmarsh.catalog.texts import sql_squash
 from saltmarsh.functions import urls
 from saltmarsh.operators import evidence as ev, html, markup, paging
 from saltmarsh.operators.rows import first_per_key, materialise
+from saltmarsh.scratch import run_folder
 
 BOOK = Book()
 
@@ -364,6 +367,21 @@ def _info(t: Tables) -> DataFrame:
     return paging.page_info(paging.search_rows(t.part.select("p_partkey", "p_name", "p_size"), "blue"), page=3, per_page=25)
 
 
+@BOOK.add(
+    "o02_stored_pages",
+    """SELECT o_orderkey, o_totalprice, position, position // 40 + 1 AS page FROM (SELECT o_orderkey, o_totalprice,
+         row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS position, count(*) OVER () AS total FROM orders)
+       WHERE position // 40 IN (0, 1, 200) OR position // 40 = (total - 1) // 40""",
+)
+def _stored_pages(t: Tables) -> DataFrame:
+    """Orders sorted once; the first two pages, a deep one and the last are opened from the stored order."""
+    path = run_folder(t.spark, "ordered")
+    paging.store_ordered(t.orders.select("o_orderkey", "o_orderdate", "o_totalprice"), path, F.desc("o_orderdate"), F.asc("o_orderkey"))
+    last = paging.stored_info(t.spark, path, 1, 40).first()["pages"]
+    pages = [paging.open_page(t.spark, path, page, 40).withColumn("page", F.lit(page).cast("long")) for page in sorted({1, 2, 201, last})]
+    return reduce(DataFrame.unionByName, pages).select("o_orderkey", "o_totalprice", "position", "page")
+
+
 @BOOK.add("o03_preview", "SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 50")
 def _preview(t: Tables) -> DataFrame:
     return paging.preview(t.orders, 50, "o_orderdate", "o_orderkey")

@@ -169,10 +169,11 @@ BOTH = WEEKLY + REGRESSION + """,
 
 @BOOK.add(
     "e04_lag_regression",
-    f"WITH RECURSIVE {(CUT + REGRESSION).format(horizon=14)} SELECT series_id, part, forecast_date, round(actual, 2) AS actual, round(predicted, 2) AS predicted FROM rg",
+    f"WITH RECURSIVE {(CUT + REGRESSION).format(horizon=14)} SELECT series_id, part, forecast_date, round(actual - predicted, 2) AS gap, round(predicted, 2) AS predicted FROM rg",
 )
 def _regression(t: Tables) -> DataFrame:
-    return rounded(lag_regression(split_daily(dense(t)), horizon=14), "actual", "predicted", digits=2)
+    rows = lag_regression(split_daily(dense(t)), horizon=14)
+    return rounded(rows.withColumn("gap", F.col("actual") - F.col("predicted")).drop("actual"), "gap", "predicted", digits=2)
 
 
 @BOOK.add(
@@ -186,11 +187,12 @@ def _backtest(t: Tables) -> DataFrame:
 
 @BOOK.add(
     "e08_backtest_validation",
-    f"""WITH RECURSIVE {BOTH.format(horizon=7)} SELECT series_id, forecast_date, round(actual, 2) AS actual, round(predicted, 2) AS predicted, model
+    f"""WITH RECURSIVE {BOTH.format(horizon=7)} SELECT series_id, forecast_date, round(actual - predicted, 2) AS gap, round(predicted, 2) AS predicted, model
         FROM chosen WHERE part = 'validation'""",
 )
 def _validation(t: Tables) -> DataFrame:
-    return rounded(op.chosen_validation(op.backtest(dense(t), horizon=7)), "actual", "predicted", digits=2)
+    rows = op.chosen_validation(op.backtest(dense(t), horizon=7))
+    return rounded(rows.withColumn("gap", F.col("actual") - F.col("predicted")).drop("actual"), "gap", "predicted", digits=2)
 
 
 @BOOK.add("o06_best_model", f"WITH RECURSIVE {BOTH.format(horizon=7)} SELECT series_id, model AS best_model FROM best")

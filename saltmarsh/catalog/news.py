@@ -216,6 +216,25 @@ def _refilled(t: Tables) -> DataFrame:
 
     Pages of one url are one article; the first collected counts.
     """
+    return refilled_store(t).select("url", "title", "research_session_id")
+
+
+@BOOK.add(
+    "g06_filtered_store",
+    f"""WITH {SQL_ARTICLES}, s AS (SELECT url, CASE WHEN page_id % 2 = 0 THEN 'old ' || title ELSE title END AS title, content,
+            TIMESTAMP '{START}' + page_id * INTERVAL 1 MINUTE AS collected_at FROM articles
+          QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id % 2, page_id) = 1)
+        SELECT url, title FROM s WHERE (contains(lower(title), 'ein') OR contains(lower(content), 'ein')) AND collected_at >= (SELECT max(collected_at) FROM s) - INTERVAL 1 DAY""",
+)
+def _filtered_store(t: Tables) -> DataFrame:
+    """Search by words and time in the store that two collections have filled."""
+    stored = refilled_store(t)
+    newest = stored.agg(F.max("collected_at").alias("at")).first()["at"]
+    found = op.filter_articles(stored, topic="general news", search="EIN", impact="neutral")
+    return op.collected_within(found, "today", F.lit(newest).cast("timestamp_ntz")).select("url", "title")
+
+
+def refilled_store(t: Tables) -> DataFrame:
     path = run_folder(t.spark, "newsroom")
     minutes = F.timestamp_add("MINUTE", F.col("page_id").cast("int"), F.lit(START).cast("timestamp_ntz"))
     session = F.when(F.col("page_id") % 2 == 0, "session-1").otherwise("session-2")
@@ -224,7 +243,7 @@ def _refilled(t: Tables) -> DataFrame:
     first = found.filter(F.col("research_session_id") == "session-1").withColumn("title", F.concat(F.lit("old "), F.col("title")))
     snapshots.write(latest_articles(first), path, "object_key")
     snapshots.update(t.spark, path, latest_articles(found), "keep")
-    return snapshots.read(t.spark, path).select("url", "title", "research_session_id")
+    return snapshots.read(t.spark, path)
 
 
 @BOOK.add(

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from saltmarsh.catalog.base import Book, Tables
 from saltmarsh.catalog.cleaning import _GAPS, orders_with_gaps
-from saltmarsh.operators import quality as op
+from saltmarsh.operators import profiles, quality as op
+from saltmarsh.scratch import run_folder
 
 BOOK = Book()
 
@@ -86,6 +87,34 @@ def _statistics(t: Tables) -> DataFrame:
     )
 
 
+@BOOK.add(
+    "a18_merged_profile",
+    """SELECT c AS column_name, n AS rows, nulls, round(m, 4) AS mean, round(s, 4) AS stddev, lo AS least, hi AS most, TRUE AS distinct_in_range, TRUE AS median_in_range FROM (
+         SELECT 'l_quantity' AS c, count(*) AS n, 0 AS nulls, avg(l_quantity) AS m, stddev_samp(l_quantity) AS s, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem
+         UNION ALL SELECT 'price', count(*), count(*) FILTER (l_linenumber = 3), avg(l_extendedprice) FILTER (l_linenumber <> 3), stddev_samp(l_extendedprice) FILTER (l_linenumber <> 3),
+           min(l_extendedprice) FILTER (l_linenumber <> 3), max(l_extendedprice) FILTER (l_linenumber <> 3) FROM lineitem
+         UNION ALL SELECT 'l_partkey', count(*), 0, avg(l_partkey), stddev_samp(l_partkey), min(l_partkey), max(l_partkey) FROM lineitem)""",
+)
+def _merged_profile(t: Tables) -> DataFrame:
+    """Profiles of three loads, stored and merged, against exact counts of the whole table."""
+    price = F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("price")
+    lines = t.lineitem.select("l_quantity", price, "l_partkey", (F.col("l_orderkey") % 3).alias("load"))
+    path = run_folder(t.spark, "profiles")
+    for load in range(3):
+        profiles.store_profile(profiles.load_profile(lines.filter(F.col("load") == load).drop("load")), path, str(load))
+    found = profiles.described(profiles.merged(profiles.stored_profiles(t.spark, path))).filter(F.col("column_name") != profiles.WHOLE)
+    exact = op.distinct_share(lines, "l_quantity").unionByName(op.distinct_share(lines, "price")).unionByName(op.distinct_share(lines, "l_partkey"))
+    columns = ("l_quantity", "price", "l_partkey")
+    medians = {r["column_name"]: r["quantile"] for r in found.collect()}  # one row per column
+    below = lines.agg(*[F.avg((F.col(c) < medians[c]).cast("int")).alias(f"{c}_low") for c in columns], *[F.avg((F.col(c) <= medians[c]).cast("int")).alias(f"{c}_high") for c in columns]).first()
+    inside = F.create_map(*[F.lit(x) for c in columns for x in (c, below[f"{c}_low"] - profiles.RANK_ERROR <= 0.5 <= below[f"{c}_high"] + profiles.RANK_ERROR)])
+    off = F.abs(F.col("distinct_count") - F.col("exact")) / F.col("exact")
+    return found.join(exact.select("column_name", F.col("distinct_count").alias("exact")), "column_name").select(
+        "column_name", "rows", "nulls", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"), "least", "most",
+        (off <= profiles.DISTINCT_ERROR).alias("distinct_in_range"), inside[F.col("column_name")].alias("median_in_range"),
+    )
+
+
 @BOOK.add(
     "e09_column_roles",
     """SELECT * FROM (VALUES ('l_shipdate', 'date', 0), ('l_orderkey', 'numeric', 0), ('l_quantity', 'numeric', 0),

@@ -316,12 +316,15 @@ def _confidence(t: Tables) -> DataFrame:
 
 @BOOK.add(
     "v07_hash_vectors",
-    """SELECT doc_id, 256 AS dimensions, CASE WHEN regexp_matches(lower(text), '[a-z0-9]') THEN CAST(1.0 AS DOUBLE) ELSE 0.0 END AS norm FROM documents""",
+    """WITH n AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 256 AS slot, count(*) AS n
+          FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*')) AS w FROM documents) GROUP BY 1, 2),
+        s AS (SELECT doc_id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS length FROM n GROUP BY 1)
+        SELECT doc_id, CAST(slot AS INTEGER) AS slot, round(n / length, 6) AS value FROM n JOIN s USING (doc_id)""",
 )
 def _vectors(t: Tables) -> DataFrame:
-    made = hash_vectors(t.documents.select("doc_id", "text"), dimensions=256)
-    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return made.select("doc_id", F.size("embedding").alias("dimensions"), F.round(F.sqrt(squares), 4).alias("norm"))
+    """Every component of every vector that is not zero."""
+    made = hash_vectors(t.documents.select("doc_id", "text"), dimensions=256, kind="double")
+    return made.select("doc_id", F.posexplode("embedding").alias("slot", "value")).filter("value <> 0").withColumn("value", F.round("value", 6))
 
 
 def document_index(t: Tables, dimensions: int = 256, documents: DataFrame | None = None) -> DataFrame:

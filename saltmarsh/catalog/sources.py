@@ -16,10 +16,11 @@ from saltmarsh.operators.cleaning import sanitise_numbers
 from saltmarsh.plans.medallion import full_run, raw_to_bronze, silver_to_gold
 from saltmarsh.scratch import run_folder
 from saltmarsh.sources import documents as docs, sinks, tables as tb
-from saltmarsh.sources.workbook import workbook_columns, workbook_rows
+from saltmarsh.sources.workbook import read_workbooks, workbook_columns, workbook_rows
 from saltmarsh.streaming.activity import (
     execution_stream, kept_executions, latest_states, state_stream, unique_stream, write_retained, write_states,
 )
+from saltmarsh.streaming import unique
 from saltmarsh.streaming.ingest import ingest_files, read_silver
 
 BOOK = Book()
@@ -112,6 +113,44 @@ def _workbooks(t: Tables) -> DataFrame:
     return rows.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name", "p_brand", F.col("p_size").cast("int").alias("p_size"))
 
 
+def save_workbooks(files: DataFrame, path: str) -> None:
+    """Each workbook as a file of the folder, written by the task that made it."""
+
+    def save(frames):
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder)
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"]):
+                with system.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(content)
+            yield frame[["path"]]
+
+    files.mapInPandas(save, "path string").write.format("noop").mode("overwrite").save()
+
+
+@BOOK.add("s04_scanned_workbooks", "SELECT p_partkey, p_name, p_brand, p_size FROM part")
+def _scanned_workbooks(t: Tables) -> DataFrame:
+    """The same workbooks from a folder."""
+    path = run_folder(t.spark, "workbooks")
+    save_workbooks(part_workbooks(t), path)
+    rows = read_workbooks(t.spark, path)
+    return rows.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name", "p_brand", F.col("p_size").cast("int").alias("p_size"))
+
+
+@BOOK.add("s05_folder_with_workbooks", "SELECT p_partkey, p_name, CASE WHEN p_partkey < 5000 THEN p_size END AS p_size FROM part")
+def _folder_with_workbooks(t: Tables) -> DataFrame:
+    """A folder of workbooks, Parquet and CSV files; two of the three hold a column less."""
+    path = run_folder(t.spark, "mixed-books")
+    save_workbooks(part_workbooks(t).filter("path = 'parts-0.xlsx'"), f"{path}/books")
+    rest = t.part.filter("p_partkey >= 5000").select("p_partkey", "p_name")
+    sinks.write_table(rest.filter("p_partkey % 2 = 0"), f"{path}/even")
+    sinks.write_table(rest.filter("p_partkey % 2 = 1"), f"{path}/odd", "csv")
+    rows = tb.read_folder(t.spark, path)
+    return rows.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name", F.col("p_size").cast("int").alias("p_size"))
+
+
 @BOOK.add(
     "s05_mixed_folder",
     "SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders",
@@ -458,6 +497,20 @@ def _unique_stream(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select("event_id", "user_id", "event_type")
 
 
+@BOOK.add("x01_unique_store", "SELECT event_id, user_id, event_type FROM events")
+def _unique_store(t: Tables) -> DataFrame:
+    """The same with a store of ids in place of a growing state: all events twice, the copies trigger by trigger after the rest."""
+    path = run_folder(t.spark, "unique-store")
+    events, files = t.events.select("event_id", "ts", "user_id", "event_type"), t.spark.sparkContext.defaultParallelism
+    for number in range(STREAM_SHARES):
+        # In a share: its own events, and copies of the events of all shares before.
+        own = F.pmod(F.xxhash64("event_id"), F.lit(STREAM_SHARES))
+        events.filter(own <= number).repartition(files).write.parquet(f"{path}-files/{number}")
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true")
+    unique.write_unique(stream.parquet(f"{path}-files"), path, f"{path}-checkpoint")
+    return unique.unique_events(t.spark, path).select("event_id", "user_id", "event_type")
+
+
 @BOOK.add("x02_state_stream", _STATES + " SELECT * FROM states")
 def _state_stream(t: Tables) -> DataFrame:
     """The state machine as a stream ends in the same states as in batch."""

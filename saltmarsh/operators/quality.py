@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from saltmarsh.operators.profiles import DISTINCT_ERROR, HLL_BITS
 from saltmarsh.operators.rows import row_digest
 
 # Name parts used to pick roles.
@@ -164,7 +165,7 @@ def column_statistics(df: DataFrame) -> DataFrame:
                 F.avg(date.isNotNull().cast("int")).alias("date_share"),
                 F.avg(number.isNotNull().cast("int")).alias("number_share"),
                 F.count(col).alias("filled"),
-                F.hll_sketch_estimate(F.hll_sketch_agg(F.when(col.isNotNull(), F.xxhash64(col)), 12)).alias("distinct_count"),
+                F.hll_sketch_estimate(F.hll_sketch_agg(F.when(col.isNotNull(), F.xxhash64(col)), HLL_BITS)).alias("distinct_count"),
                 F.avg(number).alias("mean"),
                 F.stddev_samp(number).alias("stddev"),
             ).alias(f.name)
@@ -177,8 +178,19 @@ def column_statistics(df: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*entries)).alias("e")).select("e.column_name", "e.row_count", "e.s.*")
 
 
+def _mostly_distinct(df: DataFrame, column: str, estimate: float, limit: float = 0.9) -> bool:
+    """Whether more than the limit of all rows are different values; the estimate decides where its error cannot matter."""
+    if abs(estimate - limit) > 2 * DISTINCT_ERROR * limit:
+        return estimate > limit
+    exact = distinct_share(df, column).first()
+    return exact["distinct_count"] > limit * exact["row_count"]
+
+
 def column_roles(df: DataFrame, threshold: float = 0.8) -> list[dict]:
-    """Date, numeric and target columns with scores, from one pass of statistics."""
+    """Date, numeric and target columns with scores, from one pass of statistics.
+
+    A column whose estimated share of distinct values is near the limit is counted exactly.
+    """
     stats = {r["column_name"]: r for r in column_statistics(df).collect()}  # one row per column
     names = list(df.columns)
     dates = [c for c in names if _named(c, DATE_WORDS)]
@@ -190,7 +202,7 @@ def column_roles(df: DataFrame, threshold: float = 0.8) -> list[dict]:
     ranked = []
     for c in numeric:
         s = stats[c]
-        unique = s["row_count"] > 10 and not _named(c, METRIC_WORDS) and s["distinct_count"] / s["row_count"] > 0.9
+        unique = s["row_count"] > 10 and not _named(c, METRIC_WORDS) and _mostly_distinct(df, c, s["distinct_count"] / s["row_count"])
         if identifier_name(c) or unique:
             roles.append({"column_name": c, "role": "identifier", "score": 0})
             continue

@@ -73,3 +73,44 @@ def gold_tables(df: DataFrame) -> dict[str, DataFrame]:
         out["daily_sales"] = daily_sales(df)
         out["monthly_sales"] = monthly_sales(df)
     return out
+
+
+def _axes(df: DataFrame) -> list[str]:
+    """Columns that gold tables are keyed by, where present: product, location, date."""
+    return [c for c in (product_column(df), "location", "date") if c and c in df.columns]
+
+
+def gold_cube(df: DataFrame) -> DataFrame:
+    """Totals per product, per location, per day and over all, from one scan; ``grouping`` tells which.
+
+    Every task adds up all of them before anything is shuffled.
+    """
+    axes = _axes(df)
+    measures = [*sales_measures(df), F.count(REVENUE).alias("_counted")]
+    sets = [[c] for c in axes] + [[]]
+    grouped = df.groupingSets(sets, *axes) if axes else df.groupBy()
+    grouping = F.grouping_id() if axes else F.lit(0)
+    return grouped.agg(grouping.cast("int").alias("grouping"), *measures)
+
+
+def gold_from_cube(df: DataFrame, cube: DataFrame) -> dict[str, DataFrame]:
+    """The outputs of :func:`gold_tables`, all but the base from a stored :func:`gold_cube` of the table."""
+    axes = _axes(df)
+    whole = (1 << len(axes)) - 1
+    totals = _totals(df)
+
+    def of(axis: str) -> DataFrame:
+        return cube.filter(F.col("grouping") == whole - (1 << (len(axes) - 1 - axes.index(axis)))).select(axis, *totals)
+
+    average = F.try_divide(F.col("total_sales"), F.col("_counted")).alias("average_sales")
+    out = {"base": df, "summary": cube.filter(F.col("grouping") == whole).select("total_sales", average, *totals[1:])}
+    product = product_column(df)
+    if product:
+        out["sales_by_product"] = of(product).orderBy(F.desc("total_sales"), product)
+    if "location" in axes:
+        out["sales_by_location"] = of("location").orderBy(F.desc("total_sales"), "location")
+    if "date" in axes:
+        days = with_calendar(of("date"))
+        out["daily_sales"] = days.select("date", "year", "month", *totals)
+        out["monthly_sales"] = days.groupBy("year", "month").agg(*[F.sum(c).alias(c) for c in totals])
+    return out

@@ -4,25 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from saltmarsh.functions.text import TOKEN
 
 DIMENSIONS = 768
 
 
-def hash_vectors(df: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, name: str = "embedding") -> DataFrame:
-    """Unit vectors of hashed token counts, computed row by row in the JVM.
+def token_slots(text: Column, dimensions: int) -> Column:
+    """Component of every token of a text, from the MD5 digest of the token."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
+    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dimensions).cast("int"))
 
-    Text without tokens gets the zero vector.
+
+def hash_vectors(df: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, name: str = "embedding", kind: str = "float") -> DataFrame:
+    """Unit vectors of hashed token counts, ``float`` or ``double``.
+
+    Tokens are found and hashed in the JVM; whole batches of their components are counted at once in
+    Arrow. Text without tokens gets the zero vector.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
-    counted = HashingTF(numFeatures=dimensions, inputCol="_words", outputCol="_counts").transform(df.withColumn("_words", words))
-    scaled = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(counted)
-    return scaled.select(*df.columns, vector_to_array("_unit", "float32").alias(name))
+
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            rows = np.repeat(np.arange(len(batch)), batch.map(len).to_numpy(np.int64))
+            slots = np.concatenate([np.zeros(0, np.int64), *batch.to_list()]).astype(np.int64)
+            counts = np.bincount(rows * dimensions + slots, minlength=len(batch) * dimensions).reshape(-1, dimensions)
+            length = np.sqrt(np.square(counts).sum(1).astype(float))
+            yield pd.Series(list((counts / np.maximum(length, 1)[:, None]).astype(np.float32 if kind == "float" else np.float64)))
+
+    return df.select(*df.columns, F.pandas_udf(count, f"array<{kind}>")(token_slots(F.col(text), dimensions)).alias(name))
 
 
 def model_vectors(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from saltmarsh.operators import cleaning as cl
 from saltmarsh.operators.quality import duplicate_count
-from saltmarsh.operators.rows import distinct_rows
-from saltmarsh.operators.sales import gold_tables
+from saltmarsh.operators.rows import distinct_rows, materialise
+from saltmarsh.operators.sales import gold_cube, gold_from_cube
 from saltmarsh.sources.sinks import write_table, write_tables
 from saltmarsh.sources.tables import read_csv
 
@@ -34,49 +34,54 @@ def bronze_frame(raw: DataFrame) -> DataFrame:
     return cl.with_lineage(typed, F.col("_file")).drop("_file")
 
 
-def silver_frame(bronze: DataFrame) -> DataFrame:
-    """Cleaned, typed, complete and distinct rows. Copies are judged without lineage."""
+def silver_frame(bronze: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Cleaned, typed, complete and distinct rows. Copies are judged without lineage.
+
+    ``seen`` counts, while the frame is written, what :func:`silver_report` tells of the cleaned rows.
+    """
     named = cl.fold_aliases(cl.normalise_names(bronze))
     cleaned = cl.normalise_date(cl.cast_numbers(cl.clean_text_columns(named)))
+    if seen is not None:
+        cleaned = cleaned.observe(seen, *_counts(cleaned.columns))
     filled = cl.fill_missing(cleaned, {"customergender": "Unknown"})
     complete = cl.require_columns(filled, computed=True)
     return distinct_rows(complete, [c for c in LINEAGE if c in complete.columns])
 
 
+def _counts(columns: list[str]) -> list[Column]:
+    bad = F.lit(False)
+    for c in REQUIRED:
+        if c in columns:
+            bad = bad | F.col(c).isNull()
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns if c not in LINEAGE]
+    return [F.count(F.lit(1)).alias("input_rows"), F.count_if(bad).alias("invalid_rows"), *nulls]
+
+
 def raw_to_bronze(spark: SparkSession, raw: str, bronze: str, fmt: str = "parquet") -> None:
     write_table(bronze_frame(read_csv(spark, raw, typed=False)), bronze, fmt)
 
 
-def bronze_to_silver(spark: SparkSession, bronze: str, silver: str) -> None:
-    write_table(silver_frame(spark.read.parquet(bronze)), silver)
+def bronze_to_silver(spark: SparkSession, bronze: str, silver: str) -> dict[str, int]:
+    """Write silver; what was counted on the way: rows in, rows without a required value, nulls of the cleaned columns."""
+    seen = Observation("silver")
+    write_table(silver_frame(spark.read.parquet(bronze), seen), silver)
+    return seen.get
 
 
-def silver_report(bronze: DataFrame, silver: DataFrame) -> DataFrame:
-    """One row: rows in and out, surplus copies of bronze, rows without a required value, nulls of the cleaned columns."""
-    named = cl.fold_aliases(cl.normalise_names(bronze))
-    cleaned = cl.normalise_date(cl.cast_numbers(cl.clean_text_columns(named)))
-    required = [c for c in REQUIRED if c in cleaned.columns]
-    bad = F.lit(False)
-    for c in required:
-        bad = bad | F.col(c).isNull()
-    nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in cleaned.columns if c not in LINEAGE]
-    counted = cleaned.agg(F.count(F.lit(1)).alias("input_rows"), F.count_if(bad).alias("invalid_rows"), *nulls)
+def silver_report(bronze: DataFrame, silver: DataFrame, counted: dict[str, int]) -> DataFrame:
+    """One row: what was counted while silver was written, surplus copies of bronze, rows out."""
     copies = duplicate_count(bronze, [c for c in bronze.columns if c not in LINEAGE]).select("duplicate_rows")
     out = silver.agg(F.count(F.lit(1)).alias("output_rows"))
-    # Three tables of one row each, laid over each other.
-    rows = counted.unionByName(copies, allowMissingColumns=True).unionByName(out, allowMissingColumns=True)
-    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+    # Two tables of one row each, laid over each other.
+    rows = copies.unionByName(out, allowMissingColumns=True).agg(F.max("duplicate_rows").alias("duplicate_rows"), F.max("output_rows").alias("output_rows"))
+    return rows.select(*[F.lit(n).cast("bigint").alias(name) for name, n in counted.items()], "duplicate_rows", "output_rows")
 
 
 def silver_to_gold(spark: SparkSession, silver: str, gold: str) -> dict[str, str]:
-    """Write all gold tables.
-
-    Every output scans the columnar silver table for its own few columns, which
-    is cheaper at scale than caching all of it.
-    """
+    """Write all gold tables: the base from silver, all totals from one more scan of it."""
     table = spark.read.parquet(silver)
-    outputs = gold_tables(table)
-    return write_tables(outputs, gold)
+    cube = materialise(gold_cube(table), "cube")
+    return write_tables(gold_from_cube(table, cube), gold)
 
 
 def full_run(spark: SparkSession, raw: str, base: str) -> dict[str, str]:

@@ -67,7 +67,10 @@ class ActivityProcessor(StatefulProcessor):
             if state is not before:
                 self.known.updateValue((name,), state)
             for attempt, (_, status, started, updated, event) in changed.items():
-                yield Row(key[0], f"{name}#{attempt}" if attempt > 1 else name, attempt, status, started, updated, event)
+                yield Row(
+                    execution_id=key[0], activity_id=f"{name}#{attempt}" if attempt > 1 else name, attempt=attempt, status=status,
+                    started=started, updated=updated, event_id=event,
+                )
 
     def close(self) -> None:
         pass

@@ -165,3 +165,23 @@ def test_number_ordered(spark):
 
     rows = spark.range(500).repartition(7).orderBy("id")
     assert [(r.id, r.row_id) for r in number_ordered(rows).orderBy("id").collect()] == [(i, i) for i in range(500)]
+
+
+def test_stored_pages(spark, tmp_path):
+    rows = [(i, None if i % 11 == 0 else i % 4) for i in range(500)]
+    frame = spark.createDataFrame(rows, "k int, v int").repartition(6)
+    path = str(tmp_path / "ordered")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    paging.store_ordered(frame, path, F.desc_nulls_last("v"), "k")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    wanted = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    for page in (1, 2, 13, 25, 26):
+        got = [(r.k, r.v, r.position) for r in paging.open_page(spark, path, page, 20).collect()]
+        assert got == [(*r, 20 * page - 20 + i) for i, r in enumerate(wanted[20 * page - 20 : 20 * page])]
+    assert tuple(paging.stored_info(spark, path, 3, 40).first()) == (500, 3, 40, 13)
+    plan = paging.open_page(spark, path, 2, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "_range" in plan.split("PartitionFilters", 1)[1].split("PushedFilters", 1)[0]
+    paging.store_ordered(frame.limit(0), f"{path}-none", "k")
+    assert paging.open_page(spark, f"{path}-none", 1, 5).collect() == [] and paging.stored_info(spark, f"{path}-none", 1, 5).first()["pages"] == 1
+    with pytest.raises(ValueError):
+        paging.open_page(spark, path, 0, 5)

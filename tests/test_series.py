@@ -112,3 +112,48 @@ def test_backtest_chooses_lower_error(spark):
     assert fc.chosen_validation(tested).count() == 24
     with pytest.raises(ValueError):
         fc.backtest(frame(spark, sample()), 8)
+
+
+def test_regression_over_blocks_of_days(spark, monkeypatch):
+    """A series in blocks of twenty days gives what it gives in one."""
+    from saltmarsh.operators import regression
+
+    marked = se.split_daily(frame(spark, sample(90)))
+    whole = {(r.part, r.forecast_date): r.predicted for r in regression.lag_regression(marked, 9).collect()}
+    monkeypatch.setattr(regression, "BLOCK", 20)
+    cut = {(r.part, r.forecast_date): r.predicted for r in regression.lag_regression(marked, 9).collect()}
+    assert len(whole) == 18 + 9 and whole.keys() == cut.keys()
+    assert all(cut[k] == pytest.approx(v, rel=1e-7) for k, v in whole.items())
+
+
+def test_regression_of_a_straight_line(spark):
+    """Features that say the same are counted once; the line goes on."""
+    y = 3.0 * np.arange(40) + 7
+    rows = fc.regression_predictions(se.split_daily(frame(spark, y)), 5).filter("part = 'future'").orderBy("forecast_date").toPandas()
+    assert np.allclose(rows["predicted"], 3.0 * np.arange(40, 45) + 7, rtol=1e-6)
+
+
+def test_solve(spark):
+    from saltmarsh.operators.regression import solve
+
+    draw = np.random.default_rng(3)
+    rows = []
+    for i in range(5):
+        half = draw.normal(size=(9, 4))
+        half[:, 2] *= 1e4
+        a = half.T @ half
+        x = draw.normal(size=4)
+        rows.append((i, np.column_stack([a, a @ x]).tolist(), x.tolist()))
+    singular = np.array([[2.0, 2.0, 4.0], [2.0, 2.0, 4.0]])
+    got = spark.createDataFrame(rows, "i int, m array<array<double>>, x array<double>").select("x", solve(F.col("m"), 4).alias("s")).collect()
+    assert all(np.allclose(r.x, r.s, rtol=1e-6) for r in got)
+    got = spark.createDataFrame([(singular.tolist(),)], "m array<array<double>>").select(solve(F.col("m"), 2).alias("s")).first()
+    assert np.allclose(got.s, [2.0, 0.0])
+
+
+def test_split_by_dates(spark):
+    series = frame(spark, sample(100))
+    columns = ["series_id", "ds", "y", "time_index", "part"]
+    assert sorted(map(tuple, se.split(series).select(*columns).collect())) == sorted(map(tuple, se.split_daily(series).select(*columns).collect()))
+    with pytest.raises(Exception, match="days are missing"):
+        se.split_daily(series.filter(F.dayofmonth("ds") != 9)).collect()

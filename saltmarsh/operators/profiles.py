@@ -95,6 +95,6 @@ def described(profile: DataFrame, quantile: float = 0.5) -> DataFrame:
     return profile.select(
         "column_name", "rows", (F.col("rows") - F.col("filled")).alias("nulls"), "mean",
         F.sqrt(F.try_divide(F.col("squares"), F.col("numbers") - 1)).alias("stddev"), "least", "most",
-        F.coalesce(F.hll_sketch_estimate("distinct"), F.theta_sketch_estimate("copies")).alias("distinct_count"),
+        F.when(F.col("column_name") == WHOLE, F.theta_sketch_estimate("copies")).otherwise(F.hll_sketch_estimate("distinct")).alias("distinct_count"),
         F.when(of_numbers, F.kll_sketch_get_quantile_double("quantiles", F.lit(quantile))).alias("quantile"),
     )

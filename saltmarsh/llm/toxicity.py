@@ -51,7 +51,9 @@ PAIR_CHANCE = 5.5
 # Hashed slots in which the residuals of pairs are added up before the pairs that stand out are taken one by one.
 PAIR_BITS = 22
 # Pairs that are handled at a time.
-PAIRED = 1 << 20
+PAIRED = 1 << 18
+# (row, term) pairs whose gradient is added up at a time.
+ADDED = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -125,9 +127,14 @@ class _Fit:
         return self.labels - score, score * (1 - score), sums
 
     def gradient(self, rows: np.ndarray, terms: np.ndarray, number: int, factors: np.ndarray, wrong: np.ndarray, sums: np.ndarray):
-        pulled = wrong[rows]
-        own = np.bincount(terms, pulled, number)
-        return own, np.stack([np.bincount(terms, pulled * sums[rows, f], number) for f in range(FACTORS)], 1) - factors * own[:, None]
+        own, by_factor = np.zeros(number), np.zeros((number, FACTORS))
+        for start in range(0, len(rows), ADDED):
+            row, term = rows[start : start + ADDED], terms[start : start + ADDED]
+            pulled = wrong[row]
+            own += np.bincount(term, pulled, number)
+            for f in range(FACTORS):
+                by_factor[:, f] += np.bincount(term, pulled * sums[row, f], number)
+        return own, by_factor - factors * own[:, None]
 
     def moved(self) -> np.ndarray:
         """Which terms have a gradient that is more than chance."""
@@ -190,7 +197,7 @@ def _row_pairs(rows: np.ndarray, terms: np.ndarray, chosen: np.ndarray) -> Itera
     """Row, lesser and greater terms of all pairs in the chosen rows, some at a time; pairs of a row lie in term order."""
     starts = np.searchsorted(rows, np.append(chosen, chosen + 1)).reshape(2, -1)
     for row, low, high in zip(chosen, *starts):
-        own = terms[low:high]
+        own = terms[low:high].astype(np.int64)
         step = max(1, PAIRED // max(1, len(own)))
         for first in range(0, len(own) - 1, step):
             last = min(first + step, len(own) - 1)
@@ -214,18 +221,20 @@ def outstanding_pairs(rows: np.ndarray, terms: np.ndarray, residual: np.ndarray,
 
     present = np.unique(rows)
     raised = present[residual[present] > 0.3]
-    table = np.zeros(size)
+    table = np.zeros(size, np.float32)
     for row, left, right in _row_pairs(rows, terms, raised):
-        np.add.at(table, slot(left, right), residual[row])
+        np.add.at(table, slot(left, right), np.float32(residual[row]))
     # A pair of n toxic rows cannot stand out with less than this.
     hopeful = table >= 2.0
-    total, chance = np.zeros(size), np.zeros(size)
+    del table
+    total, chance = np.zeros(size, np.float32), np.zeros(size, np.float32)
     for row, left, right in _row_pairs(rows, terms, present):
         at = slot(left, right)
         at = at[hopeful[at]]
-        np.add.at(total, at, residual[row])
-        np.add.at(chance, at, spread[row])
+        np.add.at(total, at, np.float32(residual[row]))
+        np.add.at(chance, at, np.float32(spread[row]))
     standing = hopeful & (total > 0.5 * PAIR_CHANCE * np.sqrt(chance + 1e-9))
+    del total, chance, hopeful
     found = [np.unique((left[keep] << 32) + right[keep]) for _, left, right in _row_pairs(rows, terms, raised) if (keep := standing[slot(left, right)]).any()]
     names, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
     names = names[times >= 3]
@@ -247,11 +256,15 @@ def fit_arrays(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, words: n
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return constant(-35.0 if share == 0 else 35.0)
-    order = np.lexsort((slots, rows))
-    rows, slots = rows[order], slots[order]
-    words = np.ones(len(rows), bool) if words is None else words[order]
-    used, terms = np.unique(slots, return_inverse=True)
-    fit = _Fit(rows, terms, len(used), labels)
+    words = np.ones(len(rows), bool) if words is None else words
+    if not ((rows[1:] > rows[:-1]) | ((rows[1:] == rows[:-1]) & (slots[1:] > slots[:-1]))).all():
+        order = np.lexsort((slots, rows))
+        rows, slots, words = rows[order], slots[order], words[order]
+    seen = np.bincount(slots, minlength=1 << SLOT_BITS) > 0
+    used = np.flatnonzero(seen)
+    terms = (np.cumsum(seen, dtype=np.int32) - np.int32(1))[slots]
+    del slots
+    fit = _Fit(rows.astype(np.int32), terms, len(used), labels)
     fit.descend(steps, rate)
     # What the weights leave unexplained is left to pairs.
     fit.start_factors(words)
@@ -311,9 +324,11 @@ def fit(
             table = table.sort_by("key").combine_chunks()
             lists = table.column("terms").combine_chunks()
             sizes = np.diff(lists.offsets.to_numpy())
-            rows = np.repeat(np.arange(table.num_rows), sizes)
+            rows = np.repeat(np.arange(table.num_rows, dtype=np.int32), sizes)
             coded = lists.flatten().to_numpy()
-            model = fit_arrays(rows, (coded >> 1).astype(np.int64), table.column("label").to_numpy(), coded & 1 == 1)
+            slots, words, labels = coded >> 1, (coded & 1).astype(bool), table.column("label").to_numpy()
+            del lists, coded, table, held
+            model = fit_arrays(rows, slots, labels, words)
         raw = np.concatenate([[model.bias], model.weights, model.factors.reshape(-1)]).astype("<f4").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["model"])
 

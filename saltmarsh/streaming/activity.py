@@ -12,8 +12,8 @@ from pyspark.sql.streaming.stateful_processor import TimerValues
 from saltmarsh.operators.activity import CLOSING, RETAINED, TERMINAL, closed, execution_ends, retained
 from saltmarsh.operators.rows import first_per_key
 
-# Activities of one execution are spread over this many state groups.
-SPREAD = 8
+# Activities are spread over this many state groups, whatever their execution; a checkpoint keeps to its number.
+SHARES = 64
 # State of an activity, times in microseconds.
 STATE = "attempt int, status string, started bigint, updated bigint, event bigint"
 # Rows that leave Python: times as microseconds, which are cheaper to hand over.
@@ -51,24 +51,25 @@ class ActivityProcessor(StatefulProcessor):
     """Keeps the latest attempt of every activity of a group in a typed map; reads and writes only the activities that have events."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("known", "activity string", STATE)
+        self.known = handle.getMapState("known", "execution bigint, activity string", STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        arrived: dict[str, list[tuple]] = {}
+        arrived: dict[tuple, list[tuple]] = {}
         for row in rows:
-            arrived.setdefault(str(row.activity_id), []).append((row.micros, row.event_id, row.status))
-        for name, events in arrived.items():
-            state = self.known.getValue((name,)) if self.known.containsKey((name,)) else None
+            arrived.setdefault((row.execution_id, str(row.activity_id)), []).append((row.micros, row.event_id, row.status))
+        for place, events in arrived.items():
+            execution, name = place
+            state = self.known.getValue(place) if self.known.containsKey(place) else None
             before, changed = state, {}
             for ts, event, status in sorted(events):
                 after = step(state, status, ts, event)
                 if after is not None:
                     state = changed[after[0]] = after
             if state is not before:
-                self.known.updateValue((name,), state)
+                self.known.updateValue(place, state)
             for attempt, (_, status, started, updated, event) in changed.items():
                 yield Row(
-                    execution_id=key[0], activity_id=f"{name}#{attempt}" if attempt > 1 else name, attempt=attempt, status=status,
+                    execution_id=execution, activity_id=f"{name}#{attempt}" if attempt > 1 else name, attempt=attempt, status=status,
                     started=started, updated=updated, event_id=event,
                 )
 
@@ -76,18 +77,19 @@ class ActivityProcessor(StatefulProcessor):
         pass
 
 
-def state_stream(events: DataFrame, spread: int = SPREAD) -> DataFrame:
+def state_stream(events: DataFrame, shares: int = SHARES) -> DataFrame:
     """Changed attempts per trigger. No event is dropped for lateness and no attempt is forgotten.
 
     Events count in the order of arrival and, within a trigger, of time. A group
-    is a share of one execution's activities: few enough groups to keep calls rare,
-    and a busy execution is still spread over many tasks. The source's limit of files
+    is a share of all activities, so there are few groups however many executions there are, and a
+    busy execution is spread over all of them. The source's limit of files
     or bytes per trigger bounds what a group sees at once.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = events.withColumns({"micros": micros, "share": F.pmod(F.xxhash64("activity_id"), F.lit(spread)).cast("int")})
+    share = F.pmod(F.xxhash64("execution_id", "activity_id"), F.lit(shares)).cast("int")
+    rows = events.withColumns({"micros": micros, "share": share})
     needed = rows.select("execution_id", "share", "activity_id", "event_id", "status", "micros")
-    changes = needed.groupBy("execution_id", "share").transformWithState(ActivityProcessor(), CHANGES, "Update", "None")
+    changes = needed.groupBy("share").transformWithState(ActivityProcessor(), CHANGES, "Update", "None")
     updated = F.timestamp_micros("updated")
     return changes.select(
         "execution_id",

@@ -59,7 +59,7 @@ class ActivityProcessor(StatefulProcessor):
             arrived.setdefault((row.execution_id, str(row.activity_id)), []).append((row.micros, row.event_id, row.status))
         for place, events in arrived.items():
             execution, name = place
-            state = self.known.getValue(place) if self.known.containsKey(place) else None
+            state = self.known.getValue(place)  # None if there is none
             before, changed = state, {}
             for ts, event, status in sorted(events):
                 after = step(state, status, ts, event)

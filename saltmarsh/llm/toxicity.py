@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from saltmarsh.llm.words import mix, word_hashes
-from saltmarsh.llm.worker import slices
+from saltmarsh.llm.worker import give_back, slices
 
 # Labelled rows that a model is fitted on, at most about so many.
 SAMPLE_ROWS = 8_000
@@ -329,7 +329,10 @@ def fit(
             slots, words, labels = coded >> 1, (coded & 1).astype(bool), table.column("label").to_numpy()
             del lists, coded, table, held
             model = fit_arrays(rows, slots, labels, words)
+            del rows, slots, labels, words
         raw = np.concatenate([[model.bias], model.weights, model.factors.reshape(-1)]).astype("<f4").tobytes()
+        del model
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["model"])
 
     # The sample is bounded, so one task can hold it; so is the model, a few numbers per slot.

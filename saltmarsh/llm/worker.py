@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
@@ -14,6 +15,15 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 
 
+def give_back() -> None:
+    """Return what was freed to the system, so that a worker that has held much does not stay large."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def process_cache(owner: str, key: object, make):
     """``make()`` once per Python worker process, as long as one owner's tasks follow each other.
 
@@ -25,8 +35,7 @@ def process_cache(owner: str, key: object, make):
     state = holder.__dict__
     if state.get("owner") != owner:
         state["owner"], state["table"] = owner, {}
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
     table = state["table"]
     if key not in table:
         table[key] = make()

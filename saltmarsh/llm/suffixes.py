@@ -17,7 +17,8 @@ rounds, the first over few of them:
    quicksort. A cell that follows an equal one consists of repeats. The first cell
    of a bucket is compared with the last one of the buckets before it.
 2. What is left open are first cells whose anchor has other contents too, where
-   passages begin and end: a few in a hundred. Their bytes are dealt in ranges of
+   passages begin and end, or stands in the cell twice, as in short periods: a few in a
+   hundred. Their bytes are dealt in ranges of
    anchors, and all their windows sorted by multikey quicksort over words of eight
    bytes. Anchors with more than ``HOT`` open cells are not sorted in one place:
    their windows become suffixes of length one, with two tokens of their bytes, and
@@ -61,6 +62,9 @@ SMALL = 1 << 12
 # Length of a window in the second round: starts of its words of eight bytes, the last two overlap.
 WORDS = (*range(0, LENGTH - 8, 8), LENGTH - 8)
 
+# Bit of a cell's content hash that says that its anchor stands in it more than once.
+SELF = np.uint64(1)
+
 NULL_ID = -(1 << 63)
 DUPLICATE, OPEN_CELL, FIRST, LAST = range(4)
 OUTCOME = "kind byte, bucket int, anchor long, content long, doc long, tie long, start long, length int"
@@ -155,9 +159,34 @@ def cells(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         windows = np.minimum(np.repeat(last, pieces) - start + 1, CELL)
         stop = start + windows + LENGTH - 1
         content = mix((sums[stop] - sums[start]) * powers.down[start] + windows.astype(np.uint64))
+        content = content & ~SELF | _repeat_inside(hashes, least, start, windows)
         return start, windows, mix(least[start]) >> np.uint64(16), content
 
 
+def _repeat_inside(hashes: np.ndarray, least: np.ndarray, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """``SELF`` for cells in which the anchor stands twice, as it must where two windows of a cell are equal; else 0."""
+    reach = LENGTH - ANCHOR
+    # Of the windows that hold a place, the greatest anchor hash; the place is an anchor if its own hash is that one.
+    padded = np.concatenate([np.zeros(reach, np.uint64), least, np.zeros(reach, np.uint64)])
+    place = np.flatnonzero(~_least(~padded, reach + 1) == hashes)
+    order = place[np.lexsort([place, hashes[place]])]
+    near = np.flatnonzero((hashes[order][1:] == hashes[order][:-1]) & (np.diff(order) < CELL + reach))
+    if not len(near) or not len(start):
+        return np.zeros(len(start), np.uint64)
+    # The first place of the anchor at or behind a cell's start, and the next place of the same anchor.
+    some = np.flatnonzero(np.isin(least[start], hashes[order[near]]))
+    ranks = np.unique(hashes[order], return_inverse=True)
+    width = len(hashes) + 1
+    keys = ranks[1] * width + order
+    first = np.searchsorted(keys, np.searchsorted(ranks[0], least[start[some]]) * width + start[some])
+    stop = start[some] + windows[some] + reach
+    following = np.minimum(first + 1, len(order) - 1)
+    twice = (following > first) & (hashes[order[following]] == least[start[some]]) & (order[following] < stop)
+    found = np.zeros(len(start), np.uint64)
+    found[some[twice]] = SELF
+    return found
+
+
 def text_suffixes(batch: pa.RecordBatch) -> Iterator[Suffixes]:
     """Cells of the texts of (doc, tie, text) rows, about a million bytes at a time."""
     for block in slices(batch, 2, CHUNK):
@@ -225,7 +254,7 @@ def _unpack(size: int, body: bytes) -> Suffixes:
 
 def _judge(bucket: int, suffixes: Suffixes) -> pa.RecordBatch:
     """Outcome of one bucket: repeats, open first cells, and its edges for the comparison with other buckets."""
-    order = multikey_order(len(suffixes[0]), [lambda at, c=c: c[at] for c in suffixes[:4]])
+    order = multikey_order(len(suffixes[0]), [lambda at, c=c: c[at] for c in suffixes[:5]])
     anchor, content, doc, start, tie, windows = (c[order] for c in suffixes)
     new_anchor = np.append(True, anchor[1:] != anchor[:-1])
     new = new_anchor.copy()
@@ -236,7 +265,9 @@ def _judge(bucket: int, suffixes: Suffixes) -> pa.RecordBatch:
     contents = np.bincount(group[new])
     # The anchor at either edge may go on in another bucket.
     contents[[0, -1]] = 2
-    open_cell = new & (contents[group] > 1)
+    # Texts of one document id may share the first place; each is opened once.
+    other = np.append(True, tie[1:] != tie[:-1]) | new
+    open_cell = other & ~repeat & ((contents[group] > 1) | (content & SELF > 0))
     edge = (first == 0) & ~repeat
     chosen = [np.flatnonzero(m) for m in (repeat, open_cell, edge)] + [np.array([len(order) - 1])]
     at = np.concatenate(chosen)
@@ -323,7 +354,7 @@ def window_suffixes(batch: pa.RecordBatch) -> Iterator[Suffixes]:
             one = mix((sums[place + LENGTH] - sums[place]) * powers.down[place])
             other = np.cumsum(np.append(np.uint64(0), mix(powers.byte)[data] * powers.up[: len(data)]))
             two = mix((other[place + LENGTH] - other[place]) * powers.down[place])
-        yield one >> np.uint64(16), two, doc, start, tie, np.ones(len(doc), np.int64)
+        yield one >> np.uint64(16), two & ~SELF, doc, start, tie, np.ones(len(doc), np.int64)
 
 
 def _window_repeats(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -395,8 +426,8 @@ def _cut_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, tie and text: the tie tells rows of one document id with different texts apart."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    # Many rows may lack an id, so those are told apart by a longer hash.
-    tie: Column = F.when(F.col(key).isNull(), F.xxhash64(whole)).otherwise(F.hash(whole).cast("long"))
+    # Many rows may lack an id or share one, so a long hash tells them apart.
+    tie: Column = F.xxhash64(whole)
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc"), tie.alias("tie"), whole.alias("text"))
 
 

@@ -90,6 +90,25 @@ def test_odd_documents(spark, odd, clashing, empty):
     assert empty.schema == DOCUMENTS
 
 
+def test_repeats_inside_one_cell(spark):
+    """Runs and short periods that occur nowhere else, so that their cells have one content only."""
+    tail = " ".join(f"w{i}" for i in range(60))
+    texts = ["-" * 110, tail + "=" * 163, "+" * 227 + tail[::-1], "ab" * 60, "xyz" * 43 + "q", "#" * 100, "0123456789" * 12, ("abcdefg " * 5 + "-" * 9) * 3]
+    documents = list(enumerate(texts))
+    assert any(row[2] for row in by_hand(documents))
+    assert digests(spark, documents) == by_hand(documents)
+
+
+def test_texts_of_one_id_with_a_shared_start(spark):
+    """Each row of an id is judged against earlier documents, though neither row is the earlier of the two."""
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    shared = word(400)
+    documents = [(1, word(150) + shared[37:222] + word(90)), (1, word(30) + shared[180:333])]
+    documents += [(5, shared + word(n)) for n in (0, 40, 200, 200)] + [(None, shared[60:350]), (None, shared[60:350] + "end")]
+    assert digests(spark, documents) == by_hand(documents)
+
+
 def test_multikey_order():
     draw = np.random.default_rng(1)
     columns = [draw.integers(0, 3, 50_000).astype(np.uint64) for _ in range(6)] + [draw.integers(-9, 9, 50_000)]

@@ -277,13 +277,41 @@ def _jobs(t: Tables) -> DataFrame:
 
 # Folders over which the objects of a bucket are spread.
 FOLDERS = 16
+# Objects that one task writes, about.
+TASK_OBJECTS = 2000
 
 
-def supplier_files(t: Tables, bucket: str, *columns: Column) -> str:
-    """One JSON file per supplier in a few folders of a bucket; the folder that holds the bucket."""
+def save_objects(objects: DataFrame, path: str) -> None:
+    """Each value of (folder, value) rows as a JSON file of its own, below its folder, written by as many tasks as the rows need."""
+
+    def save(frames):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, base = fs.FileSystem.from_uri(path)
+        task, number, made = TaskContext.get().partitionId(), 0, set()
+        for frame in frames:
+            for folder, value in zip(frame["folder"], frame["value"]):
+                if folder not in made:
+                    system.create_dir(f"{base}/{folder}")
+                    made.add(folder)
+                # Rows come in a fixed order, so a repeated task writes the same files.
+                with system.open_output_stream(f"{base}/{folder}/part-{task:05d}-{number:06d}.json") as out:
+                    out.write(f"{value}\n".encode())
+                number += 1
+            yield frame[["folder"]]
+
+    tasks = max(objects.sparkSession.sparkContext.defaultParallelism, -(-objects.count() // TASK_OBJECTS))
+    dealt = objects.repartition(tasks, "folder", "value").sortWithinPartitions("folder", "value")
+    dealt.mapInPandas(save, "folder string").write.format("noop").mode("overwrite").save()
+
+
+def supplier_files(t: Tables, bucket: str, *columns: Column, folders: int | None = FOLDERS) -> str:
+    """One JSON file per supplier in a few folders of a bucket, or in a folder each; the folder that holds the bucket."""
     base = run_folder(t.spark, "objects")
-    rows = t.supplier.select((F.col("s_suppkey") % FOLDERS).alias("supplier"), *columns)
-    rows.repartition("supplier").write.option("maxRecordsPerFile", 1).partitionBy("supplier").json(f"{base}/{bucket}")
+    number = F.col("s_suppkey") if folders is None else F.col("s_suppkey") % folders
+    named = F.concat(F.lit("supplier="), F.coalesce(number.cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+    save_objects(t.supplier.select(named.alias("folder"), F.to_json(F.struct(*columns)).alias("value")), f"{base}/{bucket}")
     return base
 
 
@@ -323,9 +351,10 @@ def _scanned_customs(t: Tables) -> DataFrame:
     return found.select(F.col("document.ppbj_number").alias("number"), F.col("items")[0]["transaction_value"].alias("amount"), F.size("items").alias("items"))
 
 
-@BOOK.add("s10_listed_jobs", "SELECT DISTINCT 'supplier=' || (s_suppkey % 16) AS job_id, 'bronze,silver,gold,forecast' AS stages FROM supplier")
+@BOOK.add("s10_listed_jobs", "SELECT 'supplier=' || s_suppkey AS job_id, 'bronze,silver,gold,forecast' AS stages FROM supplier")
 def _listed_jobs(t: Tables) -> DataFrame:
-    base = supplier_files(t, "store/jobs", F.col("s_name"))
+    """Every supplier is a job with a folder of its own."""
+    base = supplier_files(t, "store/jobs", F.col("s_name"), folders=None)
     none = t.supplier.limit(0).select(F.col("s_name").alias("job_id"), F.col("s_name").alias("manifest"))
     found = docs.job_catalogue(docs.list_keys(t.spark, base, "store"), none)
     return found.select("job_id", F.array_join("stages", ",").alias("stages"))

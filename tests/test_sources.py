@@ -168,3 +168,24 @@ def test_run_folders_can_be_deleted(spark):
     spark.range(3).write.parquet(path)
     run_folder(spark, "never-written")
     assert delete_run_folders(spark) == 1 and not os.path.exists(path)
+
+
+def test_objects_are_written_by_several_tasks(spark, tmp_path):
+    """One file per row, rows that come twice included; the tasks share the work."""
+    from saltmarsh.catalog import sources
+
+    rows = spark.range(400).select(F.lit("supplier=1").alias("folder"), F.format_string('{"n":"é%d"}', F.col("id") % 390).alias("value"))
+    sources.save_objects(rows.coalesce(1), f"{tmp_path}/store/news")
+    files = list((tmp_path / "store/news/supplier=1").iterdir())
+    assert sorted(f.read_text() for f in files) == sorted(f'{{"n":"é{i % 390}"}}\n' for i in range(400))
+    assert len({f.name.split("-")[1] for f in files}) > 1
+    assert docs.read_objects(spark, str(tmp_path)).count() == 400
+
+
+def test_every_supplier_is_a_listed_job(spark):
+    from saltmarsh.catalog import sources
+
+    folder = "/root/testdata/sf0.001"
+    found = sources.BOOK.queries["s10_listed_jobs"](spark, folder)
+    suppliers = spark.read.parquet(f"{folder}/supplier.parquet").select("s_suppkey")
+    assert sorted(r.job_id for r in found.collect()) == sorted(f"supplier={r[0]}" for r in suppliers.collect())

@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from saltmarsh.functions.text import TOKEN
 
 DIMENSIONS = 768
+# Components and tokens that are counted at once.
+PIECE = 1 << 18
 
 
 def token_slots(text: Column, dimensions: int) -> Column:
@@ -22,19 +25,28 @@ def token_slots(text: Column, dimensions: int) -> Column:
 def hash_vectors(df: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, name: str = "embedding", kind: str = "float") -> DataFrame:
     """Unit vectors of hashed token counts, ``float`` or ``double``.
 
-    Tokens are found and hashed in the JVM; whole batches of their components are counted at once in
-    Arrow. Text without tokens gets the zero vector.
+    Tokens are found and hashed in the JVM; their components are counted in Arrow, a piece of a batch
+    after the other, so that memory follows neither the batch nor its longest texts. Text without tokens gets the
+    zero vector.
     """
+    number = np.float32 if kind == "float" else np.float64
 
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = np.repeat(np.arange(len(batch)), batch.map(len).to_numpy(np.int64))
-            slots = np.concatenate([np.zeros(0, np.int64), *batch.to_list()]).astype(np.int64)
-            counts = np.bincount(rows * dimensions + slots, minlength=len(batch) * dimensions).reshape(-1, dimensions)
-            length = np.sqrt(np.square(counts).sum(1).astype(float))
-            yield pd.Series(list((counts / np.maximum(length, 1)[:, None]).astype(np.float32 if kind == "float" else np.float64)))
-
-    return df.select(*df.columns, F.pandas_udf(count, f"array<{kind}>")(token_slots(F.col(text), dimensions)).alias(name))
+            bounds = batch.offsets.to_numpy().astype(np.int64)
+            low, most = 0, max(1, PIECE // dimensions)
+            while low < len(batch):
+                high = min(low + most, int(np.searchsorted(bounds, bounds[low] + PIECE, "right")) - 1, len(batch))
+                high = max(high, low + 1)
+                slots = batch.values[bounds[low] : bounds[high]].to_numpy()
+                rows = np.repeat(np.arange(high - low) * dimensions, np.diff(bounds[low : high + 1]))
+                counts = np.bincount(rows + slots, minlength=(high - low) * dimensions).reshape(-1, dimensions)
+                length = np.sqrt(np.square(counts).sum(1).astype(float))
+                values = (counts / np.maximum(length, 1)[:, None]).astype(number)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1) * dimensions, pa.int32()), pa.array(values.reshape(-1)))
+                low = high
+
+    return df.select(*df.columns, F.arrow_udf(count, f"array<{kind}>")(token_slots(F.col(text), dimensions)).alias(name))
 
 
 def model_vectors(

@@ -185,3 +185,15 @@ def test_stored_pages(spark, tmp_path):
     assert paging.open_page(spark, f"{path}-none", 1, 5).collect() == [] and paging.stored_info(spark, f"{path}-none", 1, 5).first()["pages"] == 1
     with pytest.raises(ValueError):
         paging.open_page(spark, path, 0, 5)
+
+
+def test_vectors_counted_in_pieces(spark, monkeypatch):
+    """Pieces of a few rows or tokens give what whole batches give."""
+    from saltmarsh.operators import vectorize
+
+    texts = [None, "", "a b a", "long " * 300 + "tail", "x y z"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    whole = [hash_vectors(docs, dimensions=16, kind=kind).collect() for kind in ("float", "double")]
+    monkeypatch.setattr(vectorize, "PIECE", 50)
+    assert whole == [hash_vectors(docs, dimensions=16, kind=kind).collect() for kind in ("float", "double")]
+    assert all(len(r.embedding) == 16 and abs(sum(x * x for x in r.embedding) - bool(r.text)) < 1e-6 for rows in whole for r in rows)

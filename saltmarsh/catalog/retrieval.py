@@ -232,7 +232,8 @@ def _ranked(t: Tables) -> DataFrame:
 @BOOK.add("j06_updated_ranks", _RANKED)
 def _updated_ranks(t: Tables) -> DataFrame:
     """Sources that hold an even document were indexed with other texts first; as objects they are then replaced."""
-    changed = t.documents.filter("doc_id % 2 = 0").select("source").distinct()
+    # Written first, so that its size is known and texts are not shuffled by their few sources.
+    changed = materialise(t.documents.filter("doc_id % 2 = 0").select("source").distinct(), "changed")
     stale = t.documents.join(changed.withColumn("stale", F.lit("old words ")), "source", "left")
     path = _text_index(t, stale.withColumn("text", F.concat(F.coalesce("stale", F.lit("")), F.col("text"))))
     text_index.update(t.documents.join(changed, "source", "left_semi"), path, "doc_id", object_key="source")

@@ -40,6 +40,8 @@ CODES = 256
 # Rows of one list, and queries, that one task holds.
 SLICE = 1 << 13
 QUERY_BLOCK = 1 << 11
+# Points whose distances to all centres are held at once.
+POINTS = 1 << 10
 # Lists that a search visits, and candidates by code for each wanted row that it measures.
 VISITED = 24
 MEASURED = 8
@@ -51,18 +53,27 @@ def distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(gaps, 0)
 
 
+def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centre of every point and the squared distance to it, a block of points after the other."""
+    own, gap = np.empty(len(points), np.int64), np.empty(len(points))
+    for start in range(0, len(points), POINTS):
+        gaps = distances(points[start : start + POINTS], centres)
+        own[start : start + POINTS], gap[start : start + POINTS] = gaps.argmin(1), gaps.min(1)
+    return own, gap
+
+
 def cluster(points: np.ndarray, count: int, rounds: int = ROUNDS) -> np.ndarray:
     """At most ``count`` centres of the points by Lloyd's rounds; a centre without points takes the worst served one."""
     random = np.random.default_rng(11)
     points = points[np.lexsort(points.T[::-1])]
     centres = points[random.choice(len(points), min(count, len(points)), replace=False)]
     for _ in range(rounds):
-        gaps = distances(points, centres)
-        own, size = gaps.argmin(1), np.bincount(gaps.argmin(1), minlength=len(centres))
+        own, gap = nearest(points, centres)
+        size = np.bincount(own, minlength=len(centres))
         sums = np.stack([np.bincount(own, points[:, d], len(centres)) for d in range(points.shape[1])], 1)
         centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
         empty = np.flatnonzero(size == 0)
-        centres[empty] = points[np.argsort(-gaps.min(1))[: len(empty)]]
+        centres[empty] = points[np.argsort(-gap)[: len(empty)]]
     return np.unique(centres, axis=0)
 
 
@@ -84,7 +95,7 @@ class Codebook:
         return Codebook([cluster(rest[:, i : i + GROUP], CODES, 8) for i in range(0, rest.shape[1], GROUP)])
 
     def encode(self, rest: np.ndarray) -> np.ndarray:
-        parts = [distances(rest[:, i * GROUP : i * GROUP + t.shape[1]], t).argmin(1) for i, t in enumerate(self.tables)]
+        parts = [nearest(rest[:, i * GROUP : i * GROUP + t.shape[1]], t)[0] for i, t in enumerate(self.tables)]
         return np.stack(parts, 1).astype(np.uint8)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
@@ -124,7 +135,7 @@ def _fit_layout(rows: DataFrame, count: int) -> Layout:
         if held:
             points = stacked(pd.concat(held).sort_values("key")["vector"])
             coarse = cluster(points, lists)
-            book = Codebook.fit(points - coarse[distances(points, coarse).argmin(1)])
+            book = Codebook.fit(points - coarse[nearest(points, coarse)[0]])
             for kind, tables in (("coarse", [coarse]), ("book", book.tables)):
                 for place, table in enumerate(tables):
                     for code, vector in enumerate(table):
@@ -144,7 +155,7 @@ def _with_coarse(rows: DataFrame, layout: Layout) -> DataFrame:
                 points = stacked(frame["vector"])
                 if points.shape[1] != centres.shape[1]:
                     raise ValueError(f"vectors of different widths: {sorted({points.shape[1], centres.shape[1]})}")
-                yield frame.assign(coarse=distances(points, centres).argmin(1).astype(np.int32))
+                yield frame.assign(coarse=nearest(points, centres)[0].astype(np.int32))
 
     return rows.mapInPandas(assign, T.StructType([*rows.schema.fields, T.StructField("coarse", T.IntegerType())]))
 
@@ -190,7 +201,7 @@ def _encoded(placed: DataFrame, lists: DataFrame, layout: Layout) -> DataFrame:
             return pd.DataFrame({f.name: [] for f in schema})
         own = own.sort_values("list_id")
         points, centres = stacked(rows["vector"]), stacked(own["centre"])
-        at = distances(points, centres).argmin(1)
+        at = nearest(points, centres)[0]
         rest = points - centres[at]
         codes = book.encode(rest)
         miss = np.sqrt(np.square(rest - book.decode(codes)).sum(1))
@@ -233,8 +244,9 @@ def _nearest_lists(asked: DataFrame, lists: DataFrame, layout: Layout, visited:
     spread = np.array([far.get(i, -np.inf) for i in range(len(centres))])
 
     def choose(frames):
-        for frame in frames:
-            if len(frame):
+        for whole in frames:
+            for start in range(0, len(whole), POINTS):
+                frame = whole.iloc[start : start + POINTS]
                 gaps = np.sqrt(distances(stacked(frame["vector"]), centres))
                 if visited is None:
                     near = gaps <= frame["reach"].to_numpy()[:, None] + spread

@@ -120,3 +120,18 @@ def test_clusters_of_equal_points():
     assert len(vi.cluster(np.ones((50, 3)), 8)) == 1
     points = np.repeat(np.eye(4), 10, axis=0)
     assert len(vi.cluster(points, 4)) == 4
+
+
+def test_fitting_holds_a_block_of_distances():
+    """Distances of a sample to all centres are held block by block, and the centres are those of all at once."""
+    import tracemalloc
+
+    points = np.random.default_rng(5).normal(size=(1 << 13, 8))
+    own, gap = vi.nearest(points, points[:64])
+    every = vi.distances(points, points[:64])
+    assert (own == every.argmin(1)).all() and np.allclose(gap, every.min(1))
+    tracemalloc.start()
+    vi.cluster(points, 1024, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6

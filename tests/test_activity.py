@@ -2,10 +2,10 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from saltmarsh.operators import activity as ac
-from saltmarsh.streaming.activity import latest_states, state_stream, unique_stream, write_states
+from saltmarsh.streaming.activity import LEAF, ActivityProcessor, latest_states, state_stream, unique_stream, write_states
 
 START = dt.datetime(2024, 1, 1)
 SCHEMA = "execution_id bigint, activity_id string, event_id bigint, status string, ts timestamp_ntz"
@@ -65,6 +65,53 @@ def test_stream_matches_loop_over_several_triggers(spark, tmp_path):
     assert as_dict(got) == plain_states(rows)
 
 
+class CountedMap(dict):
+    """A state map that counts calls."""
+
+    calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+
+def test_states_are_read_and_written_in_leaves():
+    processor, held = ActivityProcessor(), CountedMap()
+    processor.init(type("Handle", (), {"getMapState": lambda *_: held})())
+    rng, rows, got = random.Random(3), [], {}
+    places = [rng.randrange(1 << 63) for _ in range(2000)]
+    for trigger in range(3):
+        picked = [(rng.randrange(2000), trigger * 4000 + i, rng.choice(["running", "completed", "failed"])) for i in range(4000)]
+        when = {event: START + dt.timedelta(seconds=event // 5) for _, event, _ in picked}
+        lists = zip(*[(places[a], a % 7, f"a{a}", event, status, int(when[event].timestamp())) for a, event, status in picked])
+        changed = processor.handleInputRows((0,), iter([Row(**dict(zip(("place", "execution", "activity", "event", "status", "micros"), lists)))]), None)
+        for row in changed:
+            for execution, name, attempt, status, started, updated, event in zip(*row):
+                got[execution, name] = attempt, status, started, updated, event
+        rows += [(a % 7, f"a{a}", event, status, when[event]) for a, event, status in picked]
+    wanted = {k: (n, s, int(b.timestamp()), int(u.timestamp()), e) for k, (n, s, b, _, u, e) in plain_states(rows).items()}
+    assert got == wanted
+    assert sum(len(v[1]) for v in held.values()) == len({r[:2] for r in rows}) and max(len(v[1]) for v in held.values()) <= LEAF
+    # 12,000 events, each activity in nearly every trigger.
+    assert held.calls < 1000
+
+
+def test_stream_with_many_activities_in_one_group(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), f"a{rng.randrange(200)}", i, rng.choice(["running", "completed"]), START + dt.timedelta(seconds=i)) for i in range(1500)]
+    for part in range(2):
+        spark.createDataFrame(rows[part * 750 : part * 750 + 750], SCHEMA).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = state_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), shares=1)
+        write_states(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+    got = latest_states(spark, str(tmp_path / "out"))
+    got = got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "completed_at", "updated_at")})
+    assert as_dict(got) == plain_states(rows)
+
+
 def test_unique_stream_in_any_order(spark, tmp_path):
     rows = random_events(60)
     rows.sort(key=lambda r: -r[4].timestamp())  # the latest arrive first

@@ -46,6 +46,23 @@ def test_text_columns(spark):
     assert found == ["a b", None, None, None, "Null", None]
 
 
+def test_text_without_line_ends_meets_no_pattern(spark):
+    rows = [(t,) for t in ("a\r\n\r\nb", "\t", " \n ", " NULL ", "NULL\n", "nullx", "a  b", "", " x\ty\tz ")]
+    frame = spark.createDataFrame(rows, "t string")
+    cleaned = cl.clean_text_columns(frame)
+    assert [r.t for r in cleaned.collect()] == ["a b", " ", " ", None, "NULL ", "nullx", "a  b", None, "x y z"]
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    # Nulls are found by comparison, and runs are replaced only in text that contains one of the characters.
+    assert "regexp_extract_all" not in plan and plan.index("Contains(") < plan.index("regexp_replace")
+
+
+def test_dates_need_no_format(spark):
+    texts = ["0001-01-01", "9999-12-31", "2023-02-29", "2024-13-01", "2024-02-29 24:00:00", "2024-02-29 23:59:59 ", "2024-1-1", "", "2024-01-01\n", "02024-01-01", "2024"]
+    found = spark.createDataFrame([(t,) for t in texts], "d string").select(parse_date(F.col("d")).alias("d"))
+    assert [r.d for r in found.collect()] == [dt.date(1, 1, 1), dt.date(9999, 12, 31)] + [None] * 9
+    assert "timestamp" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_silver_chain(spark):
     rows = [
         ("t1", "2024-01-01", "1,200", "10", "2", " NULL ", "a.csv", 1),

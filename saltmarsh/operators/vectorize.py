@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from saltmarsh.functions.text import TOKEN
@@ -16,10 +17,10 @@ DIMENSIONS = 768
 PIECE = 1 << 18
 
 
-def token_slots(text: Column, dimensions: int) -> Column:
-    """Component of every token of a text, from the MD5 digest of the token."""
+def token_digests(text: Column) -> Column:
+    """First four bytes of the MD5 digest of every token of a text, one after the other."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
-    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dimensions).cast("int"))
+    return F.unhex(F.array_join(F.transform(words, lambda w: F.substring(F.md5(w), 1, 8)), ""))
 
 
 def hash_vectors(df: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, name: str = "embedding", kind: str = "float") -> DataFrame:
@@ -33,20 +34,21 @@ def hash_vectors(df: DataFrame, text: str = "text", dimensions: int = DIMENSIONS
 
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            bounds = batch.offsets.to_numpy().astype(np.int64)
+            ends = np.cumsum(pc.binary_length(batch).to_numpy().astype(np.int64) // 4)
             low, most = 0, max(1, PIECE // dimensions)
             while low < len(batch):
-                high = min(low + most, int(np.searchsorted(bounds, bounds[low] + PIECE, "right")) - 1, len(batch))
-                high = max(high, low + 1)
-                slots = batch.values[bounds[low] : bounds[high]].to_numpy()
-                rows = np.repeat(np.arange(high - low) * dimensions, np.diff(bounds[low : high + 1]))
+                done = ends[low - 1] if low else 0
+                high = max(min(low + most, int(np.searchsorted(ends, done + PIECE, "right"))), low + 1)
+                # A component is the number in the digest's first bytes, modulo the dimensions.
+                slots = np.frombuffer(b"".join(batch.slice(low, high - low).to_pylist()), ">u4").astype(np.int64) % dimensions
+                rows = np.repeat(np.arange(high - low) * dimensions, np.diff(ends[low:high], prepend=done))
                 counts = np.bincount(rows + slots, minlength=(high - low) * dimensions).reshape(-1, dimensions)
                 length = np.sqrt(np.square(counts).sum(1).astype(float))
                 values = (counts / np.maximum(length, 1)[:, None]).astype(number)
                 yield pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1) * dimensions, pa.int32()), pa.array(values.reshape(-1)))
                 low = high
 
-    return df.select(*df.columns, F.arrow_udf(count, f"array<{kind}>")(token_slots(F.col(text), dimensions)).alias(name))
+    return df.select(*df.columns, F.arrow_udf(count, f"array<{kind}>")(token_digests(F.col(text))).alias(name))
 
 
 def model_vectors(

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -197,3 +198,19 @@ def test_vectors_counted_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(vectorize, "PIECE", 50)
     assert whole == [hash_vectors(docs, dimensions=16, kind=kind).collect() for kind in ("float", "double")]
     assert all(len(r.embedding) == 16 and abs(sum(x * x for x in r.embedding) - bool(r.text)) < 1e-6 for rows in whole for r in rows)
+
+
+def test_components_come_from_digest_bytes(spark):
+    import hashlib
+
+    texts = ["The cat, the-cat 9", "", None, "É --", "x " * 300_000, "a b c"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, text string").coalesce(1)
+    made = hash_vectors(docs, dimensions=1000, kind="double")
+    for n, _, vector in made.collect():
+        counts = [0] * 1000
+        for token in re.findall("[a-z0-9][a-z0-9-]*", (texts[n] or "").lower()):
+            counts[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % 1000] += 1
+        length = sum(c * c for c in counts) ** 0.5 or 1
+        assert vector == [c / length for c in counts]
+    # No number is parsed for a token.
+    assert "conv(" not in made._jdf.queryExecution().optimizedPlan().toString()

@@ -13,8 +13,12 @@ from saltmarsh.functions.text import tokens
 
 CANDIDATES = 20
 FINAL = 5
-# Queries that one task holds beside a block of the index.
+# Queries, or rows of the index, that one task holds at most where both are many; few queries make one block.
 QUERY_BLOCK = 2048
+BLOCK = 1 << 15
+# Distances held at once, and rows of the index that share one least distance where limits are looked for.
+HELD = 1 << 19
+SHARED = 16
 
 # Relevance thresholds.
 SHORT_QUERY_WORDS = 3
@@ -23,32 +27,61 @@ THRESHOLD = 0.20
 SOURCE_THRESHOLD = 0.2
 
 
+def framed(names: Sequence[str], parts: Sequence[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    """Parts of the columns of one table put together; text stays objects."""
+    columns = map(np.concatenate, zip(*parts)) if parts else [np.empty(0, object)] * len(names)
+    return pd.DataFrame({n: pd.Series(c, dtype=c.dtype) for n, c in zip(names, columns)})
+
+
+def _limits(rough: np.ndarray, k: int) -> np.ndarray:
+    """For every line a bound that its k least values do not exceed, and few others reach."""
+    groups = rough.shape[1] // SHARED
+    if groups >= 4 * k:
+        # The k groups with the least minima hold k values up to the k-th of these minima.
+        rough = rough[:, : groups * SHARED].reshape(len(rough), SHARED, groups).min(1)
+    return np.partition(rough, k - 1, axis=1)[:, k - 1]
+
+
 def _nearest_in_block(k: int, key: str):
     def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found: list[pd.DataFrame] = []
+        found = []
         if len(rows) and len(asked):
             widths = set(rows["vector"].map(len)) | set(asked["vector"].map(len))
             if len(widths) > 1:
                 raise ValueError(f"vectors of different widths: {sorted(widths)}")
             points = np.stack(rows["vector"].to_numpy()).astype(np.float64)
             wanted = np.stack(asked["vector"].to_numpy()).astype(np.float64)
-            # One matrix product estimates all distances. Rows within rounding of
+            keys, names = rows["key"].to_numpy(), asked["query_id"].to_numpy()
+            place = pd.factorize(keys, sort=True, use_na_sentinel=False)[0]
+            # Matrix products estimate all distances, for some queries at a time. Rows within rounding of
             # the k-th estimate are then measured exactly.
             lengths, sizes = np.square(points).sum(axis=1), np.square(wanted).sum(axis=1)
-            rough = lengths - 2.0 * (wanted @ points.T) + sizes[:, None]
             slack = 1e-9 * (lengths.max() + sizes.max() + 1.0)
-            take = min(k, len(points))
-            limits = np.partition(rough, take - 1, axis=1)[:, take - 1] + slack
-            for i, name in enumerate(asked["query_id"]):
-                close = np.flatnonzero(rough[i] <= limits[i])
-                near = pd.DataFrame({key: rows["key"].to_numpy()[close], "distance": np.square(points[close] - wanted[i]).sum(axis=1)})
-                near.insert(0, "query_id", name)
-                found.append(near.sort_values(["distance", key]).head(k))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], key: [], "distance": []})
+            take, step, turned = min(k, len(points)), max(1, HELD // len(points)), -2.0 * points.T
+            for start in range(0, len(wanted), step):
+                rough = wanted[start : start + step] @ turned
+                rough += lengths
+                query, row = np.divmod(np.flatnonzero(rough <= (_limits(rough, take) + slack)[:, None]), len(points))
+                gap = np.empty(len(row))
+                for low in range(0, len(row), BLOCK):
+                    some = slice(low, low + BLOCK)
+                    gap[some] = np.square(points[row[some]] - wanted[start + query[some]]).sum(axis=1)
+                best = np.lexsort((place[row], gap, query))
+                query, row, gap = query[best], row[best], gap[best]
+                near = np.arange(len(query)) - np.searchsorted(query, query) < k
+                found.append((names[start + query[near]], keys[row[near]], gap[near]))
+        return framed(("query_id", key, "distance"), found)
 
     return search
 
 
+def _block_counts(rows: int, queries: int, tasks: int) -> tuple[int, int]:
+    """Blocks of rows and of queries: blocks of bounded size, two pairs for every task, and little that is sent twice."""
+    least_rows, least_queries = -(-rows // BLOCK), -(-queries // BLOCK)
+    row_blocks = max(1, least_rows, min(tasks, round((2 * tasks * rows / queries) ** 0.5)))
+    return row_blocks, max(1, least_queries, -(-2 * tasks // row_blocks))
+
+
 def nearest(
     index: DataFrame,
     queries: DataFrame,
@@ -61,16 +94,17 @@ def nearest(
 ) -> DataFrame:
     """Exact k nearest rows per query: query_id, key, distance, rank.
 
-    The index is scanned and shuffled once, into as many blocks as there are
-    shuffle partitions; every block meets the queries in blocks of QUERY_BLOCK and
-    gives its own k best of each. Queries never pass the driver. ``where`` filters
+    The index is scanned and shuffled in blocks: as many as there are shuffle
+    partitions for few queries. Many queries are cut into blocks too; every block of the
+    index meets every block of queries and gives its own k best of each. Queries never pass the driver. ``where`` filters
     the index first. Null vectors take no part; vectors of different widths are an error.
     """
     scanned = index if where is None else index.filter(where)
     rows = scanned.select(F.col(key).alias("key"), F.col(vector).alias("vector")).filter(F.col("vector").isNotNull())
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector")).filter(F.col("vector").isNotNull())
-    row_blocks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    row_blocks, query_blocks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1
+    if (wanted := queries.count()) > QUERY_BLOCK:
+        row_blocks, query_blocks = _block_counts(scanned.select(key).count(), wanted, row_blocks)
 
     def own(name: str, blocks: int) -> Column:
         return F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")

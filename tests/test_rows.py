@@ -154,6 +154,36 @@ def test_nearest_with_text_ids_and_many_query_blocks(spark, monkeypatch):
     assert sorted((r.query_id, r.name, r["rank"]) for r in found) == [(f"q{i}", f"k{i}", 1) for i in range(10)]
 
 
+def test_nearest_of_many_queries_makes_few_frames_and_holds_few_distances(monkeypatch):
+    """No frame for each query, no matrix of all queries and rows, and still the k nearest, ties by key."""
+    import tracemalloc
+
+    import pandas as pd
+
+    vectors = np.random.default_rng(4).integers(0, 3, (6000, 4)).astype(float)  # many ties
+    rows = pd.DataFrame({"key": np.random.default_rng(5).permutation(6000), "vector": list(vectors)})
+    asked = pd.DataFrame({"query_id": np.arange(2000), "vector": list(vectors[:2000] + 0.25)})
+    made, frame = [], pd.DataFrame
+    monkeypatch.setattr(pd, "DataFrame", lambda *args, **named: made.append(1) or frame(*args, **named))
+    tracemalloc.start()
+    found = rk._nearest_in_block(3, "name")(rows, asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made) < 100 and peak < 60e6
+    got = found.groupby("query_id")["name"].agg(list)
+    for i in range(0, 2000, 97):
+        gaps = np.square(vectors - asked["vector"][i]).sum(1)
+        assert got[i] == list(rows["key"].to_numpy()[np.lexsort((rows["key"], gaps))[:3]])
+
+
+def test_block_counts():
+    """Blocks are bounded, and their number does not multiply the rows that are sent."""
+    assert rk._block_counts(10_000, 10_000, 24) == (7, 7)
+    rows, queries = rk._block_counts(1 << 20, 1 << 20, 12)
+    assert rows == queries == (1 << 20) // rk.BLOCK
+    assert rk._block_counts(1000, 100_000, 8) == (1, 16)
+
+
 def test_nearest_refuses_other_widths(spark):
     index = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0])], "id bigint, embedding array<double>")
     asked = spark.createDataFrame([(1, [1.0, 2.0])], "query_id bigint, embedding array<double>")

@@ -135,3 +135,36 @@ def test_fitting_holds_a_block_of_distances():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 50e6
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_many_blocks_of_queries(spark, built, monkeypatch, exact):
+    """Cut into many blocks, parts and pieces a search finds what it finds in one block, for repeated queries too."""
+    path, vectors = built
+    queries = asked(spark, vectors[:60]).union(asked(spark, vectors[:2])).repartition(3)
+    want = sorted(map(tuple, vi.search(spark, path, queries, 5, exact=exact).collect()))
+    for name, value in {"QUERY_BLOCK": 16, "PIECE": 20, "PAIRS": 300, "CODED": 1, "SLICE": 150}.items():
+        monkeypatch.setattr(vi, name, value)
+    assert sorted(map(tuple, vi.search(spark, path, queries, 5, exact=exact).collect())) == want
+    assert {r[3] for r in want} == {1, 2, 3, 4, 5} and len(want) == 300
+
+
+def test_search_passes_on_few_rows_for_a_query(spark, built, monkeypatch):
+    """A query leaves the scan of codes with the rows it measures, not with as many from every list."""
+    path, vectors = built
+    seen, by_code = [], vi._by_code
+    monkeypatch.setattr(vi, "_by_code", lambda *args: seen.append(by_code(*args)) or seen[-1])
+    vi.search(spark, path, asked(spark, vectors[:50]), 2, measured=4).count()
+    rows = seen[0].collect()
+    assert len(rows) == 50 and {len(r["key"]) for r in rows} == {8}
+
+
+def test_text_ids(spark, tmp_path):
+    vectors = clustered(300, seed=6)
+    path = str(tmp_path / "index")
+    named = frame(spark, vectors).withColumn("vec_id", F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 3, "0")))
+    vi.build(named, path, "vec_id", object_key="object", carried=["label"])
+    queries = asked(spark, vectors[:20]).withColumn("query_id", F.concat(F.lit("q"), F.col("query_id").cast("string")))
+    got = {(r.query_id, r.key, r["rank"]) for r in vi.search(spark, path, queries, 4, exact=True).collect()}
+    want = plain(vectors, np.arange(300), vectors[:20], 4)
+    assert got == {(f"q{i}", f"v{key:03d}", n + 1) for i, keys in want.items() for n, key in enumerate(keys)}

@@ -8,10 +8,10 @@ from saltmarsh.catalog.base import Book, Tables
 from saltmarsh.catalog.texts import sql_chunks
 from saltmarsh.functions import questions as qs, vectors as vx
 from saltmarsh.operators import ranking as rk, text_index, vector_index
-from saltmarsh.operators.rows import materialise
+from saltmarsh.operators.rows import filter_computed, materialise
 from saltmarsh.operators.vectorize import hash_vectors
 from saltmarsh.plans.indexing import index_rows, internal_rows, news_rows
-from saltmarsh.plans.retrieval import evidence_context, hashing, retrieve
+from saltmarsh.plans.retrieval import Embedder, evidence_context, hashing, retrieve
 from saltmarsh.scratch import run_folder
 from saltmarsh.sources import snapshots
 
@@ -328,15 +328,17 @@ def _vectors(t: Tables) -> DataFrame:
     return made.select("doc_id", F.posexplode("embedding").alias("slot", "value")).filter("value <> 0").withColumn("value", F.round("value", 6))
 
 
-def document_index(t: Tables, dimensions: int = 256, documents: DataFrame | None = None) -> DataFrame:
+def document_index(t: Tables, dimensions: int = 256, documents: DataFrame | None = None, embed: Embedder | None = None) -> DataFrame:
     """Index rows: documents without label as internal objects, labelled ones as news."""
     keyed = (t.documents if documents is None else documents).select(
-        F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("object_key"), "doc_id", "source", F.lit(0).alias("page"), "text"
+        F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("object_key"), "doc_id", "source", "text"
     )
-    labelled = t.labels.select("doc_id")
-    internal = internal_rows(keyed.join(labelled, "doc_id", "left_anti"), "documents")
-    news = news_rows(keyed.join(labelled, "doc_id", "left_semi").withColumnRenamed("text", "content").drop("page"))
-    return index_rows(internal, news, hashing(dimensions))
+    # One join for both kinds: a filter that stays above it leaves them the same shuffle of texts.
+    marked = keyed.join(t.labels.select("doc_id").distinct().withColumn("labelled", F.lit(True)), "doc_id", "left")
+    kept = ["object_key", "doc_id", "source"]
+    internal = filter_computed(marked, F.col("labelled").isNull()).select(*kept, F.lit(0).alias("page"), "text")
+    news = filter_computed(marked, F.col("labelled").isNotNull()).select(*kept, F.col("text").alias("content"))
+    return index_rows(internal_rows(internal, "documents"), news_rows(news), embed or hashing(dimensions))
 
 
 @BOOK.add(
@@ -360,8 +362,11 @@ def _replaced(t: Tables) -> DataFrame:
     """A stored snapshot of older texts; half of the objects are indexed anew and replace their chunks in place."""
     path = run_folder(t.spark, "snapshot")
     old = t.documents.withColumn("text", F.concat("text", F.lit(" old")))
-    snapshots.write(document_index(t, documents=old), path, "object_key")
-    snapshots.update(t.spark, path, document_index(t, documents=t.documents.filter("doc_id % 2 = 0")), "groups")
+    # Chunks are dealt to their buckets before they get their vectors.
+    chunked = lambda documents: document_index(t, documents=documents, embed=lambda rows, text: rows)
+    embedded = lambda rows: hashing(256)(rows, "text")
+    snapshots.write(chunked(old), path, "object_key", finish=embedded)
+    snapshots.update(t.spark, path, chunked(t.documents.filter("doc_id % 2 = 0")), "groups", finish=embedded)
     return snapshots.read(t.spark, path).select("object_key", "chunk", "text", F.size("embedding").alias("dimensions"))
 
 

@@ -1,6 +1,7 @@
 """Versions of a keyed store: whole reads during updates, two writers, clean-up."""
 
 import os
+import time
 
 import pytest
 
@@ -117,3 +118,61 @@ def test_empty_store(spark, tmp_path):
     assert held(snapshots.read(spark, path)) == []
     snapshots.update(spark, path, rows(spark, (None, "no key"), (1, "x")))
     assert held(snapshots.read(spark, path)) == [(1, "x"), (None, "no key")]
+
+
+@pytest.mark.parametrize("policy", ["replace", "groups"])
+def test_fresh_rows_are_written_once(spark, store, monkeypatch, policy):
+    """Fresh rows go to their buckets at once; no copy of them is kept beside the store."""
+    monkeypatch.setattr(snapshots, "materialise", lambda *args: pytest.fail("a copy of the updates"))
+    monkeypatch.setattr(snapshots, "GROUP_BYTES", 1)  # buckets are merged a few at a time
+    fresh = [(i, "new") for i in range(0, 200, 2)] + [(None, "no key")]
+    assert snapshots.update(spark, store, rows(spark, *fresh), policy) == 2
+    wanted = [(i, "old") for i in range(1, 100, 2)] + fresh
+    assert held(snapshots.read(spark, store)) == sorted(wanted, key=str)
+    assert snapshots.update(spark, store, rows(spark, (None, "nor here")), policy) == 3
+    assert held(snapshots.read(spark, store)) == sorted([*wanted, (None, "nor here")], key=str)
+
+
+def test_groups_of_buckets(spark, store, monkeypatch):
+    folders = snapshots.snapshot(spark, store).folders
+    assert snapshots._groups(spark, store, folders) == [sorted(folders)]
+    monkeypatch.setattr(snapshots, "GROUP_BYTES", 1)
+    groups = snapshots._groups(spark, store, folders)
+    assert sorted(b for g in groups for b in g) == sorted(folders) and snapshots.GROUPS // 2 <= len(groups) <= snapshots.GROUPS
+
+
+def test_finish_adds_columns_to_dealt_rows(spark, tmp_path):
+    path = str(tmp_path / "finished")
+    finish = lambda frame: frame.withColumn("length", F.length("v"))
+    snapshots.write(rows(spark, (1, "a"), (2, "bb")), path, "k", finish=finish)
+    for policy, pair in (("groups", (2, "ccc")), ("keep", (3, "dddd"))):
+        snapshots.update(spark, path, rows(spark, pair), policy, finish=finish)
+    assert held(snapshots.read(spark, path)) == [(1, "a", 1), (2, "ccc", 3), (3, "dddd", 4)]
+
+
+def test_shuffle_files_go_with_their_write(spark, tmp_path):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(disk.getAllFiles().apply(i).getName().startswith("shuffle_") for i in range(disk.getAllFiles().size()))
+    setting = spark.conf.get(snapshots.CLEANUP)
+    before = shuffled()
+    snapshots.write(rows(spark, *[(i, "x" * 50) for i in range(500)]), str(tmp_path / "store"), "k")
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before and spark.conf.get(snapshots.CLEANUP) == setting
+
+
+def test_texts_of_both_kinds_are_shuffled_once(spark, small):
+    """Labelled and other documents of an index come out of one shuffle of the texts."""
+    from saltmarsh.catalog import retrieval
+    from saltmarsh.catalog.base import Tables
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = retrieval.document_index(Tables(spark, small), 16).select("id", "text")
+        index.collect()
+        assert "ReusedExchange" in index._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
